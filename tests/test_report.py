@@ -1,0 +1,24 @@
+from lexitally.cli import main
+from lexitally.operators.report import format_report
+
+
+def test_format():
+    assert format_report(1.5, 2, 3, 10, 4, 2, [(1, "the", 7), (2, "of", 3)]) == (
+        "Processed 1.5 MB in 2.00 seconds.\nTotal articles: 3\nTotal words: 10\nUnique words: 4\n\nTop 2 Words:\n"
+        + "=" * 40 + "\n   1. " + " " * 22 + "the : 7\n   2. " + " " * 23 + "of : 3\n"
+    )
+
+
+def test_cli(spark, tmp_path, capsys):
+    path = tmp_path / "d.xml"
+    path.write_text("<page><text>a rose is a rose</text></page>")
+    assert main([str(path), "2", "ignored"]) == 0
+    out = capsys.readouterr().out
+    assert "Total articles: 1" in out and out.endswith(" : 2\n")
+    assert main([str(tmp_path / "missing")]) == 1
+    for bad in ([], [str(path), "x"], [str(path), "-1"], [str(path), "10abc"]):
+        try:
+            main(bad)
+            raise AssertionError("must exit")
+        except SystemExit as e:
+            assert e.code == 1
