@@ -4,12 +4,49 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexitally.llm import bpe, warc
+from lexitally.llm.mixing import mix
+from lexitally.llm.sharding import interleaved_shards
 from lexitally.llm.simhash import near_duplicates
 from lexitally.plans.queries import table
 
+SHARDS = 40
+TOKEN_LIMIT = 1024
+
+
+def op1_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
+    return bpe.decode(encoded, vocabulary, with_bytes=False)
+
+
+def op2_proportional_interleaving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = interleaved_shards(table(spark, sf_dir, "documents"), SHARDS)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
+
+
+def op3_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    return found.select(
+        "page_id",
+        F.col("response.payload_bytes").alias("payload_bytes"),
+        F.col("response.payload_digest").alias("payload_digest"),
+        F.col("response.kind").alias("record_type"),
+        F.col("metadata.refers_to_page").alias("refers_to"),
+    )
+
+
+def op6_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def op7_merge_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, TOKEN_LIMIT)
+
 
 def op9_simhash_vantage_point_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
@@ -17,6 +54,25 @@ def op9_simhash_vantage_point_trees(spark: SparkSession, sf_dir: str) -> DataFra
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op9_simhash_vantage_point_trees,)
+    f.__name__: f
+    for f in (
+        op1_byte_level_bpe,
+        op2_proportional_interleaving,
+        op3_warc_transactions,
+        op6_low_discrepancy_mix,
+        op7_merge_token_counts,
+        op9_simhash_vantage_point_trees,
+    )
 }
-ORACLES: dict[str, str] = {}
+
+#: A payload below 1000 bytes is always stored; of larger equal ones the last page is.
+_OP3 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+r AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM d)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to FROM r
+"""
+
+ORACLES: dict[str, str] = {"op3_warc_transactions": _OP3}
