@@ -10,12 +10,22 @@ from pyspark.sql import functions as F
 
 from lexitally.llm import bpe, warc
 from lexitally.llm.mixing import mix
+from lexitally.llm.nearest import nearest
+from lexitally.llm.quality_classifier import grade, ratings_of, train
+from lexitally.llm.quality_rules import quality_verdicts
 from lexitally.llm.sharding import interleaved_shards
 from lexitally.llm.simhash import near_duplicates
+from lexitally.llm.urls import UrlModel, filter_urls, host
 from lexitally.plans.queries import table
 
 SHARDS = 40
 TOKEN_LIMIT = 1024
+NEIGHBOURS, QUERY_STEP = 20, 20
+TOP_GRADE = 2
+
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+#: No table labels URLs. For training, a host with one of these words among its parts counts as blocked.
+URL_SEEDS = "adult ads bet bets casino gamble lottery loan malware phish pills porn poker spam tracker track warez xxx".split()
 
 
 def op1_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +50,15 @@ def op3_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_block_matrix_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("vector"))
+    return nearest(vectors.where(F.col("id") % QUERY_STEP == 0), vectors, NEIGHBOURS)
+
+
 def op6_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
@@ -48,20 +67,42 @@ def op7_merge_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, TOKEN_LIMIT)
 
 
+def seed_labels(pages: DataFrame) -> DataFrame:
+    """``url, blocked`` by the seed words; URLs without a host aren't labelled."""
+    words = F.split(host(F.col("url")), r"[.\-]")
+    seeded = F.arrays_overlap(words, F.lit(URL_SEEDS)).cast("int")
+    return pages.select("url", F.when(host(F.col("url")) != "", seeded).alias("blocked"))
+
+
+def op8_boosted_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return filter_urls(pages, UrlModel.fit(seed_labels(pages)), URL_RULES)
+
+
 def op9_simhash_vantage_point_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, ratings_of(table(spark, sf_dir, "labels")), TOP_GRADE)
+    return grade(docs.select("doc_id", "text"), model, TOP_GRADE).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_byte_level_bpe,
         op2_proportional_interleaving,
         op3_warc_transactions,
+        op4_risk_controlled_rules,
+        op5_block_matrix_neighbours,
         op6_low_discrepancy_mix,
         op7_merge_token_counts,
+        op8_boosted_url_filter,
         op9_simhash_vantage_point_trees,
+        op10_ordinal_quality,
     )
 }
 
@@ -75,4 +116,13 @@ CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
 CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to FROM r
 """
 
-ORACLES: dict[str, str] = {"op3_warc_transactions": _OP3}
+_USABLE = "len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
+_OP5 = f"""
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND {_USABLE}),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
+FROM v q JOIN v c ON len(q.e) = len(c.e) AND q.vec_id <> c.vec_id WHERE q.vec_id % {QUERY_STEP} = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= {NEIGHBOURS}
+"""
+
+ORACLES: dict[str, str] = {"op3_warc_transactions": _OP3, "op5_block_matrix_neighbours": _OP5}
