@@ -149,12 +149,14 @@ def train(docs: DataFrame, ratings: DataFrame, top: int, rows_a_grade: int = ROW
     return fit([np.frombuffer(f, np.int32) for _, f in taken], grades, weight, top)
 
 
-def grade(docs: DataFrame, model: OrdinalModel, select: int, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``expected_grade``, ``tail_probability`` (of grade ``select`` or better) and ``kept``.
+def grade(docs: DataFrame, model: OrdinalModel, select: int, least: float = 0.5, text_col: str = "text", names: tuple[str, str, str] = ("expected_grade", "tail_probability", "kept")) -> DataFrame:
+    """``docs`` with the expected grade, the tail probability (of grade ``select`` or better) and whether it is kept.
 
-    These replace columns of the same names. A row is kept if the tail is at least ``least``. Null
-    counts as an empty text; texts without words have no features and go by the thresholds alone.
+    The columns are called ``names`` and replace any of these names. A row is kept if the tail is at
+    least ``least``. Null counts as an empty text; texts without words have no features and go by the
+    thresholds alone.
     """
+    expected, likely, kept = names
 
     def run(batches: Batches) -> Batches:
         features, weights = Features(), model.weights
@@ -162,14 +164,18 @@ def grade(docs: DataFrame, model: OrdinalModel, select: int, least: float = 0.5,
             texts = utf8(batch.column(batch.schema.names.index("__text")))
             tails = model.tails(np.array([weights[features.of(t)].sum(dtype=np.float64) for t in texts], float))
             tail = tails[:, select - 1]
-            new = {"expected_grade": pa.array(tails.sum(axis=1)), "tail_probability": pa.array(tail), "kept": pa.array(tail >= least)}
-            yield with_columns(batch, **new)
+            yield with_columns(batch, **{expected: pa.array(tails.sum(axis=1)), likely: pa.array(tail), kept: pa.array(tail >= least)})
 
-    new = {"expected_grade": F.lit(0.0), "tail_probability": F.lit(0.0), "kept": F.lit(True)}
-    keyed = docs.drop(*new).withColumn("__text", F.col(text_col).cast("string")).withColumns(new)
+    new = {expected: F.lit(0.0), likely: F.lit(0.0), kept: F.lit(True)}
+    keyed = docs.withColumn("__text", F.col(text_col).cast("string")).drop(*new).withColumns(new)
     return keyed.mapInArrow(run, keyed.schema).drop("__text")
 
 
+def keep_graded(docs: DataFrame, model: OrdinalModel, select: int, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that reach grade ``select``, unchanged."""
+    return grade(docs, model, select, least, text_col, ("__expected", "__likely", "__kept")).where("__kept").select(*docs.columns)
+
+
 def ratings_of(labels: DataFrame) -> DataFrame:
     """Grades from labels: 0 of low quality, 1 good but toxic, 2 good; null labels give null."""
     grade = F.when(F.col("quality") == 0, 0).when((F.col("quality") == 1) & (F.col("toxic") == 1), 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 2)
