@@ -2,18 +2,53 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from lexitally.llm import bpe
+from lexitally.llm.mixing import mixed_documents
+from lexitally.llm.quality_classifier import keep_graded, ratings_of, train
+from lexitally.llm.quality_rules import keep_good
 from lexitally.llm.simhash import drop_near_duplicates
 from lexitally.sources.workdir import written
 
+TOP_GRADE = 2
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that probably have the top grade (good and not toxic) stay."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return keep_graded(docs, train(docs, ratings_of(labels), TOP_GRADE), TOP_GRADE)
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the risk-controlled ones stay."""
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
     return drop_near_duplicates(docs)
 
 
-STAGES = [("simhash_near_dedup", near_dedup)]
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: none, one, two or three times."""
+    return mixed_documents(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each row."""
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.decode(bpe.encode(docs, vocabulary, public_tokenizers.PATTERN), vocabulary, with_bytes=False)
+
+
+STAGES = [
+    ("quality_classifier", classify),
+    ("quality_rules", rules),
+    ("simhash_near_dedup", near_dedup),
+    ("mixing", mixture),
+    ("byte_level_bpe", tokens),
+]
 #: Trained models and 64-bit hashes are beyond DuckDB's SQL.
 ORACLE_SQL = None
 
