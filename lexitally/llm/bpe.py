@@ -10,6 +10,7 @@ import functools
 import hashlib
 import heapq
 import json
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -131,9 +132,9 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     with open(vocabulary, "rb") as file:
         content = file.read()
 
-    def answerer() -> Callable[[bytes], np.ndarray]:
+    def answerer() -> Callable[[bytes], bytes]:
         ranks = read_ranks(content)
-        return lambda word: np.array(encode_word(word, ranks), np.uint32)
+        return lambda word: array("I", encode_word(word, ranks)).tobytes()
 
     def finish(ids, sizes, lengths, positions, answers, flat) -> Iterator[dict]:
         start_of, length_of = answers
@@ -251,9 +252,9 @@ def token_counts(docs: DataFrame, vocabulary: str, pattern: str, limit: int = 10
     if len(added) > 1:
         raise ValueError("more than one added token isn't handled")
 
-    def answerer() -> Callable[[bytes], np.ndarray]:
+    def answerer() -> Callable[[bytes], bytes]:
         count = MergeCounter(content)
-        return lambda word: np.array([count(word)], np.uint32)
+        return lambda word: array("I", [count(word)]).tobytes()
 
     def finish(ids, sizes, lengths, positions, answers, flat) -> Iterator[dict]:
         upto = np.concatenate([[0], np.cumsum(flat[answers[0]].astype(np.int64)[positions])])

@@ -27,10 +27,12 @@ from pyspark.sql import functions as F
 from lexitally.llm.common import Batches, utf8
 
 #: Positions and distinct words at which a block is full.
-BLOCK_POSITIONS, BLOCK_WORDS = 4_000_000, 600_000
+BLOCK_POSITIONS, BLOCK_WORDS = 6_000_000, 600_000
 #: Distinct words whose answers a task keeps. Beyond it starts afresh: some are worked out again.
 KEPT_ANSWERS = 2_000_000
 
+_PACKING = zstandard.ZstdCompressionParameters.from_level(9, window_log=24, enable_ldm=True)
+
 _SCHEMA = pa.schema(
     [
         ("block", pa.string()),
@@ -52,14 +54,26 @@ class _Numbering(dict):
 
 
 def pack(numbers: np.ndarray) -> bytes:
-    """Compressed bytes of an array below 2**32, by byte planes (the upper ones are nearly constant)."""
-    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return zstandard.compress(planes.tobytes(), 3)
+    """Compressed bytes of numbers below 2**28: 7 bits to a byte, the lowest first, the last one unmarked."""
+    numbers = numbers.astype(np.uint32)
+    lengths = 1 + sum((numbers >> (7 * k) > 0).astype(np.int8) for k in (1, 2, 3))
+    starts = np.cumsum(lengths, dtype=np.int64) - lengths
+    out = np.zeros(int(lengths.sum(dtype=np.int64)), np.uint8)
+    for k in range(4):
+        some = lengths > k
+        out[starts[some] + k] = (numbers[some] >> (7 * k)) & 127 | np.where(lengths[some] > k + 1, 128, 0)
+    return zstandard.ZstdCompressor(compression_params=_PACKING).compress(out.tobytes())
 
 
 def unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
+    packed = np.frombuffer(zstandard.decompress(data), np.uint8)
+    last = np.flatnonzero(packed < 128)
+    lengths = np.diff(last, prepend=-1)
+    out = np.zeros(len(last), np.uint32)
+    for k in range(4):
+        some = lengths > k
+        out[some] |= (packed[last[some] - lengths[some] + 1 + k].astype(np.uint32) & 127) << (7 * k)
+    return out
 
 
 def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -90,8 +104,13 @@ class _Block:
         return self.filled >= BLOCK_POSITIONS or len(self.words) >= BLOCK_WORDS or len(self.ids) >= BLOCK_WORDS
 
     def rows(self, buckets: int) -> pa.RecordBatch:
+        positions = np.concatenate(self.positions) if self.positions else np.zeros(0, np.uint32)
+        # numbers by frequency: the most frequent words get the shortest codes
+        rank = np.empty(len(self.words), np.uint32)
+        rank[np.argsort(-np.bincount(positions, minlength=len(self.words)), kind="stable")] = np.arange(len(rank), dtype=np.uint32)
+        positions = rank[positions]
         by_bucket: dict[int, list[tuple[bytes, int]]] = {}
-        for word, number in self.words.items():
+        for word, number in zip(self.words, rank.tolist(), strict=True):
             raw = word.encode()
             by_bucket.setdefault(zlib.crc32(raw) % buckets, []).append((raw, number))
         # a document's words are found through the order in which the packets list them
@@ -100,7 +119,6 @@ class _Block:
             entries = sorted(by_bucket[bucket])
             order += [n for _, n in entries]
             packets.append((bucket, [len(w) for w, _ in entries], b"".join([w for w, _ in entries])))
-        positions = np.concatenate(self.positions) if self.positions else np.zeros(0, np.uint32)
         body, order_data = pack(positions), pack(np.array(order, np.uint32))
         name = hashlib.blake2b(body + order_data + repr(self.ids).encode() + b"".join(p[2] for p in packets), digest_size=16).hexdigest()
         data = len(order_data).to_bytes(8, "little") + order_data + body
@@ -119,17 +137,17 @@ def exchange(
     id_col: str,
     text_col: str,
     split: Callable[[str], list[str]],
-    answerer: Callable[[], Callable[[bytes], np.ndarray]],
-    finish: Callable[[list, list, np.ndarray, np.ndarray, np.ndarray, np.ndarray], Iterator[dict]],
+    answerer: Callable[[], Callable[[bytes], bytes]],
+    finish: Callable[[list, list, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray], np.ndarray], Iterator[dict]],
     ddl: str,
 ) -> DataFrame:
-    """``split`` cuts a text; ``answerer()`` gives a task's function from a word to an array of
-    numbers; ``finish`` gets a block and yields rows as dicts of columns, typed by ``ddl``.
+    """``split`` cuts a text; ``answerer()`` gives a task's function from a word to numbers
+    below 2**28, as bytes of 32-bit integers; ``finish`` gets a block and yields rows as dicts of columns, typed by ``ddl``.
 
-    A block is: ids, sizes in bytes, words of each document, positions, and for each of the block's
-    words the start and length of its answer in a flat array (the last argument).
+    A block is: ids, sizes in bytes, words of each document, positions, ``(start, length)`` of the answer
+    to each of the block's words, and the flat array of answers that these cut.
     """
-    buckets = max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(64, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def blocks(batches: Batches) -> Batches:
         block = _Block()
@@ -156,7 +174,7 @@ def exchange(
                         if numbers is None:
                             numbers = known[word] = answer(word)
                         found.append(numbers)
-                    lengths, data = list(map(len, found)), pack(np.concatenate(found))
+                    lengths, data = [len(x) // 4 for x in found], pack(np.frombuffer(b"".join(found), np.uint32))
                 lengths_out.append(lengths)
                 data_out.append(data)
             kept = [batch.column(n) for n in ("block", "bucket", "dest", "ids", "sizes")]
