@@ -193,21 +193,24 @@ def _row(file: str, at: int, headers: dict[str, str], block: bytes, with_payload
 def captures(found: DataFrame) -> DataFrame:
     """One nested row ``page_id, request, response, metadata`` for each capture among WARC records.
 
-    Requests and metadata are joined to the response (or revisit) that they are concurrent to. Where
+    Requests and metadata join the response (or revisit) that they are concurrent to. Where
     captures are repeated, and so their names, the first of each kind belong together, and so on.
     A capture that lacks a request or metadata has null there.
     """
-    order = Window.partitionBy("name", "part").orderBy("file", "position")
     part = F.when(F.col("kind") == "revisit", F.lit("response")).otherwise(F.col("kind"))
-    placed = found.withColumns({"name": F.coalesce("concurrent_to", "record_id"), "part": part}).withColumn("nth", F.row_number().over(order))
-
-    def of(kind: str, *columns: str) -> DataFrame:
-        return placed.where(F.col("part") == kind).select("name", "nth", F.struct(*columns).alias(kind))
-
-    out = of("response", "record_id", "kind", "target_uri", "refers_to", "payload_digest", "payload_bytes", "payload")
-    for other in (of("request", "record_id", "target_uri"), of("metadata", "record_id", "page_id", "refers_to_page")):
-        out = out.join(other, ["name", "nth"], "left")
-    return out.select(F.col("metadata.page_id").alias("page_id"), "request", "response", "metadata")
+    # one shuffle, by name, serves the numbering and the join
+    placed = found.withColumns({"name": F.coalesce("concurrent_to", "record_id"), "part": part}).repartition("name")
+    placed = placed.withColumn("nth", F.row_number().over(Window.partitionBy("name", "part").orderBy("file", "position")))
+
+    def of(kind: str, *columns: str) -> Column:
+        return F.first(F.when(F.col("part") == kind, F.struct(*columns)), ignorenulls=True).alias(kind)
+
+    out = placed.groupBy("name", "nth").agg(
+        of("request", "record_id", "target_uri"),
+        of("response", "record_id", "kind", "target_uri", "refers_to", "payload_digest", "payload_bytes", "payload"),
+        of("metadata", "record_id", "page_id", "refers_to_page"),
+    )
+    return out.where("response IS NOT NULL").select(F.col("metadata.page_id").alias("page_id"), "request", "response", "metadata")
 
 
 def round_trip(pages: DataFrame, path: str | None = None, with_payload: bool = False) -> DataFrame:
