@@ -24,9 +24,10 @@ BITS = 18
 BEGINNING = 4
 #: Labelled rows that are used of each grade, at most: the fit's only bound.
 ROWS_A_GRADE = 4000
-ROUNDS, RATE, DECAY = 200, 0.1, 2e-5
-#: A feature must occur in so many rows of the sample.
-LEAST_ROWS = 4
+#: The L2 penalty is PRIOR over the rows of the sample.
+ROUNDS, RATE, PRIOR = 300, 0.1, 0.5
+#: A feature must occur in so many rows of the sample, and in so large a share of them.
+LEAST_ROWS, LEAST_SHARE = 3, 1 / 300
 #: Words whose features a task remembers.
 KEPT_WORDS = 400_000
 
@@ -90,7 +91,8 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, weight: np.ndarray, top: int
         return OrdinalModel(np.zeros(size, np.float32), np.arange(-top, 0) * 10.0)
     lengths = np.array([len(r) for r in rows])
     flat = np.concatenate(rows) if lengths.sum() else np.zeros(0, np.int32)
-    used = np.bincount(flat, minlength=size) >= LEAST_ROWS
+    used = np.bincount(flat, minlength=size) >= max(LEAST_ROWS, LEAST_SHARE * len(rows))
+    decay = PRIOR / len(rows)
     owner = np.repeat(np.arange(len(rows)), lengths)[used[flat]]
     flat = flat[used[flat]]
     weight = weight / weight.sum()
@@ -112,7 +114,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, weight: np.ndarray, top: int
         by_cut[n, grades + 1] -= weight * slope[n, grades + 1] / p
         by_cut = by_cut[:, 1:-1].sum(axis=0)
         onward = np.cumsum(by_cut[::-1])[::-1]  # a gap moves all later thresholds
-        gradient = np.r_[np.bincount(flat, weights=by_score[owner], minlength=size) + DECAY * value[:size], onward[0], onward[1:] * np.exp(value[size + 1 :])]
+        gradient = np.r_[np.bincount(flat, weights=by_score[owner], minlength=size) + decay * value[:size], onward[0], onward[1:] * np.exp(value[size + 1 :])]
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2
         value -= RATE * (first / (1 - 0.9**round_)) / (np.sqrt(second / (1 - 0.999**round_)) + 1e-8)

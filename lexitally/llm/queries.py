@@ -21,7 +21,8 @@ from lexitally.plans.queries import table
 SHARDS = 40
 TOKEN_LIMIT = 1024
 NEIGHBOURS, QUERY_STEP = 20, 20
-TOP_GRADE = 2
+#: Grade 2 is good and not toxic. A clean document lost weighs more than a toxic one kept.
+TOP_GRADE, LEAST_TAIL = 2, 0.4
 
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 #: No table labels URLs. For training, a host with one of these words among its parts counts as blocked.
@@ -87,7 +88,7 @@ def op9_simhash_vantage_point_trees(spark: SparkSession, sf_dir: str) -> DataFra
 def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs, ratings_of(table(spark, sf_dir, "labels")), TOP_GRADE)
-    return grade(docs.select("doc_id", "text"), model, TOP_GRADE).drop("text")
+    return grade(docs.select("doc_id", "text"), model, TOP_GRADE, LEAST_TAIL).drop("text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
