@@ -1,0 +1,110 @@
+import base64
+import hashlib
+import random
+import struct
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+import tokenizers
+
+from lexitally.llm import bpe
+from lexitally.llm.word_exchange import _Block, pack, unpack, words_of
+from tests.llm.edge import ROWS, documents, no_documents
+
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+MODEL = public_tokenizers.path("byte_bpe_50k.json")
+PATTERN = public_tokenizers.PATTERN
+
+
+@pytest.fixture(scope="module")
+def library():
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@pytest.fixture(scope="module")
+def ranks():
+    return bpe.read_ranks(open(RANKS, "rb").read())
+
+
+def test_every_code_point(library, ranks):
+    split, known = bpe.splitter(PATTERN), {}
+    for i in range(0x110000):
+        if not 0xD800 <= i < 0xE000 and (i < 0x3400 or i % 11 == 0):
+            text, ids = f"a{chr(i)}b {chr(i)}1 {chr(i)}", []
+            for w in split(text):
+                if w not in known:
+                    known[w] = bpe.encode_word(w.encode(), ranks)
+                ids += known[w]
+            assert ids == library.encode_ordinary(text), hex(i)
+
+
+def test_long_words_use_the_heap(library, ranks):
+    rng = random.Random(3)
+    for n in (bpe.LONG_WORD - 1, bpe.LONG_WORD, 1000, 20_000):
+        word = "".join(rng.choice("thean") for _ in range(n))
+        assert bpe.encode_word(word.encode(), ranks) == library.encode_ordinary(word)
+
+
+def test_encode_decode_edge_rows(spark, library):
+    df = documents(spark).repartition(3)
+    encoded = bpe.encode(df, RANKS, PATTERN)
+    rows = bpe.decode(encoded, RANKS).collect()
+    expected = Counter()
+    for key, text, *_ in ROWS:
+        ids = library.encode_ordinary(text or "")
+        raw = struct.pack(f"<{len(ids)}I", *ids)
+        expected[key, len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest(), (text or "").encode()] += 1
+    assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256, bytes(r.decoded)) for r in rows) == expected
+    assert bpe.decode(bpe.encode(no_documents(spark), RANKS, PATTERN), RANKS).collect() == []
+
+
+def test_decode_refuses_unknown_ids(spark):
+    with pytest.raises(Exception, match="not in the vocabulary"):
+        bpe.decode(spark.createDataFrame([(1, [50_256])], "doc_id long, ids array<int>"), RANKS).collect()
+    row = bpe.decode(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>"), RANKS).first()
+    assert (row.n_tokens, bytes(row.decoded)) == (0, b"")
+
+
+def test_token_counts(spark):
+    library = tokenizers.Tokenizer.from_file(MODEL)
+    got = Counter(tuple(r) for r in bpe.token_counts(documents(spark), MODEL, PATTERN, 4).collect())
+    expected = Counter()
+    for key, text, *_ in ROWS:
+        n = len(library.encode(text or "", add_special_tokens=False).ids)
+        expected[key, len((text or "").encode()), n, n > 4] += 1
+    assert got == expected
+    assert bpe.token_counts(no_documents(spark), MODEL, PATTERN).collect() == []
+
+
+def test_merge_counter_on_random_words():
+    count, library = bpe.MergeCounter(open(MODEL, "rb").read()), tokenizers.Tokenizer.from_file(MODEL)
+    rng = random.Random(5)
+    for _ in range(2000):
+        word = "".join(rng.choice("etaoinshr") for _ in range(rng.randint(1, 40)))
+        assert count(word.encode()) == len(library.encode(word).ids), word
+
+
+def test_packing():
+    for a in ([], [0, 127, 128, 16383, 16384, 2**21, 2**28 - 1], np.random.default_rng(0).integers(0, 2**28, 5000)):
+        a = np.array(a, np.uint32)
+        assert (unpack(pack(a)) == a).all()
+
+
+def test_block_lists_each_word_once():
+    block = _Block()
+    block.add(1, 3, ["a", "b", "a"])
+    block.add(2, 2, ["b", "c"])
+    rows = block.rows(8).to_pylist()
+    assert rows[0]["ids"] == [1, 2] and rows[0]["lengths"] == [3, 2]
+    import zstandard
+
+    words = [w for r in rows[1:] for w in words_of(r["lengths"], zstandard.decompress(r["data"]))]
+    assert sorted(words) == [b"a", b"b", b"c"]
+    cut = int.from_bytes(rows[0]["data"][:8], "little")
+    order, positions = unpack(rows[0]["data"][8 : 8 + cut]), unpack(rows[0]["data"][8 + cut :])
+    name = {int(n): w for n, w in zip(order, words, strict=True)}
+    assert [name[int(p)] for p in positions] == [b"a", b"b", b"a", b"b", b"c"]
