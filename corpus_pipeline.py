@@ -12,13 +12,14 @@ from lexitally.llm.quality_rules import keep_good
 from lexitally.llm.simhash import drop_near_duplicates
 from lexitally.sources.workdir import written
 
-TOP_GRADE = 2
+#: A clean document lost weighs more than a toxic one kept.
+TOP_GRADE, LEAST_TAIL = 2, 0.4
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that probably have the top grade (good and not toxic) stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return keep_graded(docs, train(docs, ratings_of(labels), TOP_GRADE), TOP_GRADE)
+    return keep_graded(docs, train(docs, ratings_of(labels), TOP_GRADE), TOP_GRADE, LEAST_TAIL)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
