@@ -26,6 +26,7 @@ from lexitally.sources.workdir import written
 WORD = r"[^\x20\x09-\x0D]+"
 #: Slots of a schedule and slots for each source, at least: they set the grain, not the size, of a mix.
 SLOTS, SLOTS_A_SOURCE = 1 << 17, 64
+HASH_BITS = 60
 GOLDEN = (math.sqrt(5) - 1) / 2
 
 
@@ -33,6 +34,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def shuffled_by(seed: int, ident: Column, text: Column) -> Column:
+    """A seeded place below 2**60 for a row: the first 15 digits of an MD5 of its id and its text's MD5."""
+    whole = F.concat_ws("|", F.lit(str(seed)), F.coalesce(ident.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    return F.conv(F.substr(F.md5(whole.cast("binary")), F.lit(1), F.lit(15)), 16, 10).cast("long")
+
+
 def targets(sources: DataFrame, share: float = 1.0, limit: float = 3.0) -> DataFrame:
     """``sources`` (``key, source, source_size``, a row for each source) with ``weight`` and ``target``.
 
@@ -84,7 +91,7 @@ def mix(docs: DataFrame, share: float = 1.0, limit: int = 3, seed: int = 42, id_
     slim = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         word_count(text).alias("size"),
-        F.xxhash64(F.lit(seed), F.col(id_col).cast("long"), text).alias("h"),
+        shuffled_by(seed, F.col(id_col).cast("long"), text).alias("h"),
         F.col(source_col).cast("string").alias("source"),
     )
     slim = written(slim.withColumn("key", source_key(F.col("source"))), "mix-rows")
@@ -103,7 +110,7 @@ def mix(docs: DataFrame, share: float = 1.0, limit: int = 3, seed: int = 42, id_
     taken = taken.where(F.col("rank") < F.col("blocks") * limit)
     taken = taken.groupBy("key", F.expr("rank % blocks").alias("block")).agg(F.count(F.lit(1)).alias("times"))
 
-    laid = slim.where("size > 0").withColumn("bucket", F.shiftright("h", 64 - bucket_bits(rows)))
+    laid = slim.where("size > 0").withColumn("bucket", F.shiftright("h", HASH_BITS - bucket_bits(rows)))
     laid = running_start(laid, ["key"], "bucket", ["h", "doc_id", "size"], F.col("size"), "first")
     # block b of a source is [ceil(b * words / blocks), ceil((b + 1) * words / blocks)) of its stream
     inside = cut.select("key", "source_size", "blocks")

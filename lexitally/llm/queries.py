@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexitally.llm import bpe, warc
-from lexitally.llm.mixing import mix
+from lexitally.llm.mixing import GOLDEN, SLOTS, SLOTS_A_SOURCE, mix
 from lexitally.llm.nearest import nearest
 from lexitally.llm.quality_classifier import grade, ratings_of, train
 from lexitally.llm.quality_rules import quality_verdicts
@@ -126,4 +126,33 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= {NEIGHBOURS}
 """
 
-ORACLES: dict[str, str] = {"op3_warc_transactions": _OP3, "op5_block_matrix_neighbours": _OP5}
+_OP6 = f"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+  coalesce('=' || source, '') AS key,
+  CAST('0x' || substr(md5('42|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS h FROM documents),
+s AS (SELECT key, any_value(source) AS source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY key),
+w AS (SELECT *, CAST((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS DOUBLE) AS weight, source_size * 3.0::DOUBLE AS cap,
+  CAST(sum(source_size) OVER () AS DOUBLE) AS budget FROM s),
+l AS (SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY cap / weight, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(weight) OVER (ORDER BY cap / weight, key ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+t AS (SELECT key, source_size, least(cap, coalesce(max(level) FILTER (level * weight <= cap) OVER (), 'inf'::DOUBLE) * weight) AS target FROM l),
+b AS (SELECT *, greatest(1, CAST(round(source_size / greatest(1.0, (SELECT sum(source_size) FROM t)::DOUBLE
+  / greatest({SLOTS}, {SLOTS_A_SOURCE} * (SELECT count(*) FROM t)))) AS BIGINT)) AS blocks FROM t WHERE source_size > 0),
+c AS (SELECT *, target * blocks / source_size AS slots FROM b),
+e AS (SELECT *, sum(slots) OVER (ORDER BY key) / sum(slots) OVER () AS high, (sum(slots) OVER (ORDER BY key) - slots) / sum(slots) OVER () AS low,
+  row_number() OVER (ORDER BY key DESC) = 1 AS last FROM c),
+p AS (SELECT i, i * {GOLDEN!r}::DOUBLE + 0.5 - floor(i * {GOLDEN!r}::DOUBLE + 0.5) AS u
+  FROM range(0, (SELECT CAST(round(sum(slots)) AS BIGINT) FROM c)) AS r(i)),
+k AS (SELECT e.key, e.blocks, row_number() OVER (PARTITION BY e.key ORDER BY i) - 1 AS rank FROM p JOIN e ON u >= low AND (u < high OR last)),
+x AS (SELECT key, rank % blocks AS block, count(*) AS times FROM k WHERE rank < 3 * blocks GROUP BY ALL),
+o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY key ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first FROM d),
+y AS (SELECT doc_id, o.key, size, first, b.source_size, b.blocks,
+  unnest(range(first * b.blocks // b.source_size, (first + size - 1) * b.blocks // b.source_size + 1)) AS block FROM o JOIN b ON o.key = b.key WHERE size > 0),
+z AS (SELECT y.key, first, doc_id, size, sum((least(first + size, ((y.block + 1) * source_size + blocks - 1) // blocks)
+  - greatest(first, (y.block * source_size + blocks - 1) // blocks)) * coalesce(times, 0)) AS taken
+  FROM y LEFT JOIN x ON y.key = x.key AND y.block = x.block GROUP BY ALL)
+SELECT o.doc_id, CAST(o.size AS BIGINT) AS size, t.source_size, t.target, CAST(coalesce(z.taken, 0) AS BIGINT) AS taken, o.source
+FROM o JOIN t ON o.key = t.key LEFT JOIN z ON o.key = z.key AND o.first = z.first AND o.size = z.size AND o.doc_id IS NOT DISTINCT FROM z.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op3_warc_transactions": _OP3, "op5_block_matrix_neighbours": _OP5, "op6_low_discrepancy_mix": _OP6}

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from lexitally.llm.mixing import GOLDEN, SLOTS, SLOTS_A_SOURCE, mix, mixed_documents, targets
+from lexitally.llm.mixing import GOLDEN, SLOTS, SLOTS_A_SOURCE, mix, mixed_documents, shuffled_by, targets
 from tests.llm.edge import ROWS, documents, no_documents
 
 SF = "/root/testdata/sf0.001"
@@ -34,7 +34,7 @@ def test_targets(spark, sizes):
 
 def brute(df):
     """The mix slot by slot and word by word of the streams."""
-    rows = [(r.doc_id, r.source, len((r.text or "").encode().split()), r.hash) for r in df.select("doc_id", "text", "source", F.xxhash64(F.lit(42), "doc_id", "text").alias("hash")).collect()]
+    rows = [(r.doc_id, r.source, len((r.text or "").encode().split()), r.hash) for r in df.select("doc_id", "text", "source", shuffled_by(42, F.col("doc_id"), F.col("text")).alias("hash")).collect()]
     streams = defaultdict(list)
     for at, (key, source, size, h) in sorted(enumerate(rows), key=lambda x: (x[1][3], -1 if x[1][0] is None else x[1][0], x[1][2])):
         streams[source].append((at, size))
