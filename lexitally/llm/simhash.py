@@ -6,7 +6,9 @@
    vantage point v and radius mu, points with d(p, v) <= mu go inside, points with
    d(p, v) > mu - r go outside. So a pair within r bits meets in a shard, by the triangle
    inequality: if a is inside and b isn't, d(a, v) >= d(b, v) - r > mu - r and a goes outside too.
-3. A shard with more points than a task should compare is cut into tiles, pairs of blocks of it.
+3. A shard with more points than a task should compare gets a tree of its own, from a sample of its own,
+   built by a task. What is still too large (a dense ball, which no tree cuts) is compared in tiles, pairs of
+   blocks of it.
 4. A task finds its shard's linked points and returns its connected groups, not the pairs.
 5. Groups that share a point are linked; large-star and small-star rounds over these links, each
    written to the shared folder, give the components.
@@ -27,12 +29,15 @@ from lexitally.sources.workdir import written
 
 #: Fixed by the definition of the fingerprint.
 SEED, BITS = 42, 64
-#: Points that the tree is built from: it bounds the tree, not the points that it is used on.
-TREE_SAMPLE = 16384
 #: Points that a shard should have, and the number from which it is cut into tiles.
 SHARD, TILE = 2048, 8192
-#: Shingles whose bits are counted at a time.
+#: Points that the tree is built from: a few for each shard, within these bounds (give or take a half). They
+#: bound the tree, not the points that it is used on.
+SAMPLE_A_SHARD, LEAST_SAMPLE, LARGEST_SAMPLE = 16, 1 << 14, 1 << 19
+#: Shingles whose bits are counted at a time, and points of a large shard that a task sends through its tree.
 CHUNK = 1 << 15
+_NODE = np.dtype([("vantage", "<u8"), ("mu", "<i4"), ("inside", "<i4"), ("outside", "<i4")])
+_NO_POINTS = pa.table({n: pa.array([], pa.int64()) for n in ("shard", "fp", "first_id", "sub")})
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -76,7 +81,7 @@ def build_tree(sample: np.ndarray, total: int, radius: int, shard: int = SHARD,
     """
     nodes: list[tuple] = []
     rng = np.random.default_rng(SEED)
-    least = max(16, int(len(sample) * shard / max(total, 1)))
+    least = max(SAMPLE_A_SHARD, int(len(sample) * shard / max(total, 1)))
     shards = 0
 
     def leaf() -> int:
@@ -148,14 +153,47 @@ def _shards(points: DataFrame, nodes: list[tuple], radius: int) -> DataFrame:
     return points.select("fp", "first_id").mapInArrow(run, "shard long, fp long, first_id long")
 
 
+def _resharded(routed: DataFrame, radius: int, shard: int, tile: int) -> DataFrame:
+    """``routed`` with ``sub``: shards of more than ``tile`` points are cut again, each by its own tree.
+
+    The first tree bounds the number of shards, so their table can be broadcast. Large shards are sent
+    through their trees in chunks; a task sees a chunk, or a sample, never a whole shard.
+    """
+    sizes = written(routed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile), "large-shards")
+    if sizes.isEmpty():
+        return routed.withColumn("sub", F.lit(0).cast("long"))
+    large = routed.join(F.broadcast(sizes), "shard")
+
+    def plant(key: tuple, table: pa.Table) -> pa.Table:
+        nodes = build_tree(np.sort(table.column("fp").to_numpy()).view(np.uint64), table.column("n")[0].as_py(), radius, shard)
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "tree": pa.array([np.array(nodes, _NODE).tobytes()], pa.binary())})
+
+    def send(table: pa.Table, trees: pa.Table) -> pa.Table:
+        nodes = np.frombuffer(trees.column("tree")[0].as_py(), _NODE).tolist()
+        points = table.column("fp").to_numpy().view(np.uint64)
+        parts = [table.take(pa.array(at)).append_column("sub", pa.array(np.full(len(at), sub, np.int64))) for sub, at in route(nodes, points, radius)]
+        return pa.concat_tables(parts).select(["shard", "fp", "first_id", "sub"])
+
+    sample = large.where(F.pmod(F.xxhash64("fp"), F.greatest(F.lit(1), F.floor(F.col("n") / LEAST_SAMPLE)).cast("long")) == 0)
+    trees = written(sample.groupBy("shard").applyInArrow(plant, "shard long, tree binary"), "shard-trees")
+    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    rows = large.select("shard", "fp", "first_id", F.pmod(F.xxhash64(F.lit(1), "fp"), chunks).cast("int").alias("chunk"))
+    copies = trees.join(F.broadcast(sizes), "shard").select("shard", "tree", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
+    sent = rows.groupBy("shard", "chunk").cogroup(copies.groupBy("shard", "chunk")).applyInArrow(lambda x, y: send(x, y) if len(x) else _NO_POINTS, "shard long, fp long, first_id long, sub long")
+    small = routed.join(F.broadcast(sizes.select("shard")), "shard", "left_anti").withColumn("sub", F.lit(0).cast("long"))
+    return small.unionByName(sent)
+
+
 def _tiles(routed: DataFrame, tile: int) -> DataFrame:
-    """Cuts large shards into blocks; each pair of blocks is a tile. The tree bounds the number of shards."""
-    large = routed.groupBy("shard").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > tile)
-    large = large.select("shard", F.ceil(F.col("__n") / (tile // 2)).cast("int").alias("__blocks"))
+    """Cuts shards that are still large into blocks; each pair of blocks is a tile."""
+    keys = ["shard", "sub"]
+    large = routed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > tile)
+    large = written(large.select(*keys, F.ceil(F.col("__n") / (tile // 2)).cast("int").alias("__blocks")), "tiled-shards")
     block = F.pmod(F.xxhash64("fp"), F.col("__blocks")).cast("int")
     other = F.explode(F.when(F.col("__blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("__blocks") - 1)))
-    placed = routed.join(F.broadcast(large), "shard", "left").withColumn("__own", F.coalesce(block, F.lit(0))).withColumn("__other", other)
-    return placed.select("shard", F.least("__own", "__other").alias("i"), F.greatest("__own", "__other").alias("j"), "fp", "first_id")
+    # the table is written, so Spark knows its size and only broadcasts it below its limit
+    placed = routed.join(large, keys, "left").withColumn("__own", F.coalesce(block, F.lit(0))).withColumn("__other", other)
+    return placed.select(*keys, F.least("__own", "__other").alias("i"), F.greatest("__own", "__other").alias("j"), "fp", "first_id")
 
 
 def _groups(tiles: DataFrame, radius: int) -> DataFrame:
@@ -178,7 +216,7 @@ def _groups(tiles: DataFrame, radius: int) -> DataFrame:
                 rows["first_id"].append(min(known, default=None))
         return pa.table(rows, schema=schema)
 
-    return tiles.groupBy("shard", "i", "j").applyInArrow(run, "grp string, members array<long>, first_id long")
+    return tiles.groupBy("shard", "sub", "i", "j").applyInArrow(run, "grp string, members array<long>, first_id long")
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -222,9 +260,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fps = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     points = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "points")
     total = points.count()
-    sample = points.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(TREE_SAMPLE).collect()
-    nodes = build_tree(np.array([r.fp for r in sample], np.int64).view(np.uint64), total, radius, shard)
-    groups = written(_groups(_tiles(_shards(points, nodes, radius), tile), radius), "groups")
+    wanted = min(LARGEST_SAMPLE, max(LEAST_SAMPLE, total // shard * SAMPLE_A_SHARD))
+    sample = points.where(F.pmod(F.xxhash64("fp"), F.lit(max(1, total // wanted))) == 0).select("fp").toArrow()
+    nodes = build_tree(np.sort(sample.column("fp").to_numpy()).view(np.uint64), total, radius, shard)
+    routed = _resharded(_shards(points, nodes, radius), radius, shard, tile)
+    groups = written(_groups(_tiles(routed, tile), radius), "groups")
     members = groups.select("grp", F.explode("members").alias("fp"))
     shared = members.groupBy("fp").agg(F.collect_set("grp").alias("grps")).where(F.size("grps") > 1)
     links = shared.select(F.array_min("grps").alias("b"), F.explode("grps").alias("a"))

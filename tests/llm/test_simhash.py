@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import xxhash
 
-from lexitally.llm.simhash import build_tree, components, drop_near_duplicates, fingerprint, groups_within, near_duplicates, route
+from lexitally.llm.simhash import _resharded, build_tree, components, drop_near_duplicates, fingerprint, groups_within, near_duplicates, route
 from tests.llm.edge import LONG, ROWS, documents, no_documents
 
 
@@ -64,6 +64,22 @@ def test_against_brute_force(spark):
     assert len({c for _, _, c in brute(rows, 4)}) < 390
 
 
+def test_large_shards_get_trees_of_their_own(spark):
+    """A first tree that cuts nothing: all points are one shard, larger than a tile."""
+    rows = copies(500, 9)
+    fps = sorted({plain(t) for _, t, *_ in rows})
+    points = spark.createDataFrame([(0, f, i) for i, f in enumerate(fps)], "shard long, fp long, first_id long")
+    cut = _resharded(points, 3, 20, 50)
+    assert cut.select("sub").distinct().count() > 5
+    at = defaultdict(set)
+    for r in cut.collect():
+        at[r.fp].add((r.shard, r["sub"]))
+    assert set(at) == set(fps)
+    for i, a in enumerate(fps):
+        assert all(at[a] & at[b] for b in fps[:i] if bin((a ^ b) & (1 << 64) - 1).count("1") <= 3)
+    assert _resharded(points, 3, 20, 5000).select("sub").distinct().count() == 1
+
+
 def test_edge_rows(spark):
     got = Counter(map(tuple, near_duplicates(documents(spark)).collect()))
     assert got == brute(ROWS, 2)
