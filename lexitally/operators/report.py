@@ -28,14 +28,19 @@ def format_report(mb: float, seconds: float, articles: int, words: int, unique:
 
 @contextmanager
 def progress(spark: SparkSession, out, every: float = 0.5):
-    """Writes ``Tasks done: n of m`` to ``out`` twice a second while the block runs."""
-    done, tracker = threading.Event(), spark.sparkContext.statusTracker()
+    """Writes ``Read N MB | Records: M`` to ``out`` twice a second while the block runs.
+
+    The figures are those of Spark's own metrics for the running stages: bytes and records (pages, for a
+    dump) that their finished and running tasks have read.
+    """
+    done, tracker, store = threading.Event(), spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
 
     def show() -> None:
         while not done.wait(every):
-            stages = [tracker.getStageInfo(i) for i in tracker.getActiveStageIds()]
-            if stages := [s for s in stages if s]:
-                print(f"Tasks done: {sum(s.numCompletedTasks for s in stages)} of {sum(s.numTasks for s in stages)}", end="\r", file=out, flush=True)
+            stages = [store.lastStageAttempt(i) for i in tracker.getActiveStageIds() if tracker.getStageInfo(i)]
+            if stages:
+                read, records = sum(s.inputBytes() for s in stages), sum(s.inputRecords() for s in stages)
+                print(f"Read {read // (1024 * 1024)} MB | Records: {records}", end="\r", file=out, flush=True)
 
     thread = threading.Thread(target=show, daemon=True)
     thread.start()

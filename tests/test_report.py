@@ -1,5 +1,5 @@
 from lexitally.cli import main
-from lexitally.operators.report import format_report
+from lexitally.operators.report import format_report, progress
 
 
 def test_format():
@@ -22,3 +22,20 @@ def test_cli(spark, tmp_path, capsys):
             raise AssertionError("must exit")
         except SystemExit as e:
             assert e.code == 1
+
+
+def test_progress(spark, tmp_path):
+    import io
+    import time
+
+    from pyspark.sql import functions as F
+
+    path = tmp_path / "d.txt"
+    path.write_text("a rose\n" * 200_000)
+    out = io.StringIO()
+    with progress(spark, out, 0.05):
+        lines = spark.read.text(str(path))
+        for _ in range(3):
+            lines.where(F.regexp_count("value", F.lit("(a|r|o)+s?e?")) > 99).count()
+        time.sleep(0.1)
+    assert "Read " in out.getvalue() and " MB | Records: " in out.getvalue()
