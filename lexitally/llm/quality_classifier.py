@@ -29,7 +29,7 @@ ROUNDS, RATE, PRIOR = 300, 0.1, 0.5
 #: A feature must occur in so many rows of the sample, and in so large a share of them.
 LEAST_ROWS, LEAST_SHARE = 3, 1 / 300
 #: Words whose features a task remembers.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 120_000
 
 _EDGES = b".,;:!?\"'()[]|*#$%&<>-"
 _SHAPE = bytes(0x58 if 0x41 <= b <= 0x5A else 0x78 if 0x61 <= b <= 0x7A or b >= 0x80 else 0x39 if 0x30 <= b <= 0x39 else b for b in range(256))
@@ -42,8 +42,11 @@ class Features(dict):
     def __missing__(self, word: bytes) -> tuple[tuple[int, int], bytes]:
         if len(self) > KEPT_WORDS:
             self.clear()
-        shape = _RUN.sub(rb"\1", word.translate(_SHAPE))[-8:]
         bare = word.strip(_EDGES).lower()
+        if word.isalpha() and (word.islower() or word.isupper()):  # ASCII letters of one case: no need to look closer
+            shape = b"x" if word.islower() else b"X"
+        else:
+            shape = _RUN.sub(rb"\1", word.translate(_SHAPE))[-8:]
         self[word] = value = ((self.number(b"w" + bare), self.number(b"b" + bare[:BEGINNING])), shape)
         return value
 
@@ -124,7 +127,8 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, weight: np.ndarray, top: int
 def train(docs: DataFrame, ratings: DataFrame, top: int, rows_a_grade: int = ROWS_A_GRADE, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
     """A model from ``ratings`` (``doc_id, grade`` from 0 to ``top``), at most ``rows_a_grade`` of each, by hash of the id.
 
-    Of several ratings of a document the lowest counts; null ones don't. Weights restore the grades'
+    Of several ratings of a document the lowest counts; null ones don't. Of several texts with one id the
+    first in order is read. Weights restore the grades'
     shares in all ratings. Without any ratings every text gets the top grade.
     """
     known = ratings.where("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
@@ -143,7 +147,7 @@ def train(docs: DataFrame, ratings: DataFrame, top: int, rows_a_grade: int = ROW
 
     # the sample has at most (top + 1) * rows_a_grade ids, so it is broadcast and no text is shuffled
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    texts = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("grade", "text")
+    texts = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min("text").alias("text")).select("grade", "text")
     taken = sorted((r.grade, bytes(r.features)) for r in texts.mapInArrow(run, "grade int, features binary").collect())
     grades = np.array([g for g, _ in taken], np.int64)
     count = np.bincount(grades, minlength=top + 1)

@@ -31,7 +31,10 @@ BLOCK_POSITIONS, BLOCK_WORDS = 6_000_000, 600_000
 #: Distinct words whose answers a task keeps. Beyond it starts afresh: some are worked out again.
 KEPT_ANSWERS = 2_000_000
 
-_PACKING = zstandard.ZstdCompressionParameters.from_level(9, window_log=24, enable_ldm=True)
+#: Numbers, or bytes of them, that are packed or unpacked at a time.
+_AT_ONCE = 1 << 18
+#: Long arrays may repeat far back (copies of texts).
+_LONG = zstandard.ZstdCompressionParameters.from_level(3, window_log=23, enable_ldm=True)
 
 _SCHEMA = pa.schema(
     [
@@ -53,8 +56,7 @@ class _Numbering(dict):
         return number
 
 
-def pack(numbers: np.ndarray) -> bytes:
-    """Compressed bytes of numbers below 2**28: 7 bits to a byte, the lowest first, the last one unmarked."""
+def _to_bytes(numbers: np.ndarray) -> bytes:
     numbers = numbers.astype(np.uint32)
     lengths = 1 + sum((numbers >> (7 * k) > 0).astype(np.int8) for k in (1, 2, 3))
     starts = np.cumsum(lengths, dtype=np.int64) - lengths
@@ -62,11 +64,10 @@ def pack(numbers: np.ndarray) -> bytes:
     for k in range(4):
         some = lengths > k
         out[starts[some] + k] = (numbers[some] >> (7 * k)) & 127 | np.where(lengths[some] > k + 1, 128, 0)
-    return zstandard.ZstdCompressor(compression_params=_PACKING).compress(out.tobytes())
+    return out.tobytes()
 
 
-def unpack(data: bytes) -> np.ndarray:
-    packed = np.frombuffer(zstandard.decompress(data), np.uint8)
+def _to_numbers(packed: np.ndarray) -> np.ndarray:
     last = np.flatnonzero(packed < 128)
     lengths = np.diff(last, prepend=-1)
     out = np.zeros(len(last), np.uint32)
@@ -76,6 +77,27 @@ def unpack(data: bytes) -> np.ndarray:
     return out
 
 
+def pack(numbers: np.ndarray) -> bytes:
+    """Compressed bytes of numbers below 2**28: 7 bits to a byte, the lowest first, the last one unmarked."""
+    if len(numbers) <= _AT_ONCE:
+        return zstandard.compress(_to_bytes(numbers), 3)
+    packer = zstandard.ZstdCompressor(compression_params=_LONG).compressobj()
+    return b"".join([*(packer.compress(_to_bytes(numbers[at : at + _AT_ONCE])) for at in range(0, len(numbers), _AT_ONCE)), packer.flush()])
+
+
+def unpack(data: bytes) -> np.ndarray:
+    packed = np.frombuffer(zstandard.ZstdDecompressor().decompressobj().decompress(data), np.uint8)
+    out, filled, at = np.empty(int(np.count_nonzero(packed < 128)), np.uint32), 0, 0
+    while at < len(packed):
+        to = min(len(packed), at + _AT_ONCE)
+        while packed[to - 1] >= 128:  # a number ends where a byte isn't marked
+            to += 1
+        some = _to_numbers(packed[at:to])
+        out[filled : filled + len(some)] = some
+        filled, at = filled + len(some), to
+    return out
+
+
 def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The slices ``values[s : s + n]`` one after another."""
     ends = np.cumsum(lengths)
@@ -104,26 +126,29 @@ class _Block:
         return self.filled >= BLOCK_POSITIONS or len(self.words) >= BLOCK_WORDS or len(self.ids) >= BLOCK_WORDS
 
     def rows(self, buckets: int) -> pa.RecordBatch:
+        """The block's own row and its packets. Empties the block: words are the larger part of a task's memory."""
         positions = np.concatenate(self.positions) if self.positions else np.zeros(0, np.uint32)
+        words = [word.encode() for word in self.words]
+        self.words, self.positions = _Numbering(), []
         # numbers by frequency: the most frequent words get the shortest codes
-        rank = np.empty(len(self.words), np.uint32)
-        rank[np.argsort(-np.bincount(positions, minlength=len(self.words)), kind="stable")] = np.arange(len(rank), dtype=np.uint32)
-        positions = rank[positions]
-        by_bucket: dict[int, list[tuple[bytes, int]]] = {}
-        for word, number in zip(self.words, rank.tolist(), strict=True):
-            raw = word.encode()
-            by_bucket.setdefault(zlib.crc32(raw) % buckets, []).append((raw, number))
+        rank = np.empty(len(words), np.uint32)
+        rank[np.argsort(-np.bincount(positions, minlength=len(words)), kind="stable")] = np.arange(len(rank), dtype=np.uint32)
+        body = pack(rank[positions])
+        del positions
+        bucket_of = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
+        by_bucket = np.argsort(bucket_of, kind="stable")
+        filled, starts = np.unique(bucket_of[by_bucket], return_index=True)
         # a document's words are found through the order in which the packets list them
         order, packets = [], []
-        for bucket in sorted(by_bucket):
-            entries = sorted(by_bucket[bucket])
-            order += [n for _, n in entries]
-            packets.append((bucket, [len(w) for w, _ in entries], b"".join([w for w, _ in entries])))
-        body, order_data = pack(positions), pack(np.array(order, np.uint32))
+        for bucket, start, end in zip(filled.tolist(), starts, np.r_[starts[1:], len(words)], strict=True):
+            here = sorted(by_bucket[start:end].tolist(), key=words.__getitem__)
+            order += here
+            packets.append((bucket, [len(words[i]) for i in here], b"".join([words[i] for i in here])))
+        order_data = pack(rank[np.array(order, np.int64)])
         name = hashlib.blake2b(body + order_data + repr(self.ids).encode() + b"".join(p[2] for p in packets), digest_size=16).hexdigest()
         data = len(order_data).to_bytes(8, "little") + order_data + body
         rows = [(name, -1, zlib.crc32(name.encode()) % buckets, self.ids, self.sizes, self.lengths, data)]
-        rows += [(name, b, b, None, None, lengths, zstandard.compress(words, 3)) for b, lengths, words in packets]
+        rows += [(name, b, b, None, None, lengths, zstandard.compress(text, 3)) for b, lengths, text in packets]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
