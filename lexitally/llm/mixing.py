@@ -62,14 +62,13 @@ def targets(sources: DataFrame, share: float = 1.0, limit: float = 3.0) -> DataF
     return leveled.withColumn("target", target).select("key", "source", "source_size", "weight", "target")
 
 
-def schedule(blocks: DataFrame, slots: int) -> DataFrame:
+def schedule(blocks: DataFrame, slots: int, cells: int = 1024) -> DataFrame:
     """``slot, key, rank``: each slot's source and the slot's rank in it.
 
-    ``blocks`` has ``key, low, high``: the sources' intervals of [0, 1).
+    ``blocks`` has ``key, low, high``: the sources' intervals of [0, 1), which are cut by ``cells`` of it,
+    so that a point only meets those near it.
     """
     spark = blocks.sparkSession
-    # the table of sources is cut by cells of [0, 1), so that a point only meets those near it
-    cells = 1024
     cell = F.explode(F.sequence(F.floor(F.col("low") * cells), F.least(F.floor(F.col("high") * cells), F.lit(cells - 1)))).alias("cell")
     intervals = blocks.select("key", "low", "high", cell)
     u = F.col("id") * GOLDEN + 0.5
@@ -106,7 +105,7 @@ def mix(docs: DataFrame, share: float = 1.0, limit: int = 3, seed: int = 42, id_
     cut = cut.withColumn("high", F.when(F.col("upto") == F.max("upto").over(Window.partitionBy()), F.lit(1.0)).otherwise(F.col("upto") / F.col("all")))
     cut = written(cut.withColumn("low", F.coalesce(F.lag("high").over(Window.orderBy("key")), F.lit(0.0))), "mix-blocks")
     slots = int(round(cut.agg(F.coalesce(F.sum("slots"), F.lit(0.0))).first()[0]))
-    taken = schedule(cut.select("key", "low", "high"), slots).join(cut.select("key", "blocks"), "key")
+    taken = schedule(cut.select("key", "low", "high"), slots, max(1024, kinds)).join(cut.select("key", "blocks"), "key")
     taken = taken.where(F.col("rank") < F.col("blocks") * limit)
     taken = taken.groupBy("key", F.expr("rank % blocks").alias("block")).agg(F.count(F.lit(1)).alias("times"))
 
