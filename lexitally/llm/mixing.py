@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexitally.llm.common import join_counted, row_id, running_start, source_key
+from lexitally.llm.common import row_id, running_start, source_key
 from lexitally.llm.sharding import bucket_bits
 from lexitally.sources.workdir import written
 
