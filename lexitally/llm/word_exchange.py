@@ -130,31 +130,47 @@ class _Block:
         positions = np.concatenate(self.positions) if self.positions else np.zeros(0, np.uint32)
         words = [word.encode() for word in self.words]
         self.words, self.positions = _Numbering(), []
-        # numbers by frequency: the most frequent words get the shortest codes
-        rank = np.empty(len(words), np.uint32)
-        rank[np.argsort(-np.bincount(positions, minlength=len(words)), kind="stable")] = np.arange(len(rank), dtype=np.uint32)
-        body = pack(rank[positions])
-        del positions
         bucket_of = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
         by_bucket = np.argsort(bucket_of, kind="stable")
         filled, starts = np.unique(bucket_of[by_bucket], return_index=True)
-        # a document's words are found through the order in which the packets list them
         order, packets = [], []
         for bucket, start, end in zip(filled.tolist(), starts, np.r_[starts[1:], len(words)], strict=True):
             here = sorted(by_bucket[start:end].tolist(), key=words.__getitem__)
             order += here
-            packets.append((bucket, [len(words[i]) for i in here], b"".join([words[i] for i in here])))
-        order_data = pack(rank[np.array(order, np.int64)])
-        name = hashlib.blake2b(body + order_data + repr(self.ids).encode() + b"".join(p[2] for p in packets), digest_size=16).hexdigest()
-        data = len(order_data).to_bytes(8, "little") + order_data + body
+            packets.append((bucket, framed(np.array([len(words[i]) for i in here]), zstandard.compress(b"".join([words[i] for i in here]), 3))))
+        # numbers by frequency, then as the packets list the words: the most frequent have the shortest
+        # codes, and the counts alone tell the reader which word has which number
+        listed = np.array(order, np.int64)
+        counts = np.bincount(positions, minlength=len(words))[listed]
+        rank = np.empty(len(words), np.uint32)
+        rank[listed[by_frequency(counts)]] = np.arange(len(words), dtype=np.uint32)
+        data = framed(counts, pack(rank[positions]))
+        name = hashlib.blake2b(data + repr(self.ids).encode() + b"".join(p[1] for p in packets), digest_size=16).hexdigest()
         rows = [(name, -1, zlib.crc32(name.encode()) % buckets, self.ids, self.sizes, self.lengths, data)]
-        rows += [(name, b, b, None, None, lengths, zstandard.compress(text, 3)) for b, lengths, text in packets]
+        rows += [(name, b, b, None, None, None, data) for b, data in packets]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
-def words_of(lengths: list[int], data: bytes) -> list[bytes]:
-    ends = np.cumsum(lengths).tolist()
-    return [data[e - n : e] for n, e in zip(lengths, ends, strict=True)]
+def by_frequency(counts: np.ndarray) -> np.ndarray:
+    """Positions in the packets' order by falling count; equals keep that order."""
+    return np.argsort(-counts, kind="stable")
+
+
+def framed(numbers: np.ndarray, rest: bytes) -> bytes:
+    """Packed numbers and, behind them, other bytes."""
+    head = pack(numbers)
+    return len(head).to_bytes(8, "little") + head + rest
+
+
+def unframed(data: bytes) -> tuple[np.ndarray, bytes]:
+    cut = 8 + int.from_bytes(data[:8], "little")
+    return unpack(data[8:cut]), data[cut:]
+
+
+def words_of(packet: bytes) -> list[bytes]:
+    lengths, data = unframed(packet)
+    text, ends = zstandard.decompress(data), np.cumsum(lengths).tolist()
+    return [text[e - n : e] for n, e in zip(lengths.tolist(), ends, strict=True)]
 
 
 def exchange(
@@ -188,22 +204,21 @@ def exchange(
     def answers(batches: Batches) -> Batches:
         answer, known = answerer(), {}
         for batch in batches:
-            lengths_out, data_out = [], []
-            for bucket, lengths, data in zip(*(batch.column(n).to_pylist() for n in ("bucket", "lengths", "data")), strict=True):
+            data_out = []
+            for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("data").to_pylist(), strict=True):
                 if bucket >= 0:
                     if len(known) > KEPT_ANSWERS:
                         known = {}
                     found = []
-                    for word in words_of(lengths, zstandard.decompress(data)):
+                    for word in words_of(data):
                         numbers = known.get(word)
                         if numbers is None:
                             numbers = known[word] = answer(word)
                         found.append(numbers)
-                    lengths, data = [len(x) // 4 for x in found], pack(np.frombuffer(b"".join(found), np.uint32))
-                lengths_out.append(lengths)
+                    data = framed(np.array([len(x) // 4 for x in found]), pack(np.frombuffer(b"".join(found), np.uint32)))
                 data_out.append(data)
-            kept = [batch.column(n) for n in ("block", "bucket", "dest", "ids", "sizes")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(lengths_out, pa.list_(pa.int32())), pa.array(data_out, pa.binary())], schema=_SCHEMA)
+            kept = [batch.column(n) for n in ("block", "bucket", "dest", "ids", "sizes", "lengths")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(data_out, pa.binary())], schema=_SCHEMA)
 
     out_names = [part.split()[0] for part in ddl.split(", ")]
 
@@ -213,18 +228,18 @@ def exchange(
         # repeated blocks have one name and the same packets, each of them as often as the block
         times = len(blocks_here)
         packets = packets[::times] if times else []
-        cut = int.from_bytes(blocks_here[0]["data"][:8], "little")
-        order, positions = unpack(blocks_here[0]["data"][8 : 8 + cut]), unpack(blocks_here[0]["data"][8 + cut :])
-        lengths = np.concatenate([np.zeros(0, np.int64), *[np.array(p["lengths"], np.int64) for p in packets]])
-        if len(lengths) != len(order):
-            raise RuntimeError(f"block {blocks_here[0]['block']}: {len(lengths)} answers for {len(order)} words")
-        flat = np.concatenate([np.zeros(0, np.uint32), *[unpack(p["data"]) for p in packets]])
-        starts = np.cumsum(lengths) - lengths
-        start_of, length_of = np.empty_like(starts), np.empty_like(lengths)
-        start_of[order], length_of[order] = starts, lengths
         head = blocks_here[0]
+        counts, body = unframed(head["data"])
+        answers = [unframed(p["data"]) for p in packets]
+        lengths = np.concatenate([np.zeros(0, np.int64), *[n for n, _ in answers]]).astype(np.int64)
+        if len(lengths) != len(counts):
+            raise RuntimeError(f"block {head['block']}: {len(lengths)} answers for {len(counts)} words")
+        flat = np.concatenate([np.zeros(0, np.uint32), *[unpack(data) for _, data in answers]])
+        of_rank = by_frequency(counts.astype(np.int64))
+        cuts = ((np.cumsum(lengths) - lengths)[of_rank], lengths[of_rank])
+        positions = unpack(body)
         for _ in range(times):
-            for rows in finish(head["ids"], head["sizes"], np.array(head["lengths"], np.int64), positions, (start_of, length_of), flat):
+            for rows in finish(head["ids"], head["sizes"], np.array(head["lengths"], np.int64), positions, cuts, flat):
                 yield pa.RecordBatch.from_arrays([rows[n] for n in out_names], names=out_names)
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))

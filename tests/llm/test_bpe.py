@@ -11,7 +11,7 @@ import tiktoken
 import tokenizers
 
 from lexitally.llm import bpe
-from lexitally.llm.word_exchange import _Block, pack, unpack, words_of
+from lexitally.llm.word_exchange import _Block, by_frequency, pack, unframed, unpack, words_of
 from tests.llm.edge import ROWS, documents, no_documents
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -100,11 +100,8 @@ def test_block_lists_each_word_once():
     block.add(2, 2, ["b", "c"])
     rows = block.rows(8).to_pylist()
     assert rows[0]["ids"] == [1, 2] and rows[0]["lengths"] == [3, 2]
-    import zstandard
-
-    words = [w for r in rows[1:] for w in words_of(r["lengths"], zstandard.decompress(r["data"]))]
+    words = [w for r in rows[1:] for w in words_of(r["data"])]
     assert sorted(words) == [b"a", b"b", b"c"]
-    cut = int.from_bytes(rows[0]["data"][:8], "little")
-    order, positions = unpack(rows[0]["data"][8 : 8 + cut]), unpack(rows[0]["data"][8 + cut :])
-    name = {int(n): w for n, w in zip(order, words, strict=True)}
-    assert [name[int(p)] for p in positions] == [b"a", b"b", b"a", b"b", b"c"]
+    counts, positions = unframed(rows[0]["data"])
+    name = {rank: words[at] for rank, at in enumerate(by_frequency(counts.astype(int)))}
+    assert [name[int(p)] for p in unpack(positions)] == [b"a", b"b", b"a", b"b", b"c"]
