@@ -1,0 +1,30 @@
+"""Tables of texts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+#: Below this many bytes an input may lie in fewer splits than there are cores, down to a single one.
+SMALL = 64 << 20
+
+
+def input_bytes(df: DataFrame) -> int:
+    """The size of the files that ``df`` reads."""
+    jvm, hadoop = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    total = 0
+    for file in df.inputFiles():
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+        total += path.getFileSystem(hadoop).getFileStatus(path).getLen()
+    return total
+
+
+def spread(df: DataFrame, small: int = SMALL) -> DataFrame:
+    """``df`` dealt over all cores if it is small and in fewer files than cores; any other is left as it is.
+
+    A Parquet file of one row group is one task, however many cores stand idle. Dealing a few MB costs
+    less than that; a large input has splits enough, and its texts aren't worth a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) < cores and input_bytes(df) < small:
+        return df.repartition(cores)
+    return df
