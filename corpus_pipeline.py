@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexitally.llm import bpe
 from lexitally.llm.mixing import mixed_documents
+from lexitally.llm.near_copies import drop_near_copies
 from lexitally.llm.quality_classifier import keep_graded, ratings_of, train
 from lexitally.llm.quality_rules import keep_good
-from lexitally.llm.simhash import drop_near_duplicates
 from lexitally.sources.workdir import written
 
 #: A clean document lost weighs more than a toxic one kept.
@@ -28,8 +28,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return drop_near_duplicates(docs)
+    """One document of each group of near copies (five-word Jaccard similarity of at least 0.8) stays."""
+    return drop_near_copies(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
