@@ -12,10 +12,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexitally.llm.common import join_counted
 from lexitally.sources.workdir import written
 
-#: Labelled URLs that are used, of each label.
-TRAINING_ROWS = 8000
+#: Labelled URLs that the trees are grown from, of each label, and folds of the suffix statistics for these.
+TRAINING_ROWS, FOLDS = 8000, 8
 TREES, DEPTH, RATE, BINS, LEAST_ROWS = 24, 3, 0.3, 32, 10
 
 NUMBERS = (
@@ -162,9 +163,9 @@ class UrlModel:
     def fit(labelled: DataFrame, url_col: str = "url", label_col: str = "blocked", rows: int = TRAINING_ROWS) -> UrlModel:
         """From ``labelled`` URLs (null labels don't count), at most ``rows`` of each label, by hash.
 
-        Half of them give the suffixes' rates, the other half the trees, so that no URL's label is
-        among its own numbers. Weights restore the labels' shares in the whole table. Without labels
-        the score is even.
+        All labelled URLs give the suffixes' rates; only the trees use the sample. Its URLs take their rates
+        from the other folds, so that no URL's label is among its own numbers. Weights restore the
+        labels' shares in the whole table. Without labels the score is even.
         """
         known = labelled.where(F.col(label_col).isNotNull()).select(F.col(url_col).cast("string").alias("url"), F.col(label_col).cast("int").alias("label"))
         totals = {r.label: r.n for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -172,33 +173,49 @@ class UrlModel:
         order = F.xxhash64(F.lit("sample"), "url")
         parts = [known.where(F.col("label") == v).orderBy(order, "url").limit(rows) for v in (0, 1)]
         weight = F.when(F.col("label") == 1, totals.get(1, 0) / max(1, min(rows, totals.get(1, 0)))).otherwise(totals.get(0, 0) / max(1, min(rows, totals.get(0, 0))))
-        sample = lexical(parts[0].unionByName(parts[1]), "url").withColumns({"weight": weight, "half": F.pmod(F.xxhash64(F.lit("half"), "url"), F.lit(2))})
-        sample = written(sample, "url-sample")
-        suffixes = sample.where("half = 0").select("label", "weight", F.explode(F.array(*[F.struct(F.lit(v).alias("level"), F.col(f"__url.{v}").alias("suffix")) for v in LEVELS])).alias("s"))
-        sums = suffixes.groupBy("s.level", "s.suffix").agg(F.sum(F.col("weight") * F.col("label")).alias("hits"), F.sum("weight").alias("n"))
-        statistics = written(sums.select("level", "suffix", ((F.col("hits") + prior) / (F.col("n") + 1)).alias("rate"), F.log1p("n").alias("rows")), "url-suffixes")
+        fold = F.pmod(F.xxhash64(F.lit("fold"), "url"), F.lit(FOLDS))
+        sample = written(lexical(parts[0].unionByName(parts[1]), "url").withColumns({"weight": weight, "fold": fold}), "url-sample")
+        levels = F.explode(F.array(*[F.struct(F.lit(v).alias("level"), F.col(f"__url.{v}").alias("suffix")) for v in LEVELS])).alias("s")
+        suffixes = lexical(known, "url").withColumn("fold", fold).select("label", "fold", levels)
+        sums = suffixes.groupBy("s.level", "s.suffix", "fold").agg(F.sum("label").alias("hits"), F.count(F.lit(1)).alias("n"))
+        folds = written(sums, "url-folds")
+        rate, seen = (F.col("hits") + prior) / (F.col("n") + 1), F.log1p("n")
+        whole = folds.groupBy("level", "suffix").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n"))
+        statistics = written(whole.select("level", "suffix", rate.alias("rate"), seen.alias("rows")), "url-suffixes")
         model = UrlModel(Trees(math.log(prior / (1 - prior)), []), statistics, prior)
-        numbers, value = model.numbers(sample.where("half = 1"))
-        # the bounded sample: at most 2 * rows URLs
-        taken = numbers.select("label", "weight", *[value[n].alias(n) for n in NUMBERS]).collect()
+        training = sample
+        for level in LEVELS:
+            of = sample.select(F.col(f"__url.{level}").alias("suffix"), F.col("fold").alias("own")).distinct()
+            others = of.join(folds.where(F.col("level") == level), "suffix").where("fold != own").groupBy("suffix", "own").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n"))
+            others = others.select(F.col("suffix").alias("__s"), F.col("own").alias("__f"), rate.alias(f"__{level}_rate"), seen.alias(f"__{level}_rows"))
+            # at most a row for each URL of the bounded sample
+            training = training.join(F.broadcast(others), (F.col(f"__url.{level}") == F.col("__s")) & (F.col("fold") == F.col("__f")), "left").drop("__s", "__f")
+        value = model.values()
+        taken = training.select("label", "weight", *[value[n].alias(n) for n in NUMBERS]).collect()
         if taken:
             table = np.array(sorted(tuple(r) for r in taken), float)
             model.trees = grow(table[:, 2:], table[:, 0], table[:, 1], NUMBERS)
         return model
 
-    def numbers(self, df: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
-        """``df`` (as ``lexical`` gives it) with its suffixes' statistics, and the expression of each number.
-
-        The statistics have at most two suffixes for each URL of the bounded sample: they are broadcast.
-        """
+    def values(self) -> dict[str, Column]:
+        """The expression of each number; a suffix without labels has the prior and no rows."""
         value = {n: F.col(f"__url.{n}") for n in NUMBERS if not n.endswith(("_rate", "_rows"))}
         for level in LEVELS:
-            of = self.statistics.where(F.col("level") == level)
-            of = of.select(F.col("suffix").alias(f"__{level}"), F.col("rate").alias(f"__{level}_rate"), F.col("rows").alias(f"__{level}_rows"))
-            df = df.join(F.broadcast(of), F.col(f"__url.{level}") == F.col(f"__{level}"), "left").drop(f"__{level}")
             value[f"{level}_rate"] = F.coalesce(F.col(f"__{level}_rate"), F.lit(float(self.prior)))
             value[f"{level}_rows"] = F.coalesce(F.col(f"__{level}_rows"), F.lit(0.0))
-        return df, value
+        return value
+
+    def numbers(self, df: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+        """``df`` (as ``lexical`` gives it) with its suffixes' statistics, and the expression of each number."""
+        df = written(df.withColumns({f"__{level}": F.col(f"__url.{level}") for level in LEVELS}), "url-numbers")
+        total = df.count()
+        for level in LEVELS:
+            of = self.statistics.where(F.col("level") == level)
+            of = of.select(F.col("suffix").alias(f"__{level}"), F.col("rate").alias(f"__{level}_rate"), F.col("rows").alias(f"__{level}_rows"))
+            # every suffix of df has a row, so a hot one without statistics is broadcast too
+            of = df.groupBy(f"__{level}").agg(F.count(F.lit(1)).alias("__times")).join(of, f"__{level}", "left")
+            df = join_counted(df, written(of, "url-rates"), f"__{level}", "__times", total)
+        return df.drop(*[f"__{level}" for level in LEVELS]), self.values()
 
     def score(self, df: DataFrame) -> DataFrame:
         """``df`` with ``__score``, the chance that a URL is to be blocked."""

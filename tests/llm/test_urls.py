@@ -94,3 +94,15 @@ def test_without_labels_or_rows(spark):
     model = UrlModel.fit(table(spark, URLS))
     assert filter_urls(table(spark, URLS), model, []).count() == len(URLS)
     assert filter_urls(table(spark, URLS).where("false"), model, URL_RULES).collect() == []
+
+
+def test_statistics_cover_all_labelled_urls(spark):
+    """The sample is for the trees only."""
+    urls = [f"http://a{i % 40}.site{i % 40}.com/{i}" for i in range(400)]
+    labels = [int(i % 40 < 10) for i in range(400)]
+    model = UrlModel.fit(table(spark, urls, labels), rows=15)
+    got = {r.suffix: r for r in model.statistics.where("level = 'domain'").collect()}
+    assert len(got) == 40 and all(round(math.expm1(r.rows)) == 10 for r in got.values())
+    assert all(math.isclose(got[f"site{k}.com"].rate, (10 * (k < 10) + model.prior) / 11) for k in range(40))
+    score = model.score(lexical(table(spark, urls), "url"))
+    assert score.count() == len(urls)
