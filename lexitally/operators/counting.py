@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexitally.functions.stopwords import STOP_WORDS
-from lexitally.functions.text import tokens
+from lexitally.operators.batch_counting import partial_counts
+
+#: The largest limit that Spark takes.
+LARGEST_K = 2**31 - 1
 
 
 def without_stop_words(words: DataFrame) -> DataFrame:
@@ -24,23 +27,40 @@ def count_words(words: DataFrame) -> DataFrame:
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def word_counts(df: DataFrame, col: str = "text", stop: bool = True) -> DataFrame:
-    counts = count_words(tokens(df, col))
-    return without_stop_words(counts) if stop else counts
+def marked_counts(texts: DataFrame, col: str = "text", stop: bool = True, **how) -> DataFrame:
+    """``word, cnt`` of all texts; the row with a NULL word counts the texts themselves.
+
+    One scan, counts within each task (``partial_counts``), one shuffle by word. The stop list is
+    applied before the shuffle. ``how`` goes to ``partial_counts``.
+    """
+    counts = partial_counts(texts, col, **how).groupBy("word").agg(F.sum("cnt").alias("cnt"))
+    return counts.where(F.col("word").isNull() | ~F.col("word").isin(*STOP_WORDS)) if stop else counts
+
+
+def words_only(marked: DataFrame) -> DataFrame:
+    return marked.where(F.col("word").isNotNull())
+
+
+def word_counts(df: DataFrame, col: str = "text", stop: bool = True, **how) -> DataFrame:
+    """``word, cnt``, without the stop words unless ``stop`` is off."""
+    return words_only(marked_counts(df, col, stop, **how))
 
 
-def totals(counts: DataFrame) -> DataFrame:
-    """One row ``total_words, unique_words``."""
-    return counts.agg(
-        F.coalesce(F.sum("cnt"), F.lit(0)).cast("long").alias("total_words"),
-        F.count(F.lit(1)).alias("unique_words"),
+def summary(marked: DataFrame) -> DataFrame:
+    """One row ``total_articles, total_words, unique_words`` of ``marked_counts``. Articles without words count too."""
+    is_word = F.col("word").isNotNull()
+    return marked.agg(
+        F.coalesce(F.sum(F.when(~is_word, F.col("cnt"))), F.lit(0)).cast("long").alias("total_articles"),
+        F.coalesce(F.sum(F.when(is_word, F.col("cnt"))), F.lit(0)).cast("long").alias("total_words"),
+        F.count("word").alias("unique_words"),
     )
 
 
-def summary(articles: DataFrame, counts: DataFrame) -> DataFrame:
-    """One row ``total_articles, total_words, unique_words``. Articles without words count too."""
-    one_row = articles.agg(F.count(F.lit(1)).alias("total_articles"))
-    return one_row.join(F.broadcast(totals(counts)))  # a row by a row
+def whole_number(k: int) -> int:
+    """``k`` if it is a number of rows, else a ValueError."""
+    if isinstance(k, bool) or not isinstance(k, int) or not 0 <= k <= LARGEST_K:
+        raise ValueError(f"k must be a whole number from 0 to {LARGEST_K}, not {k!r}")
+    return k
 
 
 def top_k(counts: DataFrame, k: int = 100) -> DataFrame:
@@ -48,8 +68,6 @@ def top_k(counts: DataFrame, k: int = 100) -> DataFrame:
 
     The limit comes first, so the numbering only sees k rows.
     """
-    if isinstance(k, bool) or not isinstance(k, int) or k < 0:
-        raise ValueError(f"k must be a whole number of at least 0, not {k!r}")
     order = [F.desc("cnt"), F.asc("word")]
-    best = counts.orderBy(*order).limit(min(k, 2**31 - 1))
+    best = counts.orderBy(*order).limit(whole_number(k))
     return best.select(F.row_number().over(Window.orderBy(*order)).cast("long").alias("rank"), "word", "cnt")

@@ -28,24 +28,25 @@ def format_report(mb: float, seconds: float, articles: int, words: int, unique:
 
 @contextmanager
 def progress(spark: SparkSession, out, every: float = 0.5):
-    """Writes ``Read N MB | Records: M`` to ``out`` twice a second while the block runs.
+    """Writes ``Read N MB | Articles: M`` to ``out`` twice a second while the block runs, and gives it the counter for M.
 
-    The figures are those of Spark's own metrics for the running stages: bytes and records (pages, for a
-    dump) that their finished and running tasks have read.
+    The bytes are Spark's own metric of the running stages. The counter adds up as tasks end, and a task that
+    runs again adds again: it is for the eye, the report counts for itself.
     """
     done, tracker, store = threading.Event(), spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    articles = spark.sparkContext.accumulator(0)
 
     def show() -> None:
         while not done.wait(every):
             stages = [store.lastStageAttempt(i) for i in tracker.getActiveStageIds() if tracker.getStageInfo(i)]
             if stages:
-                read, records = sum(s.inputBytes() for s in stages), sum(s.inputRecords() for s in stages)
-                print(f"Read {read // (1024 * 1024)} MB | Records: {records}", end="\r", file=out, flush=True)
+                read = sum(s.inputBytes() for s in stages)
+                print(f"Read {read // (1024 * 1024)} MB | Articles: {articles.value}", end="\r", file=out, flush=True)
 
     thread = threading.Thread(target=show, daemon=True)
     thread.start()
     try:
-        yield
+        yield articles
     finally:
         done.set()
         thread.join()

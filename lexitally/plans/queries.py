@@ -11,8 +11,7 @@ from lexitally.functions.stopwords import STOP_WORDS
 from lexitally.functions.text import positional_tokens, tokens
 from lexitally.operators import counting
 from lexitally.plans.word_frequency import frequencies
-from lexitally.sources.dump import articles_from, read_dump
-from lexitally.sources.tables import spread
+from lexitally.sources.dump import articles_from, read_pages
 from lexitally.sources.workdir import shared_folder
 
 
@@ -20,11 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of texts; a small one in few files is spread over the cores."""
-    return spread(table(spark, sf_dir, name))
-
-
 def escaped(col: str) -> Column:
     out = F.col(col)
     for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
@@ -37,56 +31,57 @@ def page_markup(body: Column) -> Column:
 
 
 def top_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frequencies(texts(spark, sf_dir, "documents"))[1]
+    return frequencies(table(spark, sf_dir, "documents"))[1]
 
 
 def corpus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frequencies(texts(spark, sf_dir, "documents"))[0]
+    return frequencies(table(spark, sf_dir, "documents"))[0]
 
 
 def word_counts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counting.word_counts(texts(spark, sf_dir, "documents"), stop=False)
+    return counting.word_counts(table(spark, sf_dir, "documents"), stop=False)
 
 
 def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counting.word_counts(texts(spark, sf_dir, "documents"))
+    return counting.word_counts(table(spark, sf_dir, "documents"))
 
 
 def stop_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counting.count_words(counting.only_stop_words(tokens(texts(spark, sf_dir, "documents"))))
+    return counting.count_words(counting.only_stop_words(tokens(table(spark, sf_dir, "documents"))))
 
 
 def tokens_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return positional_tokens(texts(spark, sf_dir, "documents"), "doc_id")
+    return positional_tokens(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def extract_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = texts(spark, sf_dir, "pages").select("page_id", page_markup(F.col("url")).alias("markup"))
+    some = table(spark, sf_dir, "pages").where(F.col("html").isNotNull())
+    marked = some.select("page_id", page_markup(escaped("html")).alias("markup"))
     return articles_from(marked, "markup").select("page_id", "text")
 
 
 def page_markup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counting.word_counts(texts(spark, sf_dir, "pages"), "html")
+    return counting.word_counts(table(spark, sf_dir, "pages"), "html")
 
 
 def conversation_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counting.word_counts(texts(spark, sf_dir, "conversations"))
+    return counting.word_counts(table(spark, sf_dir, "conversations"))
 
 
 def _dump(spark: SparkSession, sf_dir: str, name: str, col: str) -> DataFrame:
-    """The articles of a dump that is written from a column and then scanned."""
+    """The page records of a dump that is written from a column and then scanned."""
     path = shared_folder(spark, "dump")
-    some = texts(spark, sf_dir, name).where(F.col(col).isNotNull())
+    some = table(spark, sf_dir, name).where(F.col(col).isNotNull())
     some.select(page_markup(escaped(col))).write.text(path)
-    return read_dump(spark, path)
+    return read_pages(spark, path)
 
 
 def dump_scan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counting.word_counts(_dump(spark, sf_dir, "documents", "text"))
+    return counting.word_counts(_dump(spark, sf_dir, "documents", "text"), "value", markup=True)
 
 
 def dump_scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frequencies(_dump(spark, sf_dir, "pages", "html"))[0]
+    return frequencies(_dump(spark, sf_dir, "pages", "html"), "value", markup=True)[0]
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -123,7 +118,8 @@ def _summary_sql(name: str, col: str) -> str:
 
 
 _KEPT = f"WHERE word NOT IN ({_STOP})"
-_MARKUP = "('<page><title>t</title><text xml:space=\"preserve\">' || url || '</text></page>')"
+_ESCAPED = "replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+_MARKUP = f"('<page><title>t</title><text xml:space=\"preserve\">' || {_ESCAPED} || '</text></page>')"
 _BODY = "'(?s)<text[^>]*>(.*?)</text>'"
 
 ORACLES: dict[str, str] = {

@@ -5,14 +5,12 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
+from pyspark import Accumulator, StorageLevel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lexitally.functions.text import ascii_words
 from lexitally.operators import counting
 from lexitally.operators.report import format_report
-from lexitally.sources.dump import read_dump
+from lexitally.sources.dump import read_pages
 
 
 @dataclass
@@ -29,36 +27,23 @@ class WordFrequencies:
         return format_report(self.mb, self.seconds, self.total_articles, self.total_words, self.unique_words, self.k, self.top)
 
 
-def frequencies(articles: DataFrame, col: str = "text", k: int = 100) -> tuple[DataFrame, DataFrame]:
-    """Totals and top-k as DataFrames; both hang on one aggregate."""
-    counts = counting.word_counts(articles, col)
-    return counting.summary(articles, counts), counting.top_k(counts, k)
+def frequencies(texts: DataFrame, col: str = "text", k: int = 100, **how) -> tuple[DataFrame, DataFrame]:
+    """Totals and top-k as DataFrames; each reads the texts once, as both hang on one aggregate."""
+    marked = counting.marked_counts(texts, col, **how)
+    return counting.summary(marked), counting.top_k(counting.words_only(marked), k)
 
 
-def analyze(spark: SparkSession, path: str | list[str], k: int = 100) -> WordFrequencies:
-    """Reads the dump once: the articles are counted in the pass that feeds the aggregate.
-
-    Each article brings one marker row (a NULL word) besides its words, so the article count is
-    another group of the same aggregate. A re-run task can't count twice, as an accumulator could.
-    """
-    if isinstance(k, bool) or not isinstance(k, int) or k < 0:
-        raise ValueError(f"k must be a whole number of at least 0, not {k!r}")
+def analyze(spark: SparkSession, path: str | list[str], k: int = 100, seen: Accumulator | None = None) -> WordFrequencies:
+    """Reads the dump once: the counts are kept while the totals and the most frequent words are taken from them."""
+    counting.whole_number(k)
     began = time.perf_counter()
-    articles = read_dump(spark, path)
-    marked = F.concat(F.array(F.lit(None).cast("string")), ascii_words("text"))
-    words = articles.select(F.explode(marked).alias("raw")).select(F.lower("raw").alias("word"))
-    kept = words.where(F.col("word").isNull() | ~F.col("word").isin(*counting.STOP_WORDS))
-    counts = counting.count_words(kept).persist(StorageLevel.MEMORY_AND_DISK)
+    marked = counting.marked_counts(read_pages(spark, path), "value", markup=True, seen=seen).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        n = counts.agg(
-            F.coalesce(F.sum(F.when(F.col("word").isNull(), F.col("cnt"))), F.lit(0)).alias("articles"),
-            F.coalesce(F.sum(F.when(F.col("word").isNotNull(), F.col("cnt"))), F.lit(0)).alias("words"),
-            F.count("word").alias("uniques"),
-        ).first()
-        top = [tuple(r) for r in counting.top_k(counts.where("word IS NOT NULL"), k).orderBy("rank").collect()]
+        n = counting.summary(marked).first()
+        top = [tuple(r) for r in counting.top_k(counting.words_only(marked), k).orderBy("rank").collect()]
     finally:
-        counts.unpersist()
-    return WordFrequencies(n.articles, n.words, n.uniques, k, top, _megabytes(spark, path), time.perf_counter() - began)
+        marked.unpersist()
+    return WordFrequencies(n.total_articles, n.total_words, n.unique_words, k, top, _megabytes(spark, path), time.perf_counter() - began)
 
 
 def _megabytes(spark: SparkSession, path: str | list[str]) -> float:

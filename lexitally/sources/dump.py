@@ -5,22 +5,29 @@ split in which it begins, and the reader follows it past the split's end. A reco
 to what follows its first ``<page>``, and the first text body is taken from that. No entities are
 decoded.
 
-A record without a closing ``</page>`` can only be a file's last one. Such a page doesn't count;
-``truncated_files`` finds the files concerned by reading a little from their ends.
+A record without a closing ``</page>`` can only be a file's last one. Such a page doesn't count.
+``truncated_files`` finds the files concerned: a plain file's last TAIL_BYTES usually tell; where they
+don't, and for compressed files, tasks look. Only such files are read by a scan that leaves out a
+file's last record, without a shuffle.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PAGE_START, PAGE_END = "<page>", "</page>"
 #: Fixed by the dump format: the opening tag is matched by its prefix and ends at the first ``>``.
 TEXT_BODY = r"(?s)\A.*?<text[^>]*>(.*?)</text>"
+#: Of a plain file's end so much is read, once, to see whether it is cut off; otherwise a task reads the file.
 TAIL_BYTES = 1 << 16
+_SLASHES = re.compile("^([A-Za-z0-9+.-]+):/+")
 
 
 def text_bodies(markup: Column | str) -> Column:
@@ -31,6 +38,15 @@ def text_bodies(markup: Column | str) -> Column:
     return F.regexp_extract_all(markup, F.lit(TEXT_BODY), F.lit(1))
 
 
+def body_within(raw: bytes, begin: int, end: int) -> bytes | None:
+    """The first text body of the page record ``raw[begin:end]``, as ``articles_from`` finds it; None if there is none."""
+    page = raw.find(b"<page>", begin, end)
+    opened = raw.find(b"<text", page, end) if page >= 0 else -1
+    start = raw.find(b">", opened, end) + 1 if opened >= 0 else 0
+    stop = raw.find(b"</text>", start, end) if start else -1
+    return raw[start:stop] if stop >= 0 else None
+
+
 def articles_from(df: DataFrame, col: str) -> DataFrame:
     """``df`` with ``text``, the first text body of the page markup in ``col``; others are dropped.
 
@@ -42,50 +58,100 @@ def articles_from(df: DataFrame, col: str) -> DataFrame:
     return bodies.where(F.size("__bodies") > 0).withColumn("text", F.col("__bodies")[0]).drop("__bodies")
 
 
-def _open_tail(spark: SparkSession, file: str) -> bool:
-    """Whether ``file`` has a ``<page>`` after its last ``</page>``; reads backward from the end."""
-    jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
+def _hadoop(spark: SparkSession, file: str):
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
-    fs = path.getFileSystem(hadoop)
-    end, carried = fs.getFileStatus(path).getLen(), b""
+    return path, path.getFileSystem(conf), jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+
+
+def _open_tail(spark: SparkSession, file: str) -> bool | None:
+    """Whether ``file`` ends within a page; None if it is compressed or its end alone doesn't tell. One read."""
+    path, fs, codec = _hadoop(spark, file)
+    if codec is not None:
+        return None
+    length = fs.getFileStatus(path).getLen()
+    size = min(length, TAIL_BYTES)
     stream = fs.open(path)
     try:
-        while end > 0:
-            begin = max(0, end - TAIL_BYTES)
-            stream.seek(begin)
-            # what was read before overlaps by a marker's length, so no marker is cut
-            block = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, int(end - begin))) + carried
-            opened, closed = block.rfind(PAGE_START.encode()), block.rfind(PAGE_END.encode())
-            if opened >= 0 or closed >= 0:
-                return opened > closed
-            end, carried = begin, block[: len(PAGE_END) - 1]
-        return False
+        stream.seek(length - size)
+        end = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, int(size)))
     finally:
         stream.close()
+    opened, closed = end.rfind(PAGE_START.encode()), end.rfind(PAGE_END.encode())
+    if opened < 0 and closed < 0:
+        return None if size < length else False
+    return opened > closed
+
+
+def _scan(spark: SparkSession, files: list[str], separator: str) -> DataFrame:
+    scan = spark.read.text([_literal(f) for f in files], lineSep=separator)
+    return scan.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+
+
+def _literal(file: str) -> str:
+    """A file's URI as a path that Spark reads as it stands, not as a pattern."""
+    scheme, colon, rest = file.partition(":")
+    decoded = unquote(rest if colon else scheme)
+    escaped = "".join(f"\\{c}" if c in "\\*?[]{}" else c for c in decoded)
+    return f"{scheme}:{escaped}" if colon else escaped
+
+
+def _open_ends(spark: SparkSession, files: list[str]) -> set[str]:
+    """Those of ``files`` that end within a page, found by tasks: what follows a file's last ``<page>`` has no ``</page>``."""
+    pieces = _scan(spark, files, PAGE_START).select("file", "block", F.monotonically_increasing_id().alias("id"), (F.instr("value", PAGE_END) > 0).alias("closed"))
+    last = pieces.groupBy("file").agg(F.max(F.struct("block", "id", "closed")).alias("last"), F.count(F.lit(1)).alias("pieces"))
+    return {_plain(r.file) for r in last.where("pieces > 1 AND NOT last.closed").select("file").collect()}
+
+
+def _plain(file: str) -> str:
+    """file:/x and file:///x are one file; Spark writes it either way."""
+    return _SLASHES.sub(r"\1:/", file)
 
 
 def truncated_files(spark: SparkSession, files: list[str]) -> list[str]:
-    """Those files that end within a page. One small read for each file, in parallel."""
+    """Those files that end within a page."""
     with ThreadPoolExecutor(16) as pool:
-        return [f for f, cut in zip(files, pool.map(lambda f: _open_tail(spark, f), files), strict=True) if cut]
+        ends = list(pool.map(lambda f: _open_tail(spark, f), files))
+    unsure = [f for f, cut in zip(files, ends, strict=True) if cut is None]
+    found = _open_ends(spark, unsure) if unsure else set()
+    return [f for f, cut in zip(files, ends, strict=True) if cut or (cut is None and _plain(f) in found)]
+
+
+def _without_last(spark: SparkSession, files: list[str]) -> DataFrame:
+    """The records of ``files`` less each one's last.
+
+    A file's last record is the last one of its last split that has any. A split is read by one task,
+    record after record, so the task leaves it out as it goes; the splits come from a small table.
+    """
+    records = _scan(spark, files, PAGE_END)
+    last = {(r.file, r.block) for r in records.groupBy("file").agg(F.max("block").alias("block")).collect()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # (split, its newest record), where the split is a file's last
+        for batch in batches:
+            keep = []
+            for value, file, block in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if held and held[0] == (file, block):
+                    keep.append(held[1])
+                held = ((file, block), value) if (file, block) in last else None
+                if held is None:
+                    keep.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array([v.as_py() for v in keep], batch.column(0).type)], names=["value"])
+
+    kept = records.withColumn("value", F.col("value").cast("binary")).mapInArrow(run, "value binary")
+    return kept.select(F.col("value").cast("string").alias("value"))
 
 
 def read_pages(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """The raw records of a dump: ``value``, without the unfinished last page of a truncated file."""
-    scan = spark.read.text(path, lineSep=PAGE_END)
-    cut = truncated_files(spark, scan.inputFiles())
+    scan = spark.read.text(path, lineSep=PAGE_END).select("value")
+    files = scan.inputFiles()
+    cut = truncated_files(spark, files)
     if not cut:
         return scan
-    placed = scan.select(
-        "value",
-        F.regexp_replace("_metadata.file_path", "^([A-Za-z0-9+.-]+):/+", "$1:/").alias("file"),
-        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")).alias("at"),
-    )
-    # file:/x and file:///x are one file; Spark writes it either way
-    one_slash = re.compile("^([A-Za-z0-9+.-]+):/+")
-    cut = [one_slash.sub(r"\1:/", f) for f in cut]
-    last = placed.groupBy("file").agg(F.max("at").alias("at")).where(F.col("file").isin(cut))
-    return placed.join(last, ["file", "at"], "left_anti").select("value")
+    whole = sorted(set(files) - set(cut))
+    rest = _without_last(spark, cut)
+    return _scan(spark, whole, PAGE_END).select("value").unionByName(rest) if whole else rest
 
 
 def read_dump(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -1,10 +1,14 @@
+import bz2
+import gzip
 import random
 import re
 
 import pytest
 
+from lexitally.functions.stopwords import STOP_WORDS
 from lexitally.plans.word_frequency import analyze
-from lexitally.sources.dump import articles_from, read_dump, truncated_files
+from lexitally.sources import dump
+from lexitally.sources.dump import articles_from, body_within, read_dump, truncated_files
 
 CASES = [
     ("<page><text>one</text></page>", ["one"]),
@@ -50,12 +54,22 @@ def scan(spark, path, split=None):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
-@pytest.mark.parametrize("number", range(len(CASES)))
-def test_case(spark, tmp_path, number):
-    text, expected = CASES[number]
-    (tmp_path / "dump.xml").write_bytes(text.encode())
-    assert [x.decode() for x in model(text.encode())] == expected
-    assert scan(spark, tmp_path / "dump.xml") == sorted(expected)
+PACK = {"": bytes, ".gz": gzip.compress, ".bz2": bz2.compress}
+
+
+@pytest.mark.parametrize("suffix", PACK)
+def test_cases(spark, tmp_path, suffix):
+    """Each case in a file of its own, and the counting path over each."""
+    for number, (text, expected) in enumerate(CASES):
+        path = tmp_path / f"{number}.xml{suffix}"
+        path.write_bytes(PACK[suffix](text.encode()))
+        assert [x.decode() for x in model(text.encode())] == expected
+        if suffix == "" or "<page><text>" in text[:14]:
+            assert scan(spark, path) == sorted(expected), text
+    assert scan(spark, tmp_path) == sorted(t for _, e in CASES for t in e)
+    got = analyze(spark, str(tmp_path), 0)
+    words = [w for _, e in CASES for t in e for w in re.findall("[A-Za-z]+", t.lower()) if w not in STOP_WORDS]
+    assert (got.total_articles, got.total_words, got.unique_words) == (sum(len(e) for _, e in CASES), len(words), len(set(words)))
 
 
 def test_splits_do_not_matter(spark, tmp_path):
@@ -69,11 +83,46 @@ def test_splits_do_not_matter(spark, tmp_path):
         assert scan(spark, tmp_path, split) == expected
 
 
-def test_tail_guard_reads_back_over_blocks(spark, tmp_path):
-    cut, whole = tmp_path / "cut.xml", tmp_path / "whole.xml"
-    cut.write_bytes(b"<page>a</page><page>" + b"x" * 200_000)
-    whole.write_bytes(b"<page>a</page>" + b"x" * 200_000)
-    assert truncated_files(spark, [f"file://{cut}", f"file://{whole}"]) == [f"file://{cut}"]
+def test_splits_of_compressed_files(spark, tmp_path):
+    cut = "<page><text>é one</text></page>\n" * 3000 + "<page><text>last</text>"
+    for suffix in (".gz", ".bz2"):
+        (tmp_path / f"a.xml{suffix}").write_bytes(PACK[suffix](cut.encode()))
+    (tmp_path / "odd [1]{2}*?.xml").write_bytes(cut.encode())
+    for split in (200, 1 << 20):
+        assert scan(spark, tmp_path, split) == ["é one"] * 9000
+
+
+def test_tail_guard(spark, tmp_path):
+    """One read from a plain file's end; where it has no marker, tasks look."""
+    texts = {
+        "cut": b"<page>a</page><page>" + b"x" * 200_000,
+        "whole": b"<page>a</page>" + b"x" * 200_000,
+        "none": b"x" * 200_000,
+        "near": b"<page>a</page><page>b",
+        "empty": b"",
+    }
+    files = []
+    for name, text in texts.items():
+        for suffix in ("", ".gz"):
+            (tmp_path / f"{name}.xml{suffix}").write_bytes(PACK[suffix](text))
+            files.append(f"file://{tmp_path}/{name}.xml{suffix}")
+    assert [dump._open_tail(spark, f) for f in files[::2]] == [None, None, None, True, False]
+    assert truncated_files(spark, files) == files[:2] + files[6:8]
+
+
+def test_bodies_agree(spark):
+    rng = random.Random(11)
+    parts = ["<page>", "<text>", "<text a='1'>", "</text>", "<text/>", "word ", ">", "é\n"]
+    rows = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(500)]
+    df = spark.createDataFrame(list(enumerate(rows)), "id long, m string")
+    got = {r.id: r.text for r in articles_from(df, "m").collect()}
+    raw = "".join(rows).encode()
+    at = 0
+    for i, row in enumerate(rows):
+        end = at + len(row.encode())
+        body = body_within(raw, at, end)
+        assert (None if body is None else body.decode()) == got.get(i), row
+        at = end
 
 
 def test_markup_in_a_column(spark):

@@ -31,11 +31,8 @@ def test_stream(spark, tmp_path):
     assert sorted(map(tuple, spark.table("counted").collect())) == sorted(map(tuple, word_counts(batch).collect()))
 
 
-def test_small_tables_are_spread(spark):
-    from lexitally.sources.tables import input_bytes, spread
-
-    one_file = spark.read.parquet(f"{SF}/documents.parquet")
-    assert input_bytes(one_file) > 10_000
-    assert sorted(map(tuple, spread(one_file).collect())) == sorted(map(tuple, one_file.collect()))
-    assert "Exchange" in spread(one_file)._jdf.queryExecution().toString() or "Repartition" in spread(one_file)._jdf.queryExecution().toString()
-    assert spread(one_file, small=10) is one_file
+
+@pytest.mark.parametrize("name", ["top_words", "corpus_summary", "word_counts"])
+def test_one_scan(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and "ReadSchema: struct<text:string>" in plan

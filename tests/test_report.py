@@ -1,3 +1,6 @@
+import subprocess
+import sys
+
 from lexitally.cli import main
 from lexitally.operators.report import format_report, progress
 
@@ -16,7 +19,7 @@ def test_cli(spark, tmp_path, capsys):
     out = capsys.readouterr().out
     assert "Total articles: 1" in out and out.endswith(" : 2\n")
     assert main([str(tmp_path / "missing")]) == 1
-    for bad in ([], [str(path), "x"], [str(path), "-1"], [str(path), "10abc"]):
+    for bad in ([], [str(path), "x"], [str(path), "-1"], [str(path), "10abc"], [str(path), "2147483648"]):
         try:
             main(bad)
             raise AssertionError("must exit")
@@ -26,16 +29,22 @@ def test_cli(spark, tmp_path, capsys):
 
 def test_progress(spark, tmp_path):
     import io
-    import time
 
-    from pyspark.sql import functions as F
+    from lexitally.plans.word_frequency import analyze
 
-    path = tmp_path / "d.txt"
-    path.write_text("a rose\n" * 200_000)
+    path = tmp_path / "d.xml"
+    path.write_text("<page><text>a rose is a rose</text></page><page></page>\n" * 20_000)
     out = io.StringIO()
-    with progress(spark, out, 0.05):
-        lines = spark.read.text(str(path))
-        for _ in range(3):
-            lines.where(F.regexp_count("value", F.lit("(a|r|o)+s?e?")) > 99).count()
-        time.sleep(0.1)
-    assert "Read " in out.getvalue() and " MB | Records: " in out.getvalue()
+    with progress(spark, out, 0.02) as articles:
+        for _ in range(2):
+            assert analyze(spark, str(path), 1, articles).total_articles == 20_000
+    assert articles.value == 40_000
+    assert "Read " in out.getvalue() and " MB | Articles: " in out.getvalue()
+
+
+def test_own_session_is_stopped():
+    code = (
+        "import sys; from pyspark.sql import SparkSession; from lexitally.cli import main; "
+        "code = main([sys.argv[1]]); sys.exit(0 if code == 1 and SparkSession.getActiveSession() is None else 3)"
+    )
+    assert subprocess.run([sys.executable, "-c", code, "/no/such/dump"], capture_output=True).returncode == 0

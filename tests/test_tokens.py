@@ -1,8 +1,12 @@
+from collections import Counter
+
+import pyarrow as pa
 import pytest
 
 from lexitally.functions.stopwords import STOP_WORDS
 from lexitally.functions.text import positional_tokens, tokens
-from lexitally.operators import counting
+from lexitally.operators import batch_counting, counting
+from lexitally.operators.batch_counting import partial_counts
 
 CASES = [
     ("", []),
@@ -34,6 +38,22 @@ def test_words(spark):
     assert tokens(df).count() == sum(len(w) for _, w in CASES)
 
 
+def test_batches_count_what_the_expressions_give(spark, monkeypatch):
+    rows = [t for t, _ in CASES] + ["nul\0l", "Zz" * 5000, "end", "\u00e9a\u0300B"] * 3
+    df = texts(spark, *rows).repartition(3)
+    expected = Counter(r.word for r in tokens(df).collect())
+    assert {r.word: r.cnt for r in partial_counts(df).where("word IS NOT NULL").groupBy("word").sum("cnt").toDF("word", "cnt").collect()} == expected
+    for piece, flush in ((1, 1), (10, 3), (1 << 23, 2)):
+        monkeypatch.setattr(batch_counting, "PIECE", piece)
+        monkeypatch.setattr(batch_counting, "FLUSH", flush)
+        batch = pa.RecordBatch.from_arrays([pa.array(rows)], names=["text"])
+        got = Counter()
+        for out in batch_counting._tally(iter([batch.slice(2, 9), batch.slice(0, 2), batch.slice(11)]), False, None):
+            for word, n in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True):
+                got[word] += n
+        assert got.pop(None) == len(rows) and got == expected
+
+
 def texts(spark, *rows):
     return spark.createDataFrame([(t,) for t in rows], "text string")
 
@@ -50,10 +70,11 @@ def test_stop_list(spark):
 
 def test_summary_counts_wordless_articles(spark):
     df = texts(spark, "", "12 34", "ref the", "the end")
-    row = counting.summary(df, counting.word_counts(df)).first()
+    row = counting.summary(counting.marked_counts(df)).first()
     assert (row.total_articles, row.total_words, row.unique_words) == (4, 3, 2)
+    assert tuple(counting.summary(counting.marked_counts(texts(spark, None, "a"))).first()) == (2, 1, 1)
     empty = texts(spark, "x").where("false")
-    assert tuple(counting.summary(empty, counting.word_counts(empty)).first()) == (0, 0, 0)
+    assert tuple(counting.summary(counting.marked_counts(empty)).first()) == (0, 0, 0)
 
 
 @pytest.mark.parametrize("k, expected", [(0, []), (2, [(1, "b", 2) , (2, "aa", 1)]), (9, [(1, "bb", 2), (2, "aa", 1), (3, "cc", 1)])])
@@ -63,7 +84,7 @@ def test_top_k(spark, k, expected):
 
 
 def test_k_must_be_a_count(spark):
-    for k in (-1, 1.5, True, "3"):
+    for k in (-1, 1.5, True, "3", 2**31):
         with pytest.raises(ValueError):
             counting.top_k(counting.word_counts(texts(spark, "a")), k)
 
