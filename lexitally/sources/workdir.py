@@ -1,4 +1,4 @@
-"""A fresh folder in the store that driver and executors share."""
+"""Fresh folders in the store that driver and executors share."""
 
 from __future__ import annotations
 
@@ -9,15 +9,39 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new path below ``spark.checkpoint.dir``. Only where that is unset, as in tests, a local one."""
+    """A new path below ``spark.checkpoint.dir``, deleted when the driver ends.
+
+    Only where that setting is unset and everything runs in one process, as in tests, a local one.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"file://{tempfile.gettempdir()}/checkpoints"
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    at, fs = _located(spark, path)
+    fs.mkdirs(at.getParent())
+    fs.deleteOnExit(at)
+    return path
+
+
+def _located(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: its lineage ends there."""
     path = shared_folder(df.sparkSession, purpose)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` gave. Only for those that nothing reads again: what came of them must be written."""
+    for table in tables:
+        at, fs = _located(table.sparkSession, table.folder)
+        fs.delete(at, True)
