@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexitally.sources.workdir import written
+
 #: Of a join's left rows, a key that holds more than one in so many is hot.
 HOT_SHARE = 1000
 
@@ -18,10 +20,23 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
-def with_columns(batch: pa.RecordBatch, **new: pa.Array) -> pa.RecordBatch:
-    """``batch`` with further columns, in place of any of the same names."""
-    kept = [n for n in batch.schema.names if n not in new]
-    return pa.RecordBatch.from_arrays([batch.column(n) for n in kept] + list(new.values()), names=kept + list(new))
+def named(column: str) -> Column:
+    """The column of just this name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def kept_columns(df: DataFrame) -> list[Column]:
+    return [named(c) for c in df.columns]
+
+
+def nested(df: DataFrame) -> Column:
+    """A whole row as one struct ``row``, so that no name in it can clash with an operator's own."""
+    return F.struct(*kept_columns(df)).alias("row")
+
+
+def unnested(df: DataFrame) -> list[Column]:
+    """The columns of what ``nested(df)`` made."""
+    return [F.col("row").getField(c).alias(c) for c in df.columns]
 
 
 def source_key(col: Column) -> Column:
@@ -47,20 +62,28 @@ def join_counted(left: DataFrame, right: DataFrame, key: str, count: str, total:
     return left.join(hot, key, "inner").unionByName(rest)
 
 
-def running_start(df: DataFrame, groups: list[str], bucket: str, order: list[str], value: Column, name: str) -> DataFrame:
-    """``df`` with ``name``: the sum of ``value`` over the rows before each one, in its group's order.
+def running_start(df: DataFrame, groups: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """``df`` with ``name``: the sum of ``value`` (integers) over the rows before each one, in its group's order.
 
-    ``bucket`` must grow with ``order``. No task sorts a group: a window orders one bucket of a
-    group at a time, and what the buckets before it hold comes from a small table of bucket sums.
+    All rows are dealt by ranges of groups and order, taken from Spark's sample of them, so parts are even
+    whatever the keys: a group may fill many parts, and rows that are equal in all of these go by a salt, which
+    nothing but their order among themselves depends on. The ranged table is written, so its parts are fixed. A window orders
+    a part at a time; what the parts before it hold, and where a group begins, comes from small tables of sums.
+    ``df`` must give the same rows when it is read again, as written tables do.
     """
-    keys = [*groups, bucket]
-    df = df.withColumn("__value", value.cast("long"))
-    sums = df.groupBy(*keys).agg(F.sum("__value").alias("__sum"))
-    earlier = Window.partitionBy(*groups).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*keys, F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__offset"))
-    within = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    inner = df.withColumn("__inner", F.coalesce(F.sum("__value").over(within), F.lit(0)))
-    return inner.join(offsets, keys).withColumn(name, F.col("__inner") + F.col("__offset")).drop("__value", "__inner", "__offset")
+    keys = [*groups, *order, "__salt"]
+    salted = df.withColumns({"__value": value.cast("long"), "__salt": F.xxhash64(F.monotonically_increasing_id())})
+    ranged = written(salted.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    offsets = ranged.groupBy("__part").agg(F.sum("__value").alias("__sum")).select("__part", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__offset"))
+    within = Window.partitionBy("__part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("__inner", F.coalesce(F.sum("__value").over(within), F.lit(0))).join(offsets, "__part")
+    placed = placed.withColumn(name, F.col("__inner") + F.col("__offset")).drop("__value", "__salt", "__part", "__inner", "__offset")
+    if not groups:
+        return placed
+    placed = written(placed, "places")
+    begins = written(placed.groupBy(*groups).agg(F.min(name).alias("__begin")), "group-begins")
+    return placed.join(begins, groups).withColumn(name, F.col(name) - F.col("__begin")).drop("__begin")
 
 
 Batches = Iterator[pa.RecordBatch]

@@ -1,57 +1,130 @@
-"""Near copies by exact Jaccard similarity of word shingles.
+"""Near copies: groups of texts linked by a Jaccard similarity of word shingles, exactly.
 
 1. Equal texts (by words, A-Z lower-cased) become one text, that of the smallest id.
-2. Each text's distinct shingles are put in one order for all texts, those of a bounded list of frequent ones
-   last. Two sets with similarity s share one of their first n - ceil(s * n) + 1 shingles (prefix filter), so
+2. SimHash fingerprints and their vantage-point shards (``simhash``) propose the closest texts: each with its
+   component's first. No radius is sure to hold all similar texts, and at one that holds most the trees hardly
+   cut, so the rest comes from a prefix filter.
+3. Each text's distinct shingles are put in one order for all texts, those of a bounded list of frequent ones
+   last. Two sets with similarity s share one of their first n - ceil(s * n) + 1 shingles, so
    candidates meet at these. The order decides how many candidates there are, never which pairs are found.
-3. Candidates are confirmed on their texts: first each with its shingle's first text, which joins large groups
+4. Candidates are confirmed on their texts: first each with its shingle's first text, which joins large groups
    by few pairs, then all those that aren't in one group yet.
-4. One text of each connected group stays.
+5. One text of each connected group stays.
+
+No task gets a shingle's texts as a group: counts and first texts are aggregates with a part in each task, and rows
+meet them by joins, of which Spark splits the skewed ones. Shingles are compared as 64-bit hashes: two sets of a
+thousand shingles get a wrong common one with a chance of about 1e-13.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from lexitally.llm.common import Batches, join_counted, utf8
-from lexitally.llm.simhash import components
-from lexitally.sources.workdir import written
+from lexitally.llm.common import Batches, join_counted, named, nested, unnested, utf8
+from lexitally.llm.simhash import components, near_duplicates
+from lexitally.sources.workdir import discard, written
 
 SHINGLE, SIMILARITY = 5, 0.8
+#: Bits by which fingerprints may differ that propose a link; the prefix filter finds what they leave.
+RADIUS = 3
 #: Texts whose shingles are counted to find frequent ones, times that such a one is seen at least, and the longest
 #: list of them. They bound the list that delays shingles, not the shingles that are compared.
-SAMPLE, SEEN, FREQUENT = 1 << 14, 4, 1 << 16
-#: Texts of a shingle that are paired in a task.
+SAMPLE, SEEN, FREQUENT = 1 << 13, 4, 1 << 16
+#: Texts of a shingle that meet others in a task.
 BLOCK = 2048
-
-
-def shingles(text: bytes, size: int = SHINGLE) -> set[bytes]:
-    """Distinct shingles; fewer words than a shingle are the one shingle, and no words have none."""
-    words = text.lower().split()
-    return {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
-
-
-def similar(a: set[bytes], b: set[bytes], least: float = SIMILARITY) -> bool:
-    both = len(a & b)
+#: Bytes of texts that are hashed at a time.
+PIECE = 1 << 20
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def scattered(numbers: np.ndarray) -> np.ndarray:
+    """A pseudo-random 64-bit number for each number (the finaliser of splitmix64)."""
+    x = numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+_OF_BYTE = scattered(np.arange(1, 257))
+
+
+def _cuts(text: bytes) -> Iterator[bytes]:
+    """``text`` in parts of some PIECE bytes, cut at white space."""
+    at = 0
+    while at < len(text):
+        end = at + PIECE
+        while end < len(text) and not _SPACE[text[end]]:
+            end += 1
+        yield text[at:end]
+        at = end
+
+
+class Shingles:
+    """The distinct shingles of texts as ascending hashes; fewer words than a shingle are the one shingle, no words have none."""
+
+    def __init__(self, size: int = SHINGLE) -> None:
+        self.size, self.of_word = size, scattered(np.arange(1000, 1000 + size)) | np.uint64(1)
+        self.of_place = scattered(np.arange(2000, 2256))
+
+    def words(self, piece: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """``(hash, begin)`` of each word: the sum of what its bytes stand for at their places."""
+        data = np.frombuffer(piece, np.uint8)
+        inside = ~_SPACE[data]
+        edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+        begins, lengths = edges[::2], edges[1::2] - edges[::2]
+        if not len(begins):
+            return np.zeros(0, np.uint64), begins
+        if lengths.max() > len(self.of_place):
+            self.of_place = scattered(np.arange(2000, 2000 + lengths.max()))
+        heads = np.cumsum(lengths) - lengths
+        places = np.arange(heads[-1] + lengths[-1]) - np.repeat(heads, lengths)
+        return scattered(np.add.reduceat(_OF_BYTE[data[inside]] * self.of_place[places], heads)), begins
+
+    def joined(self, words: np.ndarray) -> np.ndarray:
+        width = min(self.size, len(words))
+        out = np.full(len(words) - width + 1, width, np.uint64)
+        for i in range(width):
+            out += words[i : i + len(out)] * self.of_word[i]
+        return np.unique(scattered(out)) if width else out[:0]
+
+    def of(self, text: bytes) -> np.ndarray:
+        return self.joined(np.concatenate([np.zeros(0, np.uint64), *(self.words(part)[0] for part in _cuts(text.lower()))]))
+
+    def of_each(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        """``of`` for each text; short ones are hashed side by side."""
+        at = 0
+        while at < len(texts):
+            to, size = at + 1, len(texts[at])
+            while to < len(texts) and size + len(texts[to]) < PIECE:
+                size += len(texts[to])
+                to += 1
+            if to == at + 1:
+                yield self.of(texts[at])
+            else:
+                hashes, begins = self.words(b"\n".join(texts[at:to]).lower())
+                ends = np.cumsum([len(t) + 1 for t in texts[at:to]])
+                yield from map(self.joined, np.split(hashes, np.searchsorted(begins, ends[:-1])))
+            at = to
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
+    """Whether two sets, as ascending arrays, have a Jaccard similarity of at least ``least``."""
+    if min(len(a), len(b)) < least * max(len(a), len(b)) - 1e-6:
+        return False
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    both = int(np.count_nonzero(both[1:] == both[:-1]))
     return both >= least * (len(a) + len(b) - both)
 
 
-def _hashes(text: bytes, size: int) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(s) for s in shingles(text, size)], np.uint64)
-
-
-def _point(text: bytes) -> bytes:
-    return hashlib.md5(b" ".join(text.lower().split())).digest()
-
-
 def prefix_length(n: int, least: float) -> int:
     return n - math.ceil(least * n - 1e-9) + 1
 
@@ -60,11 +133,12 @@ def _frequent(texts: DataFrame, total: int, size: int) -> tuple[np.ndarray, np.n
     """Hashes of shingles that many of a sample of texts have, in order, and how often they were seen."""
 
     def run(batches: Batches) -> Batches:
+        hashes = Shingles(size)
         for batch in batches:
-            for text in utf8(batch.column(0)):
-                yield pa.RecordBatch.from_arrays([pa.array(_hashes(text, size).view(np.int64))], names=["h"])
+            for found in hashes.of_each(utf8(batch.column(0))):
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["h"])
 
-    some = texts.where(F.pmod(F.xxhash64(F.lit("frequent"), "point"), F.lit(max(1, total // SAMPLE))) == 0)
+    some = texts.where(F.pmod(F.xxhash64(F.lit("frequent"), "num"), F.lit(max(1, total // SAMPLE))) == 0)
     seen = some.select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SEEN)
     table = seen.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
     h, n = table.column("h").to_numpy().view(np.uint64), table.column("n").to_numpy()
@@ -73,25 +147,29 @@ def _frequent(texts: DataFrame, total: int, size: int) -> tuple[np.ndarray, np.n
 
 
 def _prefixes(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], size: int, least: float) -> DataFrame:
-    """``h, point, n, at`` for the first shingles of each text: ``n`` of all, ``at`` counts from 0."""
+    """``h, num, n, at`` for the first shingles of each text: ``n`` of all, ``at`` counts from 0."""
     known, seen = frequent
 
     def run(batches: Batches) -> Batches:
+        hashes = Shingles(size)
         for batch in batches:
-            for point, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-                h = np.unique(_hashes(text, size))
+            h_out, num_out, n_out, at_out = [], [], [], []
+            for num, h in zip(batch.column(0).to_pylist(), hashes.of_each(utf8(batch.column(1))), strict=True):
                 if not len(h):
                     continue
                 k = prefix_length(len(h), least)
                 if len(known):
                     place = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     h = h[np.lexsort((h, np.where(known[place] == h, seen[place], 0)))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[:k].view(np.int64)), pa.array([point] * k, pa.binary()), pa.array(np.full(k, len(h), np.int32)), pa.array(np.arange(k, dtype=np.int32))],
-                    names=["h", "point", "n", "at"],
-                )
+                h_out.append(h[:k])
+                num_out.append(np.full(k, num, np.int64))
+                n_out.append(np.full(k, len(h), np.int32))
+                at_out.append(np.arange(k, dtype=np.int32))
+            if h_out:
+                columns = [np.concatenate(h_out).view(np.int64), *map(np.concatenate, (num_out, n_out, at_out))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "num", "n", "at"])
 
-    return texts.select("point", "text").mapInArrow(run, "h long, point binary, n int, at int")
+    return texts.select("num", "text").mapInArrow(run, "h long, num long, n int, at int")
 
 
 def _possible(least: float) -> Column:
@@ -101,65 +179,96 @@ def _possible(least: float) -> Column:
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
-    """The ``a, b`` of ``pairs`` (distinct) whose texts are similar."""
+    """The ``a, b`` of ``pairs`` (distinct, a written table) whose texts are similar."""
 
     def run(batches: Batches) -> Batches:
+        hashes = Shingles(size)
+        last, of = None, np.zeros(0, np.uint64)
         for batch in batches:
-            last, of = None, set()
             near = []
-            for a, x, y in zip(batch.column(0).to_pylist(), utf8(batch.column(2)), utf8(batch.column(3)), strict=True):
+            for a, x, y in zip(batch.column(0).to_pylist(), utf8(batch.column(2)), hashes.of_each(utf8(batch.column(3))), strict=True):
                 if a != last:
-                    last, of = a, shingles(x, size)
-                near.append(similar(of, shingles(y, size), least))
+                    last, of = a, hashes.of(x)
+                near.append(similar(of, y, least))
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     total = pairs.count()
     for side in ("b", "a"):
         sides = written(pairs.groupBy(side).agg(F.count(F.lit(1)).alias("times")), "candidate-texts")
-        one = texts.select(F.col("point").alias(side), F.col("text").alias(f"text_{side}")).join(sides, side)
+        one = texts.select(F.col("num").alias(side), F.col("text").alias(f"text_{side}")).join(sides, side)
         pairs = join_counted(pairs, one, side, "times", total, "inner")
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _links(texts: DataFrame, total: int, size: int, least: float) -> DataFrame:
+def _links(texts: DataFrame, total: int, size: int, least: float, radius: int) -> DataFrame:
     """``a, b``: pairs of similar texts, enough of them to connect all that are connected."""
-    rows = _prefixes(texts, _frequent(texts, total, size), size, least)
-    same = Window.partitionBy("h")
-    shared = rows.withColumn("lead", F.min(F.struct("point", "n", "at")).over(same)).withColumn("members", F.count(F.lit(1)).over(same))
-    shared = written(shared.where("members > 1"), "shared-shingles")
-    led = shared.where("point != lead.point").withColumns({"other_n": F.col("lead.n"), "other_at": F.col("lead.at")}).where(_possible(least))
-    led = written(led.select(F.col("lead.point").alias("a"), F.col("point").alias("b")).distinct(), "led-candidates")
-    first = written(_confirmed(led, texts, size, least), "led-links")
+    close = near_duplicates(texts, "num", "text", size, radius).where("doc_id != component_id")
+    close = written(close.select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")), "close-candidates")
+    first = written(_confirmed(close, texts, size, least), "close-links")
+    roots = components(first)
+
+    rows = written(_prefixes(texts, _frequent(texts, total, size), size, least), "shingle-rows")
+    place = F.struct("num", "n", "at")
+    heads = rows.groupBy("h").agg(F.count(F.lit(1)).alias("members"), F.min(place).alias("lead")).where("members > 1")
+    shared = written(rows.join(heads, "h"), "shared-shingles")
+    discard(rows)
+    met = shared.where("num != lead.num").withColumns({"other_n": F.col("lead.n"), "other_at": F.col("lead.at")}).where(_possible(least))
+    met = met.select(F.col("lead.num").alias("a"), F.col("num").alias("b")).distinct()
+    for side in ("a", "b"):
+        known = roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+        met = met.join(known, side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
+    met = written(met.where("root_a != root_b").select("a", "b"), "led-candidates")
+    first = written(first.unionByName(_confirmed(met, texts, size, least)), "led-links")
 
     roots = components(first)
-    placed = shared.join(roots, shared.point == roots.node, "left").withColumn("root", F.coalesce("root", "point"))
-    open_ = placed.withColumns({"low": F.min("root").over(same), "high": F.max("root").over(same)}).where("low != high").drop("low", "high", "lead", "node")
-    open_ = written(open_.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("point"), F.col("blocks")).cast("int")), "open-shingles")
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = open_.select("h", "point", "n", "at", "root", F.col("own").alias("i"), every.alias("j"))
-    right = open_.select("h", *[F.col(c).alias(f"other_{c}") for c in ("point", "n", "at", "root")], F.col("own").alias("j"), every.alias("i"))
-    rest = left.join(right, ["h", "i", "j"]).where("point < other_point AND root != other_root").where(_possible(least))
-    rest = rest.select(F.col("point").alias("a"), F.col("other_point").alias("b")).distinct().join(led, ["a", "b"], "left_anti")
-    return first.unionByName(_confirmed(written(rest, "candidates"), texts, size, least))
-
-
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
+    placed = shared.select("h", "num", "n", "at").join(roots.withColumnRenamed("node", "num"), "num", "left")
+    placed = written(placed.withColumn("root", F.coalesce("root", "num")), "placed-shingles")
+    discard(shared)
+    # where texts of several groups share a shingle, those outside its largest group meet all others
+    sizes = placed.groupBy("h", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("members"), F.count(F.lit(1)).alias("groups"))
+    mixed = sizes.where("groups > 1").select("h", F.col("most.root").alias("major"), F.ceil((F.col("members") / BLOCK)).cast("int").alias("blocks"), F.ceil((F.col("members") - F.col("most.n")) / BLOCK).cast("int").alias("minor_blocks"))
+    mixed = written(mixed, "mixed-shingles")
+    open_ = written(placed.join(mixed, "h"), "open-shingles")
+
+    def block(number: str) -> Column:
+        return F.pmod(F.xxhash64("num"), F.col(number)).cast("int")
+
+    def every(number: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(number) - 1))
+
+    left = open_.where("root != major").select("h", "num", "n", "at", "root", block("minor_blocks").alias("i"), every("blocks").alias("j"))
+    right = open_.select("h", *[F.col(c).alias(f"other_{c}") for c in ("num", "n", "at", "root")], block("blocks").alias("j"), every("minor_blocks").alias("i"))
+    rest = left.join(right, ["h", "i", "j"]).where("root != other_root").where(_possible(least))
+    rest = rest.select(F.least("num", "other_num").alias("a"), F.greatest("num", "other_num").alias("b")).distinct().join(met, ["a", "b"], "left_anti")
+    rest = written(rest, "candidates")
+    discard(placed, open_)
+    return first.unionByName(_confirmed(rest, texts, size, least))
+
+
+def _point(text: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(b" ".join(text.lower().split()))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """One row of ``docs`` for each group of rows that are linked by texts with a similarity of at least ``least``.
 
-    The row with the smallest id stays, rows without an id come last. Rows are told apart by their texts, so
-    unrelated texts under one id all stay. Texts without words are one group.
+    The row with the smallest id stays, of rows with that id the one with the first text; rows without an id
+    come last. Rows are told apart by their texts, so unrelated texts under one id all stay. Null, empty
+    and wordless texts are one group. Texts of any length are compared whole. Repeated rows are one. An
+    empty table gives an empty one. All columns are kept, whatever their names.
     """
-    point = F.udf(lambda text: _point((text or "").encode()), "binary", useArrow=True)
-    ident = F.col(id_col).cast("long")
-    keyed = docs.withColumn("__point", point(F.col(text_col).cast("string")))
-    slim = written(keyed.select("__point", ident.alias("__id")), "near-points")
-    firsts = slim.groupBy("__point").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"))).alias("__first"))
-    firsts = written(firsts, "near-firsts")
-    one = keyed.join(firsts.select(F.col("__point").alias("__p"), F.col("__first.id").alias("__i")), (F.col("__point") == F.col("__p")) & ident.eqNullSafe(F.col("__i")), "left_semi")
-    unique = written(one.dropDuplicates(["__point"]), "distinct-texts")
-    texts = unique.select(F.col("__point").alias("point"), F.col(text_col).cast("string").alias("text"))
-    roots = components(_links(texts, firsts.count(), shingle, least))
-    grouped = roots.select("node", "root").unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    named = grouped.join(firsts, F.col("node") == F.col("__point")).select("node", "root", F.struct("__first", "node").alias("name"))
-    dropped = named.join(named.groupBy("root").agg(F.min("name").alias("best")), "root").where("name != best").select(F.col("node").alias("__point"))
-    return unique.join(dropped, "__point", "left_anti").select(*docs.columns)
+    digest = F.udf(lambda text: _point((text or "").encode()), "binary", useArrow=True)
+    text, ident = named(text_col).cast("string"), named(id_col).cast("long")
+    keyed = docs.select(nested(docs), digest(text).alias("point"), F.struct(ident.isNull().alias("none"), ident.alias("id"), text.alias("text")).alias("order"))
+    # copies of a text meet in each task before they are sent: one row of a text and task, however many there are
+    unique = keyed.groupBy("point").agg(F.min_by("row", "order").alias("row"))
+    unique = written(unique.select("row", F.monotonically_increasing_id().alias("num")), "distinct-texts")
+    ident, text = F.col("row").getField(id_col).cast("long"), F.col("row").getField(text_col).cast("string")
+    texts = unique.select("num", text.alias("text"))
+    roots = components(_links(texts, texts.count(), shingle, least, radius))
+    grouped = roots.select(F.col("node").alias("num"), "root").unionByName(roots.select(F.col("root").alias("num"), "root").distinct())
+    order = F.struct(ident.isNull().alias("none"), ident.alias("id"), text.alias("text"), "num")
+    members = written(unique.select("num", order.alias("order")).join(grouped, "num").select("root", "order"), "near-groups")
+    best = members.groupBy("root").agg(F.min("order").alias("best"))
+    dropped = written(members.join(best, "root").where("order.num != best.num").select("order.num"), "near-dropped")
+    return unique.join(dropped, "num", "left_anti").select(*unnested(docs))

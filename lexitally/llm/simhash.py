@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexitally.llm.common import Batches, join_counted, row_id, utf8
+from lexitally.llm.common import Batches, join_counted, named, utf8
 from lexitally.sources.workdir import written
 
 #: Fixed by the definition of the fingerprint.
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = [fingerprint(t, shingle) for t in utf8(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    slim = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).cast("string").alias("text"))
     return slim.mapInArrow(run, "doc_id long, fp long")
 
 
@@ -263,11 +263,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = min(LARGEST_SAMPLE, max(LEAST_SAMPLE, total // shard * SAMPLE_A_SHARD))
     sample = points.where(F.pmod(F.xxhash64("fp"), F.lit(max(1, total // wanted))) == 0).select("fp").toArrow()
     nodes = build_tree(np.sort(sample.column("fp").to_numpy()).view(np.uint64), total, radius, shard)
-    routed = _resharded(_shards(points, nodes, radius), radius, shard, tile)
+    routed = _resharded(written(_shards(points, nodes, radius), "routed"), radius, shard, tile)
     groups = written(_groups(_tiles(routed, tile), radius), "groups")
     members = groups.select("grp", F.explode("members").alias("fp"))
-    shared = members.groupBy("fp").agg(F.collect_set("grp").alias("grps")).where(F.size("grps") > 1)
-    links = shared.select(F.array_min("grps").alias("b"), F.explode("grps").alias("a"))
+    # a point of several groups links each to its first
+    first = members.groupBy("fp").agg(F.min("grp").alias("b"), F.count(F.lit(1)).alias("times")).where("times > 1")
+    links = members.join(first, "fp").select(F.col("grp").alias("a"), "b")
     roots = components(links)
     rooted = groups.join(roots, groups.grp == roots.node, "left").select("grp", "members", "first_id", F.coalesce("root", "grp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -276,13 +277,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = points.join(linked, "fp", "left").select("fp", "n", F.coalesce("component_id", "first_id").alias("component_id"))
     return join_counted(fps, labels, "fp", "n", fps.count(), "inner").select("doc_id", "fp", "component_id")
 
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """One row of ``docs`` for each component, that with the smallest id; of rows with that id, one.
-
-    Rows without an id are told apart by their text and come after the others.
-    """
-    keyed = docs.withColumn("__row", row_id(F.col(id_col), F.lit("row"), F.col(text_col).cast("string")))
-    found = near_duplicates(keyed, "__row", text_col, **how)
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("__row")).distinct()
-    return keyed.join(stay, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")

@@ -1,9 +1,11 @@
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from lexitally.llm import near_copies
-from lexitally.llm.near_copies import drop_near_copies, shingles, similar
+from lexitally.llm.near_copies import Shingles, drop_near_copies, similar
 from tests.llm.edge import ROWS, documents, no_documents
 from tests.llm.test_simhash import Sets
 
@@ -22,12 +24,21 @@ def edited(n, seed=3):
     return rows
 
 
+def shingles(text):
+    words = text.lower().split()
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def close(a, b):
+    return len(a & b) * 10 >= len(a | b) * 8
+
+
 def brute(rows):
     """Ids and texts that stay, as a set of possible ones for each group."""
     sets, of = Sets(), [shingles((t or "").encode()) for _, t, *_ in rows]
     for i, a in enumerate(of):
         for j in range(i):
-            if similar(a, of[j]):
+            if close(a, of[j]):
                 sets.join(i, j)
     groups = {}
     for i, r in enumerate(rows):
@@ -52,10 +63,40 @@ def test_stage_against_brute_force(spark):
 
 def test_any_order_finds_all(spark, monkeypatch):
     rows = edited(250, 8)
-    for seen, block in ((10**9, 3), (2, 2048)):
-        monkeypatch.setattr(near_copies, "SEEN", seen)
-        monkeypatch.setattr(near_copies, "BLOCK", block)
-        check(drop_near_copies(documents(spark, rows)).collect(), rows)
+    monkeypatch.setattr(near_copies, "SEEN", 10**9)
+    monkeypatch.setattr(near_copies, "BLOCK", 3)
+    check(drop_near_copies(documents(spark, rows), radius=0).collect(), rows)
+
+
+def test_shingles(monkeypatch):
+    hashes, rng = Shingles(), random.Random(1)
+    texts = [rng.choice(" \n\x0b").join(rng.choices(["a", "b", "cd", "dc", "E" * 300], k=rng.randint(0, 40))).encode() for _ in range(200)]
+    one_by_one = [hashes.of(t).tolist() for t in texts]
+    for piece in (1, 7, 100, 5000, 1 << 20):
+        monkeypatch.setattr(near_copies, "PIECE", piece)
+        assert [x.tolist() for x in hashes.of_each(texts)] == one_by_one
+    for a, b in zip(texts, texts[1:], strict=False):
+        assert len(hashes.of(a)) == len(shingles(a))
+        assert len({*hashes.of(a).tolist()} & {*hashes.of(b).tolist()}) == len(shingles(a) & shingles(b))
+        for least in (0.05, 0.2, 0.8):
+            x, y = shingles(a), shingles(b)
+            assert similar(hashes.of(a), hashes.of(b), least) == (len(x & y) >= least * len(x | y))
+
+
+def test_unrelated_texts_of_one_id_stay(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(0, b), (1, b), (1, a), (1, a.replace("a39", "x"))]
+    got = drop_near_copies(spark.createDataFrame(rows[::-1], "doc_id long, text string").withColumn("a.row", F.lit(1)).coalesce(1))
+    assert got.columns == ["doc_id", "text", "a.row"]
+    assert sorted(map(tuple, got.collect())) == [(0, b, 1), (1, a, 1)]
+
+
+def test_one_group_of_near_copies_and_a_stranger(spark):
+    """All share their first shingles: the stranger meets the group, the group's members don't meet each other again."""
+    words = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join([*words[:i % 80], f"x{i}", *words[i % 80 + 1 :]]), "en", "s", 0) for i in range(300)]
+    rows.append((999, " ".join(words[:60] + [f"y{i}" for i in range(200)]), "en", "s", 0))
+    check(drop_near_copies(documents(spark, rows)).collect(), rows)
 
 
 def test_edge_rows(spark):

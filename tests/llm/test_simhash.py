@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import xxhash
 
-from lexitally.llm.simhash import _resharded, build_tree, components, drop_near_duplicates, fingerprint, groups_within, near_duplicates, route
+from lexitally.llm.simhash import _resharded, build_tree, components, fingerprint, groups_within, near_duplicates, route
 from tests.llm.edge import LONG, ROWS, documents, no_documents
 
 
@@ -93,17 +93,6 @@ def test_hot_fingerprint(spark):
     assert len(got) == 1500 and all(got[i] == 1 for i in range(1500) if i % 3)
 
 
-def test_drop_near_duplicates(spark):
-    df = documents(spark)
-    got = drop_near_duplicates(df)
-    assert got.columns == df.columns
-    kept = got.collect()
-    # rows without words (null, "" and blanks) are one group, and so are equal texts
-    assert Counter(r.doc_id for r in kept if r.doc_id is not None) == Counter([1, 3, 4, 6, 7, 8, 9])
-    assert [r.text for r in kept if r.doc_id is None] == ["no id here"]
-    assert drop_near_duplicates(no_documents(spark)).collect() == []
-
-
 def test_route_loses_no_pair():
     rng = np.random.default_rng(1)
     centers = rng.integers(0, 2**63, 60, dtype=np.uint64)
