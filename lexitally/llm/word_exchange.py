@@ -24,12 +24,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexitally.llm.common import Batches, utf8
+from lexitally.llm.common import Batches, named, utf8
 
 #: Positions and distinct words at which a block is full.
 BLOCK_POSITIONS, BLOCK_WORDS = 6_000_000, 600_000
-#: Distinct words whose answers a task keeps. Beyond it starts afresh: some are worked out again.
-KEPT_ANSWERS = 2_000_000
+#: Distinct words whose answers a task keeps in each of two halves. When the newer is full the older one is forgotten,
+#: and its words that come again are worked out again: frequent words stay.
+KEPT_ANSWERS = 1_000_000
 
 #: Numbers, or bytes of them, that are packed or unpacked at a time.
 _AT_ONCE = 1 << 18
@@ -145,7 +146,8 @@ class _Block:
         rank = np.empty(len(words), np.uint32)
         rank[listed[by_frequency(counts)]] = np.arange(len(words), dtype=np.uint32)
         data = framed(counts, pack(rank[positions]))
-        name = hashlib.blake2b(data + repr(self.ids).encode() + b"".join(p[1] for p in packets), digest_size=16).hexdigest()
+        whole = repr((self.ids, self.sizes, self.lengths)).encode()
+        name = hashlib.blake2b(b"".join([*(len(p).to_bytes(8, "little") + p for p in (whole, data, *(p[1] for p in packets)))]), digest_size=16).hexdigest()
         rows = [(name, -1, zlib.crc32(name.encode()) % buckets, self.ids, self.sizes, self.lengths, data)]
         rows += [(name, b, b, None, None, None, data) for b, data in packets]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SCHEMA, strict=True)], schema=_SCHEMA)
@@ -202,18 +204,18 @@ def exchange(
             yield block.rows(buckets)
 
     def answers(batches: Batches) -> Batches:
-        answer, known = answerer(), {}
+        answer, known, older = answerer(), {}, {}
         for batch in batches:
             data_out = []
             for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("data").to_pylist(), strict=True):
                 if bucket >= 0:
                     if len(known) > KEPT_ANSWERS:
-                        known = {}
+                        known, older = {}, known
                     found = []
                     for word in words_of(data):
                         numbers = known.get(word)
                         if numbers is None:
-                            numbers = known[word] = answer(word)
+                            numbers = known[word] = older.get(word) or answer(word)
                         found.append(numbers)
                     data = framed(np.array([len(x) // 4 for x in found]), pack(np.frombuffer(b"".join(found), np.uint32)))
                 data_out.append(data)
@@ -242,7 +244,7 @@ def exchange(
             for rows in finish(head["ids"], head["sizes"], np.array(head["lengths"], np.int64), positions, cuts, flat):
                 yield pa.RecordBatch.from_arrays([rows[n] for n in out_names], names=out_names)
 
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    slim = docs.select(named(id_col).cast("long").alias("id"), named(text_col).cast("string").alias("text"))
     packets = slim.mapInArrow(blocks, _DDL).repartition("dest")
     answered = packets.mapInArrow(answers, _DDL).select("block", "bucket", "ids", "sizes", "lengths", "data")
     return answered.groupBy("block").applyInArrow(lambda table: pa.Table.from_batches(list(assemble(table))), ddl)

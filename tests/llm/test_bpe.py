@@ -105,3 +105,17 @@ def test_block_lists_each_word_once():
     counts, positions = unframed(rows[0]["data"])
     name = {rank: words[at] for rank, at in enumerate(by_frequency(counts.astype(int)))}
     assert [name[int(p)] for p in unpack(positions)] == [b"a", b"b", b"a", b"b", b"c"]
+
+
+def test_blocks_with_equal_words_and_ids_stay_apart(spark, library):
+    """Two partitions of the same ids, words and positions that only differ in where documents end."""
+    parts = [[(1, "a b"), (1, " c")], [(1, "a"), (1, " b c")]]
+    for rows in (parts, [[(None, t) for _, t in part] for part in parts]):
+        df = spark.createDataFrame(spark.sparkContext.parallelize([r for part in rows for r in part], 2), "doc_id bigint, text string")
+        assert df.rdd.glom().map(len).collect() == [2, 2]
+        texts = Counter(t for part in rows for _, t in part)
+        encoded = bpe.decode(bpe.encode(df, RANKS, PATTERN), RANKS)
+        assert Counter(bytes(r.decoded).decode() for r in encoded.collect()) == texts
+        counts = bpe.token_counts(df, MODEL, PATTERN)
+        model = tokenizers.Tokenizer.from_file(MODEL)
+        assert Counter((r.n_bytes, r.n_tokens) for r in counts.collect()) == Counter((len(t), len(model.encode(t).ids)) for t in texts.elements())
