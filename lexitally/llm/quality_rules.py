@@ -1,13 +1,16 @@
 """Quality rules whose cutoffs carry a guarantee: risk-controlled thresholds.
 
-Each rule rejects texts whose measure is at or above a cutoff. Labelled documents are halved by a hash
-of their id. One half proposes, for each stratum (language) and rule, the cutoff that catches most at
-little harm. The other, the holdout, decides how far a stratum may go there: all its rules together are
-tested from the mildest setting on (each cutoff the same number of steps above its proposal), and a
-setting passes while the exact binomial (Clopper-Pearson) upper bound of its false rejections is at
-most ``risk``. Testing stops at the first that fails, so this order needs no correction; Bonferroni's
-covers the strata. With chance ``1 - delta`` at least, the rules reject at most ``risk`` of the good
-documents of every stratum that pass the base rules.
+Each rule rejects texts whose measure is at or above a cutoff. Labelled texts, equal ones counted once, are
+halved by a hash of the text, so that no text is on both sides. One half proposes, for each stratum (language)
+and rule, the cutoff that catches most at little harm. The other, the holdout, decides how far a stratum may go
+there: all its rules together are tested from the mildest setting on (each cutoff the same number of steps above
+its proposal), and a setting passes while the exact binomial (Clopper-Pearson) upper bound of its false
+rejections is at most ``risk``. Testing stops at the first that fails, so this order needs no correction;
+Bonferroni's covers the strata. With chance ``1 - delta`` at least, the rules reject at most ``risk`` of the good
+texts of every stratum that pass the base rules.
+
+Every stratum is tested by itself. One with fewer good texts in its holdout than the bound needs even if none is
+rejected is never tested: its rules are off, and it doesn't count among the tests.
 """
 
 from __future__ import annotations
@@ -18,10 +21,11 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexitally.llm.common import Batches, utf8, with_columns
+from lexitally.llm.common import Batches, named, nested, source_key, unnested, utf8
 from lexitally.sources.workdir import written
 
 #: Fixed by the base rules: what separates words, and the signs counted as symbols.
@@ -30,11 +34,10 @@ _BESIDE = SPACE + bytes(range(0x80, 0xC0))  # with these taken out each code poi
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Cutoffs are these many steps of a measure's full scale.
 STEPS = 200
-#: Strata that are tested by themselves, the largest by labels; all further ones are tested as one.
-OWN_STRATA = 1000
 #: In a proposal a false rejection weighs so many catches.
 CAUTION = 5.0
-REST, OFF = "\x00rest", 10 * STEPS
+#: A cutoff that no text reaches.
+OFF = 10 * STEPS
 
 #: Rules: a measure of the text and the value at its full scale.
 RULES = {
@@ -99,21 +102,27 @@ def steps(measures: tuple[float, ...]) -> list[int]:
 
 
 def measured(docs: DataFrame, id_col: str, text_col: str, stratum_col: str) -> DataFrame:
-    """``doc_id, stratum``, the base counts, ``base_failed`` and ``steps array<int>`` for each row."""
+    """``doc_id, stratum``, the base counts, ``base_failed``, ``steps array<int>`` and ``same``, a hash of the words, for each row."""
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            found = [measure(t) for t in utf8(batch.column(2))]
+            texts = utf8(batch.column(2))
+            found = [measure(t) for t in texts]
             base = [pa.array([b[i] for b, _ in found], pa.int64()) for i in range(len(BASE))]
             failed = pa.array([base_failed(b[0], b[4]) for b, _ in found], pa.bool_())
             level = pa.array([steps(m) for _, m in found], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *base, failed, level], names=["doc_id", "stratum", *BASE, "base_failed", "steps"])
+            same = pa.array([xxhash.xxh3_64_intdigest(b" ".join(t.split())) >> 1 for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *base, failed, level, same], names=["doc_id", "stratum", *BASE, "base_failed", "steps", "same"])
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), F.col(text_col).cast("string").alias("text"))
-    ddl = "doc_id long, stratum string, " + ", ".join(f"{n} long" for n in BASE) + ", base_failed boolean, steps array<int>"
+    slim = docs.select(named(id_col).cast("long").alias("doc_id"), stratum(stratum_col), named(text_col).cast("string").alias("text"))
+    ddl = "doc_id long, stratum string, " + ", ".join(f"{n} long" for n in BASE) + ", base_failed boolean, steps array<int>, same long"
     return slim.mapInArrow(run, ddl)
 
 
+def stratum(column: str) -> Column:
+    return source_key(named(column).cast("string")).alias("stratum")
+
+
 def at_most(k: int, n: int, p: float) -> float:
     """The chance of at most ``k`` hits in ``n`` trials of chance ``p``."""
     if k >= n:
@@ -151,20 +160,31 @@ def mildest_passing(excess: np.ndarray, risk: float, delta: float) -> int | None
     return last
 
 
-def cutoffs(features: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05) -> tuple[dict[str, list[int]], list[str]]:
-    """``(stratum -> cutoff of each rule, the strata that are tested by themselves)``; the others are REST.
+def least_trials(risk: float, delta: float) -> int:
+    """Trials from which on the bound can hold, namely with no hit."""
+    n = 1
+    while not bound_holds(0, n, risk, delta):
+        n += 1
+    return n
+
 
-    ``labels`` has ``doc_id, quality``; of a document labelled several times the mean counts (half and
-    more is good), null labels don't. The rows stay on the executors: tables of counts by step are
-    decided there too, and what comes to the driver is one row a stratum, OWN_STRATA + 1 at most.
+def cutoffs(features: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05) -> DataFrame:
+    """``stratum, limits``: the cutoff of each rule, a row for each stratum that was tested and passed.
+
+    ``labels`` has ``doc_id, quality``; of a document labelled several times, and of a text that several
+    documents have, the mean counts (half and more is good), null labels don't. Rows stay on the executors:
+    tables of counts by step are decided there too.
     """
     labels = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.avg("quality").alias("quality")).where("quality IS NOT NULL")
-    known = features.where("NOT base_failed").join(labels.select("doc_id", (F.col("quality") >= 0.5).alias("good")), "doc_id")
-    known = known.withColumn("holdout", F.pmod(F.xxhash64(F.lit("holdout"), "doc_id"), F.lit(2)) == 1)
-    known = written(known.select("stratum", "good", "holdout", "steps"), "rule-labelled")
-    largest = known.groupBy("stratum").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "stratum").limit(OWN_STRATA)
-    own = [r.stratum for r in largest.collect()]
-    known = known.withColumn("stratum", F.when(F.col("stratum").isin(own), F.col("stratum")).otherwise(F.lit(REST)))
+    known = features.where("NOT base_failed").join(labels, "doc_id")
+    known = known.groupBy("stratum", "same").agg((F.avg("quality") >= 0.5).alias("good"), F.min("steps").alias("steps"))
+    known = known.withColumn("holdout", F.pmod(F.xxhash64(F.lit("holdout"), "same"), F.lit(2)) == 1)
+    known = written(known, "rule-labelled")
+    least = least_trials(risk, delta)
+    tested = known.where("holdout AND good").groupBy("stratum").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    tested = written(tested.select("stratum"), "rule-strata")
+    tests = max(1, tested.count())
+    known = known.join(tested, "stratum", "left_semi")
 
     def proposals(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         good, bad = (np.bincount(rows.step[rows.good == g], weights=rows.n[rows.good == g], minlength=STEPS + 1) for g in (True, False))
@@ -175,59 +195,54 @@ def cutoffs(features: DataFrame, labels: DataFrame, risk: float = 0.05, delta: f
     proposed = counts.groupBy("stratum", "rule").applyInPandas(proposals, "stratum string, rule int, cutoff int")
     proposed = written(proposed.groupBy("stratum").agg(F.sort_array(F.collect_list(F.struct("rule", "cutoff"))).alias("r")).select("stratum", F.col("r.cutoff").alias("cutoffs")), "rule-proposals")
     over = F.array_max(F.transform(F.arrays_zip("steps", "cutoffs"), lambda x: x["steps"] - x["cutoffs"]))
-    held = known.where("holdout AND good").join(F.broadcast(proposed), "stratum").select("stratum", F.greatest(over + 1, F.lit(0)).alias("excess"))
+    held = known.where("holdout AND good").join(proposed, "stratum").select("stratum", F.greatest(over + 1, F.lit(0)).alias("excess"))
     held = held.groupBy("stratum", "excess").agg(F.count(F.lit(1)).alias("n"))
-    tests = len(own) + 1
 
     def decide(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         excess = np.bincount(rows.excess, weights=rows.n, minlength=STEPS + 2)
         above = mildest_passing(excess, risk, delta / tests)
         return pd.DataFrame({"stratum": [key[0]], "above": [OFF if above is None else above]})
 
-    above = {r.stratum: r.above for r in held.groupBy("stratum").applyInPandas(decide, "stratum string, above int").collect()}
-    return {r.stratum: [c + above.get(r.stratum, OFF) for c in r.cutoffs] for r in proposed.collect()}, own
+    passed = held.groupBy("stratum").applyInPandas(decide, "stratum string, above int").where(F.col("above") < OFF)
+    limits = proposed.join(passed, "stratum").select("stratum", F.expr("transform(cutoffs, c -> c + above)").alias("limits"))
+    return written(limits, "rule-limits")  # so that Spark knows its size, and only broadcasts it below its limit
 
 
 def rejected(level: Column, limits: Column) -> Column:
-    """Whether any rule's step reaches its cutoff."""
-    return F.exists(F.arrays_zip(level.alias("step"), limits.alias("cutoff")), lambda x: x["step"] >= x["cutoff"])
+    """Whether any rule's step reaches its cutoff; without cutoffs, none does."""
+    return limits.isNotNull() & F.exists(F.arrays_zip(level.alias("step"), limits.alias("cutoff")), lambda x: x["step"] >= x["cutoff"])
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept`` for each row.
 
-    Null and wordless texts fail the base rules. Null strata are one stratum. With too few labels to
-    bound a stratum's risk its rules are off: no document is rejected on thin evidence. Rows with equal ids are
-    judged one by one.
+    Null and wordless texts fail the base rules; texts of any length are measured whole. Null strata are one
+    stratum. With too few labels to bound a stratum's risk its rules are off: no document is rejected on thin evidence.
+    Rows with equal or null ids and equal rows are judged one by one. An empty table gives an empty one. Other
+    columns aren't read.
     """
     features = written(measured(docs, id_col, text_col, stratum_col), "rule-measures")
-    limits, own = cutoffs(features, labels, risk, delta)
-    off = [OFF] * len(RULES)
-    rows = [(s, limits.get(s, off)) for s in own] + [(REST, limits.get(REST, off))]
-    table = docs.sparkSession.createDataFrame(rows, "__tested string, limits array<int>")
-    tested = F.when(F.col("stratum").isin(own), F.col("stratum")).otherwise(F.lit(REST))
-    judged = features.withColumn("__tested", tested).join(F.broadcast(table), "__tested")  # OWN_STRATA + 1 rows at most
+    judged = features.join(cutoffs(features, labels, risk, delta), "stratum", "left")
     kept = ~F.col("base_failed") & ~rejected(F.col("steps"), F.col("limits"))
     return judged.select("doc_id", *BASE, "base_failed", kept.alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, unchanged. The texts are measured twice rather than shuffled."""
+    """The rows of ``docs`` that the rules keep, unchanged, judged as ``quality_verdicts`` does.
+
+    All columns are kept, whatever their names. The texts are measured twice rather than shuffled.
+    """
     features = written(measured(docs, id_col, text_col, stratum_col), "rule-measures")
-    limits, own = cutoffs(features, labels, risk, delta)
-    off = [OFF] * len(RULES)
-    tested = {s: limits.get(s, off) for s in own}
-    rest = limits.get(REST, off)
+    limits = cutoffs(features, labels, risk, delta)
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            strata = batch.column(batch.schema.names.index("__stratum")).to_pylist()
             keep = []
-            for stratum, text in zip(strata, utf8(batch.column(batch.schema.names.index("__text"))), strict=True):
+            for limit, text in zip(batch.column(1).to_pylist(), utf8(batch.column(2)), strict=True):
                 base, measures = measure(text)
-                limit = tested.get(stratum, rest)
-                keep.append(not base_failed(base[0], base[4]) and not any(s >= c for s, c in zip(steps(measures), limit, strict=True)))
-            yield with_columns(batch, __keep=pa.array(keep, pa.bool_()))
+                keep.append(not base_failed(base[0], base[4]) and not (limit and any(s >= c for s, c in zip(steps(measures), limit, strict=True))))
+            yield batch.select(["row"]).filter(pa.array(keep, pa.bool_()))
 
-    keyed = docs.withColumns({"__stratum": F.coalesce(F.col(stratum_col).cast("string"), F.lit("")), "__text": F.col(text_col).cast("string"), "__keep": F.lit(True)})
-    return keyed.mapInArrow(run, keyed.schema).where("__keep").select(*docs.columns)
+    keyed = docs.select(nested(docs), stratum(stratum_col), named(text_col).cast("string").alias("text")).join(limits, "stratum", "left")
+    kept = keyed.select("row", "limits", "text").mapInArrow(run, keyed.select("row").schema)
+    return kept.select(*unnested(docs))

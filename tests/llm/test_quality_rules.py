@@ -1,14 +1,16 @@
 import math
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from lexitally.llm.quality_rules import OFF, STEPS, at_most, bound_holds, keep_good, measure, mildest_passing, propose, quality_verdicts
+from lexitally.llm.quality_rules import CAUTION, OFF, RULES, STEPS, at_most, base_failed, bound_holds, cutoffs, keep_good, measure, measured, mildest_passing, propose, quality_verdicts, steps
 from tests.llm.edge import ROWS, documents, no_documents
 
 
@@ -90,3 +92,84 @@ def test_propose():
     assert propose(good, bad) == 50
     assert propose(good, np.zeros(STEPS + 1)) == OFF
     assert propose(good + 1, np.r_[100, np.zeros(STEPS)]) == OFF
+
+
+def expected_limits(rows, quality, risk=0.05, delta=0.05):
+    """The cutoffs from the definitions, one stratum after another, bound by bound."""
+    halves = defaultdict(lambda: ([], []))
+    texts = defaultdict(list)
+    for i, text, lang, *_ in rows:
+        if i in quality and not base_failed(*(brute(text)[j] for j in (0, 4))):
+            texts[lang, " ".join((text or "").split())].append(quality[i])
+    for (lang, text), given in texts.items():
+        same = xxhash.xxh3_64_intdigest(text.encode()) >> 1
+        halves[lang][in_holdout(same)].append((sum(given) / len(given) >= 0.5, steps(measure(text.encode())[1])))
+    tested = {lang: h for lang, h in halves.items() if 0.95 ** sum(g for g, _ in h[1]) <= delta}
+    out = {}
+    for lang, (half, holdout) in tested.items():
+        cut = []
+        for rule in range(len(RULES)):
+            best, gain = OFF, 0
+            for c in range(1, STEPS + 1):
+                share = [sum(s[rule] >= c for g, s in half if g == kind) / max(1, sum(g == kind for g, _ in half)) for kind in (False, True)]
+                if share[0] - CAUTION * share[1] > 0 and share[0] - CAUTION * share[1] >= gain - 1e-12:
+                    best, gain = c, share[0] - CAUTION * share[1]
+            cut.append(best)
+        good, passing = [s for g, s in holdout if g], None
+        for above in range(STEPS, -1, -1):
+            hits = sum(any(x >= c + above for x, c in zip(s, cut, strict=True)) for s in good)
+            if not bound_holds(hits, len(good), risk, delta / len(tested)):
+                break
+            passing = above
+        if passing is not None:
+            out[lang] = [c + passing for c in cut]
+    return out
+
+
+_SPLIT = {}
+
+
+def in_holdout(same):
+    return _SPLIT[same]
+
+
+def test_cutoffs_and_verdicts_against_brute_force(spark):
+    df, labels, quality = labelled(spark, 900, 5)
+    rows = [tuple(r)[:5] for r in df.collect()]
+    rows += [(2000 + i, rows[i][1], rows[i][2], "s", 0) for i in range(0, 300, 3)]  # copies, some of them labelled otherwise
+    quality |= {2000 + i: int(i % 2 == 0) for i in range(0, 300, 3)}
+    df = documents(spark, rows)
+    labels = spark.createDataFrame(list(quality.items()), "doc_id bigint, quality int")
+    hashes = {xxhash.xxh3_64_intdigest(" ".join((r[1] or "").split()).encode()) >> 1 for r in rows}
+    split = spark.createDataFrame([(h,) for h in hashes], "same long").withColumn("half", F.pmod(F.xxhash64(F.lit("holdout"), "same"), F.lit(2)))
+    _SPLIT.update({r.same: r.half for r in split.collect()})
+    limits = expected_limits(rows, quality)
+    found = cutoffs(measured(df, "doc_id", "text", "lang"), labels).collect()
+    assert {r.stratum: r.limits for r in found} == {"" if k is None else f"={k}": v for k, v in limits.items()} and len(limits) == 3
+    kept = Counter()
+    for i, text, lang, *_ in rows:
+        base, measures = measure((text or "").encode())
+        kept[i, not base_failed(base[0], base[4]) and not any(x >= c for x, c in zip(steps(measures), limits.get(lang, [OFF] * len(RULES)), strict=True))] += 1
+    assert Counter((r.doc_id, r.kept) for r in quality_verdicts(df, labels).collect()) == kept
+
+
+def test_many_strata_are_tested_one_by_one(spark):
+    """Each of 1,200 languages by itself: those with few or no labels have no rules, however many there are."""
+    rows, quality = [], {}
+    for i in range(2400):
+        rows.append((i, " ".join(f"w{i}x{j}" + "###" * (i % 2) for j in range(60)), f"l{i % 1200}", "s", 0))
+        quality[i] = 1
+    for i in range(2400, 4000):
+        bad = i % 4 == 0
+        rows.append((i, " ".join(f"w{i}x{j}" + "###" * bad for j in range(60)), "rich", "s", 0))
+        quality[i] = int(not bad)
+    labels = spark.createDataFrame(list(quality.items()), "doc_id bigint, quality int")
+    got = {r.doc_id: r.kept for r in quality_verdicts(documents(spark, rows), labels).collect()}
+    assert got == {i: i < 2400 or i % 4 != 0 for i in range(4000)}
+
+
+def test_names_that_clash(spark):
+    df, labels, truth = labelled(spark, 800)
+    odd = df.select("doc_id", "text", "lang", *[F.lit(i).alias(n) for i, n in enumerate(("row", "limits", "__text", "__keep", "__stratum", "a.b", "same"))])
+    kept = keep_good(odd, labels)
+    assert kept.columns == odd.columns and {(r.doc_id, r["a.b"]) for r in kept.collect()} == {(k, 5) for k, v in truth.items() if v}
