@@ -16,17 +16,17 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from lexitally.llm.common import row_id, running_start, source_key
-from lexitally.llm.sharding import bucket_bits
+from lexitally.llm.common import named, nested, row_id, running_start, source_key, unnested
 from lexitally.sources.workdir import written
 
 #: Words of a text. Fixed by the definition of a document's size.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Slots of a schedule and slots for each source, at least: they set the grain, not the size, of a mix.
+#: Blocks of all sources, and of each, at least: they set the grain, not the size, of a mix. A small source's blocks are
+#: smaller, so that its target too is many slots.
 SLOTS, SLOTS_A_SOURCE = 1 << 17, 64
-HASH_BITS = 60
+#: Slots are shared out in such parts of one, as whole numbers.
+GRAIN = 1 << 20
 GOLDEN = (math.sqrt(5) - 1) / 2
 
 
@@ -48,18 +48,18 @@ def targets(sources: DataFrame, share: float = 1.0, limit: float = 3.0) -> DataF
     With water level x, a source gets min(cap, weight * x): in order of cap / weight the first ones
     are full and the level follows from the rest, which running sums over the sources give at once.
     """
-    place = F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source")))
-    weighed = sources.withColumn("weight", (F.pmod(place - 1, F.lit(3)) + 1).cast("double"))
-    weighed = weighed.withColumns({"cap": F.col("source_size") * limit, "budget": F.sum("source_size").over(Window.partitionBy()) * share})
-    by_level = Window.orderBy(F.col("cap") / F.col("weight"), "key")
-    before = by_level.rowsBetween(Window.unboundedPreceding, -1)
-    onward = by_level.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    level = (F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(onward)
-    leveled = weighed.withColumn("level", level)
+    order = sources.withColumn("none", F.col("source").isNull())
+    weighed = running_start(order, [], ["none", "source"], F.lit(1), "place").withColumn("weight", F.pmod("place", F.lit(3)) + 1)
+    weighed = written(weighed.withColumns({"cap": F.col("source_size") * limit, "fills": F.col("source_size") * limit / F.col("weight")}).drop("none", "place"), "mix-weights")
+    words, weights = weighed.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    fuller = running_start(weighed, [], ["fills", "key"], F.col("source_size"), "words_before")
+    fuller = running_start(written(fuller, "mix-fuller"), [], ["fills", "key"], F.col("weight"), "weight_before")
+    level = (F.lit(float(words)) * share - F.col("words_before") * limit) / (F.lit(weights) - F.col("weight_before"))
+    leveled = written(fuller.withColumn("level", level), "mix-levels")
     # the first source that its level doesn't fill sets it; further on the levels only fall
-    fits = F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(Window.partitionBy())
-    target = F.least(F.col("cap"), F.coalesce(fits, F.lit(float("inf"))) * F.col("weight"))
-    return leveled.withColumn("target", target).select("key", "source", "source_size", "weight", "target")
+    fits = leveled.agg(F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level")))).first()[0]
+    target = F.least(F.col("cap"), F.lit(float("inf") if fits is None else fits) * F.col("weight"))
+    return leveled.select("key", "source", "source_size", F.col("weight").cast("double").alias("weight"), target.alias("target"))
 
 
 def schedule(blocks: DataFrame, slots: int, cells: int = 1024) -> DataFrame:
@@ -75,42 +75,39 @@ def schedule(blocks: DataFrame, slots: int, cells: int = 1024) -> DataFrame:
     points = spark.range(slots).select(F.col("id").alias("slot"), (u - F.floor(u)).alias("u"))
     points = points.withColumn("cell", F.floor(F.col("u") * cells))
     hit = points.join(intervals, "cell").where("u >= low AND u < high").select("slot", "key")
-    hit = hit.withColumn("bucket", F.shiftright("slot", 10))
-    return running_start(hit, ["key"], "bucket", ["slot"], F.lit(1), "rank").select("slot", "key", "rank")
+    return running_start(hit, ["key"], ["slot"], F.lit(1), "rank").select("slot", "key", "rank")
 
 
 def mix(docs: DataFrame, share: float = 1.0, limit: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``doc_id, size, source, source_size, target, taken`` for each row of ``docs``.
 
-    ``size`` counts words; null and wordless texts have none and are never taken. Null sources are a
-    source of their own. Rows with equal ids, and equal rows, are mixed as separate rows. Reruns
-    agree. An empty table gives an empty one.
+    ``size`` counts words; null and wordless texts have none and are never taken; a very long text lies in many
+    blocks. Null sources are a source of their own. Rows with equal ids, and equal rows, are mixed as separate
+    rows. Reruns agree. An empty table gives an empty one. Columns besides these three aren't read.
     """
-    text = F.col(text_col).cast("string")
+    text = named(text_col).cast("string")
     slim = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
+        named(id_col).cast("long").alias("doc_id"),
         word_count(text).alias("size"),
-        shuffled_by(seed, F.col(id_col).cast("long"), text).alias("h"),
-        F.col(source_col).cast("string").alias("source"),
+        shuffled_by(seed, named(id_col).cast("long"), text).alias("h"),
+        named(source_col).cast("string").alias("source"),
     )
     slim = written(slim.withColumn("key", source_key(F.col("source"))), "mix-rows")
-    sources = slim.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
-    aimed = written(targets(sources, share, limit).join(sources.select("key", "n"), "key"), "mix-targets")
-    rows, words, kinds, wanted = slim.count(), *aimed.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum("target"), F.lit(0.0))).first()
+    sources = written(slim.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size")), "mix-sources")
+    aimed = written(targets(sources, share, limit), "mix-targets")
+    words, kinds = aimed.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.count(F.lit(1))).first()
     aim = max(1.0, words / max(SLOTS, SLOTS_A_SOURCE * kinds))  # words of a block
-    cut = aimed.where("source_size > 0").withColumn("blocks", F.greatest(F.lit(1), F.round(F.col("source_size") / aim)).cast("long"))
-    cut = cut.withColumn("slots", F.col("target") * F.col("blocks") / F.col("source_size"))
-    edges = Window.orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
-    cut = cut.withColumns({"upto": F.sum("slots").over(edges), "all": F.sum("slots").over(Window.partitionBy())})
-    cut = cut.withColumn("high", F.when(F.col("upto") == F.max("upto").over(Window.partitionBy()), F.lit(1.0)).otherwise(F.col("upto") / F.col("all")))
-    cut = written(cut.withColumn("low", F.coalesce(F.lag("high").over(Window.orderBy("key")), F.lit(0.0))), "mix-blocks")
-    slots = int(round(cut.agg(F.coalesce(F.sum("slots"), F.lit(0.0))).first()[0]))
-    taken = schedule(cut.select("key", "low", "high"), slots, max(1024, kinds)).join(cut.select("key", "blocks"), "key")
+    blocks = F.greatest(F.least(F.lit(SLOTS_A_SOURCE), F.col("source_size")), F.round(F.col("source_size") / aim)).cast("long")
+    cut = aimed.where("source_size > 0").withColumn("blocks", blocks)
+    cut = written(cut.withColumn("parts", F.round(F.col("target") * F.col("blocks") / F.col("source_size") * GRAIN).cast("long")), "mix-blocks")
+    parts = cut.agg(F.coalesce(F.sum("parts"), F.lit(0))).first()[0]
+    edges = running_start(cut.select("key", "parts"), [], ["key"], F.col("parts"), "begin")
+    edges = edges.select("key", (F.col("begin") / F.lit(parts)).alias("low"), ((F.col("begin") + F.col("parts")) / F.lit(parts)).alias("high"))
+    taken = schedule(written(edges, "mix-edges"), round(parts / GRAIN), max(1024, kinds)).join(cut.select("key", "blocks"), "key")
     taken = taken.where(F.col("rank") < F.col("blocks") * limit)
     taken = taken.groupBy("key", F.expr("rank % blocks").alias("block")).agg(F.count(F.lit(1)).alias("times"))
 
-    laid = slim.where("size > 0").withColumn("bucket", F.shiftright("h", HASH_BITS - bucket_bits(rows)))
-    laid = running_start(laid, ["key"], "bucket", ["h", "doc_id", "size"], F.col("size"), "first")
+    laid = running_start(slim.where("size > 0"), ["key"], ["h", "doc_id", "size"], F.col("size"), "first")
     # block b of a source is [ceil(b * words / blocks), ceil((b + 1) * words / blocks)) of its stream
     inside = cut.select("key", "source_size", "blocks")
     parts = laid.join(inside, "key").withColumn("block", F.explode(F.expr("sequence(first * blocks div source_size, (first + size - 1) * blocks div source_size)")))
@@ -124,13 +121,17 @@ def mix(docs: DataFrame, share: float = 1.0, limit: int = 3, seed: int = 42, id_
     return everyone.join(about, "key").select("doc_id", "size", "source", "source_size", "target", "taken")
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The mix as documents: a row is repeated by the words taken of it over its size, rounded.
 
-    Rows of one id share what is taken of them equally; rows without an id are told apart by text.
+    Rows of one id share what is taken of them equally; rows without an id are told apart by text, so equal ones
+    share as well. Null, empty and wordless texts have no words to take and go. Texts of any length are repeated
+    whole. An empty table gives an empty one. All columns are kept, whatever their names.
     """
-    keyed = docs.withColumn("__row", row_id(F.col(id_col), F.lit("row"), F.col(text_col).cast("string")))
-    found = mix(keyed, id_col="__row", text_col=text_col, **how).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
-    times = found.where("size > 0").select(F.col("doc_id").alias("__row"), F.round(F.col("taken") / F.col("size")).cast("int").alias("__times"))
-    repeated = keyed.join(times.where("__times > 0"), "__row").withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-    return repeated.select(*docs.columns)
+    text = named(text_col).cast("string")
+    ident = row_id(named(id_col), F.lit("row"), text).alias("id")
+    found = mix(docs.select(ident, text.alias("text"), named(source_col).alias("source")), id_col="id", text_col="text", source_col="source", **how)
+    times = found.groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size")).where("size > 0")
+    times = times.select(F.col("doc_id").alias("id"), F.round(F.col("taken") / F.col("size")).cast("int").alias("times")).where("times > 0")
+    repeated = docs.select(nested(docs), ident).join(times, "id").withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return repeated.select(*unnested(docs))

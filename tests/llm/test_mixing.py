@@ -4,7 +4,9 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from lexitally.llm.mixing import GOLDEN, SLOTS, SLOTS_A_SOURCE, mix, mixed_documents, shuffled_by, targets
+from lexitally.llm.mixing import GOLDEN, GRAIN, SLOTS, SLOTS_A_SOURCE, mix, mixed_documents, shuffled_by, targets
+from lexitally.llm.sharding import interleaved_shards
+from lexitally.sources.workdir import written
 from tests.llm.edge import ROWS, documents, no_documents
 
 SF = "/root/testdata/sf0.001"
@@ -43,18 +45,18 @@ def brute(df):
     goal = fill(sizes, [i % 3 + 1 for i in range(len(names))])
     aim = max(1.0, sum(sizes) / max(SLOTS, SLOTS_A_SOURCE * len(names)))
     # half a block away from a whole number, Python and Spark could round otherwise; these data have none
-    blocks = [max(1, round(s / aim)) if s else 0 for s in sizes]
-    slots = [g * b / s if s else 0 for g, b, s in zip(goal, blocks, sizes, strict=True)]
+    blocks = [max(min(SLOTS_A_SOURCE, s), round(s / aim)) if s else 0 for s in sizes]
+    parts = [round(g * b / s * GRAIN) if s else 0 for g, b, s in zip(goal, blocks, sizes, strict=True)]
     by_key = sorted((i for i in range(len(names)) if sizes[i]), key=lambda i: "" if names[i] is None else "=" + names[i])
-    edges, low = [], 0.0
+    edges, low = [], 0
     for i in by_key:
-        edges.append((low, low + slots[i] / sum(slots), i))
-        low = edges[-1][1]
+        edges.append((low / sum(parts), (low + parts[i]) / sum(parts), i))
+        low += parts[i]
     ranks, taken = Counter(), Counter()
-    for slot in range(round(sum(slots))):
+    for slot in range(round(sum(parts) / GRAIN)):
         u = slot * GOLDEN + 0.5
         u -= math.floor(u)
-        i = next((i for a, b, i in edges if a <= u < b), edges[-1][2])
+        i = next(i for a, b, i in edges if a <= u < b)
         if ranks[i] < 3 * blocks[i]:
             taken[i, ranks[i] % blocks[i]] += 1
         ranks[i] += 1
@@ -85,6 +87,46 @@ def test_sources_come_near_their_targets(spark):
         assert abs(sum(r.taken for r in mine) - mine[0].target) <= 0.01 * mine[0].target + 20
 
 
+def test_small_sources_meet_their_targets(spark):
+    """A source of a hundredth of a thousandth of all words gets its share, too."""
+    rows = [(i, "w " * 900, None, "big", 0) for i in range(2000)] + [(9000 + i, "w " * 10, None, f"t{i // 4}", 0) for i in range(80)]
+    got = mix(documents(spark, rows)).groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken")).collect()
+    assert len(got) == 21 and all(abs(r.taken - r.target) <= 0.03 * r.target + 1 for r in got), got
+
+
+def test_equal_rows_are_dealt_evenly(spark, monkeypatch):
+    """Neither equal rows nor very many sources fill a part."""
+    from lexitally.llm import common
+
+    most = []
+
+    def watched(df, purpose):
+        out = written(df, purpose)
+        if purpose == "ranges":
+            n = [r["count"] for r in out.groupBy("__part").count().collect()]
+            most.append((max(n, default=0), sum(n)))
+        return out
+
+    monkeypatch.setattr(common, "written", watched)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        same = documents(spark, [(7, "a b", None, "s", 0)] * 20_000)
+        assert mix(same).agg(F.sum("taken"), F.count(F.lit(1))).first()[:] == (40_000, 20_000)
+        assert interleaved_shards(same, 10).groupBy("shard").count().where("count = 2000").count() == 10
+        many = documents(spark, [(i, "a", None, f"s{i}", 0) for i in range(20_000)])
+        assert interleaved_shards(many, 10).groupBy("shard").count().where("count = 2000").count() == 10
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert most and all(n <= 0.4 * total for n, total in most if total > 10_000), most
+
+
+def test_names_that_clash(spark):
+    df = spark.createDataFrame([(1, "a b c", "s")], "doc_id long, text string, source string")
+    df = df.select("*", *[F.lit(i).alias(n) for i, n in enumerate(("__row", "__time", "__times", "id", "a.b", "row"))])
+    got = mixed_documents(df)
+    assert got.columns == df.columns and [r["a.b"] for r in got.collect()] == [4]
+
+
 def test_edge_rows(spark):
     got = mix(documents(spark)).collect()
     assert Counter((r.doc_id, r["size"]) for r in got) == Counter((k, len((t or "").encode().split())) for k, t, *_ in ROWS)
