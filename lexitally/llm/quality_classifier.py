@@ -16,18 +16,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from lexitally.llm.common import Batches, utf8, with_columns
+from lexitally.llm.common import Batches, named, nested, unnested, utf8
+from lexitally.sources.workdir import written
 
 BITS = 18
 #: Bytes of a word's beginning.
 BEGINNING = 4
 #: Labelled rows that are used of each grade, at most: the fit's only bound.
 ROWS_A_GRADE = 4000
-#: The L2 penalty is PRIOR over the rows of the sample.
-ROUNDS, RATE, PRIOR = 300, 0.1, 0.5
-#: A feature must occur in so many rows of the sample, and in so large a share of them.
-LEAST_ROWS, LEAST_SHARE = 3, 1 / 300
+#: The L2 penalty is PRIOR over the rows of the sample. Rounds of the fit at most, pairs of steps that it remembers, and
+#: the length of the gradient, against that at the start, at which it ends.
+PRIOR, ROUNDS, REMEMBERED, SETTLED = 0.5, 120, 12, 1e-3
+#: A feature must occur in so many rows of the sample, and in so large a share of them; of more such features than
+#: MOST_FEATURES the most frequent are used.
+LEAST_ROWS, LEAST_SHARE, MOST_FEATURES = 3, 1 / 300, 1 << 15
 #: Words whose features a task remembers.
 KEPT_WORDS = 120_000
 
@@ -87,49 +91,107 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -50, 50)))
 
 
+class Likelihood:
+    """The penalised negative log-likelihood of graded rows, which hold numbers below ``size``.
+
+    Parameters: a weight for each number, the first threshold and the logarithms of the gaps between thresholds.
+    """
+
+    def __init__(self, rows: list[np.ndarray], size: int, grades: np.ndarray, weight: np.ndarray, top: int) -> None:
+        self.size, self.top, self.grades, self.weight, self.decay = size, top, grades, weight / weight.sum(), PRIOR / len(rows)
+        flat, owner = np.concatenate(rows).astype(np.int64), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        self.filled, self.begins = np.unique(owner, return_index=True)  # rows that hold anything, and where they begin
+        by_number = np.argsort(flat, kind="stable")
+        self.held, self.places = np.unique(flat[by_number], return_index=True)
+        self.flat, self.owners = flat, owner[by_number]
+
+    def thresholds(self, value: np.ndarray) -> np.ndarray:
+        return np.cumsum(np.r_[value[self.size], np.exp(value[self.size + 1 :])])
+
+    def at(self, value: np.ndarray) -> tuple[float, np.ndarray]:
+        """The loss and its gradient."""
+        grades, n = self.grades, np.arange(len(self.grades))
+        score, by_number = np.zeros(len(n)), np.zeros(self.size)
+        if len(self.flat):
+            score[self.filled] = np.add.reduceat(value[self.flat], self.begins)
+        tail = 1 / (1 + np.exp(np.clip(self.thresholds(value)[None, :] - score[:, None], -50, 50)))
+        full = np.c_[np.ones(len(n)), tail, np.zeros(len(n))]
+        p = np.maximum(full[n, grades] - full[n, grades + 1], 1e-12)
+        slope = full * (1 - full)  # of each tail by the score; 0 at both ends
+        by_score = -self.weight * (slope[n, grades] - slope[n, grades + 1]) / p
+        by_cut = np.zeros((len(n), self.top + 2))
+        by_cut[n, grades] += self.weight * slope[n, grades] / p
+        by_cut[n, grades + 1] -= self.weight * slope[n, grades + 1] / p
+        onward = np.cumsum(by_cut[:, 1:-1].sum(axis=0)[::-1])[::-1]  # a gap moves all later thresholds
+        weights = value[: self.size]
+        loss = -(self.weight * np.log(p)).sum() + self.decay / 2 * (weights**2).sum()
+        if len(self.flat):
+            by_number[self.held] = np.add.reduceat(by_score[self.owners], self.places)
+        return float(loss), np.r_[by_number + self.decay * weights, onward[0], onward[1:] * np.exp(value[self.size + 1 :])]
+
+
+def minimised(function, value: np.ndarray) -> np.ndarray:
+    """Limited-memory BFGS with a step that is halved until the loss falls enough."""
+    loss, gradient = function(value)
+    start, steps = np.linalg.norm(gradient), []
+    for _ in range(ROUNDS):
+        if np.linalg.norm(gradient) <= SETTLED * start:
+            break
+        direction, shares = -gradient, []
+        for s, y in reversed(steps):
+            shares.append((s @ direction) / (s @ y))
+            direction = direction - shares[-1] * y
+        if steps:
+            direction = direction * (steps[-1][0] @ steps[-1][1]) / (steps[-1][1] @ steps[-1][1])
+        for (s, y), share in zip(steps, reversed(shares), strict=True):
+            direction = direction + (share - (y @ direction) / (s @ y)) * s
+        slope, length = gradient @ direction, 1.0 if steps else 1 / max(1e-12, start)
+        while True:
+            new = value + length * direction
+            new_loss, new_gradient = function(new)
+            if new_loss <= loss + 1e-4 * length * slope or length < 1e-12:
+                break
+            length /= 2
+        s, y = new - value, new_gradient - gradient
+        if s @ y > 1e-14:
+            steps = [*steps, (s, y)][-REMEMBERED:]
+        if new_loss >= loss:
+            break
+        value, loss, gradient = new, new_loss, new_gradient
+    return value
+
+
+def frequent(counts: np.ndarray, rows: int) -> np.ndarray:
+    """The features that are used, ascending, from the rows of the sample that hold each."""
+    used = np.flatnonzero(counts >= max(LEAST_ROWS, LEAST_SHARE * rows))
+    return np.sort(used[np.lexsort((used, -counts[used]))][:MOST_FEATURES])
+
+
 def fit(rows: list[np.ndarray], grades: np.ndarray, weight: np.ndarray, top: int) -> OrdinalModel:
-    """Maximum likelihood with a small L2 penalty, by Adam over all rows. ``grades`` are 0 to ``top``."""
+    """Maximum likelihood with a small L2 penalty. ``grades`` are 0 to ``top``; rows hold features."""
     size = 1 << BITS
     if not len(rows):
         return OrdinalModel(np.zeros(size, np.float32), np.arange(-top, 0) * 10.0)
-    lengths = np.array([len(r) for r in rows])
-    flat = np.concatenate(rows) if lengths.sum() else np.zeros(0, np.int32)
-    used = np.bincount(flat, minlength=size) >= max(LEAST_ROWS, LEAST_SHARE * len(rows))
-    decay = PRIOR / len(rows)
-    owner = np.repeat(np.arange(len(rows)), lengths)[used[flat]]
-    flat = flat[used[flat]]
-    weight = weight / weight.sum()
-    # parameters: weights, the first threshold and the logarithms of the gaps between thresholds
-    value = np.zeros(size + top)
-    value[size] = -1.0
-    first, second = np.zeros_like(value), np.zeros_like(value)
-    n = np.arange(len(rows))
-    for round_ in range(1, ROUNDS + 1):
-        cuts = np.cumsum(np.r_[value[size], np.exp(value[size + 1 :])])
-        score = np.bincount(owner, weights=value[flat], minlength=len(rows))
-        tail = 1 / (1 + np.exp(np.clip(cuts[None, :] - score[:, None], -50, 50)))
-        full = np.c_[np.ones(len(rows)), tail, np.zeros(len(rows))]
-        p = np.maximum(full[n, grades] - full[n, grades + 1], 1e-12)
-        slope = full * (1 - full)  # of each tail by the score; 0 at both ends
-        by_score = -weight * (slope[n, grades] - slope[n, grades + 1]) / p
-        by_cut = np.zeros((len(rows), top + 2))
-        by_cut[n, grades] += weight * slope[n, grades] / p
-        by_cut[n, grades + 1] -= weight * slope[n, grades + 1] / p
-        by_cut = by_cut[:, 1:-1].sum(axis=0)
-        onward = np.cumsum(by_cut[::-1])[::-1]  # a gap moves all later thresholds
-        gradient = np.r_[np.bincount(flat, weights=by_score[owner], minlength=size) + decay * value[:size], onward[0], onward[1:] * np.exp(value[size + 1 :])]
-        first = 0.9 * first + 0.1 * gradient
-        second = 0.999 * second + 0.001 * gradient**2
-        value -= RATE * (first / (1 - 0.9**round_)) / (np.sqrt(second / (1 - 0.999**round_)) + 1e-8)
-    return OrdinalModel(value[:size].astype(np.float32), np.cumsum(np.r_[value[size], np.exp(value[size + 1 :])]))
+    used = frequent(np.bincount(np.concatenate(rows), minlength=size), len(rows))
+    place = np.full(size, -1, np.int64)
+    place[used] = np.arange(len(used))
+    model = Likelihood([at[at >= 0] for at in (place[r] for r in rows)], len(used), grades, weight, top)
+    start = np.zeros(len(used) + top)
+    start[len(used)] = -1.0
+    value = minimised(model.at, start)
+    weights = np.zeros(size, np.float32)
+    weights[used] = value[: len(used)]
+    return OrdinalModel(weights, model.thresholds(value))
 
 
 def train(docs: DataFrame, ratings: DataFrame, top: int, rows_a_grade: int = ROWS_A_GRADE, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
     """A model from ``ratings`` (``doc_id, grade`` from 0 to ``top``), at most ``rows_a_grade`` of each, by hash of the id.
 
     Of several ratings of a document the lowest counts; null ones don't. Of several texts with one id the
-    first in order is read. Weights restore the grades'
-    shares in all ratings. Without any ratings every text gets the top grade.
+    first in order is read; null counts as empty. Weights restore the grades' shares in all ratings. Without any
+    ratings every text gets the top grade. Features of whole texts are counted and cut to the used ones by tasks;
+    what comes to the driver is bounded by MOST_FEATURES counts and, for each row of the sample, its used
+    features as numbers or as MOST_FEATURES bits, whichever is shorter.
     """
     known = ratings.where("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
     totals = {r.grade: r.n for r in known.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -142,17 +204,52 @@ def train(docs: DataFrame, ratings: DataFrame, top: int, rows_a_grade: int = ROW
     def run(batches: Batches) -> Batches:
         features = Features()
         for batch in batches:
-            rows = [features.of(t).tobytes() for t in utf8(batch.column(1))]
+            rows = [np.sort(features.of(t)).tobytes() for t in utf8(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["grade", "features"])
 
     # the sample has at most (top + 1) * rows_a_grade ids, so it is broadcast and no text is shuffled
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).cast("string").alias("text"))
     texts = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min("text").alias("text")).select("grade", "text")
-    taken = sorted((r.grade, bytes(r.features)) for r in texts.mapInArrow(run, "grade int, features binary").collect())
+    sample = written(texts.mapInArrow(run, "grade int, features binary"), "rated-features")
+
+    def tally(batches: Batches) -> Batches:
+        counts = np.zeros(1 << BITS, np.int64)
+        for batch in batches:
+            for row in batch.column(0):
+                counts[np.frombuffer(row.as_buffer(), np.int32)] += 1
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["feature", "n"])
+
+    n = sample.count()
+    seen = sample.select("features").mapInArrow(tally, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    seen = seen.where(F.col("n") >= max(LEAST_ROWS, LEAST_SHARE * n)).orderBy(F.desc("n"), "feature").limit(MOST_FEATURES).toArrow()
+    used = np.sort(seen.column("feature").to_numpy()).astype(np.int32)
+
+    def cut(batches: Batches) -> Batches:
+        for batch in batches:
+            rows = [packed(np.flatnonzero(np.isin(used, np.frombuffer(row.as_buffer(), np.int32), assume_unique=True))) for row in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["grade", "features"])
+
+    taken = sorted((r.grade, bytes(r.features)) for r in sample.mapInArrow(cut, "grade int, features binary").collect())
     grades = np.array([g for g, _ in taken], np.int64)
     count = np.bincount(grades, minlength=top + 1)
     weight = np.array([totals[g] / count[g] for g in grades])
-    return fit([np.frombuffer(f, np.int32) for _, f in taken], grades, weight, top)
+    return fit([used[unpacked(f)] for _, f in taken], grades, weight, top)
+
+
+def packed(places: np.ndarray) -> bytes:
+    """Ascending numbers below MOST_FEATURES, as they are or as bits."""
+    if 2 * len(places) <= MOST_FEATURES // 8:
+        return b"n" + places.astype("<u2").tobytes()
+    bits = np.zeros(MOST_FEATURES, np.uint8)
+    bits[places] = 1
+    return b"b" + np.packbits(bits).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    if data[:1] == b"n":
+        return np.frombuffer(data, "<u2", offset=1).astype(np.int64)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, offset=1)))
 
 
 def grade(docs: DataFrame, model: OrdinalModel, select: int, least: float = 0.5, text_col: str = "text", names: tuple[str, str, str] = ("expected_grade", "tail_probability", "kept")) -> DataFrame:
@@ -160,26 +257,38 @@ def grade(docs: DataFrame, model: OrdinalModel, select: int, least: float = 0.5,
 
     The columns are called ``names`` and replace any of these names. A row is kept if the tail is at
     least ``least``. Null counts as an empty text; texts without words have no features and go by the
-    thresholds alone.
+    thresholds alone; texts of any length are read whole. Rows with equal or null ids and equal rows are judged one by one.
+    An empty table gives an empty one.
     """
     expected, likely, kept = names
+    run = _graded(model, select, least)
+    keyed = docs.select(nested(docs), named(text_col).cast("string").alias("text"))
+    found = keyed.mapInArrow(run, _graded_type(keyed))
+    others = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in names]
+    return found.select(*others, F.col("expected").alias(expected), F.col("tail").alias(likely), F.col("kept").alias(kept))
+
+
+def _graded_type(keyed: DataFrame) -> StructType:
+    return StructType([keyed.schema["row"], StructField("expected", DoubleType()), StructField("tail", DoubleType()), StructField("kept", BooleanType())])
+
+
+def _graded(model: OrdinalModel, select: int, least: float):
+    """From batches of ``row, text`` to those of ``row, expected, tail, kept``."""
 
     def run(batches: Batches) -> Batches:
         features, weights = Features(), model.weights
         for batch in batches:
-            texts = utf8(batch.column(batch.schema.names.index("__text")))
-            tails = model.tails(np.array([weights[features.of(t)].sum(dtype=np.float64) for t in texts], float))
+            tails = model.tails(np.array([weights[features.of(t)].sum(dtype=np.float64) for t in utf8(batch.column(1))], float))
             tail = tails[:, select - 1]
-            yield with_columns(batch, **{expected: pa.array(tails.sum(axis=1)), likely: pa.array(tail), kept: pa.array(tail >= least)})
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tails.sum(axis=1)), pa.array(tail), pa.array(tail >= least)], names=["row", "expected", "tail", "kept"])
 
-    new = {expected: F.lit(0.0), likely: F.lit(0.0), kept: F.lit(True)}
-    keyed = docs.withColumn("__text", F.col(text_col).cast("string")).drop(*new).withColumns(new)
-    return keyed.mapInArrow(run, keyed.schema).drop("__text")
+    return run
 
 
 def keep_graded(docs: DataFrame, model: OrdinalModel, select: int, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that reach grade ``select``, unchanged."""
-    return grade(docs, model, select, least, text_col, ("__expected", "__likely", "__kept")).where("__kept").select(*docs.columns)
+    """The rows of ``docs`` that reach grade ``select``, unchanged, judged as ``grade`` does; all columns are kept, whatever their names."""
+    keyed = docs.select(nested(docs), named(text_col).cast("string").alias("text"))
+    return keyed.mapInArrow(_graded(model, select, least), _graded_type(keyed)).where("kept").select(*unnested(docs))
 
 
 def ratings_of(labels: DataFrame) -> DataFrame:

@@ -1,6 +1,9 @@
+import math
+
 import numpy as np
+from pyspark.sql import functions as F
 
-from lexitally.llm.quality_classifier import Features, fit, grade, keep_graded, ratings_of, train
+from lexitally.llm.quality_classifier import MOST_FEATURES, Features, Likelihood, fit, grade, keep_graded, packed, ratings_of, train, unpacked
 from tests.llm.edge import ROWS, documents, no_documents
 
 SF = "/root/testdata/sf0.01"
@@ -41,6 +44,38 @@ def test_gradient_is_the_likelihoods():
     assert np.allclose(p, [0.25, 0.75], atol=0.03)
 
 
+def test_gradient_against_differences():
+    rng = np.random.default_rng(6)
+    rows = [np.flatnonzero(rng.random(9) < 0.4) for _ in range(30)]
+    model = Likelihood(rows, 9, rng.integers(0, 4, 30), rng.random(30) + 0.5, 3)
+    value = rng.normal(size=12)
+    loss, gradient = model.at(value)
+    # the loss from its definition
+    cuts = np.cumsum(np.r_[value[9], np.exp(value[10:])])
+    whole = 0.0
+    for row, g, w in zip(rows, model.grades, model.weight, strict=True):
+        tails = [1.0, *(1 / (1 + math.exp(c - value[row].sum())) for c in cuts), 0.0]
+        whole -= w * math.log(tails[g] - tails[g + 1])
+    assert math.isclose(loss, whole + 0.5 / 30 / 2 * (value[:9] ** 2).sum(), rel_tol=1e-9)
+    for i in range(12):
+        step = np.eye(12)[i] * 1e-5
+        assert math.isclose(gradient[i], (model.at(value + step)[0] - model.at(value - step)[0]) / 2e-5, rel_tol=1e-4, abs_tol=1e-8)
+
+
+def test_packing():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2047, 2048, 2049, 32768):
+        places = np.sort(rng.choice(MOST_FEATURES, n, replace=False))
+        assert len(packed(places)) <= 1 + MOST_FEATURES // 8 and (unpacked(packed(places)) == places).all()
+
+
+def test_names_that_clash(spark):
+    df = spark.createDataFrame([(1, "a b c")], "doc_id long, text string").select("*", *[F.lit(i).alias(n) for i, n in enumerate(("__text", "row", "tail", "a.b", "__kept"))])
+    model = train(df, spark.createDataFrame([(1, 2)], "doc_id long, grade int"), 2)
+    assert keep_graded(df, model, 2).columns == df.columns and keep_graded(df, model, 2).first()["a.b"] == 3
+    assert grade(df, model, 2).columns == [*df.columns, "expected_grade", "tail_probability", "kept"]
+
+
 def test_features():
     f = Features()
     a, b = set(f.of(b"The cat sat.").tolist()), set(f.of(b"the CAT, sat").tolist())
