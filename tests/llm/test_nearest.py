@@ -5,6 +5,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from lexitally.llm import nearest as nearest_module
 from lexitally.llm.nearest import Codes, bounds, nearest
 
 
@@ -37,7 +38,7 @@ def test_against_brute_force(spark):
     bad = [(601, None), (602, [0.0] * 6), (603, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (604, [math.nan] + [1.0] * 5), (605, [math.inf] + [1.0] * 5), (606, []), (None, [9.0] * 6)]
     rows = [r for r in rows if any(r[1])]
     queries = [r for r in rows if r[0] % 20 == 0]
-    for blocks in ((4096, 8192), (5, 37)):
+    for blocks in ((None, None), (5, 37)):
         got = nearest(table(spark, queries + bad), table(spark, rows + bad), 20, *blocks).collect()
         assert sorted(map(tuple, got)) == sorted((q, r, v, s) for q, r, v, s in brute(rows, queries, 20))
 
@@ -50,6 +51,43 @@ def test_repeated_rows_and_empty(spark):
     assert nearest(none, table(spark, rows)).collect() == [] and nearest(table(spark, rows), none).collect() == []
 
 
+def test_huge_and_tiny_components(spark):
+    rows = [(1, [1e200, 1.0]), (2, [1e200, 2.0]), (3, [1e-200, -1e-300]), (4, [1.0, 1.0]), (5, [-1e200, 1e200]), (6, [5e-324, 0.0]), (7, [1e308, 1e308])]
+    rows = [(r[0], r[1]) for r in rows]
+    got = nearest(table(spark, rows), table(spark, rows), 20).collect()
+    expected = set()
+    for q, v in rows:
+        found = [(v[0] * w[0] + v[1] * w[1], i) for i, w in rows if i != q]
+        order = sorted(found, key=lambda f: (-f[0] if f[0] == f[0] else math.inf, f[1]))
+        expected |= {(q, rank, i, repr(s)) for rank, (s, i) in enumerate(order, 1)}
+    assert {(r.query_id, r["rank"], r.vec_id, repr(r.score)) for r in got} == expected and len(got) == 42
+
+
+def test_short_vectors_are_passed_over(spark):
+    """Blocks by norm: queries only go to those that could reach their k-th score, and rows grow with the queries."""
+    rng = np.random.default_rng(3)
+    sizes = []
+    for n in (400, 1600):
+        rows = [(i, (rng.normal(size=5) * 2.0 ** -(i % 40)).tolist()) for i in range(1, n)]
+        df = table(spark, rows)
+        made, kept = [], nearest_module._tiles
+
+        def tiles(left, right, k, made=made, kept=kept):
+            made.append((left.count(), kept(left, right, k).count()))
+            return kept(left, right, k)
+
+        nearest_module._tiles = tiles
+        try:
+            got = nearest(df.where("id % 20 = 0"), df, 5, 16, n // 20).collect()
+        finally:
+            nearest_module._tiles = kept
+        assert sorted(map(tuple, got)) == sorted(brute(rows, [r for r in rows if r[0] % 20 == 0], 5))
+        queries = made[0][0]
+        assert made[1][0] <= 8 * queries  # of 20 blocks
+        sizes.append(made[1][1] / queries)
+    assert sizes[1] <= 1.5 * sizes[0] and max(sizes) <= 5 * 4
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(0, 2**32), st.integers(1, 70), st.sampled_from([1e-30, 1e-3, 1.0, 1e20]))
 def test_bounds_hold(seed, width, scale):
