@@ -3,9 +3,10 @@
 A capture is three records: request, response (or revisit) and metadata. The request and the
 metadata name the response they belong to in ``WARC-Concurrent-To``.
 
-Files: a WARC record ends with two line ends, so Spark's text writer with that line separator makes
-proper WARC files in any store that Spark reaches. The reader takes files whole (the writer bounds
-their records) and goes by ``Content-Length``, whatever a payload holds.
+Files: each record is a gzip member of its own, as the format has it. A task puts members together up to a file's
+bounds of bytes and records, and Spark's text writer writes each such row into a file of its own, in any store that Spark
+reaches; the zero byte that it ends a row with is padding to gzip. The reader takes the bytes of a file, unpacks
+them as it goes, record by record, and goes by ``Content-Length``, whatever a payload holds.
 """
 
 from __future__ import annotations
@@ -13,14 +14,16 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexitally.llm.common import Batches, join_counted
+from lexitally.llm.common import Batches, join_counted, named
 from lexitally.sources.workdir import shared_folder
 
 EOL = "\r\n"
@@ -29,7 +32,10 @@ VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payloads below this many bytes are always stored.
 LEAST_REVISIT = 1000
-RECORDS_A_FILE = 3000
+#: A file is full at so many bytes (compressed) or records; a larger record is a file by itself.
+FILE_BYTES, RECORDS_A_FILE = 16 << 20, 3000
+#: Bytes of payloads and records that the reader hands on at a time.
+BATCH_BYTES, BATCH_RECORDS = 8 << 20, 500
 #: The writing time belongs to no capture here; a fixed one keeps reruns alike.
 DATE = "2024-01-01T00:00:00Z"
 
@@ -128,42 +134,70 @@ def records(captures: DataFrame) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
-    """Writes a capture for every row of ``pages`` into gzipped WARC files below ``path``. Null html is empty."""
-    slim = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("payload"))
-    out = records(deduplicated(slim))
-    # the compressed files are read whole: their number of records is bounded
-    out.write.option("maxRecordsPerFile", RECORDS_A_FILE).text(path, lineSep=EOL + EOL, compression="gzip")
-
-
-def parse(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """``(position, headers by lower-case name, block)`` of each record of a WARC file."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        first, *lines = data[at:end].decode("utf-8", "replace").split(EOL)
-        if not first.startswith("WARC/"):
+    """Writes a capture for every row of ``pages`` into gzipped WARC files below ``path``.
+
+    Null html is an empty payload, a null url an empty one, a null id an empty field; repeated ids and rows are
+    captures of their own. Payloads of any length are written whole. An empty table gives no records. Other columns
+    aren't read.
+    """
+    slim = pages.select(named(id_col).cast("long").alias("page_id"), named(url_col).cast("string").alias("url"), F.coalesce(named(html_col).cast("string"), F.lit("")).alias("payload"))
+
+    def files(batches: Batches) -> Batches:
+        members, size = [], 0
+        for batch in batches:
+            for record in batch.column(0).cast(pa.binary()).to_pylist():
+                members.append(gzip.compress(record + b"\r\n\r\n", 6, mtime=0))
+                size += len(members[-1])
+                if size >= FILE_BYTES or len(members) >= RECORDS_A_FILE:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(members)], pa.binary())], names=["value"])
+                    members, size = [], 0
+        if members:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(members)], pa.binary())], names=["value"])
+
+    out = records(deduplicated(slim)).mapInArrow(files, "value binary").select(F.col("value").cast("string").alias("value"))
+    out.write.option("maxRecordsPerFile", 1).text(path, lineSep="\x00")
+
+
+def parse(data: bytes | BinaryIO) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """``(position, headers by lower-case name, block)`` of each record of an unpacked WARC file, one after another."""
+    stream = io.BytesIO(data) if isinstance(data, bytes) else data
+    while True:
+        at, first = stream.tell(), stream.readline()
+        if not first:
+            return
+        if not first.startswith(b"WARC/"):
             raise ValueError(f"no WARC record at {at}")
-        headers = {name.strip().lower(): value.strip() for name, _, value in (line.partition(":") for line in lines)}
-        begin, size = end + 4, int(headers["content-length"])
-        if data[begin + size : begin + size + 4] != b"\r\n\r\n":
+        headers = {}
+        while (line := stream.readline()).strip():
+            name, _, value = line.decode("utf-8", "replace").partition(":")
+            headers[name.strip().lower()] = value.strip()
+        block = stream.read(int(headers.get("content-length", -1)))
+        if not line or "content-length" not in headers or stream.read(4) != b"\r\n\r\n":
             raise ValueError(f"the record at {at} doesn't end where its Content-Length says")
-        yield at, headers, data[begin : begin + size]
-        at = begin + size + 4
+        yield at, headers, block
 
 
 def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """One row for each record below ``path``; digests and sizes of stored payloads are of what was read.
 
-    A stored payload that doesn't match its digest is an error. A revisit's size is that of its HTTP header.
+    Files may be gzipped, record by record or as a whole, or plain. A stored payload that doesn't match its digest is
+    an error. A revisit's size is that of its HTTP header.
     """
 
     def run(batches: Batches) -> Batches:
+        rows, size = [], 0
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = content.as_py()
-                rows = [_row(name, *found, with_payload) for found in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)]
-                for at in range(0, len(rows), 500):
-                    yield pa.RecordBatch.from_pylist(rows[at : at + 500], schema=_RECORD)
+                stream = io.BytesIO(content.as_buffer())
+                packed = content.as_buffer()[:2].to_pybytes() == b"\x1f\x8b"
+                for found in parse(gzip.GzipFile(fileobj=stream) if packed else stream):
+                    rows.append(_row(name, *found, with_payload))
+                    size += len(rows[-1].get("payload") or b"")
+                    if size >= BATCH_BYTES or len(rows) >= BATCH_RECORDS:
+                        yield pa.RecordBatch.from_pylist(rows, schema=_RECORD)
+                        rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=_RECORD)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     return files.select("path", "content").mapInArrow(run, _RECORD_DDL)

@@ -2,11 +2,15 @@ import base64
 import glob
 import gzip
 import hashlib
+import os
+import random
+import zlib
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
+from lexitally.llm import warc
 from lexitally.llm.warc import captures, parse, read_records, round_trip, write_archives
 from tests.llm.edge import CLASHING
 
@@ -64,7 +68,7 @@ def test_files_are_warc(spark, tmp_path):
     write_archives(pages(spark), f"file://{tmp_path}/w")
     kinds = Counter()
     for name in glob.glob(f"{tmp_path}/w/part-*"):
-        for _, headers, block in parse(gzip.open(name).read()):
+        for _, headers, block in parse(gzip.open(name)):
             kinds[headers["warc-type"]] += 1
             assert len(block) == int(headers["content-length"]) and "injected" not in headers
             if headers["warc-type"] == "response":
@@ -83,6 +87,37 @@ def test_damage_is_noticed():
             list(parse(bad))
 
 
+def test_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    """Pages of 1 MB that don't compress: a file has a few of them, and each record is a gzip member."""
+    monkeypatch.setattr(warc, "FILE_BYTES", 2 << 20)
+    rng = random.Random(5)
+    rows = [(i, f"http://a.example/{i}", "".join(rng.choices("0123456789abcdef", k=1 << 20))) for i in range(12)]
+    path = f"file://{tmp_path}/w"
+    write_archives(pages(spark, rows).coalesce(1), path)
+    files = glob.glob(f"{tmp_path}/w/part-*")
+    assert len(files) >= 3 and all(os.path.getsize(f) < 3 << 20 for f in files)
+    for name in files:
+        data, members = open(name, "rb").read(), 0
+        while data.strip(b"\0"):
+            unpack = zlib.decompressobj(31)
+            assert unpack.decompress(data).startswith(b"WARC/1.1") and unpack.eof
+            data, members = unpack.unused_data, members + 1
+        assert members == len(list(parse(gzip.open(name))))
+    got = captures(read_records(spark, path)).collect()
+    assert Counter((r.page_id, bytes(r.response.payload).decode()) for r in got) == Counter((i, html) for i, _, html in rows)
+
+
+def test_other_archives_are_read(spark, tmp_path):
+    """Plain files, and gzip over whole files."""
+    write_archives(pages(spark), f"file://{tmp_path}/w")
+    expected = captures(read_records(spark, f"file://{tmp_path}/w")).count()
+    for kind, pack in (("plain", bytes), ("whole", gzip.compress)):
+        (tmp_path / kind).mkdir()
+        for i, name in enumerate(glob.glob(f"{tmp_path}/w/part-*")):
+            (tmp_path / kind / f"part-{i}").write_bytes(pack(gzip.open(name).read()))
+        assert captures(read_records(spark, f"file://{tmp_path}/{kind}")).count() == expected == len(ROWS)
+
+
 def test_missing_records_and_empty(spark, tmp_path):
     write_archives(pages(spark, ROWS[:3]), f"file://{tmp_path}/w")
     records = read_records(spark, f"file://{tmp_path}/w")
