@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexitally.llm import bpe, warc
-from lexitally.llm.mixing import GOLDEN, SLOTS, SLOTS_A_SOURCE, mix
+from lexitally.llm.mixing import GOLDEN, GRAIN, SLOTS, SLOTS_A_SOURCE, mix
 from lexitally.llm.nearest import nearest
 from lexitally.llm.quality_classifier import grade, ratings_of, train
-from lexitally.llm.quality_rules import quality_verdicts
+from lexitally.llm.quality_rules import BASE, measured, quality_verdicts
 from lexitally.llm.sharding import interleaved_shards
 from lexitally.llm.simhash import near_duplicates
-from lexitally.llm.urls import UrlModel, filter_urls, host
+from lexitally.llm.urls import LOWER, UPPER, UrlModel, filter_urls, host, path, rule_of
 from lexitally.plans.queries import table
 
 SHARDS = 40
@@ -25,8 +25,8 @@ NEIGHBOURS, QUERY_STEP = 20, 20
 TOP_GRADE, LEAST_TAIL = 2, 0.4
 
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
-#: No table labels URLs. For training, a host with one of these words among its parts counts as blocked.
-URL_SEEDS = "adult ads bet bets casino gamble lottery loan malware phish pills porn poker spam tracker track warez xxx".split()
+#: Suffixes whose statistics the trees see: sites only, since the rules, which label the URLs, go by shorter ones.
+URL_LEVELS = ("site",)
 
 
 def op1_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,16 +68,16 @@ def op7_merge_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, TOKEN_LIMIT)
 
 
-def seed_labels(pages: DataFrame) -> DataFrame:
-    """``url, blocked`` by the seed words; URLs without a host aren't labelled."""
-    words = F.split(host(F.col("url")), r"[.\-]")
-    seeded = F.arrays_overlap(words, F.lit(URL_SEEDS)).cast("int")
-    return pages.select("url", F.when(host(F.col("url")) != "", seeded).alias("blocked"))
+def rule_labels(pages: DataFrame) -> DataFrame:
+    """``url, blocked``: URLs that a rule fits have its verdict as label, others none."""
+    url = F.col("url")
+    verdict = rule_of(host(url), path(url), URL_RULES).getField("verdict")
+    return pages.select("url", (verdict == "block").cast("int").alias("blocked"))
 
 
 def op8_boosted_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return filter_urls(pages, UrlModel.fit(seed_labels(pages)), URL_RULES)
+    return filter_urls(pages, UrlModel.fit(rule_labels(pages), levels=URL_LEVELS), URL_RULES)
 
 
 def op9_simhash_vantage_point_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +91,18 @@ def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grade(docs.select("doc_id", "text"), model, TOP_GRADE, LEAST_TAIL).drop("text")
 
 
+def rule_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op4 counts in each text, by itself: SQL can express this part."""
+    return measured(table(spark, sf_dir, "documents"), "doc_id", "text", "lang").select("doc_id", *BASE, "base_failed")
+
+
+def url_parts_and_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op8 says of each URL before the trees, by itself: SQL can express this part."""
+    at = [host(F.col("url")).alias("host"), path(F.col("url")).alias("path")]
+    rule = rule_of(F.col("host"), F.col("path"), URL_RULES)
+    return table(spark, sf_dir, "pages").select("page_id", *at).withColumn("rule", rule.getField("rule"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -104,6 +116,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_boosted_url_filter,
         op9_simhash_vantage_point_trees,
         op10_ordinal_quality,
+        rule_base_counts,
+        url_parts_and_rules,
     )
 }
 
@@ -136,14 +150,14 @@ w AS (SELECT *, CAST((row_number() OVER (ORDER BY source IS NULL, source) - 1) %
 l AS (SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY cap / weight, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / sum(weight) OVER (ORDER BY cap / weight, key ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 t AS (SELECT key, source_size, least(cap, coalesce(max(level) FILTER (level * weight <= cap) OVER (), 'inf'::DOUBLE) * weight) AS target FROM l),
-b AS (SELECT *, greatest(1, CAST(round(source_size / greatest(1.0, (SELECT sum(source_size) FROM t)::DOUBLE
-  / greatest({SLOTS}, {SLOTS_A_SOURCE} * (SELECT count(*) FROM t)))) AS BIGINT)) AS blocks FROM t WHERE source_size > 0),
-c AS (SELECT *, target * blocks / source_size AS slots FROM b),
-e AS (SELECT *, sum(slots) OVER (ORDER BY key) / sum(slots) OVER () AS high, (sum(slots) OVER (ORDER BY key) - slots) / sum(slots) OVER () AS low,
-  row_number() OVER (ORDER BY key DESC) = 1 AS last FROM c),
+b AS (SELECT *, CAST(greatest(least({SLOTS_A_SOURCE}, source_size), round(source_size / greatest(1.0, (SELECT sum(source_size) FROM t)::DOUBLE
+  / greatest({SLOTS}, {SLOTS_A_SOURCE} * (SELECT count(*) FROM t))))) AS BIGINT) AS blocks FROM t WHERE source_size > 0),
+c AS (SELECT *, CAST(round(target * blocks / source_size * {GRAIN}) AS BIGINT) AS parts FROM b),
+e AS (SELECT *, CAST(sum(parts) OVER (ORDER BY key) AS DOUBLE) / CAST(sum(parts) OVER () AS DOUBLE) AS high,
+  CAST(sum(parts) OVER (ORDER BY key) - parts AS DOUBLE) / CAST(sum(parts) OVER () AS DOUBLE) AS low FROM c),
 p AS (SELECT i, i * {GOLDEN!r}::DOUBLE + 0.5 - floor(i * {GOLDEN!r}::DOUBLE + 0.5) AS u
-  FROM range(0, (SELECT CAST(round(sum(slots)) AS BIGINT) FROM c)) AS r(i)),
-k AS (SELECT e.key, e.blocks, row_number() OVER (PARTITION BY e.key ORDER BY i) - 1 AS rank FROM p JOIN e ON u >= low AND (u < high OR last)),
+  FROM range(0, (SELECT CAST(round(sum(parts) / {GRAIN}) AS BIGINT) FROM c)) AS r(i)),
+k AS (SELECT e.key, e.blocks, row_number() OVER (PARTITION BY e.key ORDER BY i) - 1 AS rank FROM p JOIN e ON u >= low AND u < high),
 x AS (SELECT key, rank % blocks AS block, count(*) AS times FROM k WHERE rank < 3 * blocks GROUP BY ALL),
 o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY key ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first FROM d),
 y AS (SELECT doc_id, o.key, size, first, b.source_size, b.blocks,
@@ -155,4 +169,34 @@ SELECT o.doc_id, CAST(o.size AS BIGINT) AS size, t.source_size, t.target, CAST(c
 FROM o JOIN t ON o.key = t.key LEFT JOIN z ON o.key = z.key AND o.first = z.first AND o.size = z.size AND o.doc_id IS NOT DISTINCT FROM z.doc_id
 """
 
-ORACLES: dict[str, str] = {"op3_warc_transactions": _OP3, "op5_block_matrix_neighbours": _OP5, "op6_low_discrepancy_mix": _OP6}
+_WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+_LINES = "list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]'))"
+_BASE_COUNTS = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws, {_LINES} AS ls,
+  len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS n_symbols FROM documents),
+x AS (SELECT r, unnest(ws) AS a, generate_subscripts(ws, 1) AS i FROM d),
+y AS (SELECT r, i, a, lead(a) OVER (PARTITION BY r ORDER BY i) AS b, lead(a, 2) OVER (PARTITION BY r ORDER BY i) AS c FROM x),
+z AS (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM y WHERE c IS NOT NULL),
+m AS (SELECT r, count(DISTINCT i + k) AS n FROM z, (VALUES (0), (1), (2)) AS v(k) WHERE n > 1 GROUP BY r),
+o AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+  CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(m.n, 0) AS BIGINT) AS n_repeat_words FROM d LEFT JOIN m USING (r))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM o
+"""
+
+_RULE = "\n".join(
+    f"WHEN (host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '/{rest}') THEN '{text}'"
+    for text, (name, _, rest) in ((t, t.partition("/")) for t in sorted((t for t, _ in URL_RULES), key=len, reverse=True))
+)
+_URL_RULES = f"""
+WITH u AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)\\A.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '') AS host,
+  coalesce(regexp_extract(url, '(?s)\\A.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)
+SELECT page_id, host, path, CASE {_RULE} END AS rule FROM u
+"""
+
+ORACLES: dict[str, str] = {
+    "op3_warc_transactions": _OP3,
+    "op5_block_matrix_neighbours": _OP5,
+    "op6_low_discrepancy_mix": _OP6,
+    "rule_base_counts": _BASE_COUNTS,
+    "url_parts_and_rules": _URL_RULES,
+}

@@ -12,17 +12,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexitally.llm.common import join_counted
+from lexitally.llm.common import join_counted, named
 from lexitally.sources.workdir import written
 
 #: Labelled URLs that the trees are grown from, of each label, and folds of the suffix statistics for these.
 TRAINING_ROWS, FOLDS = 8000, 8
 TREES, DEPTH, RATE, BINS, LEAST_ROWS = 24, 3, 0.3, 32, 10
 
-NUMBERS = (
-    "url_length", "host_length", "path_length", "depth", "host_labels", "digit_ratio", "entropy",
-    "parameters", "query_length", "host_hyphens", "domain_rate", "domain_rows", "site_rate", "site_rows",
-)
+LEXICAL = ("url_length", "host_length", "path_length", "depth", "host_labels", "digit_ratio", "entropy", "parameters", "query_length", "host_hyphens")
+#: The suffixes of a host whose labels count.
+LEVELS = ("domain", "site")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -89,7 +88,7 @@ def lexical(df: DataFrame, url_col: str) -> DataFrame:
         "query_length": F.length(query),
         "host_hyphens": F.regexp_count(at_host, F.lit("-")),
     }
-    numbers = {k: v.cast("double") if k in NUMBERS else v for k, v in columns.items()}
+    numbers = {k: v.cast("double") if k in LEXICAL else v for k, v in columns.items()}
     return df.withColumn("__url", F.struct(*[v.alias(k) for k, v in numbers.items()]))
 
 
@@ -150,22 +149,25 @@ def grow(x: np.ndarray, y: np.ndarray, weight: np.ndarray, names: tuple[str, ...
     return Trees(base, trees)
 
 
-LEVELS = ("domain", "site")
-
-
 class UrlModel:
-    """Trees and the suffix statistics that they look at; ``prior`` is the share of blocked URLs."""
+    """Trees and the suffix statistics (of ``levels``) that they look at; ``prior`` is the share of blocked URLs."""
+
+    def __init__(self, trees: Trees, statistics: DataFrame, prior: float, levels: tuple[str, ...] = LEVELS) -> None:
+        self.trees, self.statistics, self.prior, self.levels = trees, statistics, prior, levels
 
-    def __init__(self, trees: Trees, statistics: DataFrame, prior: float) -> None:
-        self.trees, self.statistics, self.prior = trees, statistics, prior
+    @property
+    def names(self) -> tuple[str, ...]:
+        """The numbers that the trees see."""
+        return LEXICAL + tuple(f"{level}_{what}" for level in self.levels for what in ("rate", "rows"))
 
     @staticmethod
-    def fit(labelled: DataFrame, url_col: str = "url", label_col: str = "blocked", rows: int = TRAINING_ROWS) -> UrlModel:
+    def fit(labelled: DataFrame, url_col: str = "url", label_col: str = "blocked", rows: int = TRAINING_ROWS, levels: tuple[str, ...] = LEVELS) -> UrlModel:
         """From ``labelled`` URLs (null labels don't count), at most ``rows`` of each label, by hash.
 
         All labelled URLs give the suffixes' rates; only the trees use the sample. Its URLs take their rates
         from the other folds, so that no URL's label is among its own numbers. Weights restore the
-        labels' shares in the whole table. Without labels the score is even.
+        labels' shares in the whole table. Without labels the score is even. ``levels`` are the suffixes
+        that count: the last two parts of the host (``domain``), the last three (``site``).
         """
         known = labelled.where(F.col(label_col).isNotNull()).select(F.col(url_col).cast("string").alias("url"), F.col(label_col).cast("int").alias("label"))
         totals = {r.label: r.n for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -175,62 +177,64 @@ class UrlModel:
         weight = F.when(F.col("label") == 1, totals.get(1, 0) / max(1, min(rows, totals.get(1, 0)))).otherwise(totals.get(0, 0) / max(1, min(rows, totals.get(0, 0))))
         fold = F.pmod(F.xxhash64(F.lit("fold"), "url"), F.lit(FOLDS))
         sample = written(lexical(parts[0].unionByName(parts[1]), "url").withColumns({"weight": weight, "fold": fold}), "url-sample")
-        levels = F.explode(F.array(*[F.struct(F.lit(v).alias("level"), F.col(f"__url.{v}").alias("suffix")) for v in LEVELS])).alias("s")
-        suffixes = lexical(known, "url").withColumn("fold", fold).select("label", "fold", levels)
+        each = F.explode(F.array(*[F.struct(F.lit(v).alias("level"), F.col(f"__url.{v}").alias("suffix")) for v in levels])).alias("s")
+        suffixes = lexical(known, "url").withColumn("fold", fold).select("label", "fold", each)
         sums = suffixes.groupBy("s.level", "s.suffix", "fold").agg(F.sum("label").alias("hits"), F.count(F.lit(1)).alias("n"))
         folds = written(sums, "url-folds")
         rate, seen = (F.col("hits") + prior) / (F.col("n") + 1), F.log1p("n")
         whole = folds.groupBy("level", "suffix").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n"))
         statistics = written(whole.select("level", "suffix", rate.alias("rate"), seen.alias("rows")), "url-suffixes")
-        model = UrlModel(Trees(math.log(prior / (1 - prior)), []), statistics, prior)
+        model = UrlModel(Trees(math.log(prior / (1 - prior)), []), statistics, prior, levels)
         training = sample
-        for level in LEVELS:
+        for level in levels:
             of = sample.select(F.col(f"__url.{level}").alias("suffix"), F.col("fold").alias("own")).distinct()
             others = of.join(folds.where(F.col("level") == level), "suffix").where("fold != own").groupBy("suffix", "own").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n"))
             others = others.select(F.col("suffix").alias("__s"), F.col("own").alias("__f"), rate.alias(f"__{level}_rate"), seen.alias(f"__{level}_rows"))
             # at most a row for each URL of the bounded sample
             training = training.join(F.broadcast(others), (F.col(f"__url.{level}") == F.col("__s")) & (F.col("fold") == F.col("__f")), "left").drop("__s", "__f")
         value = model.values()
-        taken = training.select("label", "weight", *[value[n].alias(n) for n in NUMBERS]).collect()
+        taken = training.select("label", "weight", *[value[n].alias(n) for n in model.names]).collect()
         if taken:
             table = np.array(sorted(tuple(r) for r in taken), float)
-            model.trees = grow(table[:, 2:], table[:, 0], table[:, 1], NUMBERS)
+            model.trees = grow(table[:, 2:], table[:, 0], table[:, 1], model.names)
         return model
 
     def values(self) -> dict[str, Column]:
         """The expression of each number; a suffix without labels has the prior and no rows."""
-        value = {n: F.col(f"__url.{n}") for n in NUMBERS if not n.endswith(("_rate", "_rows"))}
-        for level in LEVELS:
+        value = {n: F.col(f"__url.{n}") for n in LEXICAL}
+        for level in self.levels:
             value[f"{level}_rate"] = F.coalesce(F.col(f"__{level}_rate"), F.lit(float(self.prior)))
             value[f"{level}_rows"] = F.coalesce(F.col(f"__{level}_rows"), F.lit(0.0))
         return value
 
     def numbers(self, df: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
         """``df`` (as ``lexical`` gives it) with its suffixes' statistics, and the expression of each number."""
-        df = written(df.withColumns({f"__{level}": F.col(f"__url.{level}") for level in LEVELS}), "url-numbers")
+        df = written(df.withColumns({f"__{level}": F.col(f"__url.{level}") for level in self.levels}), "url-numbers")
         total = df.count()
-        for level in LEVELS:
+        for level in self.levels:
             of = self.statistics.where(F.col("level") == level)
             of = of.select(F.col("suffix").alias(f"__{level}"), F.col("rate").alias(f"__{level}_rate"), F.col("rows").alias(f"__{level}_rows"))
             # every suffix of df has a row, so a hot one without statistics is broadcast too
             of = df.groupBy(f"__{level}").agg(F.count(F.lit(1)).alias("__times")).join(of, f"__{level}", "left")
             df = join_counted(df, written(of, "url-rates"), f"__{level}", "__times", total)
-        return df.drop(*[f"__{level}" for level in LEVELS]), self.values()
+        return df.drop(*[f"__{level}" for level in self.levels]), self.values()
 
     def score(self, df: DataFrame) -> DataFrame:
         """``df`` with ``__score``, the chance that a URL is to be blocked."""
         with_numbers, value = self.numbers(df)
         scored = with_numbers.withColumn("__score", 1 / (1 + F.exp(-self.trees.margin(value))))
-        return scored.drop(*[f"__{level}_{n}" for level in LEVELS for n in ("rate", "rows")])
+        return scored.drop(*[f"__{level}_{n}" for level in self.levels for n in ("rate", "rows")])
 
 
 def filter_urls(pages: DataFrame, model: UrlModel, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", cutoff: float = 0.5) -> DataFrame:
     """``page_id, host, path, rule, verdict, score`` for each row of ``pages``.
 
     A rule's verdict comes first; URLs that no rule fits are blocked from ``cutoff`` of the trees' score
-    on. A null URL, or one without ``://``, has an empty host and path and goes by its score like others.
+    on. A null URL, or one without ``://``, has an empty host and path and goes by its score like others. Repeated
+    rows and repeated or null ids stay separate rows; URLs of any length are taken whole; an empty table gives an
+    empty one; other columns of ``pages`` aren't read.
     """
-    scored = model.score(lexical(pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url")), "url"))
+    scored = model.score(lexical(pages.select(named(id_col).cast("long").alias("page_id"), named(url_col).cast("string").alias("url")), "url"))
     ruled = scored.withColumn("__rule", rule_of(F.col("__url.host"), F.col("__url.path"), rules))
     verdict = F.coalesce(F.col("__rule.verdict"), F.when(F.col("__score") >= cutoff, F.lit("block")).otherwise(F.lit("allow")))
     return ruled.select("page_id", F.col("__url.host").alias("host"), F.col("__url.path").alias("path"), F.col("__rule.rule").alias("rule"), verdict.alias("verdict"), F.col("__score").alias("score"))

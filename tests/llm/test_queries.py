@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from lexitally.llm.queries import ORACLES, QUERIES, seed_labels
+from lexitally.llm.queries import ORACLES, QUERIES, rule_labels
 from tests.llm.edge import documents, no_documents
 
 SF = "/root/testdata/sf0.001"
@@ -27,14 +27,15 @@ COLUMNS = {
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(m[1]) for n in QUERIES if (m := re.match(r"op(\d+)_", n))) == list(range(1, 11))
 
 
 @pytest.mark.parametrize("name", QUERIES)
 def test_contract(spark, name):
     df = QUERIES[name](spark, SF)
     types = dict(df.dtypes)
-    for column in COLUMNS[int(re.match(r"op(\d+)_", name)[1])].split(", "):
+    number = re.match(r"op(\d+)_", name)
+    for column in COLUMNS[int(number[1])].split(", ") if number else ():
         assert types[column.split()[0]] == column.split()[1]
     rows = df.collect()
     source = "pages" if "page_id" in types else "embeddings" if "query_id" in types else "documents"
@@ -62,10 +63,16 @@ def test_recall_of_the_neighbours(spark):
         assert {(ids[q], v) for v in ids[np.lexsort((ids, -score))[:20]]} <= found
 
 
-def test_seed_labels(spark):
-    urls = ["http://free-bets.example.net/", "http://abets.example.com", "nothing", None]
+def test_rule_labels(spark):
+    urls = ["http://a.net/", "http://example.net/en/x", "http://example.org/de/", "http://b.org/fr/1", "nothing", None]
     df = spark.createDataFrame([(u,) for u in urls], "url string")
-    assert [r.blocked for r in seed_labels(df).collect()] == [1, 0, None, None]
+    assert [r.blocked for r in rule_labels(df).collect()] == [1, 0, None, 0, None, None]
+
+
+def test_the_url_model_is_more_than_a_character(spark):
+    """Verdicts of URLs without a rule come from the labels of their sites and the URL's numbers."""
+    rows = [r for r in QUERIES["op8_boosted_url_filter"](spark, "/root/testdata/sf0.01").collect() if r.rule is None]
+    assert len({("-" in r.host, r.verdict) for r in rows}) > 2
 
 
 def test_pipeline(spark):

@@ -7,9 +7,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lexitally.llm.queries import URL_RULES
-from lexitally.llm.urls import NUMBERS, UrlModel, filter_urls, grow, lexical
+from lexitally.llm.urls import BINS, DEPTH, FOLDS, LEAST_ROWS, RATE, TREES, UrlModel, filter_urls, grow, lexical
 from tests.llm.edge import CLASHING
 
+NUMBERS = tuple("abcdefghij")
 URLS = [
     None, "", "no scheme", "http://", "HTTP://WWW.Example.NET/en/1", "http://example.net/en/", "http://example.net/e", "http://notexample.net/en/x",
     "http://net", "http://net/", "http://a.net?x=1&y=2", "http://a.example.com/de/1?q#f", "http://org/fr/", "https://x.org/fr/a/b/", "https://x.org/en/",
@@ -106,3 +107,66 @@ def test_statistics_cover_all_labelled_urls(spark):
     assert all(math.isclose(got[f"site{k}.com"].rate, (10 * (k < 10) + model.prior) / 11) for k in range(40))
     score = model.score(lexical(table(spark, urls), "url"))
     assert score.count() == len(urls)
+
+
+def plain_trees(x, y, weight):
+    """Boosting from its definition: every cut of every column, loss by loss."""
+    cuts = []
+    for column in x.T:
+        values = sorted(set(column))
+        if len(values) > BINS:
+            ranked = sorted(column)
+            values = sorted({ranked[round(q * (len(ranked) - 1))] for q in np.linspace(0, 1, BINS)})
+        cuts.append([(a + b) / 2 for a, b in zip(values, values[1:], strict=False)])
+    share = sum(w for w, v in zip(weight, y, strict=True) if v) / sum(weight)
+    margin, trees = [math.log(share / (1 - share))] * len(y), []
+
+    def gain(rows, g, h):
+        return sum(g[i] for i in rows) ** 2 / (sum(h[i] for i in rows) + 1)
+
+    def node(rows, g, h, depth):
+        best, where = 1e-6, None
+        for f in range(x.shape[1]) if depth and len(rows) >= 2 * LEAST_ROWS else ():
+            for cut in cuts[f]:
+                low, high = [i for i in rows if x[i, f] <= cut], [i for i in rows if x[i, f] > cut]
+                if min(len(low), len(high)) >= LEAST_ROWS:
+                    found = gain(low, g, h) + gain(high, g, h) - gain(rows, g, h)
+                    if found > best + 1e-12:
+                        best, where = found, (f, cut)
+        if where is None:
+            leaf = -RATE * sum(g[i] for i in rows) / (sum(h[i] for i in rows) + 1)
+            for i in rows:
+                margin[i] += leaf
+            return leaf
+        f, cut = where
+        return NUMBERS[f], cut, node([i for i in rows if x[i, f] <= cut], g, h, depth - 1), node([i for i in rows if x[i, f] > cut], g, h, depth - 1)
+
+    for _ in range(TREES):
+        p = [1 / (1 + math.exp(-m)) for m in margin]
+        trees.append(node(range(len(y)), [w * (a - b) for w, a, b in zip(weight, p, y, strict=True)], [w * a * (1 - a) for w, a in zip(weight, p, strict=True)], DEPTH))
+    return trees
+
+
+def flat(tree):
+    return [tree] if isinstance(tree, float) else [tree[0], float(tree[1]), *flat(tree[2]), *flat(tree[3])]
+
+
+def test_fit_against_brute_force():
+    rng = np.random.default_rng(4)
+    x = np.c_[rng.random(90), rng.integers(0, 4, 90), rng.integers(0, 50, 90)].astype(float)
+    y = ((x[:, 0] + x[:, 1] / 4 + rng.random(90) / 2) > 1.1).astype(float)
+    weight = rng.integers(1, 4, 90).astype(float)
+    for a, b in zip(grow(x, y, weight, NUMBERS[:3]).trees, plain_trees(x, y, weight), strict=True):
+        a, b = flat(a), flat(b)
+        assert [v for v in a if isinstance(v, str)] == [v for v in b if isinstance(v, str)]
+        assert np.allclose([v for v in a if not isinstance(v, str)], [v for v in b if not isinstance(v, str)])
+
+
+def test_training_rates_come_from_other_folds(spark):
+    """One site, one blocked URL: its own label is not among its own numbers, so no tree can read it there."""
+    urls = [f"http://a.b{i}.com/" for i in range(60)]
+    fold = {r.url: r.f for r in table(spark, urls).select("url", F.pmod(F.xxhash64(F.lit("fold"), "url"), F.lit(FOLDS)).alias("f")).collect()}
+    assert len(set(fold.values())) == FOLDS
+    model = UrlModel.fit(table(spark, urls, [i % 2 for i in range(60)]), levels=("site",))
+    assert model.names[-2:] == ("site_rate", "site_rows")
+    assert "site_rate" not in {v for tree in model.trees.trees for v in flat(tree)}
