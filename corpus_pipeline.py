@@ -1,4 +1,9 @@
-"""A training corpus from ``documents``, stage by stage. Each stage reads what the one before it wrote."""
+"""A training corpus from ``documents``, stage by stage. Each stage reads what the one before it wrote.
+
+What holds for every stage: an empty table gives an empty one; texts of any length are read whole; rows with
+equal or null ids and repeated rows are rows of their own unless said otherwise; all but the last stage return
+the columns that they got, whatever others there are and whatever they are called.
+"""
 
 from __future__ import annotations
 
@@ -17,28 +22,42 @@ TOP_GRADE, LEAST_TAIL = 2, 0.4
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that probably have the top grade (good and not toxic) stay."""
+    """Documents that probably have the top grade (good and not toxic) stay.
+
+    Null and empty texts have no features and go by the thresholds alone; without labels all documents stay.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return keep_graded(docs, train(docs, ratings_of(labels), TOP_GRADE), TOP_GRADE, LEAST_TAIL)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the risk-controlled ones stay."""
+    """Documents that pass the base rules and the risk-controlled ones stay.
+
+    Null, empty and short texts go; null languages are one stratum; rules without enough labels are off.
+    """
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word Jaccard similarity of at least 0.8) stays."""
+    """One document of each group of near copies (five-word Jaccard similarity of at least 0.8) stays.
+
+    SimHash fingerprints and vantage-point shards (9) propose the closest pairs, an exact prefix filter those that no
+    workable radius holds; texts confirm both. Of a group the smallest id stays, null ids last; repeated rows
+    are a group, and so are all texts without words. Unrelated texts of one id both stay.
+    """
     return drop_near_copies(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: none, one, two or three times."""
+    """Documents as often as the mix takes them: none, one, two or three times.
+
+    Texts without words are never taken. Rows of one id share what is taken of them.
+    """
     return mixed_documents(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each row."""
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each row; null and empty texts have no tokens."""
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.decode(bpe.encode(docs, vocabulary, public_tokenizers.PATTERN), vocabulary, with_bytes=False)
 
