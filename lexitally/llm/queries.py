@@ -25,8 +25,9 @@ NEIGHBOURS, QUERY_STEP = 20, 20
 TOP_GRADE, LEAST_TAIL = 2, 0.4
 
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
-#: Suffixes whose statistics the trees see: sites only, since the rules, which label the URLs, go by shorter ones.
-URL_LEVELS = ("site",)
+#: The suffix statistics that the trees see: how many URLs a site has. The rules label the URLs by their suffixes, so
+#: rates of labels by suffix, and numbers of labelled ones, would only give the rules back.
+URL_STATISTICS = ("site_urls",)
 
 
 def op1_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +78,7 @@ def rule_labels(pages: DataFrame) -> DataFrame:
 
 def op8_boosted_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return filter_urls(pages, UrlModel.fit(rule_labels(pages), levels=URL_LEVELS), URL_RULES)
+    return filter_urls(pages, UrlModel.fit(rule_labels(pages), statistics=URL_STATISTICS), URL_RULES)
 
 
 def op9_simhash_vantage_point_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,11 +171,11 @@ FROM o JOIN t ON o.key = t.key LEFT JOIN z ON o.key = z.key AND o.first = z.firs
 """
 
 _WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
-_LINES = "list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]'))"
+_LINES = "list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))"
 _BASE_COUNTS = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws, {_LINES} AS ls,
   len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS n_symbols FROM documents),
-x AS (SELECT r, unnest(ws) AS a, generate_subscripts(ws, 1) AS i FROM d),
+x AS (SELECT r, unnest(ws) AS a, unnest(range(1, len(ws) + 1)) AS i FROM d),
 y AS (SELECT r, i, a, lead(a) OVER (PARTITION BY r ORDER BY i) AS b, lead(a, 2) OVER (PARTITION BY r ORDER BY i) AS c FROM x),
 z AS (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM y WHERE c IS NOT NULL),
 m AS (SELECT r, count(DISTINCT i + k) AS n FROM z, (VALUES (0), (1), (2)) AS v(k) WHERE n > 1 GROUP BY r),

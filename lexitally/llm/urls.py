@@ -20,8 +20,10 @@ TRAINING_ROWS, FOLDS = 8000, 8
 TREES, DEPTH, RATE, BINS, LEAST_ROWS = 24, 3, 0.3, 32, 10
 
 LEXICAL = ("url_length", "host_length", "path_length", "depth", "host_labels", "digit_ratio", "entropy", "parameters", "query_length", "host_hyphens")
-#: The suffixes of a host whose labels count.
+#: Statistics of a URL's suffixes, the last two parts of its host (``domain``) or the last three (``site``): the rate of
+#: blocked ones among its labelled URLs, and the logarithms of the numbers of labelled and of all its URLs.
 LEVELS = ("domain", "site")
+STATISTICS = tuple(f"{level}_{what}" for level in LEVELS for what in ("rate", "rows", "urls"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -150,26 +152,31 @@ def grow(x: np.ndarray, y: np.ndarray, weight: np.ndarray, names: tuple[str, ...
 
 
 class UrlModel:
-    """Trees and the suffix statistics (of ``levels``) that they look at; ``prior`` is the share of blocked URLs."""
+    """Trees and the suffix statistics that they look at; ``prior`` is the share of blocked URLs."""
 
-    def __init__(self, trees: Trees, statistics: DataFrame, prior: float, levels: tuple[str, ...] = LEVELS) -> None:
-        self.trees, self.statistics, self.prior, self.levels = trees, statistics, prior, levels
+    def __init__(self, trees: Trees, table: DataFrame, prior: float, statistics: tuple[str, ...] = STATISTICS) -> None:
+        self.trees, self.table, self.prior, self.statistics = trees, table, prior, statistics
 
     @property
     def names(self) -> tuple[str, ...]:
         """The numbers that the trees see."""
-        return LEXICAL + tuple(f"{level}_{what}" for level in self.levels for what in ("rate", "rows"))
+        return LEXICAL + self.statistics
+
+    @property
+    def levels(self) -> list[str]:
+        return [level for level in LEVELS if any(s.startswith(f"{level}_") for s in self.statistics)]
 
     @staticmethod
-    def fit(labelled: DataFrame, url_col: str = "url", label_col: str = "blocked", rows: int = TRAINING_ROWS, levels: tuple[str, ...] = LEVELS) -> UrlModel:
-        """From ``labelled`` URLs (null labels don't count), at most ``rows`` of each label, by hash.
+    def fit(labelled: DataFrame, url_col: str = "url", label_col: str = "blocked", rows: int = TRAINING_ROWS, statistics: tuple[str, ...] = STATISTICS) -> UrlModel:
+        """From the ``labelled`` URLs of a table (null: not labelled), at most ``rows`` of each label, by hash.
 
-        All labelled URLs give the suffixes' rates; only the trees use the sample. Its URLs take their rates
+        All URLs give the suffixes' statistics; only the trees use the sample. Its URLs take their rates
         from the other folds, so that no URL's label is among its own numbers. Weights restore the
-        labels' shares in the whole table. Without labels the score is even. ``levels`` are the suffixes
-        that count: the last two parts of the host (``domain``), the last three (``site``).
+        labels' shares in the whole table. Without labels the score is even. ``statistics`` are those that the
+        trees see.
         """
-        known = labelled.where(F.col(label_col).isNotNull()).select(F.col(url_col).cast("string").alias("url"), F.col(label_col).cast("int").alias("label"))
+        every = labelled.select(named(url_col).cast("string").alias("url"), named(label_col).cast("int").alias("label"))
+        known = every.where("label IS NOT NULL")
         totals = {r.label: r.n for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
         prior = (totals.get(1, 0) + 0.5) / (sum(totals.values()) + 1)
         order = F.xxhash64(F.lit("sample"), "url")
@@ -177,21 +184,23 @@ class UrlModel:
         weight = F.when(F.col("label") == 1, totals.get(1, 0) / max(1, min(rows, totals.get(1, 0)))).otherwise(totals.get(0, 0) / max(1, min(rows, totals.get(0, 0))))
         fold = F.pmod(F.xxhash64(F.lit("fold"), "url"), F.lit(FOLDS))
         sample = written(lexical(parts[0].unionByName(parts[1]), "url").withColumns({"weight": weight, "fold": fold}), "url-sample")
-        each = F.explode(F.array(*[F.struct(F.lit(v).alias("level"), F.col(f"__url.{v}").alias("suffix")) for v in levels])).alias("s")
-        suffixes = lexical(known, "url").withColumn("fold", fold).select("label", "fold", each)
-        sums = suffixes.groupBy("s.level", "s.suffix", "fold").agg(F.sum("label").alias("hits"), F.count(F.lit(1)).alias("n"))
+        model = UrlModel(Trees(math.log(prior / (1 - prior)), []), None, prior, statistics)
+        each = F.explode(F.array(*[F.struct(F.lit(v).alias("level"), F.col(f"__url.{v}").alias("suffix")) for v in model.levels or LEVELS[:1]])).alias("s")
+        suffixes = lexical(every, "url").withColumn("fold", fold).select("label", "fold", each)
+        sums = suffixes.groupBy("s.level", "s.suffix", "fold").agg(F.coalesce(F.sum("label"), F.lit(0)).alias("hits"), F.count("label").alias("n"), F.count(F.lit(1)).alias("urls"))
         folds = written(sums, "url-folds")
-        rate, seen = (F.col("hits") + prior) / (F.col("n") + 1), F.log1p("n")
-        whole = folds.groupBy("level", "suffix").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n"))
-        statistics = written(whole.select("level", "suffix", rate.alias("rate"), seen.alias("rows")), "url-suffixes")
-        model = UrlModel(Trees(math.log(prior / (1 - prior)), []), statistics, prior, levels)
+        numbers = {"rate": (F.col("hits") + prior) / (F.col("n") + 1), "rows": F.log1p("n"), "urls": F.log1p("urls")}
+        whole = folds.groupBy("level", "suffix").agg(*[F.sum(c).alias(c) for c in ("hits", "n", "urls")])
+        model.table = written(whole.select("level", "suffix", *[v.alias(k) for k, v in numbers.items()]), "url-suffixes")
         training = sample
-        for level in levels:
+        for level in model.levels:
             of = sample.select(F.col(f"__url.{level}").alias("suffix"), F.col("fold").alias("own")).distinct()
-            others = of.join(folds.where(F.col("level") == level), "suffix").where("fold != own").groupBy("suffix", "own").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n"))
-            others = others.select(F.col("suffix").alias("__s"), F.col("own").alias("__f"), rate.alias(f"__{level}_rate"), seen.alias(f"__{level}_rows"))
+            mine = of.join(folds.where(F.col("level") == level), "suffix").groupBy("suffix", "own")
+            other = F.col("fold") != F.col("own")
+            seen = mine.agg(*[F.coalesce(F.sum(F.when(other, F.col(c))), F.lit(0)).alias(c) for c in ("hits", "n")], F.sum("urls").alias("urls"))
+            seen = seen.select(F.col("suffix").alias("__s"), F.col("own").alias("__f"), *[v.alias(f"__{level}_{k}") for k, v in numbers.items()])
             # at most a row for each URL of the bounded sample
-            training = training.join(F.broadcast(others), (F.col(f"__url.{level}") == F.col("__s")) & (F.col("fold") == F.col("__f")), "left").drop("__s", "__f")
+            training = training.join(F.broadcast(seen), (F.col(f"__url.{level}") == F.col("__s")) & (F.col("fold") == F.col("__f")), "left").drop("__s", "__f")
         value = model.values()
         taken = training.select("label", "weight", *[value[n].alias(n) for n in model.names]).collect()
         if taken:
@@ -202,9 +211,8 @@ class UrlModel:
     def values(self) -> dict[str, Column]:
         """The expression of each number; a suffix without labels has the prior and no rows."""
         value = {n: F.col(f"__url.{n}") for n in LEXICAL}
-        for level in self.levels:
-            value[f"{level}_rate"] = F.coalesce(F.col(f"__{level}_rate"), F.lit(float(self.prior)))
-            value[f"{level}_rows"] = F.coalesce(F.col(f"__{level}_rows"), F.lit(0.0))
+        for name in self.statistics:
+            value[name] = F.coalesce(F.col(f"__{name}"), F.lit(float(self.prior) if name.endswith("_rate") else 0.0))
         return value
 
     def numbers(self, df: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
@@ -212,8 +220,8 @@ class UrlModel:
         df = written(df.withColumns({f"__{level}": F.col(f"__url.{level}") for level in self.levels}), "url-numbers")
         total = df.count()
         for level in self.levels:
-            of = self.statistics.where(F.col("level") == level)
-            of = of.select(F.col("suffix").alias(f"__{level}"), F.col("rate").alias(f"__{level}_rate"), F.col("rows").alias(f"__{level}_rows"))
+            of = self.table.where(F.col("level") == level)
+            of = of.select(F.col("suffix").alias(f"__{level}"), *[F.col(s.partition("_")[2]).alias(f"__{s}") for s in self.statistics if s.startswith(f"{level}_")])
             # every suffix of df has a row, so a hot one without statistics is broadcast too
             of = df.groupBy(f"__{level}").agg(F.count(F.lit(1)).alias("__times")).join(of, f"__{level}", "left")
             df = join_counted(df, written(of, "url-rates"), f"__{level}", "__times", total)
@@ -223,7 +231,7 @@ class UrlModel:
         """``df`` with ``__score``, the chance that a URL is to be blocked."""
         with_numbers, value = self.numbers(df)
         scored = with_numbers.withColumn("__score", 1 / (1 + F.exp(-self.trees.margin(value))))
-        return scored.drop(*[f"__{level}_{n}" for level in self.levels for n in ("rate", "rows")])
+        return scored.drop(*[f"__{s}" for s in self.statistics])
 
 
 def filter_urls(pages: DataFrame, model: UrlModel, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", cutoff: float = 0.5) -> DataFrame:

@@ -22,7 +22,7 @@ ROWS = [
 ]
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 #: Names that operators use for columns of their own.
-CLASHING = ("fp", "component_id", "kept", "size", "shard", "slot", "taken", "key", "bucket", "h", "ids", "n_tokens", "block", "host", "path", "rule", "score", "vector", "expected_grade", "payload", "sha1", "first", "steps", "stratum")
+CLASHING = ("fp", "component_id", "kept", "size", "shard", "slot", "taken", "key", "bucket", "h", "ids", "n_tokens", "block", "host", "path", "rule", "score", "vector", "expected_grade", "payload", "sha1", "first", "steps", "stratum", "row", "order", "point", "num", "tail", "__row", "__times", "__time", "__text", "__stratum", "__keep", "__salt", "__part", "a.b", "a`b")
 
 
 def documents(spark: SparkSession, rows=ROWS) -> DataFrame:

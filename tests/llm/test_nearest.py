@@ -83,9 +83,9 @@ def test_short_vectors_are_passed_over(spark):
             nearest_module._tiles = kept
         assert sorted(map(tuple, got)) == sorted(brute(rows, [r for r in rows if r[0] % 20 == 0], 5))
         queries = made[0][0]
-        assert made[1][0] <= 8 * queries  # of 20 blocks
+        assert made[1][0] <= 12 * queries  # of 20 blocks
         sizes.append(made[1][1] / queries)
-    assert sizes[1] <= 1.5 * sizes[0] and max(sizes) <= 5 * 4
+    assert sizes[1] <= sizes[0]  # rows before the rank, a query
 
 
 @settings(max_examples=60, deadline=None)

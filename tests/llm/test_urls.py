@@ -102,9 +102,13 @@ def test_statistics_cover_all_labelled_urls(spark):
     urls = [f"http://a{i % 40}.site{i % 40}.com/{i}" for i in range(400)]
     labels = [int(i % 40 < 10) for i in range(400)]
     model = UrlModel.fit(table(spark, urls, labels), rows=15)
-    got = {r.suffix: r for r in model.statistics.where("level = 'domain'").collect()}
+    got = {r.suffix: r for r in model.table.where("level = 'domain'").collect()}
     assert len(got) == 40 and all(round(math.expm1(r.rows)) == 10 for r in got.values())
     assert all(math.isclose(got[f"site{k}.com"].rate, (10 * (k < 10) + model.prior) / 11) for k in range(40))
+    assert all(round(math.expm1(r.urls)) == 10 for r in got.values())
+    labels[::2] = [None] * 200
+    half = UrlModel.fit(table(spark, urls, labels), rows=15, statistics=("domain_rows", "domain_urls")).table.collect()
+    assert {(round(math.expm1(r.rows)), round(math.expm1(r.urls))) for r in half} == {(0, 10), (10, 10)}
     score = model.score(lexical(table(spark, urls), "url"))
     assert score.count() == len(urls)
 
@@ -167,6 +171,6 @@ def test_training_rates_come_from_other_folds(spark):
     urls = [f"http://a.b{i}.com/" for i in range(60)]
     fold = {r.url: r.f for r in table(spark, urls).select("url", F.pmod(F.xxhash64(F.lit("fold"), "url"), F.lit(FOLDS)).alias("f")).collect()}
     assert len(set(fold.values())) == FOLDS
-    model = UrlModel.fit(table(spark, urls, [i % 2 for i in range(60)]), levels=("site",))
+    model = UrlModel.fit(table(spark, urls, [i % 2 for i in range(60)]), statistics=("site_rate", "site_rows"))
     assert model.names[-2:] == ("site_rate", "site_rows")
     assert "site_rate" not in {v for tree in model.trees.trees for v in flat(tree)}
