@@ -12,7 +12,7 @@ from lexitally.functions.text import positional_tokens, tokens
 from lexitally.operators import counting
 from lexitally.plans.word_frequency import frequencies
 from lexitally.sources.dump import articles_from, read_pages
-from lexitally.sources.workdir import shared_folder
+from lexitally.sources.workdir import shared_folder, until_exit
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,7 @@ def _dump(spark: SparkSession, sf_dir: str, name: str, col: str) -> DataFrame:
     path = shared_folder(spark, "dump")
     some = table(spark, sf_dir, name).where(F.col(col).isNotNull())
     some.select(page_markup(escaped(col))).write.text(path)
+    until_exit(spark, path)
     return read_pages(spark, path)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new path below ``spark.checkpoint.dir``, deleted when the driver ends.
+    """A new path below ``spark.checkpoint.dir``; nothing is there yet.
 
     Only where that setting is unset and everything runs in one process, as in tests, a local one.
     """
@@ -19,11 +19,13 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
         if not (master == "local" or master.startswith("local[")):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"file://{tempfile.gettempdir()}/checkpoints"
-    path = f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def until_exit(spark: SparkSession, path: str) -> None:
+    """Has what is at ``path`` deleted when the driver ends."""
     at, fs = _located(spark, path)
-    fs.mkdirs(at.getParent())
     fs.deleteOnExit(at)
-    return path
 
 
 def _located(spark: SparkSession, path: str):
@@ -35,6 +37,7 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: its lineage ends there."""
     path = shared_folder(df.sparkSession, purpose)
     df.write.parquet(path)
+    until_exit(df.sparkSession, path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.folder = path
     return out
