@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexitally.llm.common import Batches, join_counted, named
-from lexitally.sources.workdir import shared_folder
+from lexitally.sources.workdir import shared_folder, until_exit
 
 EOL = "\r\n"
 #: Fixed by the format: the version line and the profile of a revisit with an identical payload.
@@ -248,8 +248,10 @@ def captures(found: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, path: str | None = None, with_payload: bool = False) -> DataFrame:
-    """Writes ``pages`` as archives, below the shared folder if no path is given, and reads the captures back."""
-    spark = pages.sparkSession
+    """Writes ``pages`` as archives and reads the captures back. Without a path they are below the shared folder until the driver ends."""
+    spark, own = pages.sparkSession, path is None
     path = path or shared_folder(spark, "warc")
     write_archives(pages, path)
+    if own:
+        until_exit(spark, path)
     return captures(read_records(spark, path, with_payload))
