@@ -15,9 +15,11 @@ from lexitally.sources.workdir import written
 HOT_SHARE = 1000
 
 
-def utf8(column: pa.Array) -> list[bytes]:
-    """The bytes of a text column; null counts as empty."""
-    return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
+def utf8(column: pa.Array) -> Iterator[bytes]:
+    """The bytes of each value of a text column; null counts as empty. A few values at a time are copied, not the column."""
+    column = column.cast(pa.binary())
+    for at in range(0, len(column), 64):
+        yield from (b"" if x is None else x for x in column.slice(at, 64).to_pylist())
 
 
 def named(column: str) -> Column:

@@ -19,7 +19,7 @@ thousand shingles get a wrong common one with a chance of about 1e-13.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +40,7 @@ SAMPLE, SEEN, FREQUENT = 1 << 13, 4, 1 << 16
 #: Texts of a shingle that meet others in a task.
 BLOCK = 2048
 #: Bytes of texts that are hashed at a time.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -99,21 +99,25 @@ class Shingles:
     def of(self, text: bytes) -> np.ndarray:
         return self.joined(np.concatenate([np.zeros(0, np.uint64), *(self.words(part)[0] for part in _cuts(text.lower()))]))
 
-    def of_each(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+    def of_each(self, texts: Iterable[bytes]) -> Iterator[np.ndarray]:
         """``of`` for each text; short ones are hashed side by side."""
-        at = 0
-        while at < len(texts):
-            to, size = at + 1, len(texts[at])
-            while to < len(texts) and size + len(texts[to]) < PIECE:
-                size += len(texts[to])
-                to += 1
-            if to == at + 1:
-                yield self.of(texts[at])
-            else:
-                hashes, begins = self.words(b"\n".join(texts[at:to]).lower())
-                ends = np.cumsum([len(t) + 1 for t in texts[at:to]])
-                yield from map(self.joined, np.split(hashes, np.searchsorted(begins, ends[:-1])))
-            at = to
+        some, size = [], 0
+        for text in texts:
+            if some and size + len(text) > PIECE:
+                yield from self._side_by_side(some)
+                some, size = [], 0
+            some.append(text)
+            size += len(text)
+        if some:
+            yield from self._side_by_side(some)
+
+    def _side_by_side(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        if len(texts) == 1:
+            yield self.of(texts[0])
+        else:
+            hashes, begins = self.words(b"\n".join(texts).lower())
+            ends = np.cumsum([len(t) + 1 for t in texts])
+            yield from map(self.joined, np.split(hashes, np.searchsorted(begins, ends[:-1])))
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
@@ -208,12 +212,11 @@ def _links(texts: DataFrame, total: int, size: int, least: float, radius: int) -
     roots = components(first)
 
     rows = written(_prefixes(texts, _frequent(texts, total, size), size, least), "shingle-rows")
-    place = F.struct("num", "n", "at")
-    heads = rows.groupBy("h").agg(F.count(F.lit(1)).alias("members"), F.min(place).alias("lead")).where("members > 1")
+    heads = rows.groupBy("h").agg(F.count(F.lit(1)).alias("members"), F.min("num").alias("lead")).where("members > 1").drop("members")
     shared = written(rows.join(heads, "h"), "shared-shingles")
     discard(rows)
-    met = shared.where("num != lead.num").withColumns({"other_n": F.col("lead.n"), "other_at": F.col("lead.at")}).where(_possible(least))
-    met = met.select(F.col("lead.num").alias("a"), F.col("num").alias("b")).distinct()
+    leads = shared.where("num = lead").select("h", F.col("n").alias("other_n"), F.col("at").alias("other_at"))
+    met = shared.where("num != lead").join(leads, "h").where(_possible(least)).select(F.col("lead").alias("a"), F.col("num").alias("b")).distinct()
     for side in ("a", "b"):
         known = roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
         met = met.join(known, side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
@@ -252,14 +255,14 @@ def _point(text: bytes) -> bytes:
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """One row of ``docs`` for each group of rows that are linked by texts with a similarity of at least ``least``.
 
-    The row with the smallest id stays, of rows with that id the one with the first text; rows without an id
+    The row with the smallest id stays, of rows with that id one by a hash of the text; rows without an id
     come last. Rows are told apart by their texts, so unrelated texts under one id all stay. Null, empty
     and wordless texts are one group. Texts of any length are compared whole. Repeated rows are one. An
     empty table gives an empty one. All columns are kept, whatever their names.
     """
     digest = F.udf(lambda text: _point((text or "").encode()), "binary", useArrow=True)
     text, ident = named(text_col).cast("string"), named(id_col).cast("long")
-    keyed = docs.select(nested(docs), digest(text).alias("point"), F.struct(ident.isNull().alias("none"), ident.alias("id"), text.alias("text")).alias("order"))
+    keyed = docs.select(nested(docs), digest(text).alias("point"), F.struct(ident.isNull().alias("none"), ident.alias("id"), F.xxhash64(text).alias("text")).alias("order"))
     # copies of a text meet in each task before they are sent: one row of a text and task, however many there are
     unique = keyed.groupBy("point").agg(F.min_by("row", "order").alias("row"))
     unique = written(unique.select("row", F.monotonically_increasing_id().alias("num")), "distinct-texts")
@@ -267,7 +270,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     texts = unique.select("num", text.alias("text"))
     roots = components(_links(texts, texts.count(), shingle, least, radius))
     grouped = roots.select(F.col("node").alias("num"), "root").unionByName(roots.select(F.col("root").alias("num"), "root").distinct())
-    order = F.struct(ident.isNull().alias("none"), ident.alias("id"), text.alias("text"), "num")
+    order = F.struct(ident.isNull().alias("none"), ident.alias("id"), F.xxhash64(text).alias("text"), "num")
     members = written(unique.select("num", order.alias("order")).join(grouped, "num").select("root", "order"), "near-groups")
     best = members.groupBy("root").agg(F.min("order").alias("best"))
     dropped = written(members.join(best, "root").where("order.num != best.num").select("order.num"), "near-dropped")

@@ -10,15 +10,15 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from lexitally.llm.common import Batches, named, nested, unnested, utf8
+from lexitally.llm.common import Batches, named, nested, utf8
 from lexitally.sources.workdir import written
 
 BITS = 18
@@ -32,6 +32,8 @@ PRIOR, ROUNDS, REMEMBERED, SETTLED = 0.5, 120, 12, 1e-3
 #: A feature must occur in so many rows of the sample, and in so large a share of them; of more such features than
 #: MOST_FEATURES the most frequent are used.
 LEAST_ROWS, LEAST_SHARE, MOST_FEATURES = 3, 1 / 300, 1 << 15
+#: Numbers of rows that the fit works on at a time.
+PART = 1 << 19
 #: Words whose features a task remembers.
 KEPT_WORDS = 120_000
 
@@ -99,11 +101,16 @@ class Likelihood:
 
     def __init__(self, rows: list[np.ndarray], size: int, grades: np.ndarray, weight: np.ndarray, top: int) -> None:
         self.size, self.top, self.grades, self.weight, self.decay = size, top, grades, weight / weight.sum(), PRIOR / len(rows)
-        flat, owner = np.concatenate(rows).astype(np.int64), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        self.filled, self.begins = np.unique(owner, return_index=True)  # rows that hold anything, and where they begin
-        by_number = np.argsort(flat, kind="stable")
-        self.held, self.places = np.unique(flat[by_number], return_index=True)
-        self.flat, self.owners = flat, owner[by_number]
+        # some rows at a time: their numbers, which of them hold any, and where each one's begin
+        self.parts, at = [], 0
+        lengths = np.array([len(r) for r in rows])
+        upto = np.cumsum(lengths)
+        while at < len(rows):
+            to = max(at + 1, int(np.searchsorted(upto, upto[at] - lengths[at] + PART, "right")))
+            filled = at + np.flatnonzero(lengths[at:to])
+            if len(filled):
+                self.parts.append((np.concatenate(rows[at:to]).astype(np.int32), filled, (upto - lengths)[filled] - (upto - lengths)[at], lengths[filled]))
+            at = to
 
     def thresholds(self, value: np.ndarray) -> np.ndarray:
         return np.cumsum(np.r_[value[self.size], np.exp(value[self.size + 1 :])])
@@ -112,8 +119,8 @@ class Likelihood:
         """The loss and its gradient."""
         grades, n = self.grades, np.arange(len(self.grades))
         score, by_number = np.zeros(len(n)), np.zeros(self.size)
-        if len(self.flat):
-            score[self.filled] = np.add.reduceat(value[self.flat], self.begins)
+        for flat, filled, begins, _ in self.parts:
+            score[filled] = np.add.reduceat(value[flat], begins)
         tail = 1 / (1 + np.exp(np.clip(self.thresholds(value)[None, :] - score[:, None], -50, 50)))
         full = np.c_[np.ones(len(n)), tail, np.zeros(len(n))]
         p = np.maximum(full[n, grades] - full[n, grades + 1], 1e-12)
@@ -125,8 +132,8 @@ class Likelihood:
         onward = np.cumsum(by_cut[:, 1:-1].sum(axis=0)[::-1])[::-1]  # a gap moves all later thresholds
         weights = value[: self.size]
         loss = -(self.weight * np.log(p)).sum() + self.decay / 2 * (weights**2).sum()
-        if len(self.flat):
-            by_number[self.held] = np.add.reduceat(by_score[self.owners], self.places)
+        for flat, filled, _, lengths in self.parts:
+            by_number += np.bincount(flat, weights=np.repeat(by_score[filled], lengths), minlength=self.size)
         return float(loss), np.r_[by_number + self.decay * weights, onward[0], onward[1:] * np.exp(value[self.size + 1 :])]
 
 
@@ -172,8 +179,11 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, weight: np.ndarray, top: int
     size = 1 << BITS
     if not len(rows):
         return OrdinalModel(np.zeros(size, np.float32), np.arange(-top, 0) * 10.0)
-    used = frequent(np.bincount(np.concatenate(rows), minlength=size), len(rows))
-    place = np.full(size, -1, np.int64)
+    counts = np.zeros(size, np.int64)
+    for row in rows:
+        counts[row] += 1
+    used = frequent(counts, len(rows))
+    place = np.full(size, -1, np.int32)
     place[used] = np.arange(len(used))
     model = Likelihood([at[at >= 0] for at in (place[r] for r in rows)], len(used), grades, weight, top)
     start = np.zeros(len(used) + top)
@@ -261,34 +271,29 @@ def grade(docs: DataFrame, model: OrdinalModel, select: int, least: float = 0.5,
     An empty table gives an empty one.
     """
     expected, likely, kept = names
-    run = _graded(model, select, least)
-    keyed = docs.select(nested(docs), named(text_col).cast("string").alias("text"))
-    found = keyed.mapInArrow(run, _graded_type(keyed))
+    found = docs.select(nested(docs), _graded(model, select)(named(text_col).cast("string")).alias("grade"))
     others = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in names]
-    return found.select(*others, F.col("expected").alias(expected), F.col("tail").alias(likely), F.col("kept").alias(kept))
+    tail = F.col("grade.tail")
+    return found.select(*others, F.col("grade.expected").alias(expected), tail.alias(likely), (tail >= least).alias(kept))
 
 
-def _graded_type(keyed: DataFrame) -> StructType:
-    return StructType([keyed.schema["row"], StructField("expected", DoubleType()), StructField("tail", DoubleType()), StructField("kept", BooleanType())])
+def _graded(model: OrdinalModel, select: int):
+    """A function of texts: ``expected`` grade and ``tail`` probability. Only the texts go to Python."""
+    thresholds, weights = model.thresholds, model.weights
 
-
-def _graded(model: OrdinalModel, select: int, least: float):
-    """From batches of ``row, text`` to those of ``row, expected, tail, kept``."""
-
-    def run(batches: Batches) -> Batches:
-        features, weights = Features(), model.weights
-        for batch in batches:
-            tails = model.tails(np.array([weights[features.of(t)].sum(dtype=np.float64) for t in utf8(batch.column(1))], float))
-            tail = tails[:, select - 1]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tails.sum(axis=1)), pa.array(tail), pa.array(tail >= least)], names=["row", "expected", "tail", "kept"])
+    @F.arrow_udf("expected double, tail double")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        features, graded = Features(), OrdinalModel(weights, thresholds)
+        for part in parts:
+            tails = graded.tails(np.array([weights[features.of(t)].sum(dtype=np.float64) for t in utf8(part)], float))
+            yield pa.StructArray.from_arrays([pa.array(tails.sum(axis=1)), pa.array(tails[:, select - 1])], ["expected", "tail"])
 
     return run
 
 
 def keep_graded(docs: DataFrame, model: OrdinalModel, select: int, least: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that reach grade ``select``, unchanged, judged as ``grade`` does; all columns are kept, whatever their names."""
-    keyed = docs.select(nested(docs), named(text_col).cast("string").alias("text"))
-    return keyed.mapInArrow(_graded(model, select, least), _graded_type(keyed)).where("kept").select(*unnested(docs))
+    return docs.where(_graded(model, select)(named(text_col).cast("string")).getField("tail") >= least)
 
 
 def ratings_of(labels: DataFrame) -> DataFrame:

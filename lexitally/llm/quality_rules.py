@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -106,12 +107,14 @@ def measured(docs: DataFrame, id_col: str, text_col: str, stratum_col: str) -> D
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            texts = utf8(batch.column(2))
-            found = [measure(t) for t in texts]
+            found, same = [], []
+            for text in utf8(batch.column(2)):
+                found.append(measure(text))
+                same.append(xxhash.xxh3_64_intdigest(b" ".join(text.split())) >> 1)
             base = [pa.array([b[i] for b, _ in found], pa.int64()) for i in range(len(BASE))]
             failed = pa.array([base_failed(b[0], b[4]) for b, _ in found], pa.bool_())
             level = pa.array([steps(m) for _, m in found], pa.list_(pa.int32()))
-            same = pa.array([xxhash.xxh3_64_intdigest(b" ".join(t.split())) >> 1 for t in texts], pa.int64())
+            same = pa.array(same, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *base, failed, level, same], names=["doc_id", "stratum", *BASE, "base_failed", "steps", "same"])
 
     slim = docs.select(named(id_col).cast("long").alias("doc_id"), stratum(stratum_col), named(text_col).cast("string").alias("text"))
@@ -235,14 +238,14 @@ def keep_good(docs: DataFrame, labels: DataFrame, risk: float = 0.05, delta: flo
     features = written(measured(docs, id_col, text_col, stratum_col), "rule-measures")
     limits = cutoffs(features, labels, risk, delta)
 
-    def run(batches: Batches) -> Batches:
-        for batch in batches:
+    @F.arrow_udf("boolean")
+    def good(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, limits in parts:
             keep = []
-            for limit, text in zip(batch.column(1).to_pylist(), utf8(batch.column(2)), strict=True):
+            for text, limit in zip(utf8(texts), limits.to_pylist(), strict=True):
                 base, measures = measure(text)
                 keep.append(not base_failed(base[0], base[4]) and not (limit and any(s >= c for s, c in zip(steps(measures), limit, strict=True))))
-            yield batch.select(["row"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.array(keep, pa.bool_())
 
-    keyed = docs.select(nested(docs), stratum(stratum_col), named(text_col).cast("string").alias("text")).join(limits, "stratum", "left")
-    kept = keyed.select("row", "limits", "text").mapInArrow(run, keyed.select("row").schema)
-    return kept.select(*unnested(docs))
+    keyed = docs.select(nested(docs), stratum(stratum_col)).join(limits, "stratum", "left")
+    return keyed.where(good(F.col("row").getField(text_col).cast("string"), F.col("limits"))).select(*unnested(docs))

@@ -255,7 +255,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows whose fingerprints differ in at most ``radius`` bits are linked; ``component_id`` is the
     smallest id reachable. All texts without words have fingerprint 0 and are linked like others.
     Null ids are never a component's name unless it has no other (then it is null); rows with equal
-    ids stay separate rows. An empty table gives an empty one.
+    ids and repeated rows stay separate rows. Texts of any length are read whole. An empty table gives an empty one. Only
+    the id and text columns are read, whatever others are called.
     """
     fps = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     points = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "points")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from lexitally.llm.common import Batches, named, utf8
 
 #: Positions and distinct words at which a block is full.
-BLOCK_POSITIONS, BLOCK_WORDS = 6_000_000, 600_000
+BLOCK_POSITIONS, BLOCK_WORDS = 4_500_000, 450_000
 #: Distinct words whose answers a task keeps in each of two halves. When the newer is full the older one is forgotten,
 #: and its words that come again are worked out again: frequent words stay.
 KEPT_ANSWERS = 1_000_000
