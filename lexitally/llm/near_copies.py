@@ -33,7 +33,7 @@ from lexitally.sources.workdir import discard, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bits by which fingerprints may differ that propose a link; the prefix filter finds what they leave.
-RADIUS = 3
+RADIUS = 2
 #: Texts whose shingles are counted to find frequent ones, times that such a one is seen at least, and the longest
 #: list of them. They bound the list that delays shingles, not the shingles that are compared.
 SAMPLE, SEEN, FREQUENT = 1 << 13, 4, 1 << 16
