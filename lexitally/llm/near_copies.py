@@ -7,12 +7,15 @@
 3. Each text's distinct shingles are put in one order for all texts, those of a bounded list of frequent ones
    last. Two sets with similarity s share one of their first n - ceil(s * n) + 1 shingles, so
    candidates meet at these. The order decides how many candidates there are, never which pairs are found.
-4. Candidates are confirmed on their texts: first each with its shingle's first text, which joins large groups
-   by few pairs, then all those that aren't in one group yet.
+4. Candidates meet by sketches, a bit for each shingle: these bound from below in how many shingles two sets differ, so
+   they refuse no similar pair and nearly all others, and few texts are sent. What is left is confirmed on the texts: first
+   each with its shingle's first text, then the likeliest pairs that connect groups, which both join large groups by few
+   pairs, then all those that aren't in one group yet.
 5. One text of each connected group stays.
 
-No task gets a shingle's texts as a group: counts and first texts are aggregates with a part in each task, and rows
-meet them by joins, of which Spark splits the skewed ones. Shingles are compared as 64-bit hashes: two sets of a
+Rare shingles are sent in packed buckets, once, and only those that texts share come back as rows. No task gets a frequent
+shingle's texts as a group: counts and first texts are aggregates with a part in each task, and rows meet them by joins, of
+which Spark splits the skewed ones; pairs are made within tasks, in tiles. Shingles are compared as 64-bit hashes: two sets of a
 thousand shingles get a wrong common one with a chance of about 1e-13.
 """
 
@@ -39,8 +42,14 @@ RADIUS = 2
 SAMPLE, SEEN, FREQUENT = 1 << 13, 4, 1 << 16
 #: Texts of a shingle that meet others in a task.
 BLOCK = 2048
-#: Bytes of texts that are hashed at a time.
+#: Bytes of texts whose first shingles make a bucket, rows of shingles that a task compares, and bits of the sketches there.
+BUCKET, TILE, TILE_BITS = 4 << 20, 1 << 14, 1 << 12
+#: Bytes of texts that are hashed, and numbers that are compared, at a time.
 PIECE = 1 << 18
+#: Nodes of links that a task joins at a time.
+NODES = 1 << 20
+#: Buckets of packets that hold no rare shingles.
+LISTED, SKETCHES = -1, -2
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -150,36 +159,243 @@ def _frequent(texts: DataFrame, total: int, size: int) -> tuple[np.ndarray, np.n
     return h[order], n[order]
 
 
-def _prefixes(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], size: int, least: float) -> DataFrame:
-    """``h, num, n, at`` for the first shingles of each text: ``n`` of all, ``at`` counts from 0."""
+def sketch(h: np.ndarray, most: int = 0) -> bytes:
+    """The number of a set's hashes, then a bit for each class of them: whether the set has an odd number of that class.
+
+    Two sets differ in at least as many hashes as bits. There are as many classes as hashes, rounded up to a power of two
+    (at least 64, and ``most`` if that isn't 0), so sketches of unlike sets fold to one size.
+    """
+    bits = 1 << max(6, (len(h) - 1).bit_length())
+    bits = min(bits, most or bits)
+    odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return len(h).to_bytes(8, "little") + np.packbits(odd.astype(bool)).tobytes()
+
+
+def leeway(sketches: list[bytes], a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """For each pair of places in ``sketches``: by how much of their hashes the sets can differ beyond what the sketches show and
+    still have a similarity of at least ``least``. Below 0: they don't have it."""
+    sizes, n = np.array([len(s) - 8 for s in sketches], np.int64), np.array([int.from_bytes(s[:8], "little") for s in sketches], np.int64)
+    fits = np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]) - 1e-6
+    most = (1 - least) / (1 + least) * (n[a] + n[b]) + 1e-6
+    out = np.full(len(a), -1.0)
+    shorter = np.minimum(sizes[a], sizes[b])
+    for size in np.unique(shorter[fits]):
+        at = np.flatnonzero(fits & (shorter == size))
+        used, place = np.unique(np.concatenate([a[at], b[at]]), return_inverse=True)
+        bits = np.stack([np.bitwise_xor.reduce(np.frombuffer(sketches[i], np.uint64, offset=8).reshape(-1, size // 8)) for i in used])
+        for some in np.array_split(np.arange(len(at)), 1 + len(at) * size // PIECE):
+            differ = np.bitwise_count(bits[place[some]] ^ bits[place[len(at) + some]]).sum(axis=1, dtype=np.int64)
+            out[at[some]] = (most[at[some]] - differ) / (n[a] + n[b])[at[some]]
+    return out
+
+
+def _top(parent: dict[int, int], x: int) -> int:
+    while (up := parent.setdefault(x, x)) != x:
+        parent[x] = x = parent[up]
+    return x
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of the edges that, taken in this order, join what wasn't joined yet."""
+    parent: dict[int, int] = {}
+    out = []
+    for at, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = _top(parent, x), _top(parent, y)
+        if x != y:
+            parent[x] = y
+            out.append(at)
+    return np.array(out, np.int64)
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers from 0 in as few bytes each as the largest needs; the first byte says how many."""
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or not len(numbers) or int(numbers.max()) < 1 << 8 * w)
+    return bytes([width]) + numbers.astype(f"<u{width}").tobytes()
+
+
+def _unpacked(table: pa.Table | pa.RecordBatch) -> list[np.ndarray]:
+    """``h, num, n, at`` of packets."""
+    out: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)], *([np.zeros(0, np.int64)] for _ in range(3))]
+    for row in table.select(["base", "h", "num", "n", "at"]).to_pylist():
+        num, n, at = (np.frombuffer(row[c], f"<u{row[c][0]}", offset=1).astype(np.int64) for c in ("num", "n", "at"))
+        for some, found in zip(out, (np.frombuffer(row["h"], "<u8"), num + row["base"], n, at), strict=True):
+            some.append(found)
+    return [np.concatenate(x) for x in out]
+
+
+def _packets(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], size: int, least: float, buckets: int) -> DataFrame:
+    """The first shingles of each text (``h, num, n, at``: ``n`` of all, ``at`` counts from 0), many in a row, by buckets of ``h``.
+
+    Those of the frequent list are in bucket LISTED, so that no bucket holds a frequent one. Rows of bucket SKETCHES have a
+    text's ``num`` as ``base``, its sketch as ``h`` and one of bounded size as ``num``.
+    """
     known, seen = frequent
+    types = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
+
+    def packed(rows: list[tuple], nums: list[int], ns: list[int], found: list[np.ndarray], delayed: list[np.ndarray]) -> pa.RecordBatch:
+        lengths, base, h = [len(x) for x in found], min(nums), np.concatenate(found)
+        num, n = np.repeat(np.array(nums, np.int64) - base, lengths), np.repeat(np.array(ns, np.int64), lengths)
+        at = np.arange(len(h)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        bucket = np.where(np.concatenate(delayed), LISTED, ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64))
+        order = np.argsort(bucket, kind="stable")
+        names, starts = np.unique(bucket[order], return_index=True)
+        for name, part in zip(names.tolist(), np.split(order, starts[1:]), strict=True):
+            rows.append((name, base, h[part].tobytes(), *(_packed(x[part]) for x in (num, n, at))))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["bucket", "base", "h", "num", "n", "at"])
 
     def run(batches: Batches) -> Batches:
         hashes = Shingles(size)
         for batch in batches:
-            h_out, num_out, n_out, at_out = [], [], [], []
+            some: tuple[list, ...] = ([], [], [], [], [])
+            held = 0
             for num, h in zip(batch.column(0).to_pylist(), hashes.of_each(utf8(batch.column(1))), strict=True):
                 if not len(h):
                     continue
-                k = prefix_length(len(h), least)
+                row, often, k = (SKETCHES, num, sketch(h), sketch(h, TILE_BITS), b"", b""), np.zeros(len(h), np.int64), prefix_length(len(h), least)
                 if len(known):
                     place = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    h = h[np.lexsort((h, np.where(known[place] == h, seen[place], 0)))]
-                h_out.append(h[:k])
-                num_out.append(np.full(k, num, np.int64))
-                n_out.append(np.full(k, len(h), np.int32))
-                at_out.append(np.arange(k, dtype=np.int32))
-            if h_out:
-                columns = [np.concatenate(h_out).view(np.int64), *map(np.concatenate, (num_out, n_out, at_out))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "num", "n", "at"])
+                    often = np.where(known[place] == h, seen[place], 0)
+                    order = np.lexsort((h, often))
+                    h, often = h[order], often[order]
+                for values, value in zip(some, (row, num, len(h), h[:k].copy(), often[:k] > 0), strict=True):
+                    values.append(value)
+                held += k
+                if held > PIECE:
+                    yield packed(*some)
+                    some, held = ([], [], [], [], []), 0
+            if held:
+                yield packed(*some)
+
+    return texts.select("num", "text").mapInArrow(run, "bucket int, base long, h binary, num binary, n binary, at binary")
+
+
+def _shared(packets: DataFrame) -> DataFrame:
+    """``h, num, n, at, lead, lead_n, lead_at`` of shingles that several texts have among their first; the lead is the smallest ``num``."""
+
+    def meet(table: pa.Table) -> pa.Table:
+        h, num, n, at = _unpacked(table)
+        order = np.lexsort((num, h))
+        h, num, n, at = (x[order] for x in (h, num, n, at))
+        _, starts, members = np.unique(h, return_index=True, return_counts=True)
+        keep = np.repeat(members > 1, members)
+        lead = np.repeat(starts, members)[keep]
+        columns = [h[keep].view(np.int64), num[keep], n[keep].astype(np.int32), at[keep].astype(np.int32), num[lead], n[lead].astype(np.int32), at[lead].astype(np.int32)]
+        return pa.table([pa.array(c) for c in columns], names=["h", "num", "n", "at", "lead", "lead_n", "lead_at"])
+
+    def rows(batches: Batches) -> Batches:
+        for batch in batches:
+            for i in range(len(batch)):
+                h, num, n, at = _unpacked(batch.slice(i, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h.view(np.int64), num, n.astype(np.int32), at.astype(np.int32))], names=["h", "num", "n", "at"])
 
-    return texts.select("num", "text").mapInArrow(run, "h long, num long, n int, at int")
+    schema = "h long, num long, n int, at int, lead long, lead_n int, lead_at int"
+    rare = packets.where("bucket >= 0").groupBy("bucket").applyInArrow(meet, schema)
+    listed = packets.where(F.col("bucket") == LISTED).drop("bucket").mapInArrow(rows, "h long, num long, n int, at int")
+    heads = listed.groupBy("h").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("num", "n", "at")).alias("lead")).where("members > 1")
+    heads = heads.select("h", F.col("lead.num").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.at").alias("lead_at"))
+    return rare.unionByName(listed.join(heads, "h"))
 
 
 def _possible(least: float) -> Column:
-    """Whether two texts that have ``h`` as their first common shingle can be similar, by size and place."""
-    both = F.least(F.col("n") - F.col("at"), F.col("other_n") - F.col("other_at"))
-    return both >= least / (1 + least) * (F.col("n") + F.col("other_n")) - 1e-6
+    """Whether a text and its shingle's lead can be similar, by size and place, if it is their first common shingle."""
+    both = F.least(F.col("n") - F.col("at"), F.col("lead_n") - F.col("lead_at"))
+    return both >= least / (1 + least) * (F.col("n") + F.col("lead_n")) - 1e-6
+
+
+def _contracted(links: DataFrame) -> DataFrame:
+    """Edges ``a, b`` that connect what ``links`` connect: in each task every node with its part's smallest one, so few rounds are left."""
+
+    def stars(parent: dict[int, int]) -> pa.RecordBatch:
+        pairs = [(x, _top(parent, x)) for x in parent if parent[x] != x]
+        a, b = zip(*pairs, strict=True) if pairs else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    def run(batches: Batches) -> Batches:
+        parent: dict[int, int] = {}
+        for batch in batches:
+            for x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x, y = _top(parent, x), _top(parent, y)
+                parent[max(x, y)] = min(x, y)
+            if len(parent) > NODES:
+                yield stars(parent)
+                parent = {}
+        yield stars(parent)
+
+    return links.select("a", "b").distinct().mapInArrow(run, "a long, b long")
+
+
+def _meetings(left: DataFrame, right: DataFrame, tiles: int, least: float, all_pairs: bool) -> DataFrame:
+    """``a, b``: texts of ``left`` and ``right`` that share ``h, i, j``, aren't in one group and may be similar.
+
+    Pairs are made and compared by their sketches within a task. All that may be similar leave it, or of those only
+    enough to connect what they connect, the likeliest first.
+    """
+
+    def key(table: pa.Table) -> np.ndarray:
+        i, j = (table.column(c).to_numpy().astype(np.uint64) for c in ("i", "j"))
+        return table.column("h").to_numpy().view(np.uint64) ^ scattered((i << np.uint64(32)) + j + np.uint64(1))
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        mine, keys = key(x), key(y)
+        order = np.argsort(keys, kind="stable")
+        y, keys = y.take(pa.array(order)), keys[order]
+        begins, ends = np.searchsorted(keys, mine), np.searchsorted(keys, mine, "right")
+        (num, n, at, root), (other_num, other_n, other_at, other_root) = ([t.column(c).to_numpy() for c in ("num", "n", "at", "root")] for t in (x, y))
+        names, first = np.unique(np.concatenate([num, other_num]), return_index=True)
+        group_of = np.concatenate([root, other_root])[first]
+        sketches = pa.chunked_array([*x.column("sketch").chunks, *y.column("sketch").chunks], pa.binary()).take(pa.array(first)).to_pylist()
+        met, room = np.zeros(0, np.int64), np.zeros(0)
+        upto = np.cumsum(ends - begins)
+        cuts = np.unique(np.searchsorted(upto, np.arange(0, upto[-1] if len(upto) else 0, 4 * PIECE), "left"))
+        for some in np.split(np.arange(len(x)), cuts[cuts > 0]):
+            lengths = ends[some] - begins[some]
+            i = np.repeat(some, lengths)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(begins[some], lengths)
+            apart = root[i] != other_root[j]
+            i, j = i[apart], j[apart]
+            both = np.minimum(n[i] - at[i], other_n[j] - other_at[j])
+            possible = both >= least / (1 + least) * (n[i].astype(np.int64) + other_n[j]) - 1e-6
+            p, q = np.searchsorted(names, num[i[possible]]), np.searchsorted(names, other_num[j[possible]])
+            pairs = np.unique(np.minimum(p, q) * len(names) + np.maximum(p, q))
+            found = leeway(sketches, *np.divmod(pairs, len(names)), least)
+            met, first = np.unique(np.concatenate([met, pairs[found >= 0]]), return_index=True)
+            room = np.concatenate([room, found[found >= 0]])[first]
+            if not all_pairs:
+                order = np.argsort(-room, kind="stable")
+                order = order[forest(*(group_of[x] for x in np.divmod(met[order], len(names))))]
+                met, room = met[order], room[order]
+        a, b = np.divmod(met, max(1, len(names)))
+        return pa.table([pa.array(names[x], pa.int64()) for x in (a, b)], names=["a", "b"])
+
+    tile = F.pmod(F.xxhash64("h", "i", "j"), F.lit(tiles)).alias("tile")
+    left, right = left.withColumn("tile", tile), right.withColumn("tile", tile)
+    return left.groupBy("tile").cogroup(right.groupBy("tile")).applyInArrow(run, "a long, b long").distinct()
+
+
+def _plausible(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """The ``a, b`` of ``pairs`` that may be similar by their texts' sketches."""
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            for at in range(0, len(batch), 1024):
+                some = batch.slice(at, 1024)
+                both = [*some.column(2).to_pylist(), *some.column(3).to_pylist()]
+                near = leeway(both, np.arange(len(some)), np.arange(len(some)) + len(some), least) >= 0
+                yield some.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    for side in ("a", "b"):
+        pairs = pairs.join(sketches.select(F.col("num").alias(side), F.col("sketch").alias(f"sketch_{side}")), side)
+    return pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
+
+
+def _named_in(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The ``texts`` that ``pairs`` name, by a bit for each text, so that others aren't sent anywhere."""
+    bucket, position = F.bitmap_bucket_number("num"), F.bitmap_bit_position("num")
+    nums = pairs.select(F.explode(F.array("a", "b")).alias("num"))
+    bits = nums.groupBy(bucket.alias("bits_of")).agg(F.bitmap_construct_agg(position).alias("bits"))
+    placed = texts.withColumns({"bits_of": bucket, "bit": position.cast("int")}).join(F.broadcast(bits), "bits_of")
+    byte = F.conv(F.hex(F.substr("bits", F.shiftright("bit", 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return placed.where(F.getbit(byte, F.pmod("bit", F.lit(8))) == 1).select(*texts.columns)
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
@@ -196,34 +412,30 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> D
                 near.append(similar(of, y, least))
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    total = pairs.count()
+    total, named_texts = pairs.count(), _named_in(pairs, texts)
     for side in ("b", "a"):
         sides = written(pairs.groupBy(side).agg(F.count(F.lit(1)).alias("times")), "candidate-texts")
-        one = texts.select(F.col("num").alias(side), F.col("text").alias(f"text_{side}")).join(sides, side)
+        one = named_texts.select(F.col("num").alias(side), F.col("text").alias(f"text_{side}")).join(sides, side)
         pairs = join_counted(pairs, one, side, "times", total, "inner")
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _links(texts: DataFrame, total: int, size: int, least: float, radius: int) -> DataFrame:
+def _links(texts: DataFrame, size: int, least: float, radius: int) -> DataFrame:
     """``a, b``: pairs of similar texts, enough of them to connect all that are connected."""
+    total, length = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    packets = written(_packets(texts, _frequent(texts, total, size), size, least, 1 + length // BUCKET), "shingle-packets")
+    shared = written(_shared(packets), "shared-shingles")
+    both = written(packets.where(F.col("bucket") == SKETCHES).select(F.col("base").alias("num"), F.col("h").alias("sketch"), F.col("num").alias("small")), "sketches")
+    discard(packets)
+    sketches = both.select("num", "sketch")
+
     close = near_duplicates(texts, "num", "text", size, radius).where("doc_id != component_id")
-    close = written(close.select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")), "close-candidates")
-    first = written(_confirmed(close, texts, size, least), "close-links")
-    roots = components(first)
-
-    rows = written(_prefixes(texts, _frequent(texts, total, size), size, least), "shingle-rows")
-    heads = rows.groupBy("h").agg(F.count(F.lit(1)).alias("members"), F.min("num").alias("lead")).where("members > 1").drop("members")
-    shared = written(rows.join(heads, "h"), "shared-shingles")
-    discard(rows)
-    leads = shared.where("num = lead").select("h", F.col("n").alias("other_n"), F.col("at").alias("other_at"))
-    met = shared.where("num != lead").join(leads, "h").where(_possible(least)).select(F.col("lead").alias("a"), F.col("num").alias("b")).distinct()
-    for side in ("a", "b"):
-        known = roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
-        met = met.join(known, side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
-    met = written(met.where("root_a != root_b").select("a", "b"), "led-candidates")
-    first = written(first.unionByName(_confirmed(met, texts, size, least)), "led-links")
+    close = close.select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
+    led = shared.where("num != lead").where(_possible(least)).select(F.col("lead").alias("a"), F.col("num").alias("b"))
+    met = written(_plausible(close.unionByName(led).distinct(), sketches, least), "led-candidates")
+    first = written(_confirmed(met, texts, size, least), "led-links")
 
-    roots = components(first)
+    roots = components(_contracted(first))
     placed = shared.select("h", "num", "n", "at").join(roots.withColumnRenamed("node", "num"), "num", "left")
     placed = written(placed.withColumn("root", F.coalesce("root", "num")), "placed-shingles")
     discard(shared)
@@ -231,7 +443,8 @@ def _links(texts: DataFrame, total: int, size: int, least: float, radius: int) -
     sizes = placed.groupBy("h", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("members"), F.count(F.lit(1)).alias("groups"))
     mixed = sizes.where("groups > 1").select("h", F.col("most.root").alias("major"), F.ceil((F.col("members") / BLOCK)).cast("int").alias("blocks"), F.ceil((F.col("members") - F.col("most.n")) / BLOCK).cast("int").alias("minor_blocks"))
     mixed = written(mixed, "mixed-shingles")
-    open_ = written(placed.join(mixed, "h"), "open-shingles")
+    open_ = placed.join(mixed, "h").join(both.select("num", F.col("small").alias("sketch")), "num")
+    open_ = written(open_, "open-shingles")
 
     def block(number: str) -> Column:
         return F.pmod(F.xxhash64("num"), F.col(number)).cast("int")
@@ -239,13 +452,19 @@ def _links(texts: DataFrame, total: int, size: int, least: float, radius: int) -
     def every(number: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(number) - 1))
 
-    left = open_.where("root != major").select("h", "num", "n", "at", "root", block("minor_blocks").alias("i"), every("blocks").alias("j"))
-    right = open_.select("h", *[F.col(c).alias(f"other_{c}") for c in ("num", "n", "at", "root")], block("blocks").alias("j"), every("minor_blocks").alias("i"))
-    rest = left.join(right, ["h", "i", "j"]).where("root != other_root").where(_possible(least))
-    rest = rest.select(F.least("num", "other_num").alias("a"), F.greatest("num", "other_num").alias("b")).distinct().join(met, ["a", "b"], "left_anti")
-    rest = written(rest, "candidates")
+    columns, tiles = ["h", "num", "n", "at", "root", "sketch"], 1 + open_.count() // TILE
+    for all_pairs in (False, True):  # first what connects most, as large groups of near copies have many pairs
+        now = open_.withColumn("outside", F.col("root") != F.col("major")).drop("root").join(roots.withColumnRenamed("node", "num"), "num", "left")
+        now = now.select("h", "num", "n", "at", F.coalesce("root", "num").alias("root"), "sketch", "outside", "blocks", "minor_blocks")
+        left = now.where("outside").select(*columns, block("minor_blocks").alias("i"), every("blocks").alias("j"))
+        right = now.select(*[F.col(c).alias(c) for c in columns], block("blocks").alias("j"), every("minor_blocks").alias("i"))
+        more = _meetings(left, right, tiles, least, all_pairs).join(met, ["a", "b"], "left_anti")
+        more = written(_plausible(more, sketches, least), "candidates")
+        links = written(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_confirmed(more, texts, size, least)), "links")
+        if not all_pairs:
+            met, roots = met.unionByName(more), components(_contracted(links))
     discard(placed, open_)
-    return first.unionByName(_confirmed(rest, texts, size, least))
+    return links
 
 
 def _point(text: bytes) -> bytes:
@@ -268,7 +487,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     unique = written(unique.select("row", F.monotonically_increasing_id().alias("num")), "distinct-texts")
     ident, text = F.col("row").getField(id_col).cast("long"), F.col("row").getField(text_col).cast("string")
     texts = unique.select("num", text.alias("text"))
-    roots = components(_links(texts, texts.count(), shingle, least, radius))
+    roots = components(_contracted(_links(texts, shingle, least, radius)))
     grouped = roots.select(F.col("node").alias("num"), "root").unionByName(roots.select(F.col("root").alias("num"), "root").distinct())
     order = F.struct(ident.isNull().alias("none"), ident.alias("id"), F.xxhash64(text).alias("text"), "num")
     members = written(unique.select("num", order.alias("order")).join(grouped, "num").select("root", "order"), "near-groups")

@@ -1,11 +1,12 @@
 import random
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lexitally.llm import near_copies
-from lexitally.llm.near_copies import Shingles, drop_near_copies, similar
+from lexitally.llm.near_copies import Shingles, drop_near_copies, leeway, similar, sketch
 from tests.llm.edge import ROWS, documents, no_documents
 from tests.llm.test_simhash import Sets
 
@@ -99,6 +100,57 @@ def test_one_group_of_near_copies_and_a_stranger(spark):
     check(drop_near_copies(documents(spark, rows)).collect(), rows)
 
 
+def test_few_pairs_meet_on_their_texts(spark, monkeypatch):
+    """A group of texts that share many shingles, most of them not similar, and one of near copies without a common original."""
+    rng, pairs, confirmed = random.Random(5), [], near_copies._confirmed
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(240):
+        some, changes = list(words), (9, 2)[i % 2]
+        for at in rng.sample(range(60), changes):
+            some[at] = f"x{i}-{at}"
+        rows.append((i, " ".join([f"p{i % 2}-{k}" for k in range(40)] + some), "en", "s", 0))
+
+    def counted(candidates, *rest):
+        pairs.append(candidates.count())
+        return confirmed(candidates, *rest)
+
+    monkeypatch.setattr(near_copies, "_confirmed", counted)
+    check(drop_near_copies(documents(spark, rows)).collect(), rows)
+    assert sum(pairs) < 4 * len(rows)
+
+
+def test_sketches_refuse_no_similar_pair():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 63, 64, 65, 300, 5000):
+        for kept in (0.5, 0.7, 0.85, 0.89, 0.9, 1):
+            a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+            b = np.unique(np.concatenate([a[: round(kept * n)], rng.integers(0, 1 << 63, n - round(kept * n) + n // 9, dtype=np.uint64)]))
+            a = np.unique(a)
+            for most in (0, 1 << 12):
+                may = leeway([sketch(a, most), sketch(b, most)], np.array([0]), np.array([1]), 0.8)[0] >= 0
+                assert may or not similar(a, b)
+                assert not may or kept >= 0.7 or n < 64 or n > most > 0
+
+
+def test_only_named_texts_are_sent(spark):
+    nums = [0, 1, 7, 8, 32767, 32768, 32769, 65536, 65537, 1 << 33, (1 << 33) + 5, 3 << 33]
+    texts = spark.createDataFrame([(n, str(n)) for n in nums], "num long, text string")
+    for named in ([0, 1], [8, 32769, 65536], [32768, (1 << 33) + 5], [nums[-1]], nums):
+        pairs = spark.createDataFrame([(x, named[-1]) for x in named], "a long, b long")
+        assert sorted(r.num for r in near_copies._named_in(pairs, texts).collect()) == named
+    assert near_copies._named_in(pairs.where("false"), texts).collect() == []
+
+
+def test_links_are_contracted(spark, monkeypatch):
+    edges = [(i, i + 1) for i in range(300)] + [(900, 500), (700, 900)]
+    links = spark.createDataFrame(edges, "a long, b long").coalesce(1)
+    want = {(i, 0) for i in range(1, 301)} | {(700, 500), (900, 500)}
+    assert {tuple(r) for r in near_copies.components(near_copies._contracted(links)).collect()} == want
+    monkeypatch.setattr(near_copies, "NODES", 10)
+    assert {tuple(r) for r in near_copies.components(near_copies._contracted(links)).collect()} == want
+
+
 def test_edge_rows(spark):
     df = documents(spark)
     got = drop_near_copies(df)
