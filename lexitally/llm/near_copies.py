@@ -346,7 +346,7 @@ def _meetings(left: DataFrame, right: DataFrame, tiles: int, least: float, all_p
         sketches = pa.chunked_array([*x.column("sketch").chunks, *y.column("sketch").chunks], pa.binary()).take(pa.array(first)).to_pylist()
         met, room = np.zeros(0, np.int64), np.zeros(0)
         upto = np.cumsum(ends - begins)
-        cuts = np.unique(np.searchsorted(upto, np.arange(0, upto[-1] if len(upto) else 0, 4 * PIECE), "left"))
+        cuts = np.unique(np.searchsorted(upto, np.arange(0, upto[-1] if len(upto) else 0, PIECE), "left"))
         for some in np.split(np.arange(len(x)), cuts[cuts > 0]):
             lengths = ends[some] - begins[some]
             i = np.repeat(some, lengths)
@@ -390,12 +390,10 @@ def _plausible(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame
 
 def _named_in(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The ``texts`` that ``pairs`` name, by a bit for each text, so that others aren't sent anywhere."""
-    bucket, position = F.bitmap_bucket_number("num"), F.bitmap_bit_position("num")
+    word, bit = F.shiftright("num", 6).alias("word"), F.pmod("num", F.lit(64)).cast("int")
     nums = pairs.select(F.explode(F.array("a", "b")).alias("num"))
-    bits = nums.groupBy(bucket.alias("bits_of")).agg(F.bitmap_construct_agg(position).alias("bits"))
-    placed = texts.withColumns({"bits_of": bucket, "bit": position.cast("int")}).join(F.broadcast(bits), "bits_of")
-    byte = F.conv(F.hex(F.substr("bits", F.shiftright("bit", 3) + 1, F.lit(1))), 16, 10).cast("int")
-    return placed.where(F.getbit(byte, F.pmod("bit", F.lit(8))) == 1).select(*texts.columns)
+    bits = nums.groupBy(word).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+    return texts.withColumns({"word": word, "bit": bit}).join(F.broadcast(bits), "word").where(F.getbit("bits", F.col("bit")) == 1).select(*texts.columns)
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
