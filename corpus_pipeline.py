@@ -58,8 +58,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each row; null and empty texts have no tokens."""
-    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.decode(bpe.encode(docs, vocabulary, public_tokenizers.PATTERN), vocabulary, with_bytes=False)
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 STAGES = [

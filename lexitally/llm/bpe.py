@@ -27,6 +27,7 @@ CHUNK_POSITIONS = 500_000
 #: From this length on a word is merged with a heap.
 LONG_WORD = 128
 _NEVER = 1 << 60
+_DECODED = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
@@ -123,6 +124,32 @@ def splitter(pattern: str, special: str = "") -> Callable[[str], list[str]]:
     return around if special else plain
 
 
+def _laid_out(ids, sizes, lengths, positions, answers, flat) -> Iterator[dict]:
+    """``doc_id`` and ``ids`` of a block's documents, some at a time."""
+    start_of, length_of = answers
+    ends = np.cumsum(lengths)
+    at = 0
+    while at < len(ids):
+        first = int(ends[at] - lengths[at])
+        to = max(at + 1, int(np.searchsorted(ends, first + CHUNK_POSITIONS, "right")))
+        words = positions[first : int(ends[to - 1])]
+        counts = length_of[words]
+        tokens = ragged(flat, start_of[words], counts)
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        offsets = upto[np.concatenate([[first], ends[at:to]]) - first]
+        array = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(tokens.astype(np.int32)))
+        yield {"doc_id": pa.array(ids[at:to], pa.int64()), "ids": array}
+        at = to
+
+
+def _answerer(content: bytes) -> Callable[[], Callable[[bytes], bytes]]:
+    def answerer() -> Callable[[bytes], bytes]:
+        ranks = read_ranks(content)
+        return lambda word: array("I", encode_word(word, ranks)).tobytes()
+
+    return answerer
+
+
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id long, ids array<int>`` for each row of ``docs``, without special tokens.
 
@@ -134,27 +161,59 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     with open(vocabulary, "rb") as file:
         content = file.read()
 
-    def answerer() -> Callable[[bytes], bytes]:
-        ranks = read_ranks(content)
-        return lambda word: array("I", encode_word(word, ranks)).tobytes()
+    return exchange(docs, id_col, text_col, splitter(pattern), _answerer(content), _laid_out, "doc_id bigint, ids array<int>")
 
-    def finish(ids, sizes, lengths, positions, answers, flat) -> Iterator[dict]:
-        start_of, length_of = answers
-        ends = np.cumsum(lengths)
-        at = 0
-        while at < len(ids):  # some documents at a time
-            first = int(ends[at] - lengths[at])
-            to = max(at + 1, int(np.searchsorted(ends, first + CHUNK_POSITIONS, "right")))
-            words = positions[first : int(ends[to - 1])]
-            counts = length_of[words]
-            tokens = ragged(flat, start_of[words], counts)
-            upto = np.concatenate([[0], np.cumsum(counts)])
-            offsets = upto[np.concatenate([[first], ends[at:to]]) - first]
-            array = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(tokens.astype(np.int32)))
-            yield {"doc_id": pa.array(ids[at:to], pa.int64()), "ids": array}
-            at = to
-
-    return exchange(docs, id_col, text_col, splitter(pattern), answerer, finish, "doc_id bigint, ids array<int>")
+
+class TokenBytes:
+    """A vocabulary's token bytes by id."""
+
+    def __init__(self, content: bytes) -> None:
+        by_id = {rank: token for token, rank in read_ranks(content).items()}
+        self.lengths = np.zeros(max(by_id) + 1, np.int64)
+        for i, token in by_id.items():
+            self.lengths[i] = len(token)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.table = np.frombuffer(b"".join(by_id[i] for i in sorted(by_id)), np.uint8)
+
+    def of(self, ids: np.ndarray) -> bytes:
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.lengths) or not self.lengths[ids].all()):
+            raise ValueError("an id is not in the vocabulary")
+        return ragged(self.table, self.starts[ids], self.lengths[ids]).tobytes()
+
+    def columns(self, lists: pa.ListArray, with_bytes: bool) -> dict[str, pa.Array]:
+        """What ``decode`` gives of each list of ids."""
+        out: dict[str, list] = {"n": [], "ids": [], "text": [], "raw": []}
+        for at in range(len(lists)):
+            value = lists[at].values
+            ids = np.zeros(0, np.int32) if value is None else value.to_numpy(zero_copy_only=False)
+            raw = self.of(ids)
+            out["n"].append(len(ids))
+            out["ids"].append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
+            out["text"].append(hashlib.sha256(raw).hexdigest())
+            if with_bytes:
+                out["raw"].append(raw)
+        columns = {"n_tokens": pa.array(out["n"], pa.int64()), "ids_sha256": pa.array(out["ids"], pa.string()), "decoded_sha256": pa.array(out["text"], pa.string())}
+        return columns | ({"decoded": pa.array(out["raw"], pa.binary())} if with_bytes else {})
+
+
+@functools.lru_cache(1)
+def _token_bytes(content: bytes) -> TokenBytes:
+    return TokenBytes(content)
+
+
+def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``decode(encode(docs))`` without the bytes, in the task that lays a block's ids out.
+
+    Two Python functions in one stage need two workers for each task, which an executor keeps from then on.
+    """
+    with open(vocabulary, "rb") as file:
+        content = file.read()
+
+    def finish(*block) -> Iterator[dict]:
+        for rows in _laid_out(*block):
+            yield {"doc_id": rows["doc_id"]} | _token_bytes(content).columns(rows["ids"], False)
+
+    return exchange(docs, id_col, text_col, splitter(pattern), _answerer(content), finish, _DECODED)
 
 
 def decode(encoded: DataFrame, vocabulary: str, with_bytes: bool = True) -> DataFrame:
@@ -166,36 +225,14 @@ def decode(encoded: DataFrame, vocabulary: str, with_bytes: bool = True) -> Data
     """
     with open(vocabulary, "rb") as file:
         content = file.read()
-    ddl = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", decoded binary" * with_bytes
 
     def run(batches: Batches) -> Batches:
-        by_id = {rank: token for token, rank in read_ranks(content).items()}
-        lengths = np.zeros(max(by_id) + 1, np.int64)
-        for i, token in by_id.items():
-            lengths[i] = len(token)
-        starts = np.cumsum(lengths) - lengths
-        table = np.frombuffer(b"".join(by_id[i] for i in sorted(by_id)), np.uint8)
+        tokens = TokenBytes(content)
         for batch in batches:
-            lists = batch.column(1)
-            out: dict[str, list] = {"n": [], "ids": [], "text": [], "raw": []}
-            for at in range(len(lists)):
-                value = lists[at].values
-                ids = np.zeros(0, np.int32) if value is None else value.to_numpy(zero_copy_only=False)
-                if len(ids) and (ids.min() < 0 or ids.max() >= len(lengths) or not lengths[ids].all()):
-                    raise ValueError("an id is not in the vocabulary")
-                raw = ragged(table, starts[ids], lengths[ids]).tobytes()
-                out["n"].append(len(ids))
-                out["ids"].append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-                out["text"].append(hashlib.sha256(raw).hexdigest())
-                if with_bytes:
-                    out["raw"].append(raw)
-            arrays = [batch.column(0), pa.array(out["n"], pa.int64()), pa.array(out["ids"]), pa.array(out["text"])]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_bytes:
-                arrays, names = [*arrays, pa.array(out["raw"], pa.binary())], [*names, "decoded"]
-            yield pa.RecordBatch.from_arrays([a.cast(pa.string()) if pa.types.is_null(a.type) else a for a in arrays], names=names)
+            columns = {"doc_id": batch.column(0)} | tokens.columns(batch.column(1), with_bytes)
+            yield pa.RecordBatch.from_arrays([*columns.values()], names=[*columns])
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, ddl)
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, _DECODED + ", decoded binary" * with_bytes)
 
 
 class MergeCounter:

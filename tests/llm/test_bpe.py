@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import re
 import struct
 from collections import Counter
 
@@ -10,6 +11,7 @@ import pytest
 import tiktoken
 import tokenizers
 
+import corpus_pipeline
 from lexitally.llm import bpe
 from lexitally.llm.word_exchange import _Block, by_frequency, pack, unframed, unpack, words_of
 from tests.llm.edge import ROWS, documents, no_documents
@@ -62,6 +64,20 @@ def test_encode_decode_edge_rows(spark, library):
     assert bpe.decode(bpe.encode(no_documents(spark), RANKS, PATTERN), RANKS).collect() == []
 
 
+def test_round_trip_in_one_python_function_a_stage(spark, monkeypatch):
+    """With two in a stage each task has two workers, and the executor keeps twice as many as it has cores."""
+    df = documents(spark).repartition(3)
+    got = corpus_pipeline.tokens(spark, df, "")
+    stages = re.split(r"\bExchange\b", got._jdf.queryExecution().executedPlan().toString())
+    assert max(len(re.findall(r"InArrow|InPandas|EvalPython", s)) for s in stages) == 1 < len(stages)
+    for positions in (bpe.CHUNK_POSITIONS, 5):
+        monkeypatch.setattr(bpe, "CHUNK_POSITIONS", positions)
+        want = bpe.decode(bpe.encode(df, RANKS, PATTERN), RANKS, with_bytes=False)
+        assert got.columns == want.columns
+        assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+    assert corpus_pipeline.tokens(spark, no_documents(spark), "").collect() == []
+
+
 def test_decode_refuses_unknown_ids(spark):
     with pytest.raises(Exception, match="not in the vocabulary"):
         bpe.decode(spark.createDataFrame([(1, [50_256])], "doc_id long, ids array<int>"), RANKS).collect()
