@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexitally.llm import bpe, warc
+from lexitally.llm.hard_negatives import hard_negatives
+from lexitally.llm.impact_index import largest_products
+from lexitally.llm.lexical_search import search
 from lexitally.llm.mixing import GOLDEN, GRAIN, SLOTS, SLOTS_A_SOURCE, mix
 from lexitally.llm.nearest import nearest
 from lexitally.llm.quality_classifier import grade, ratings_of, train
@@ -21,6 +24,9 @@ from lexitally.plans.queries import table
 SHARDS = 40
 TOKEN_LIMIT = 1024
 NEIGHBOURS, QUERY_STEP = 20, 20
+#: Searches with integer vectors: every so-manieth row asks; of the labels, every so-manieth row's is moved on.
+ASKING, RELABELLED, LABELS = 50, 7, 10
+FOUND_DOCUMENTS, LARGEST, POSITIVES, NEGATIVES, LOW, HIGH = 20, 5, 5, 3, 50, 95
 #: Grade 2 is good and not toxic. A clean document lost weighs more than a toxic one kept.
 TOP_GRADE, LEAST_TAIL = 2, 0.4
 
@@ -92,6 +98,22 @@ def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grade(docs.select("doc_id", "text"), model, TOP_GRADE, LEAST_TAIL).drop("text")
 
 
+def op11_sort_based_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), FOUND_DOCUMENTS)
+
+
+def op12_impact_ordered_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("vector"))
+    return largest_products(vectors.where(F.col("id") % ASKING == 0), vectors, LARGEST)
+
+
+def op13_ball_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ident, label = F.col("vec_id").cast("long"), F.col("label").cast("long")
+    moved = F.when(ident % RELABELLED == 0, (label + 1) % LABELS).otherwise(label)
+    rows = table(spark, sf_dir, "embeddings").select(ident.alias("id"), moved.alias("label"), F.col("embedding").alias("vector"))
+    return hard_negatives(rows.where(F.col("id") % ASKING == 0), rows, POSITIVES, NEGATIVES, LOW, HIGH)
+
+
 def rule_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op4 counts in each text, by itself: SQL can express this part."""
     return measured(table(spark, sf_dir, "documents"), "doc_id", "text", "lang").select("doc_id", *BASE, "base_failed")
@@ -117,6 +139,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_boosted_url_filter,
         op9_simhash_vantage_point_trees,
         op10_ordinal_quality,
+        op11_sort_based_search,
+        op12_impact_ordered_index,
+        op13_ball_tree_negatives,
         rule_base_counts,
         url_parts_and_rules,
     )
@@ -194,7 +219,47 @@ WITH u AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)\\A.*?://
 SELECT page_id, host, path, CASE {_RULE} END AS rule FROM u
 """
 
+_TERMS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+_OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS ts FROM documents),
+s AS (SELECT r, doc_id, CAST(len(ts) AS BIGINT) AS n FROM d WHERE len(ts) > 0),
+z AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM s),
+i AS (SELECT row_number() OVER () AS item, item_id, {_TERMS} AS ts FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+q AS (SELECT item, item_id, t, count(*) AS times FROM (SELECT item, item_id, unnest(ts) AS t FROM i) GROUP BY ALL),
+p AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ts) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, z GROUP BY t, nn),
+c AS (SELECT q.item, q.item_id, s.doc_id, s.r, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nn) // ll)))) AS BIGINT) AS score
+  FROM q JOIN p USING (t) JOIN w USING (t) JOIN s USING (r), z GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM c WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) <= {FOUND_DOCUMENTS}
+"""
+
+_INTEGERS = """vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+_FLOORS = "list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE)))"
+_OP12 = f"""
+WITH v AS (SELECT vec_id, {_FLOORS} AS e FROM embeddings WHERE {_INTEGERS}),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+FROM v q JOIN v c ON len(q.e) = len(c.e) AND q.vec_id <> c.vec_id WHERE q.vec_id % {ASKING} = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= {LARGEST}
+"""
+
+_OP13 = f"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % {RELABELLED} = 0 THEN (label + 1) % {LABELS} ELSE label END AS label, {_FLOORS} AS e
+  FROM embeddings WHERE label IS NOT NULL AND {_INTEGERS}),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_inner_product(a.e, c.e) AS BIGINT) AS score
+FROM v a JOIN v c ON len(a.e) = len(c.e) AND a.vec_id <> c.vec_id WHERE a.vec_id % {ASKING} = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {POSITIVES}),
+n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 100 * s.score BETWEEN {LOW} * positive_score AND {HIGH} * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= {NEGATIVES}
+"""
+
 ORACLES: dict[str, str] = {
+    "op11_sort_based_search": _OP11,
+    "op12_impact_ordered_index": _OP12,
+    "op13_ball_tree_negatives": _OP13,
     "op3_warc_transactions": _OP3,
     "op5_block_matrix_neighbours": _OP5,
     "op6_low_discrepancy_mix": _OP6,
