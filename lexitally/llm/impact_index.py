@@ -2,8 +2,8 @@
 
 1. Of a block of candidates, each dimension has a posting list: all rows by falling component, cut into segments of equal
    quantised impact, each with its smallest and largest component.
-2. A query orders the segments of all dimensions by the most that they can add to a score (for a negative weight those with the
-   smallest components come first), and adds each segment's least gain to the scores of its rows.
+2. Some queries at a time order the segments of all dimensions by the most that they can add to one of their scores (for negative weights
+   those with the smallest components come first), and add each segment's least gain to the scores of its rows.
 3. What a row may still gain is bounded for all rows at once: in each dimension by the next segment's largest gain, or by a
    segment's spread where the row was already met. So each row's score has a lower and an upper bound at any time. Rows whose upper bound
    is below the k-th largest lower bound, or below the k-th score so far, are proven out. Accumulation stops when few
@@ -14,6 +14,8 @@ So the result is exact whatever the data. Where the sums of the bounds may not f
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,9 +25,9 @@ from lexitally.llm import integer_blocks as ib
 from lexitally.sources.workdir import written
 
 #: Segments of a dimension.
-LEVELS = 16
-#: How often in a query's run the bounds are looked at.
-LOOKS = 16
+LEVELS = 32
+#: Queries whose scores are accumulated side by side, and how often on the way their bounds are looked at.
+QUERIES, LOOKS = 32, 4
 #: Possible members at which accumulation stops: that many times k, or one row of so many.
 MEMBERS, SHARE = 8, 64
 
@@ -64,48 +66,52 @@ class Postings:
         width, ids = row.column("width")[0].as_py(), ib.buffer(row, "ids", np.int64)
         at = {"vectors": (len(ids), width), "places": (width, len(ids)), "cuts": (width, levels + 1), "least": (width, levels), "most": (width, levels)}
         kinds = {"places": np.int32, "cuts": np.int32}
-        return cls(ids, *(ib.buffer(row, c, kinds.get(c, np.int64)).reshape(shape) for c, shape in at.items()))
-
-    def possible(self, query: np.ndarray, own: np.ndarray, k: int, least: int) -> np.ndarray:
-        """Places of all rows that may be among the k best, of those that reach ``least`` and aren't ``own``."""
-        ends = query[:, None] * self.least, query[:, None] * self.most
-        low, high = np.minimum(*ends), np.maximum(*ends)
-        base = np.where(self.filled, low, ib.HIGHEST).min(axis=1, initial=ib.HIGHEST, keepdims=True)
-        low, high = (np.where(self.filled, x - base, -1) for x in (low, high))
-        spread = np.where(self.filled, high - low, 0).max(axis=1)
-        segments = np.flatnonzero(self.filled.ravel())
-        segments = segments[np.argsort(-high.ravel()[segments], kind="stable")]
-        dims, levels = np.divmod(segments, self.filled.shape[1])
-        gains, sizes = low.ravel()[segments], (self.cuts[:, 1:] - self.cuts[:, :-1]).ravel()[segments]
-        looks = np.searchsorted(np.cumsum(sizes), np.arange(1, LOOKS) * (sizes.sum() / LOOKS)) + 1
-        alive, total, at = ~own, np.full(len(self.ids), base.sum()), 0
-        few = max(MEMBERS * k, len(total) // SHARE)
-        upcoming = high.max(axis=1)
-        for stop in [*np.unique(looks[looks < len(segments)]).tolist(), len(segments)]:
-            for d, s, gain in zip(dims[at:stop].tolist(), levels[at:stop].tolist(), gains[at:stop].tolist(), strict=True):
-                if gain:
-                    total[self.places[d, self.cuts[d, s] : self.cuts[d, s + 1]]] += gain
+        vectors, places, *rest = (ib.buffer(row, c, kinds.get(c, np.int64)).reshape(shape) for c, shape in at.items())
+        return cls(ids, vectors, places.astype(np.intp), *rest)
+
+    def possible(self, queries: np.ndarray, own: np.ndarray, k: int, least: np.ndarray) -> np.ndarray:
+        """For each row and each of ``queries``, whether the row may be among the query's k best, of those that reach ``least`` and aren't its ``own``."""
+        weights = queries.T[:, None, :]
+        ends = weights * self.least[:, :, None], weights * self.most[:, :, None]
+        low, high, filled = np.minimum(*ends), np.maximum(*ends), self.filled[:, :, None]
+        base = np.where(filled, low, ib.HIGHEST).min(axis=1, keepdims=True)
+        low, high = (np.where(filled, x - base, 0) for x in (low, high))
+        spread = (high - low).max(axis=1)
+        order = np.argsort(-np.where(self.filled, high.max(axis=2), -1).ravel(), kind="stable")[: np.count_nonzero(self.filled)]
+        dims, levels = np.divmod(order, self.filled.shape[1])
+        looks = np.searchsorted(np.cumsum(self.cuts[dims, levels + 1] - self.cuts[dims, levels]), np.arange(1, LOOKS) * (self.places.size / LOOKS)) + 1
+        total = np.repeat(base.sum(axis=0), len(self.ids), axis=0)
+        total[own] = ib.LOWEST // 2
+        bound, few = least.copy(), max(MEMBERS * k, len(total) // SHARE)
+        at = 0
+        for stop in [*np.unique(looks[looks < len(order)]).tolist(), len(order)]:
+            for d, s in zip(dims[at:stop].tolist(), levels[at:stop].tolist(), strict=True):
+                total[self.places[d, self.cuts[d, s] : self.cuts[d, s + 1]]] += low[d, s]
             at = stop
-            upcoming[:] = 0
-            np.maximum.at(upcoming, dims[at:], high.ravel()[segments[at:]])
-            slack = np.maximum(spread, upcoming).sum()
-            known = total[alive]
-            bound = max(least, int(np.partition(known, -k)[-k])) if len(known) >= k else least
-            members = alive & (total >= bound - slack)
-            if np.count_nonzero(members) <= few:
+            coming = np.zeros(self.filled.shape, bool)
+            coming[dims[at:], levels[at:]] = True
+            slack = np.maximum(spread, np.where(coming[:, :, None], high, 0).max(axis=1)).sum(axis=0)
+            if len(total) >= k:
+                bound = np.maximum(bound, np.partition(np.ascontiguousarray(total.T), -k, axis=1)[:, -k])
+            members = (total >= bound - slack) & ~own
+            if np.count_nonzero(members, axis=0).max() <= few:
                 break
-        return np.flatnonzero(members)
-
-    def best(self, query: np.ndarray, query_id: int, k: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """``(ids, scores)`` of the k largest inner products that reach ``least``, equal ones by the smaller id."""
-        own = self.ids == query_id
-        reach = np.maximum(np.abs(self.least), np.abs(self.most)).max(axis=1) if self.least.size else np.zeros(0)
-        fits = (np.abs(query).astype(np.float64) * reach).sum() < 2.0**60
-        members = self.possible(query, own, k, max(least, -(1 << 61))) if fits and len(query) else np.flatnonzero(~own)
-        ids, scores = self.ids[members], ib.products(self.vectors[members], query)
-        ids, scores = ids[scores >= least], scores[scores >= least]
-        order = np.lexsort((ids, -scores))[:k]
-        return ids[order], scores[order]
+        return members
+
+    def best(self, queries: np.ndarray, query_ids: np.ndarray, k: int, least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query ``(ids, scores)`` of the k largest inner products that reach ``least``, equal ones by the smaller id."""
+        own = self.ids[:, None] == query_ids
+        reach = np.maximum(np.abs(self.least), np.abs(self.most)).max(axis=1)
+        if queries.shape[1] and (np.abs(queries).astype(np.float64) * reach).sum(axis=1).max() < 2.0**60:
+            members = self.possible(queries, own, k, np.maximum(least, -(1 << 61)))
+        else:
+            members = ~own
+        for at, query in enumerate(queries):
+            some = np.flatnonzero(members[:, at])
+            ids, scores = self.ids[some], ib.products(self.vectors[some], query)
+            ids, scores = ids[scores >= least[at]], scores[scores >= least[at]]
+            order = np.lexsort((ids, -scores))[:k]
+            yield ids[order], scores[order]
 
 
 def index(candidates: DataFrame) -> DataFrame:
@@ -135,10 +141,12 @@ def largest_products(queries: DataFrame, candidates: DataFrame, k: int = 5, scal
 
     def run(x: pa.Table, y: pa.Table) -> pa.Table:
         block, out = Postings.read(y), [[], [], []]
-        for query_id, query, least in zip(x.column("id").to_pylist(), ib.matrix(x), x.column("least").to_pylist(), strict=True):
-            ids, scores = block.best(query, query_id, k, least)
-            for values, some in zip(out, (np.full(len(ids), query_id), ids, scores), strict=True):
-                values.append(some)
+        query_ids, queries, least = x.column("id").to_numpy(), ib.matrix(x), x.column("least").to_numpy()
+        for at in range(0, len(x), QUERIES):
+            some = slice(at, at + QUERIES)
+            for query_id, (ids, scores) in zip(query_ids[some], block.best(queries[some], query_ids[some], k, least[some]), strict=True):
+                for values, found in zip(out, (np.full(len(ids), query_id), ids, scores), strict=True):
+                    values.append(found)
         return pa.table([pa.array(np.concatenate(v), pa.int64()) for v in out], names=["query_id", "found", "score"])
 
     dealt, blocks = ib.dealt(usable(candidates), index_bytes)
