@@ -154,7 +154,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     """``doc_id long, ids array<int>`` for each row of ``docs``, without special tokens.
 
     Each match of ``pattern`` is encoded by itself, each distinct one once (again, if a task has forgotten it).
-    Null and empty texts have no ids. Texts of any length are encoded whole: one too long for a block is a block of its own.
+    Null and empty texts have no ids; what isn't valid UTF-8 counts as U+FFFD. Texts of any length are encoded whole: one too long for a block is a block of its own.
     Rows with equal or null ids, and equal rows, stay apart. An empty table gives an empty one. Only the id and
     text columns are read, whatever others are called.
     """
@@ -283,7 +283,7 @@ def token_counts(docs: DataFrame, vocabulary: str, pattern: str, limit: int = 10
     """``doc_id, n_bytes, n_tokens, over_limit`` for each row of ``docs``.
 
     A special token's string inside a text is one token, as the library has it by default. Null
-    counts as empty: no bytes, no tokens. The merges of each distinct word are counted once (again, if a task
+    counts as empty: no bytes, no tokens; what isn't valid UTF-8 as U+FFFD, but for ``n_bytes``. The merges of each distinct word are counted once (again, if a task
     has forgotten it). Texts of any length are counted whole; equal ids and equal rows stay separate rows; an
     empty table gives an empty one; columns besides id and text aren't read.
     """

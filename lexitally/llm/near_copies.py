@@ -29,8 +29,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
-from lexitally.llm.common import Batches, join_counted, named, nested, unnested, utf8
+from lexitally.llm.common import Batches, named, nested, unnested, utf8
 from lexitally.llm.simhash import components, near_duplicates
 from lexitally.sources.workdir import discard, written
 
@@ -44,9 +45,13 @@ SAMPLE, SEEN, FREQUENT = 1 << 13, 4, 1 << 16
 BLOCK = 2048
 #: Bytes of texts whose first shingles make a bucket, rows of shingles that a task compares, and bits of the sketches there.
 BUCKET, TILE, TILE_BITS = 4 << 20, 1 << 14, 1 << 12
+#: Texts of a shingle from which each pair of its blocks is a tile of its own, and pairs that a tile hands on at a time.
+OWN_TILE, HANDED = 256, 1 << 18
+#: Pairs that get one copy of a text.
+COPY = 4096
 #: Bytes of texts that are hashed, and numbers that are compared, at a time.
 PIECE = 1 << 18
-#: Nodes of links that a task joins at a time.
+#: Nodes of links that a task joins at a time, and links that one task finishes.
 NODES = 1 << 20
 #: Buckets of packets that hold no rare shingles.
 LISTED, SKETCHES = -1, -2
@@ -321,21 +326,34 @@ def _contracted(links: DataFrame) -> DataFrame:
                 parent = {}
         yield stars(parent)
 
-    return links.select("a", "b").distinct().mapInArrow(run, "a long, b long")
+    return links.select("a", "b").mapInArrow(run, "a long, b long")
 
 
-def _meetings(left: DataFrame, right: DataFrame, tiles: int, least: float, all_pairs: bool) -> DataFrame:
-    """``a, b``: texts of ``left`` and ``right`` that share ``h, i, j``, aren't in one group and may be similar.
+def grouped(links: DataFrame) -> DataFrame:
+    """``node, root`` of a graph of edges ``a, b``, as ``components`` gives it.
+
+    Tasks contract what they hold. If what is left fits into one, a task finishes it, as each edge names its
+    group's smallest node once all are in one part; else rounds of stars do.
+    """
+    edges = written(_contracted(links.where("a != b")), "contracted")
+    if edges.count() > NODES // 2:
+        return components(edges)
+    return written(_contracted(edges.coalesce(1)), "groups").select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def _meetings(left: DataFrame, right: DataFrame, least: float, all_pairs: bool, classes: int = 1, of: int = 0) -> DataFrame:
+    """``tile, a, b``: texts of ``left`` and ``right`` that share ``h, i, j``, aren't in one group and may be similar.
 
     Pairs are made and compared by their sketches within a task. All that may be similar leave it, or of those only
-    enough to connect what they connect, the likeliest first.
+    enough to connect what they connect, the likeliest first. A tile with more than HANDED pairs hands none on, but a row with
+    ``a`` -1 and their number, at least, as ``b``; with ``classes`` of pairs by hash, class ``of`` alone is handed on.
     """
 
     def key(table: pa.Table) -> np.ndarray:
         i, j = (table.column(c).to_numpy().astype(np.uint64) for c in ("i", "j"))
         return table.column("h").to_numpy().view(np.uint64) ^ scattered((i << np.uint64(32)) + j + np.uint64(1))
 
-    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+    def run(tile: tuple, x: pa.Table, y: pa.Table) -> pa.Table:
         mine, keys = key(x), key(y)
         order = np.argsort(keys, kind="stable")
         y, keys = y.take(pa.array(order)), keys[order]
@@ -344,7 +362,7 @@ def _meetings(left: DataFrame, right: DataFrame, tiles: int, least: float, all_p
         names, first = np.unique(np.concatenate([num, other_num]), return_index=True)
         group_of = np.concatenate([root, other_root])[first]
         sketches = pa.chunked_array([*x.column("sketch").chunks, *y.column("sketch").chunks], pa.binary()).take(pa.array(first)).to_pylist()
-        met, room = np.zeros(0, np.int64), np.zeros(0)
+        met, room, beyond = np.zeros(0, np.int64), np.zeros(0), 0
         upto = np.cumsum(ends - begins)
         cuts = np.unique(np.searchsorted(upto, np.arange(0, upto[-1] if len(upto) else 0, PIECE), "left"))
         for some in np.split(np.arange(len(x)), cuts[cuts > 0]):
@@ -357,19 +375,26 @@ def _meetings(left: DataFrame, right: DataFrame, tiles: int, least: float, all_p
             possible = both >= least / (1 + least) * (n[i].astype(np.int64) + other_n[j]) - 1e-6
             p, q = np.searchsorted(names, num[i[possible]]), np.searchsorted(names, other_num[j[possible]])
             pairs = np.unique(np.minimum(p, q) * len(names) + np.maximum(p, q))
+            if classes > 1:
+                pairs = pairs[scattered(pairs) % np.uint64(classes) == np.uint64(of)]
             found = leeway(sketches, *np.divmod(pairs, len(names)), least)
+            if beyond:
+                beyond += np.count_nonzero(found >= 0)
+                continue
             met, first = np.unique(np.concatenate([met, pairs[found >= 0]]), return_index=True)
             room = np.concatenate([room, found[found >= 0]])[first]
             if not all_pairs:
                 order = np.argsort(-room, kind="stable")
                 order = order[forest(*(group_of[x] for x in np.divmod(met[order], len(names))))]
                 met, room = met[order], room[order]
-        a, b = np.divmod(met, max(1, len(names)))
-        return pa.table([pa.array(names[x], pa.int64()) for x in (a, b)], names=["a", "b"])
+            elif len(met) > HANDED:
+                met, room, beyond = met[:0], room[:0], len(met)
+        a, b = (names[x] for x in np.divmod(met, max(1, len(names))))
+        if beyond:
+            a, b = np.array([-1]), np.array([beyond])
+        return pa.table([pa.array(np.full(len(a), tile[0].as_py()), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["tile", "a", "b"])
 
-    tile = F.pmod(F.xxhash64("h", "i", "j"), F.lit(tiles)).alias("tile")
-    left, right = left.withColumn("tile", tile), right.withColumn("tile", tile)
-    return left.groupBy("tile").cogroup(right.groupBy("tile")).applyInArrow(run, "a long, b long").distinct()
+    return left.groupBy("tile").cogroup(right.groupBy("tile")).applyInArrow(run, "tile long, a long, b long")
 
 
 def _plausible(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
@@ -393,7 +418,8 @@ def _named_in(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     word, bit = F.shiftright("num", 6).alias("word"), F.pmod("num", F.lit(64)).cast("int")
     nums = pairs.select(F.explode(F.array("a", "b")).alias("num"))
     bits = nums.groupBy(word).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
-    return texts.withColumns({"word": word, "bit": bit}).join(F.broadcast(bits), "word").where(F.getbit("bits", F.col("bit")) == 1).select(*texts.columns)
+    bits = written(bits, "named-texts")  # Spark knows its size, and only broadcasts it below its limit
+    return texts.withColumns({"word": word, "bit": bit}).join(bits, "word").where(F.getbit("bits", F.col("bit")) == 1).select(*texts.columns)
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
@@ -410,11 +436,15 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> D
                 near.append(similar(of, y, least))
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    total, named_texts = pairs.count(), _named_in(pairs, texts)
-    for side in ("b", "a"):
-        sides = written(pairs.groupBy(side).agg(F.count(F.lit(1)).alias("times")), "candidate-texts")
-        one = named_texts.select(F.col("num").alias(side), F.col("text").alias(f"text_{side}")).join(sides, side)
-        pairs = join_counted(pairs, one, side, "times", total, "inner")
+    named_texts = _named_in(pairs, texts)
+    for side, other in (("b", "a"), ("a", "b")):
+        # a text in many pairs is copied, so that none of its copies has many
+        copies = F.floor(F.count(F.lit(1)) / COPY).cast("int").alias("copies")
+        hot = written(pairs.groupBy(side).agg(copies).where("copies > 0"), "frequent-candidates")
+        copies = F.coalesce("copies", F.lit(0))
+        dealt = pairs.join(hot, side, "left").withColumn("copy", F.pmod(F.xxhash64(other), copies + 1).cast("int")).drop("copies")
+        one = named_texts.select(F.col("num").alias(side), F.col("text").alias(f"text_{side}")).join(hot, side, "left")
+        pairs = dealt.join(one.withColumn("copy", F.explode(F.sequence(F.lit(0), copies))).drop("copies"), [side, "copy"]).drop("copy")
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
@@ -433,13 +463,14 @@ def _links(texts: DataFrame, size: int, least: float, radius: int) -> DataFrame:
     met = written(_plausible(close.unionByName(led).distinct(), sketches, least), "led-candidates")
     first = written(_confirmed(met, texts, size, least), "led-links")
 
-    roots = components(_contracted(first))
+    roots = grouped(first)
     placed = shared.select("h", "num", "n", "at").join(roots.withColumnRenamed("node", "num"), "num", "left")
     placed = written(placed.withColumn("root", F.coalesce("root", "num")), "placed-shingles")
     discard(shared)
     # where texts of several groups share a shingle, those outside its largest group meet all others
     sizes = placed.groupBy("h", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("members"), F.count(F.lit(1)).alias("groups"))
-    mixed = sizes.where("groups > 1").select("h", F.col("most.root").alias("major"), F.ceil((F.col("members") / BLOCK)).cast("int").alias("blocks"), F.ceil((F.col("members") - F.col("most.n")) / BLOCK).cast("int").alias("minor_blocks"))
+    outside = F.col("members") - F.col("most.n")
+    mixed = sizes.where("groups > 1").select("h", F.col("most.root").alias("major"), "members", outside.alias("minor"), F.ceil((F.col("members") / BLOCK)).cast("int").alias("blocks"), F.ceil(outside / BLOCK).cast("int").alias("minor_blocks"))
     mixed = written(mixed, "mixed-shingles")
     open_ = placed.join(mixed, "h").join(both.select("num", F.col("small").alias("sketch")), "num")
     open_ = written(open_, "open-shingles")
@@ -450,17 +481,41 @@ def _links(texts: DataFrame, size: int, least: float, radius: int) -> DataFrame:
     def every(number: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(number) - 1))
 
-    columns, tiles = ["h", "num", "n", "at", "root", "sketch"], 1 + open_.count() // TILE
-    for all_pairs in (False, True):  # first what connects most, as large groups of near copies have many pairs
+    # rows of shingles that few texts have share tiles by hash; each pair of a frequent one's blocks is a tile, with a number below 0
+    rows = F.when(F.col("members") < OWN_TILE, F.col("minor") + F.col("members"))
+    tiles = 1 + (mixed.agg(F.coalesce(F.sum(rows), F.lit(0))).first()[0]) * 4 // TILE
+    tile = F.when(F.col("members") < OWN_TILE, F.pmod(F.xxhash64("h"), F.lit(tiles))).otherwise(-1 - F.shiftrightunsigned(F.xxhash64("h", "i", "j"), 1)).alias("tile")
+    columns = ["h", "num", "n", "at", "root", "sketch"]
+
+    def sides() -> tuple[DataFrame, DataFrame]:
         now = open_.withColumn("outside", F.col("root") != F.col("major")).drop("root").join(roots.withColumnRenamed("node", "num"), "num", "left")
-        now = now.select("h", "num", "n", "at", F.coalesce("root", "num").alias("root"), "sketch", "outside", "blocks", "minor_blocks")
-        left = now.where("outside").select(*columns, block("minor_blocks").alias("i"), every("blocks").alias("j"))
-        right = now.select(*[F.col(c).alias(c) for c in columns], block("blocks").alias("j"), every("minor_blocks").alias("i"))
-        more = _meetings(left, right, tiles, least, all_pairs).join(met, ["a", "b"], "left_anti")
-        more = written(_plausible(more, sketches, least), "candidates")
-        links = written(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_confirmed(more, texts, size, least)), "links")
-        if not all_pairs:
-            met, roots = met.unionByName(more), components(_contracted(links))
+        now = now.withColumn("root", F.coalesce("root", "num"))
+        left = now.where("outside").withColumns({"i": block("minor_blocks"), "j": every("blocks")})
+        right = now.withColumns({"j": block("blocks"), "i": every("minor_blocks")})
+        return left.select(*columns, "i", "j", tile), right.select(*[F.col(c).alias(c) for c in columns], "i", "j", tile)
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """Links of ``pairs`` that haven't been confirmed or refused before."""
+        more = pairs.select("a", "b").distinct().join(met, ["a", "b"], "left_anti")
+        return _confirmed(written(_plausible(more, sketches, least), "candidates"), texts, size, least)
+
+    def all_links(new: DataFrame) -> DataFrame:
+        return written(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new), "links")
+
+    # first what connects most, as large groups of near copies have many pairs
+    first = _meetings(*sides(), least, False).select("a", "b").distinct().join(met, ["a", "b"], "left_anti")
+    first = written(_plausible(first, sketches, least), "candidates")
+    roots = grouped(all_links(_confirmed(first, texts, size, least)))
+    met = met.unionByName(first)
+    left, right = sides()
+    handed = written(_meetings(left, right, least, True), "meetings")
+    links = all_links(confirmed(handed.where("a >= 0")))
+    full = handed.where("a < 0").select("tile", F.col("b").alias("pairs"))
+    classes = -(-(full.agg(F.max("pairs")).first()[0] or 0) * 2 // HANDED)
+    for of in range(classes):  # tiles with more pairs hand on a class of them at a time, and what is linked by then isn't met again
+        roots = grouped(links)
+        left, right = (x.join(full.select("tile"), "tile", "left_semi") for x in sides())
+        links = all_links(confirmed(_meetings(left, right, least, True, classes, of)))
     discard(placed, open_)
     return links
 
@@ -469,26 +524,34 @@ def _point(text: bytes) -> bytes:
     return xxhash.xxh3_128_digest(b" ".join(text.lower().split()))
 
 
+@F.arrow_udf(BinaryType())
+def _points(texts: pa.Array) -> pa.Array:
+    return pa.array(map(_point, utf8(texts)), pa.binary())
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """One row of ``docs`` for each group of rows that are linked by texts with a similarity of at least ``least``.
 
     The row with the smallest id stays, of rows with that id one by a hash of the text; rows without an id
     come last. Rows are told apart by their texts, so unrelated texts under one id all stay. Null, empty
-    and wordless texts are one group. Texts of any length are compared whole. Repeated rows are one. An
+    and wordless texts are one group. Texts of any length are compared whole, as the bytes they are, valid UTF-8 or not. Repeated rows are one. An
     empty table gives an empty one. All columns are kept, whatever their names.
     """
-    digest = F.udf(lambda text: _point((text or "").encode()), "binary", useArrow=True)
     text, ident = named(text_col).cast("string"), named(id_col).cast("long")
-    keyed = docs.select(nested(docs), digest(text).alias("point"), F.struct(ident.isNull().alias("none"), ident.alias("id"), F.xxhash64(text).alias("text")).alias("order"))
-    # copies of a text meet in each task before they are sent: one row of a text and task, however many there are
-    unique = keyed.groupBy("point").agg(F.min_by("row", "order").alias("row"))
-    unique = written(unique.select("row", F.monotonically_increasing_id().alias("num")), "distinct-texts")
+    order = F.struct(ident.isNull().alias("none"), ident.alias("id"), F.xxhash64(text).alias("text"))
+    rows = written(docs.select(nested(docs), _points(text).alias("point"), order.alias("order"), F.monotonically_increasing_id().alias("num")), "numbered-texts")
+    # of equal texts all but the first go, by their numbers: no text is sent for it
+    keyed = rows.select("point", F.struct("order.none", "order.id", "order.text", "num").alias("order"))
+    best = keyed.groupBy("point").agg(F.min("order").alias("best"), F.count(F.lit(1)).alias("times")).where("times > 1")
+    copies = written(keyed.join(best, "point").where("order.num != best.num").select("order.num"), "copies")
+    unique = written(rows.join(copies, "num", "left_anti").select("row", "num"), "distinct-texts")
+    discard(rows)
     ident, text = F.col("row").getField(id_col).cast("long"), F.col("row").getField(text_col).cast("string")
     texts = unique.select("num", text.alias("text"))
-    roots = components(_contracted(_links(texts, shingle, least, radius)))
-    grouped = roots.select(F.col("node").alias("num"), "root").unionByName(roots.select(F.col("root").alias("num"), "root").distinct())
+    roots = grouped(_links(texts, shingle, least, radius))
+    members = roots.select(F.col("node").alias("num"), "root").unionByName(roots.select(F.col("root").alias("num"), "root").distinct())
     order = F.struct(ident.isNull().alias("none"), ident.alias("id"), F.xxhash64(text).alias("text"), "num")
-    members = written(unique.select("num", order.alias("order")).join(grouped, "num").select("root", "order"), "near-groups")
+    members = written(unique.select("num", order.alias("order")).join(members, "num").select("root", "order"), "near-groups")
     best = members.groupBy("root").agg(F.min("order").alias("best"))
     dropped = written(members.join(best, "root").where("order.num != best.num").select("order.num"), "near-dropped")
     return unique.join(dropped, "num", "left_anti").select(*unnested(docs))

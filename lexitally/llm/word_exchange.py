@@ -135,7 +135,7 @@ class _Block:
         by_bucket = np.argsort(bucket_of, kind="stable")
         filled, starts = np.unique(bucket_of[by_bucket], return_index=True)
         order, packets = [], []
-        for bucket, start, end in zip(filled.tolist(), starts, np.r_[starts[1:], len(words)], strict=True):
+        for bucket, start, end in zip(filled.tolist(), starts, np.append(starts, len(words))[1:], strict=True):
             here = sorted(by_bucket[start:end].tolist(), key=words.__getitem__)
             order += here
             packets.append((bucket, framed(np.array([len(words[i]) for i in here]), zstandard.compress(b"".join([words[i] for i in here]), 3))))

@@ -32,3 +32,9 @@ def documents(spark: SparkSession, rows=ROWS) -> DataFrame:
 
 def no_documents(spark: SparkSession) -> DataFrame:
     return documents(spark).where("false")
+
+
+def broken_text(spark: SparkSession) -> DataFrame:
+    """The awkward rows and one that is no valid UTF-8; such a text can't be collected."""
+    broken = documents(spark).limit(1).withColumns({"doc_id": F.lit(10).cast("long"), "text": F.expr("CAST(X'61FF6220C3' AS STRING)")})
+    return documents(spark).unionByName(broken)

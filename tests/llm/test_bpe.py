@@ -96,6 +96,27 @@ def test_token_counts(spark):
     assert bpe.token_counts(no_documents(spark), MODEL, PATTERN).collect() == []
 
 
+@pytest.mark.parametrize("rows", [[(1, "")], [(1, None), (2, "")], [(1, ""), (2, None), (3, "a b"), (4, " \n")]])
+def test_parts_without_words(spark, library, rows):
+    """A task may have empty texts only: each row is a partition of its own."""
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "doc_id bigint, text string")
+    lengths = Counter((key, len(library.encode_ordinary(text or ""))) for key, text in rows)
+    for got in (bpe.decode(bpe.encode(df, RANKS, PATTERN), RANKS), bpe.round_trip(df, RANKS, PATTERN)):
+        assert Counter((r.doc_id, r.n_tokens) for r in got.collect()) == lengths
+    model = tokenizers.Tokenizer.from_file(MODEL)
+    counts = Counter((r.doc_id, r.n_tokens) for r in bpe.token_counts(df, MODEL, PATTERN).collect())
+    assert counts == Counter((key, len(model.encode(text or "").ids)) for key, text in rows)
+
+
+def test_bytes_that_are_no_text(spark, library):
+    """Each byte that isn't UTF-8 counts as U+FFFD."""
+    df = spark.sql("SELECT 1L AS doc_id, CAST(X'61FF62' AS STRING) AS text")
+    got = bpe.decode(bpe.encode(df, RANKS, PATTERN), RANKS).first()
+    assert bytes(got.decoded).decode() == "a\ufffdb" and got.n_tokens == len(library.encode_ordinary("a\ufffdb"))
+    counted = bpe.token_counts(df, MODEL, PATTERN).first()
+    assert counted.n_bytes == 3 and counted.n_tokens == len(tokenizers.Tokenizer.from_file(MODEL).encode("a\ufffdb").ids)
+
+
 def test_merge_counter_on_random_words():
     count, library = bpe.MergeCounter(open(MODEL, "rb").read()), tokenizers.Tokenizer.from_file(MODEL)
     rng = random.Random(5)

@@ -143,12 +143,36 @@ def test_only_named_texts_are_sent(spark):
 
 
 def test_links_are_contracted(spark, monkeypatch):
-    edges = [(i, i + 1) for i in range(300)] + [(900, 500), (700, 900)]
-    links = spark.createDataFrame(edges, "a long, b long").coalesce(1)
+    edges = [(i, i + 1) for i in range(300)] + [(900, 500), (700, 900), (5, 5)]
+    links = spark.createDataFrame(edges, "a long, b long").repartition(3)
     want = {(i, 0) for i in range(1, 301)} | {(700, 500), (900, 500)}
-    assert {tuple(r) for r in near_copies.components(near_copies._contracted(links)).collect()} == want
-    monkeypatch.setattr(near_copies, "NODES", 10)
-    assert {tuple(r) for r in near_copies.components(near_copies._contracted(links)).collect()} == want
+    assert {tuple(r) for r in near_copies.grouped(links).collect()} == want
+    monkeypatch.setattr(near_copies, "NODES", 10)  # more than a task finishes
+    assert {tuple(r) for r in near_copies.grouped(links).collect()} == want
+    assert near_copies.grouped(links.where("false")).collect() == []
+
+
+def test_tiles_are_bounded(spark, monkeypatch):
+    """20,000 texts with some shingles in common, and pairs handed on in classes: no tile holds more rows than its bound, and none gets lost."""
+    sizes, meetings = [], near_copies._meetings
+
+    def measured(left, right, *rest):
+        sizes.append(left.unionByName(right).groupBy("tile").count().agg({"count": "max"}).first()[0] or 0)
+        return meetings(left, right, *rest)
+
+    monkeypatch.setattr(near_copies, "_meetings", measured)
+    monkeypatch.setattr(near_copies, "SEEN", 10**9)  # a frequent shingle isn't put last
+    rows = [(i, f"a b c d e f g w{i} x{i}", "en", "s", 0) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    assert drop_near_copies(df).count() == 20_000
+    assert 2048 < max(sizes) <= near_copies.TILE
+    with monkeypatch.context() as patch:
+        for name, value in (("HANDED", 3), ("OWN_TILE", 20), ("BLOCK", 30), ("COPY", 2)):
+            patch.setattr(near_copies, name, value)
+        some = edited(250, 8)
+        sizes.clear()
+        check(drop_near_copies(documents(spark, some), radius=0).collect(), some)
+        assert len(sizes) > 2
 
 
 def test_edge_rows(spark):
@@ -157,3 +181,5 @@ def test_edge_rows(spark):
     assert got.columns == df.columns
     check(got.collect(), ROWS)
     assert drop_near_copies(no_documents(spark)).collect() == []
+    bytes_ = spark.sql("SELECT 1L AS doc_id, CAST(x AS STRING) AS text FROM VALUES (X'61FF62'), (X'41FF6220'), (X'61FE62'), (X'61FF62') AS t(x)")
+    assert drop_near_copies(bytes_).count() == 2

@@ -9,7 +9,7 @@ import pytest
 
 import corpus_pipeline
 from lexitally.llm.queries import ORACLES, QUERIES, rule_labels
-from tests.llm.edge import documents, no_documents
+from tests.llm.edge import broken_text, documents, no_documents
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = {
@@ -104,7 +104,7 @@ def test_pipeline(spark):
 
 @pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
 def test_stages_take_edge_rows(spark, name, stage):
-    for df in (documents(spark), no_documents(spark)):
+    for df in (documents(spark), broken_text(spark), no_documents(spark)):
         out = stage(spark, df, SF)
         if name != "byte_level_bpe":
             assert out.columns == df.columns
