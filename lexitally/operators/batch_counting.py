@@ -1,9 +1,11 @@
-"""Word counts over Arrow batches: whole buffers at a time, only a task's distinct words leave it.
+"""Word counts over Arrow batches: whole buffers at a time, only counts leave a task.
 
-A batch's bytes become one mask of letters; the edges of the mask give the lengths of all words at
-once, and the letters alone, folded and without what separates them, are the words' joint buffer. So
-no object is made for a word, and Arrow's hash table counts them. Every text also counts one row with
-a NULL word: the number of texts is another group of the same aggregate.
+A batch's bytes are folded to lower-case letters and zeros, and the edges of the zeros are the words. A word of up to eight
+letters is a 64-bit number, read off the buffer where the word begins and masked by its length; numbers are sorted and their runs counted.
+Longer words are counted as Arrow strings. No object is made for a word.
+
+Across batches a task keeps a bounded table of words, frequent ones for long; what doesn't fit goes straight to the output.
+Every text also counts one row with a NULL word: the number of texts is another group of the same aggregate.
 """
 
 from __future__ import annotations
@@ -17,37 +19,137 @@ from pyspark import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexitally.sources.dump import body_within
+from lexitally.sources.dump import Edge, Pages, Seams, values
 
-#: Bytes of texts that are counted at a time, and distinct words at which a task sends its counts on.
-PIECE, FLUSH = 1 << 23, 1 << 20
+#: Bytes of texts that are counted at a time.
+PIECE = 1 << 21
+#: Words that a task's table holds, and new ones that it takes in at a time: once for short words and once for long ones.
+TABLE, NEW = 1 << 19, 1 << 18
+#: Letters of a short word: those of a 64-bit number.
+SHORT = 8
 
-_IS_LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
-_FOLD = bytes(b | 0x20 if _IS_LETTER[b] else b for b in range(256))
-_OTHER = bytes(b for b in range(256) if not _IS_LETTER[b])
+_FOLD = bytes(b | 0x20 if chr(b).isalpha() and b < 128 else 0 for b in range(256))
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(SHORT + 1)], np.uint64)
 _COUNTS = pa.schema([("word", pa.string()), ("cnt", pa.int64())])
 
+Counted = tuple[np.ndarray, np.ndarray]
+
 
-def counted(text: bytes) -> pa.Table:
-    """``word, cnt`` of a text: maximal runs of ASCII letters, folded to lower case."""
-    letters = _IS_LETTER[np.frombuffer(text, np.uint8)]
-    edges = np.flatnonzero(np.diff(letters, prepend=False, append=False))
-    ends = np.cumsum(edges[1::2] - edges[::2], dtype=np.int64)
-    offsets = np.zeros(len(ends) + 1, np.int32 if not len(ends) or ends[-1] < 1 << 31 else np.int64)
+def counted(text: bytes) -> tuple[Counted, pa.Table]:
+    """The short words of a text, as ascending numbers, with their counts, and its long ones as ``word, cnt``.
+
+    Words are maximal runs of ASCII letters, folded to lower case.
+    """
+    folded = text.translate(_FOLD) + bytes(SHORT)
+    data = np.frombuffer(folded, np.uint8)
+    inside = data != 0
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if inside[0]:
+        edges = np.concatenate([[0], edges])
+    begins, lengths = edges[::2], edges[1::2] - edges[::2]
+    short = lengths <= SHORT
+    at_each_byte = np.ndarray((len(data) - SHORT + 1,), "<u8", folded, strides=(1,))
+    keys = np.sort(at_each_byte[begins[short]] & _MASKS[lengths[short]])
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+    return (keys[first], np.diff(first, append=len(keys))), _strings(data, begins[~short], lengths[~short])
+
+
+def _strings(data: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> pa.Table:
+    """``word, cnt`` of the slices of ``data``."""
+    ends = np.cumsum(lengths, dtype=np.int64)
+    total = int(ends[-1]) if len(ends) else 0
+    offsets = np.zeros(len(ends) + 1, np.int32 if total < 1 << 31 else np.int64)
     offsets[1:] = ends
+    letters = data[np.repeat(begins - (ends - lengths), lengths) + np.arange(total)]
     kind = pa.StringArray if offsets.dtype == np.int32 else pa.LargeStringArray
-    words = kind.from_buffers(len(ends), pa.py_buffer(offsets), pa.py_buffer(text.translate(_FOLD, _OTHER)))
-    found = words.value_counts()
+    found = kind.from_buffers(len(ends), pa.py_buffer(offsets), pa.py_buffer(letters)).value_counts()
     return pa.table([found.field("values").cast(pa.string()), found.field("counts")], schema=_COUNTS)
 
 
-def _merged(parts: list[pa.Table]) -> pa.Table:
-    both = pa.concat_tables(parts).group_by("word").aggregate([("cnt", "sum")])
-    return pa.table([both.column("word"), both.column("cnt_sum")], schema=_COUNTS)
+def spelled(keys: np.ndarray, counts: np.ndarray) -> pa.Table:
+    """``word, cnt`` of short words given as numbers."""
+    letters = keys.astype("<u8").view(np.uint8).reshape(-1, SHORT)
+    offsets = np.zeros(len(keys) + 1, np.int32)
+    offsets[1:] = np.cumsum(np.count_nonzero(letters, axis=1))
+    words = pa.StringArray.from_buffers(len(keys), pa.py_buffer(offsets), pa.py_buffer(letters[letters != 0]))
+    return pa.table([words, pa.array(counts, pa.int64())], schema=_COUNTS)
+
+
+def summed(parts: list[Counted]) -> Counted:
+    keys, counts = np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts])
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts
+
 
+class ShortWords:
+    """A task's table of short words, in order. Words that it has are added up in place; others wait, and are taken in when they are many.
 
-def _pieces(texts: Iterable[bytes | memoryview]) -> Iterator[bytes]:
-    """Texts side by side, cut off from one another, some at a time; a longer one is a piece of its own."""
+    A table without room for them sends on all but its most frequent half.
+    """
+
+    def __init__(self) -> None:
+        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.waiting: list[Counted] = []
+        self.many = 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.Table]:
+        at = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        inner = at < len(self.keys)
+        known[inner] = self.keys[at[inner]] == keys[inner]
+        self.counts[at[known]] += counts[known]
+        if not known.all():
+            self.waiting.append((keys[~known], counts[~known]))
+            self.many += len(keys) - np.count_nonzero(known)
+        if self.many > NEW:
+            yield from self._take_in()
+
+    def _take_in(self) -> Iterator[pa.Table]:
+        self.keys, self.counts = summed([(self.keys, self.counts), *self.waiting])
+        self.waiting, self.many = [], 0
+        if len(self.keys) > TABLE:
+            keep = np.zeros(len(self.keys), bool)
+            keep[np.argpartition(self.counts, -(TABLE // 2))[-(TABLE // 2) :]] = True
+            yield spelled(self.keys[~keep], self.counts[~keep])
+            self.keys, self.counts = self.keys[keep], self.counts[keep]
+
+    def rest(self) -> Iterator[pa.Table]:
+        yield from self._take_in()
+        yield spelled(self.keys, self.counts)
+
+
+class LongWords:
+    """The same for long words, as Arrow tables: new ones are merged when they are many."""
+
+    def __init__(self) -> None:
+        self.parts: list[pa.Table] = []
+        self.many = 0
+
+    def add(self, found: pa.Table) -> Iterator[pa.Table]:
+        self.parts.append(found)
+        self.many += len(found)
+        if self.many > NEW:
+            yield from self._take_in()
+
+    def _take_in(self) -> Iterator[pa.Table]:
+        table = pa.concat_tables(self.parts).group_by("word").aggregate([("cnt", "sum")])
+        table, self.many = pa.table([table.column("word"), table.column("cnt_sum")], schema=_COUNTS), 0
+        if len(table) > TABLE:
+            order = pc.array_sort_indices(table.column("cnt").combine_chunks(), order="descending")
+            yield table.take(order[TABLE // 2 :])
+            table = table.take(order[: TABLE // 2])
+        self.parts = [table]
+
+    def rest(self) -> Iterator[pa.Table]:
+        if self.parts:
+            yield from self._take_in()
+            yield self.parts[0]
+
+
+def _side_by_side(texts: Iterable[bytes]) -> Iterator[bytes]:
+    """Texts cut off from one another, some at a time; a longer one is a piece of its own."""
     piece, size = [], 0
     for text in texts:
         if piece and size + len(text) > PIECE:
@@ -59,52 +161,71 @@ def _pieces(texts: Iterable[bytes | memoryview]) -> Iterator[bytes]:
         yield b"\n".join(piece)
 
 
-def _values(column: pa.Array) -> Iterator[tuple[bytes, int, int]]:
-    """``(buffer, begin, end)`` of each value that isn't null."""
-    if column.null_count:
-        column = column.drop_null()
-    if not len(column):
-        return
-    width = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
-    _, offsets, data = column.buffers()
-    ends = np.frombuffer(offsets, width)[column.offset : column.offset + len(column) + 1].tolist()
-    raw = data.to_pybytes() if data is not None else b""
-    for begin, end in zip(ends, ends[1:], strict=False):
-        yield raw, begin, end
-
-
-def _tally(batches: Iterator[pa.RecordBatch], markup: bool, seen: Accumulator | None) -> Iterator[pa.RecordBatch]:
-    parts: list[pa.Table] = []
-    texts = distinct = held = 0
-    for batch in batches:
-        column, before = batch.column(0), texts
-        values = _values(column)
-        if markup:
-            found = [cut for raw, begin, end in values if (cut := body_within(raw, begin, end)) is not None]
-            texts += len(found)
-        else:
-            found = (raw[begin:end] for raw, begin, end in values)
-            texts += len(column)
-        for piece in _pieces(found):
-            parts.append(counted(piece))
-            held += len(parts[-1])
-            if held > 2 * distinct + FLUSH // 4:  # merging pays once the new rows outnumber the known words
-                parts = [_merged(parts)]
-                held = distinct = len(parts[0])
-                if distinct > FLUSH:
-                    yield from parts.pop().to_batches()
-                    held = distinct = 0
-        if seen is not None:
-            seen.add(texts - before)
-    parts.append(pa.table([pa.nulls(1, pa.string()), pa.array([texts], pa.int64())], schema=_COUNTS))
-    yield from _merged(parts).to_batches()
-
-
-def partial_counts(texts: DataFrame, col: str = "text", markup: bool = False, seen: Accumulator | None = None) -> DataFrame:
-    """``word, cnt``: one row for each distinct word of a task, or of a part of one with many distinct words.
-
-    The row with a NULL word counts texts; a NULL text is a text without words. ``markup``: the column
-    holds raw page records, of which the first text bodies count and records without one don't.
-    ``seen`` adds up the texts for a progress line; a task that runs again adds its own again there.
+class Tally:
+    """A task's counts of words and texts."""
+
+    def __init__(self, seen: Accumulator | None = None) -> None:
+        self.short, self.long, self.texts, self.seen = ShortWords(), LongWords(), 0, seen
+
+    def add(self, texts: list[bytes], number: int) -> Iterator[pa.RecordBatch]:
+        for piece in _side_by_side(texts):
+            short, long = counted(piece)
+            for some in (*self.short.add(*short), *self.long.add(long)):
+                yield from some.to_batches()
+        self.texts += number
+        if self.seen is not None:
+            self.seen.add(number)
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        for some in (*self.short.rest(), *self.long.rest()):
+            yield from some.to_batches()
+        yield rows([None], [self.texts])
+
+
+def rows(words: list, counts: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).view(pa.string()), pa.array(counts, pa.int64())], schema=_COUNTS)
+
+
+def partial_counts(texts: DataFrame, col: str = "text", seen: Accumulator | None = None) -> DataFrame:
+    """``word, cnt``: a row for each word that a task's table has at the end or has sent on before.
+
+    Rows with a NULL word count texts; a NULL text is a text without words. ``seen`` adds up the texts for a progress
+    line; a task that runs again adds its own again there.
     """
-    return texts.select(F.col(col).cast("string")).mapInArrow(lambda batches: _tally(batches, markup, seen), "word string, cnt long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally(seen)
+        for batch in batches:
+            yield from tally.add([raw[begin:end] for raw, begin, end in values(batch.column(0))], len(batch))
+        yield from tally.rest()
+
+    return texts.select(F.col(col).cast("string")).mapInArrow(run, "word string, cnt long")
+
+
+def partial_page_counts(pieces: DataFrame, seen: Accumulator | None = None) -> DataFrame:
+    """The same for the first text bodies of a dump's pages. A ``word`` that begins with a zero byte names an edge of a split, with a ``cnt`` of -1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally, pages = Tally(seen), Pages()
+        for batch in batches:
+            found = list(pages.bodies(batch))
+            yield from tally.add(found, len(found))
+        pages.leave()
+        yield from tally.rest()
+        yield rows([e.name() for e in pages.edges], [-1] * len(pages.edges))
+
+    return pieces.select("value", "file", "block").mapInArrow(run, "word string, cnt long")
+
+
+def edge_counts(edges: DataFrame, seen: Accumulator | None = None) -> DataFrame:
+    """``word, cnt`` of the pages that the edges of splits make up: ``word, cnt`` with -1 for each time that the file is read, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally, seams = Tally(seen), Seams()
+        for batch in batches:
+            for (raw, begin, end), times in zip(values(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                if (body := seams.body(Edge.named(raw[begin:end]))) is not None:
+                    yield from tally.add([body] * -times, -times)
+        yield from tally.rest()
+
+    return edges.select("word", "cnt").mapInArrow(run, "word string, cnt long")

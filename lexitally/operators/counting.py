@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark import Accumulator
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexitally.functions.stopwords import STOP_WORDS
-from lexitally.operators.batch_counting import partial_counts
+from lexitally.operators.batch_counting import edge_counts, partial_counts, partial_page_counts
+from lexitally.sources.dump import in_order, pieces
 
 #: The largest limit that Spark takes.
 LARGEST_K = 2**31 - 1
@@ -27,33 +29,65 @@ def count_words(words: DataFrame) -> DataFrame:
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def marked_counts(texts: DataFrame, col: str = "text", stop: bool = True, **how) -> DataFrame:
+def _summed(partial: DataFrame) -> DataFrame:
+    return partial.groupBy("word").agg(F.sum("cnt").alias("cnt"))
+
+
+def _not_stopped() -> Column:
+    return F.col("word").isNull() | ~F.col("word").isin(*STOP_WORDS)
+
+
+def marked_counts(texts: DataFrame, col: str = "text", stop: bool = True) -> DataFrame:
     """``word, cnt`` of all texts; the row with a NULL word counts the texts themselves.
 
     One scan, counts within each task (``partial_counts``), one shuffle by word. The stop list is
-    applied before the shuffle. ``how`` goes to ``partial_counts``.
+    applied before the shuffle.
+    """
+    counts = _summed(partial_counts(texts, col))
+    return counts.where(_not_stopped()) if stop else counts
+
+
+def dump_counts(spark: SparkSession, path: str | list[str], stop: bool = True, seen: Accumulator | None = None) -> DataFrame:
+    """``marked_counts`` of a dump's articles: the first text bodies of its closed pages.
+
+    One reading of the files, whatever their number and compression, by tasks alone. Counts and the edges of splits go through one
+    aggregate; the edges' pages are counted from it (they are few: a page for each split), and added. Where the same file is
+    named twice it counts twice.
     """
-    counts = partial_counts(texts, col, **how).groupBy("word").agg(F.sum("cnt").alias("cnt"))
-    return counts.where(F.col("word").isNull() | ~F.col("word").isin(*STOP_WORDS)) if stop else counts
+    partial = partial_page_counts(pieces(spark, path), seen)
+    every = _summed(partial.where(_not_stopped()) if stop else partial)
+    edges = edge_counts(in_order(every.where("cnt < 0"), "word"), seen)
+    both = every.where("cnt >= 0").unionByName(edges.where(_not_stopped()) if stop else edges)
+    return _summed(both)
 
 
 def words_only(marked: DataFrame) -> DataFrame:
     return marked.where(F.col("word").isNotNull())
 
 
-def word_counts(df: DataFrame, col: str = "text", stop: bool = True, **how) -> DataFrame:
+def word_counts(df: DataFrame, col: str = "text", stop: bool = True) -> DataFrame:
     """``word, cnt``, without the stop words unless ``stop`` is off."""
-    return words_only(marked_counts(df, col, stop, **how))
+    return words_only(marked_counts(df, col, stop))
 
 
-def summary(marked: DataFrame) -> DataFrame:
-    """One row ``total_articles, total_words, unique_words`` of ``marked_counts``. Articles without words count too."""
+def totals() -> list[Column]:
+    """``total_articles, total_words, unique_words`` of ``marked_counts``, as aggregates. Articles without words count too."""
     is_word = F.col("word").isNotNull()
-    return marked.agg(
+    return [
         F.coalesce(F.sum(F.when(~is_word, F.col("cnt"))), F.lit(0)).cast("long").alias("total_articles"),
         F.coalesce(F.sum(F.when(is_word, F.col("cnt"))), F.lit(0)).cast("long").alias("total_words"),
         F.count("word").alias("unique_words"),
-    )
+    ]
+
+
+def summary(marked: DataFrame) -> DataFrame:
+    """The totals as one row."""
+    return marked.agg(*totals())
+
+
+def most_frequent(counts: DataFrame, k: int) -> DataFrame:
+    """``word, cnt`` of the k most frequent words, in order; equal counts go by word."""
+    return counts.orderBy(F.desc("cnt"), F.asc("word")).limit(whole_number(k))
 
 
 def whole_number(k: int) -> int:
@@ -69,5 +103,4 @@ def top_k(counts: DataFrame, k: int = 100) -> DataFrame:
     The limit comes first, so the numbering only sees k rows.
     """
     order = [F.desc("cnt"), F.asc("word")]
-    best = counts.orderBy(*order).limit(whole_number(k))
-    return best.select(F.row_number().over(Window.orderBy(*order)).cast("long").alias("rank"), "word", "cnt")
+    return most_frequent(counts, k).select(F.row_number().over(Window.orderBy(*order)).cast("long").alias("rank"), "word", "cnt")

@@ -11,7 +11,7 @@ from lexitally.functions.stopwords import STOP_WORDS
 from lexitally.functions.text import positional_tokens, tokens
 from lexitally.operators import counting
 from lexitally.plans.word_frequency import frequencies
-from lexitally.sources.dump import articles_from, read_pages
+from lexitally.sources.dump import articles_from
 from lexitally.sources.workdir import shared_folder, until_exit
 
 
@@ -31,11 +31,11 @@ def page_markup(body: Column) -> Column:
 
 
 def top_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frequencies(table(spark, sf_dir, "documents"))[1]
+    return frequencies(counting.marked_counts(table(spark, sf_dir, "documents")))[1]
 
 
 def corpus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frequencies(table(spark, sf_dir, "documents"))[0]
+    return frequencies(counting.marked_counts(table(spark, sf_dir, "documents")))[0]
 
 
 def word_counts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,21 +68,21 @@ def conversation_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.word_counts(table(spark, sf_dir, "conversations"))
 
 
-def _dump(spark: SparkSession, sf_dir: str, name: str, col: str) -> DataFrame:
-    """The page records of a dump that is written from a column and then scanned."""
+def _dump(spark: SparkSession, sf_dir: str, name: str, col: str) -> str:
+    """A dump that is written from a column."""
     path = shared_folder(spark, "dump")
     some = table(spark, sf_dir, name).where(F.col(col).isNotNull())
     some.select(page_markup(escaped(col))).write.text(path)
     until_exit(spark, path)
-    return read_pages(spark, path)
+    return path
 
 
 def dump_scan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counting.word_counts(_dump(spark, sf_dir, "documents", "text"), "value", markup=True)
+    return counting.words_only(counting.dump_counts(spark, _dump(spark, sf_dir, "documents", "text")))
 
 
 def dump_scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frequencies(_dump(spark, sf_dir, "pages", "html"), "value", markup=True)[0]
+    return counting.summary(counting.dump_counts(spark, _dump(spark, sf_dir, "pages", "html")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

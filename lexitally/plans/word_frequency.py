@@ -5,12 +5,11 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass
 
-from pyspark import Accumulator, StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Accumulator
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 from lexitally.operators import counting
 from lexitally.operators.report import format_report
-from lexitally.sources.dump import read_pages
 
 
 @dataclass
@@ -27,23 +26,29 @@ class WordFrequencies:
         return format_report(self.mb, self.seconds, self.total_articles, self.total_words, self.unique_words, self.k, self.top)
 
 
-def frequencies(texts: DataFrame, col: str = "text", k: int = 100, **how) -> tuple[DataFrame, DataFrame]:
-    """Totals and top-k as DataFrames; each reads the texts once, as both hang on one aggregate."""
-    marked = counting.marked_counts(texts, col, **how)
+def frequencies(marked: DataFrame, k: int = 100) -> tuple[DataFrame, DataFrame]:
+    """Totals and top-k of ``marked_counts`` as DataFrames; each reads the texts once, as both hang on one aggregate."""
     return counting.summary(marked), counting.top_k(counting.words_only(marked), k)
 
 
+def observed(marked: DataFrame, k: int) -> tuple[dict[str, int], list[tuple[int, str, int]]]:
+    """Totals and top-k of ``marked_counts`` in one job: the totals are observed on the rows that the top-k is taken from.
+
+    The counts aren't kept. The final aggregate and each task's own top-k are one stage, whose tasks Spark counts
+    once each, however often they run; the driver numbers the k rows.
+    """
+    if not counting.whole_number(k):
+        return counting.summary(marked).first().asDict(), []
+    seen = Observation("totals")
+    best = counting.most_frequent(counting.words_only(marked.observe(seen, *counting.totals())), k).collect()
+    return seen.get, [(rank, r.word, r.cnt) for rank, r in enumerate(best, 1)]
+
+
 def analyze(spark: SparkSession, path: str | list[str], k: int = 100, seen: Accumulator | None = None) -> WordFrequencies:
-    """Reads the dump once: the counts are kept while the totals and the most frequent words are taken from them."""
-    counting.whole_number(k)
+    """Reads the dump once, in one job."""
     began = time.perf_counter()
-    marked = counting.marked_counts(read_pages(spark, path), "value", markup=True, seen=seen).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        n = counting.summary(marked).first()
-        top = [tuple(r) for r in counting.top_k(counting.words_only(marked), k).orderBy("rank").collect()]
-    finally:
-        marked.unpersist()
-    return WordFrequencies(n.total_articles, n.total_words, n.unique_words, k, top, _megabytes(spark, path), time.perf_counter() - began)
+    n, top = observed(counting.dump_counts(spark, path, seen=seen), k)
+    return WordFrequencies(n["total_articles"], n["total_words"], n["unique_words"], k, top, _megabytes(spark, path), time.perf_counter() - began)
 
 
 def _megabytes(spark: SparkSession, path: str | list[str]) -> float:

@@ -1,6 +1,5 @@
 from collections import Counter
 
-import pyarrow as pa
 import pytest
 
 from lexitally.functions.stopwords import STOP_WORDS
@@ -43,15 +42,43 @@ def test_batches_count_what_the_expressions_give(spark, monkeypatch):
     df = texts(spark, *rows).repartition(3)
     expected = Counter(r.word for r in tokens(df).collect())
     assert {r.word: r.cnt for r in partial_counts(df).where("word IS NOT NULL").groupBy("word").sum("cnt").toDF("word", "cnt").collect()} == expected
-    for piece, flush in ((1, 1), (10, 3), (1 << 23, 2)):
-        monkeypatch.setattr(batch_counting, "PIECE", piece)
-        monkeypatch.setattr(batch_counting, "FLUSH", flush)
-        batch = pa.RecordBatch.from_arrays([pa.array(rows)], names=["text"])
-        got = Counter()
-        for out in batch_counting._tally(iter([batch.slice(2, 9), batch.slice(0, 2), batch.slice(11)]), False, None):
+    for piece, size in ((1, 1), (10, 3), (1 << 21, 2), (64, 1 << 18)):
+        for name, value in (("PIECE", piece), ("TABLE", 2 * size), ("NEW", size)):
+            monkeypatch.setattr(batch_counting, name, value)
+        got, tally = Counter(), batch_counting.Tally()
+        sent = [b for some in (rows[2:11], rows[:2], rows[11:]) for b in tally.add([(t or "").encode() for t in some], len(some))]
+        for out in (*sent, *tally.rest()):
             for word, n in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True):
                 got[word] += n
-        assert got.pop(None) == len(rows) and got == expected
+        assert got.pop(None) == len(rows) and +got == expected
+
+
+def test_the_table_is_bounded(monkeypatch):
+    """All words are different but for one of each length: these stay in the table, the others are sent on as they come."""
+    monkeypatch.setattr(batch_counting, "TABLE", 1000)
+    monkeypatch.setattr(batch_counting, "NEW", 500)
+    tally, got, sent = batch_counting.Tally(), Counter(), 0
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    for at in range(0, 40_000, 200):
+        text = " ".join(f"hot frequently {name(i)} {name(i)}longer" for i in range(at, at + 200))
+        for out in tally.add([text.encode()], 1):
+            got.update(dict(zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)))
+            sent += len(out)
+        assert len(tally.short.keys) <= 1000 and tally.short.many <= 700
+        assert sum(map(len, tally.long.parts)) <= 1000 + 700
+        assert "hot" not in got and "frequently" not in got
+    assert sent > 75_000
+    for out in tally.rest():
+        got.update(dict(zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)))
+    assert got[None] == 200 and got["hot"] == got["frequently"] == 40_000 and len(got) == 80_003
+
+
+def test_short_words_are_numbers():
+    lengths = [b"a" * n for n in range(1, 12)]
+    (keys, counts), long = batch_counting.counted(b" ".join([*lengths, b"AAAAAAAA", b"zz"]))
+    spelled = batch_counting.spelled(keys, counts).to_pydict()
+    assert dict(zip(spelled["word"], spelled["cnt"], strict=True)) == {"a" * n: 1 + (n == 8) for n in range(1, 9)} | {"zz": 1}
+    assert sorted(long.column("word").to_pylist()) == [w.decode() for w in lengths[8:]]
 
 
 def texts(spark, *rows):
