@@ -19,6 +19,13 @@ from lexitally.sources.workdir import written
 
 #: A clean document lost weighs more than a toxic one kept.
 TOP_GRADE, LEAST_TAIL = 2, 0.4
+#: Rows with texts that go to Python at a time: ten times as many, Spark's default, take a hundred MB where texts are long.
+ARROW_ROWS = "1000"
+
+
+def _few_rows_at_a_time(spark: SparkSession) -> None:
+    """For the session, as a stage's DataFrame is only run when it is written."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,6 +33,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts have no features and go by the thresholds alone; without labels all documents stay.
     """
+    _few_rows_at_a_time(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return keep_graded(docs, train(docs, ratings_of(labels), TOP_GRADE), TOP_GRADE, LEAST_TAIL)
 
@@ -35,6 +43,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null, empty and short texts go; null languages are one stratum; rules without enough labels are off.
     """
+    _few_rows_at_a_time(spark)
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -45,6 +54,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     workable radius holds; texts confirm both. Of a group the smallest id stays, null ids last; repeated rows
     are a group, and so are all texts without words. Unrelated texts of one id both stay.
     """
+    _few_rows_at_a_time(spark)
     return drop_near_copies(docs)
 
 
@@ -53,11 +63,13 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Texts without words are never taken. Rows of one id share what is taken of them.
     """
+    _few_rows_at_a_time(spark)
     return mixed_documents(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each row; null and empty texts have no tokens."""
+    _few_rows_at_a_time(spark)
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
