@@ -8,7 +8,7 @@ score so far) can be among the k nearest: they are recomputed in double precisio
 vectors and go through the query's heap. The result is exact.
 
 Candidates are blocked by norm, the longest first. Each query first meets one block of the longest, which gives it a
-k-th score; of the other blocks it only goes to those whose longest vector could reach that, and a tile only
+k-th score, and doesn't meet it again; of the other blocks it only goes to those whose longest vector could reach that, and a tile only
 returns what does. Where all vectors are equally long, no block can be passed over, and the work is queries times candidates.
 """
 
@@ -210,9 +210,12 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 20, query_block:
     blocks = max(1, math.ceil(n / rows), 0 if query_block else min(tasks, n // LEAST_QUERIES))
     left = queries.withColumn("a", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
 
-    # the k-th score among one block of the longest vectors
+    # the k-th score among one block of the longest vectors, which is not met again
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("a")
     first = _tiles(left.select("*", F.lit(0).alias("b"), F.lit(float("-inf")).alias("least")), candidates.where("b = 0").select("id", "vector", "width", "b", every), k)
+    if plan == [(0, plan[0][1], 1)]:
+        return _ranked(first, k).select("query_id", "rank", "vec_id", "score")
+    first = written(_ranked(first, k).drop("rank"), "first-tiles")
     reached = _ranked(first.where(~F.isnan("score")), k).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least"))
     left = left.join(reached, "id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
 
@@ -221,7 +224,7 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 20, query_block:
     bound = lambda c: F.col("norm") * c["longest"] * (1 + 1e-9)
     open_ = F.filter(classes, lambda c: F.isnan(bound(c)) | (bound(c) + 1e-300 >= F.col("least")))
     numbers = F.flatten(F.transform(open_, lambda c: F.sequence(c["first"], c["first"] + c["n"] - 1)))
-    left = written(left.withColumn("b", F.explode(numbers)), "query-tiles")
+    left = written(left.withColumn("b", F.explode(F.filter(numbers, lambda b: b > 0))), "query-tiles")
     needed = written(left.select("a", "b").distinct(), "tiles")
     tops = _tiles(left, candidates.select("id", "vector", "width", "b").join(needed, "b"), k)
-    return _ranked(tops, k).select("query_id", "rank", "vec_id", "score")
+    return _ranked(first.unionByName(tops), k).select("query_id", "rank", "vec_id", "score")

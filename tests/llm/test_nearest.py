@@ -73,7 +73,7 @@ def test_short_vectors_are_passed_over(spark):
         made, kept = [], nearest_module._tiles
 
         def tiles(left, right, k, made=made, kept=kept):
-            made.append((left.count(), kept(left, right, k).count()))
+            made.append((left.count(), kept(left, right, k).count(), left.where("b = 0").count()))
             return kept(left, right, k)
 
         nearest_module._tiles = tiles
@@ -84,10 +84,19 @@ def test_short_vectors_are_passed_over(spark):
         assert sorted(map(tuple, got)) == sorted(brute(rows, [r for r in rows if r[0] % 20 == 0], 5))
         queries = made[0][0]
         assert made[1][0] <= 12 * queries  # of 20 blocks
+        assert made[1][2] == 0  # the first block is met once
         sizes.append(made[1][1] / queries)
     assert sizes[1] <= sizes[0]  # rows before the rank, a query
 
 
+def test_one_block_is_one_round(spark, monkeypatch):
+    made, kept = [], nearest_module._tiles
+    monkeypatch.setattr(nearest_module, "_tiles", lambda *args: made.append(args[0].count()) or kept(*args))
+    rows = [(i, [float(i), 1.0]) for i in range(1, 101)]
+    got = nearest(table(spark, rows[::20]), table(spark, rows), 3)
+    assert sorted(map(tuple, got.collect())) == sorted(brute(rows, rows[::20], 3)) and made == [5]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(0, 2**32), st.integers(1, 70), st.sampled_from([1e-30, 1e-3, 1.0, 1e20]))
 def test_bounds_hold(seed, width, scale):
