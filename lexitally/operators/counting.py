@@ -20,6 +20,15 @@ def without_stop_words(words: DataFrame) -> DataFrame:
     return words.where(~F.col("word").isin(*STOP_WORDS))
 
 
+def without_listed(words: DataFrame, listed: DataFrame) -> DataFrame:
+    """Rows of ``words`` whose ``word`` isn't in the table ``listed`` (``word``, lower case; others in it, nulls and repeated ones change nothing).
+
+    Spark broadcasts a list whose size it knows to be below its limit, and filters where the counts are made; a longer one is
+    met in the shuffle by word that the counts need anyway.
+    """
+    return words.join(listed.select("word").where("word IS NOT NULL"), "word", "left_anti")
+
+
 def only_stop_words(words: DataFrame) -> DataFrame:
     return words.where(F.col("word").isin(*STOP_WORDS))
 
@@ -33,40 +42,40 @@ def _summed(partial: DataFrame) -> DataFrame:
     return partial.groupBy("word").agg(F.sum("cnt").alias("cnt"))
 
 
-def _not_stopped() -> Column:
-    return F.col("word").isNull() | ~F.col("word").isin(*STOP_WORDS)
+def _kept(counts: DataFrame, stop: bool | DataFrame) -> DataFrame:
+    """``counts`` without the words of the stop list, or of a table; the row with a NULL word stays."""
+    if isinstance(stop, DataFrame):
+        return without_listed(counts, stop)
+    return counts.where(F.col("word").isNull() | ~F.col("word").isin(*STOP_WORDS)) if stop else counts
 
 
-def marked_counts(texts: DataFrame, col: str = "text", stop: bool = True) -> DataFrame:
+def marked_counts(texts: DataFrame, col: str = "text", stop: bool | DataFrame = True) -> DataFrame:
     """``word, cnt`` of all texts; the row with a NULL word counts the texts themselves.
 
-    One scan, counts within each task (``partial_counts``), one shuffle by word. The stop list is
+    One scan, counts within each task (``partial_counts``), one shuffle by word. The stop list, or a table of words in its place, is
     applied before the shuffle.
     """
-    counts = _summed(partial_counts(texts, col))
-    return counts.where(_not_stopped()) if stop else counts
+    return _summed(_kept(partial_counts(texts, col), stop))
 
 
-def dump_counts(spark: SparkSession, path: str | list[str], stop: bool = True, seen: Accumulator | None = None) -> DataFrame:
+def dump_counts(spark: SparkSession, path: str | list[str], stop: bool | DataFrame = True, seen: Accumulator | None = None) -> DataFrame:
     """``marked_counts`` of a dump's articles: the first text bodies of its closed pages.
 
     One reading of the files, whatever their number and compression, by tasks alone. Counts and the edges of splits go through one
     aggregate; the edges' pages are counted from it (they are few: a page for each split), and added. Where the same file is
     named twice it counts twice.
     """
-    partial = partial_page_counts(pieces(spark, path), seen)
-    every = _summed(partial.where(_not_stopped()) if stop else partial)
+    every = _summed(_kept(partial_page_counts(pieces(spark, path), seen), stop))
     edges = edge_counts(in_order(every.where("cnt < 0"), "word"), seen)
-    both = every.where("cnt >= 0").unionByName(edges.where(_not_stopped()) if stop else edges)
-    return _summed(both)
+    return _summed(every.where("cnt >= 0").unionByName(_kept(edges, stop)))
 
 
 def words_only(marked: DataFrame) -> DataFrame:
     return marked.where(F.col("word").isNotNull())
 
 
-def word_counts(df: DataFrame, col: str = "text", stop: bool = True) -> DataFrame:
-    """``word, cnt``, without the stop words unless ``stop`` is off."""
+def word_counts(df: DataFrame, col: str = "text", stop: bool | DataFrame = True) -> DataFrame:
+    """``word, cnt``, without the stop words, those of a table, or, if ``stop`` is off, with all."""
     return words_only(marked_counts(df, col, stop))
 
 

@@ -46,6 +46,20 @@ def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.word_counts(table(spark, sf_dir, "documents"))
 
 
+def _benchmark_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens(table(spark, sf_dir, "benchmark"))
+
+
+def listed_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stop list as a table: all words of the benchmark."""
+    return counting.word_counts(table(spark, sf_dir, "documents"), stop=_benchmark_words(spark, sf_dir))
+
+
+def listed_dump_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = counting.dump_counts(spark, _dump(spark, sf_dir, "documents", "text"), stop=_benchmark_words(spark, sf_dir))
+    return counting.without_stop_words(found)  # the names of entities are words of the dump
+
+
 def stop_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.count_words(counting.only_stop_words(tokens(table(spark, sf_dir, "documents"))))
 
@@ -93,12 +107,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         word_counts_all,
         word_counts,
         stop_word_counts,
+        listed_word_counts,
         tokens_positional,
         extract_page_text,
         page_markup_counts,
         conversation_word_counts,
         dump_scan_counts,
         dump_scan_summary,
+        listed_dump_counts,
     )
 }
 
@@ -119,6 +135,7 @@ def _summary_sql(name: str, col: str) -> str:
 
 
 _KEPT = f"WHERE word NOT IN ({_STOP})"
+_UNLISTED = "WHERE word NOT IN (SELECT lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) FROM benchmark)"
 _ESCAPED = "replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 _MARKUP = f"('<page><title>t</title><text xml:space=\"preserve\">' || {_ESCAPED} || '</text></page>')"
 _BODY = "'(?s)<text[^>]*>(.*?)</text>'"
@@ -128,6 +145,8 @@ ORACLES: dict[str, str] = {
     "corpus_summary": _summary_sql("documents", "text"),
     "word_counts_all": _counts_sql("documents"),
     "word_counts": _counts_sql("documents", where=_KEPT),
+    "listed_word_counts": _counts_sql("documents", where=_UNLISTED),
+    "listed_dump_counts": _counts_sql("documents", where=f"{_UNLISTED} AND word NOT IN ({_STOP})"),
     "stop_word_counts": _counts_sql("documents", where=f"WHERE word IN ({_STOP})"),
     "tokens_positional": "SELECT doc_id, CAST(unnest(range(1, len(ws) + 1)) AS BIGINT) AS pos, lower(unnest(ws)) AS word "
     "FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS ws FROM documents)",

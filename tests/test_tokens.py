@@ -1,6 +1,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexitally.functions.stopwords import STOP_WORDS
 from lexitally.functions.text import positional_tokens, tokens
@@ -95,6 +96,27 @@ def test_stop_list(spark):
     assert counts(spark, "ref Ref the", stop=False) == {"ref": 2, "the": 1}
 
 
+@pytest.mark.parametrize("limit, join", [("10MB", "BroadcastHashJoin"), ("-1", "SortMergeJoin")])
+def test_stop_list_as_a_table(spark, tmp_path, limit, join):
+    """A million words; the counts meet them below their only shuffle, or in it."""
+    name = F.concat(F.lit("z"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"))
+    spark.range(1_000_000).select(name.alias("word")).unionByName(spark.createDataFrame([("the",), ("the",), (None,)], "word string")).write.parquet(str(tmp_path / "list"))
+    listed = spark.read.parquet(str(tmp_path / "list"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        df = counting.word_counts(texts(spark, "The end ZBC zbc zzz", None, "the zjjjjjj"), stop=listed)
+        assert {r.word: r.cnt for r in df.collect()} == {"end": 1, "zzz": 1}
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert join in plan and plan.count("Exchange hashpartitioning(word") == (1 if limit == "10MB" else 2)
+        if limit == "10MB":
+            assert plan.index("Exchange hashpartitioning(word") < plan.index(join)
+        marked = counting.marked_counts(texts(spark, "The end", None), stop=listed)
+        assert tuple(counting.summary(marked).first()) == (2, 1, 1)
+        assert counts(spark, "a the", stop=listed.where("false")) == {"a": 1, "the": 1}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_summary_counts_wordless_articles(spark):
     df = texts(spark, "", "12 34", "ref the", "the end")
     row = counting.summary(counting.marked_counts(df)).first()
