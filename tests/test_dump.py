@@ -132,7 +132,7 @@ def test_one_reading(spark, tmp_path, suffix):
         tracker = spark.sparkContext.statusTracker()
         ran = [i for j in tracker.getJobIdsForGroup(f"analysis{suffix}") for i in tracker.getJobInfo(j).stageIds]
         store = spark.sparkContext._jsc.sc().statusStore()
-        read = [store.lastStageAttempt(i).inputRecords() for i in ran]
+        read = [store.lastStageAttempt(i).inputRecords() for i in ran if tracker.getStageInfo(i)]  # others were skipped
         assert sum(read) == 3
     finally:
         spark.sparkContext._jsc.sc().clearJobGroup()
