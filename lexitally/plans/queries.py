@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexitally.functions.stopwords import STOP_WORDS
 from lexitally.functions.text import positional_tokens, tokens
 from lexitally.operators import counting
+from lexitally.operators.stored_counts import merged, stored
 from lexitally.plans.word_frequency import frequencies
 from lexitally.sources.dump import articles_from
 from lexitally.sources.workdir import shared_folder, until_exit
@@ -55,6 +56,12 @@ def listed_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.word_counts(table(spark, sf_dir, "documents"), stop=_benchmark_words(spark, sf_dir))
 
 
+def merged_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the documents are stored, and those of the conversations merged into them."""
+    before = stored(counting.marked_counts(table(spark, sf_dir, "documents")))
+    return counting.words_only(merged(before, counting.marked_counts(table(spark, sf_dir, "conversations"))))
+
+
 def listed_dump_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = counting.dump_counts(spark, _dump(spark, sf_dir, "documents", "text"), stop=_benchmark_words(spark, sf_dir))
     return counting.without_stop_words(found)  # the names of entities are words of the dump
@@ -115,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         dump_scan_counts,
         dump_scan_summary,
         listed_dump_counts,
+        merged_word_counts,
     )
 }
 
@@ -147,6 +155,7 @@ ORACLES: dict[str, str] = {
     "word_counts": _counts_sql("documents", where=_KEPT),
     "listed_word_counts": _counts_sql("documents", where=_UNLISTED),
     "listed_dump_counts": _counts_sql("documents", where=f"{_UNLISTED} AND word NOT IN ({_STOP})"),
+    "merged_word_counts": _counts_sql("(SELECT text FROM documents UNION ALL SELECT text FROM conversations)", where=_KEPT),
     "stop_word_counts": _counts_sql("documents", where=f"WHERE word IN ({_STOP})"),
     "tokens_positional": "SELECT doc_id, CAST(unnest(range(1, len(ws) + 1)) AS BIGINT) AS pos, lower(unnest(ws)) AS word "
     "FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS ws FROM documents)",

@@ -1,0 +1,42 @@
+"""Counts that are merged into stored ones."""
+
+from pyspark.sql import functions as F
+
+from lexitally.operators import counting
+from lexitally.operators.stored_counts import merged, stored
+
+
+def dump(folder, *texts):
+    folder.mkdir()
+    (folder / "d.xml").write_text("".join(f"<page><text>{t}</text></page>" for t in texts))
+    return str(folder)
+
+
+def test_as_both_dumps_at_once(spark, tmp_path):
+    days = [dump(tmp_path / "a", "one two two", "three"), dump(tmp_path / "b", "two four", ""), dump(tmp_path / "c", "five one")]
+    state = stored(counting.dump_counts(spark, days[0]))
+    for day in days[1:]:
+        state = stored(merged(state, counting.dump_counts(spark, day)))
+    total = merged(state, counting.dump_counts(spark, days[0]).where("false"))
+    want = counting.dump_counts(spark, [*days])
+    assert sorted(map(repr, total.collect())) == sorted(map(repr, want.collect()))
+    assert tuple(counting.summary(total).first()) == (5, 8, 5)
+
+
+def test_stored_counts_stay_where_they_are(spark, tmp_path):
+    before = stored(spark.range(5000).select(F.concat(F.lit("w"), "id").alias("word"), F.lit(1).cast("long").alias("cnt")), path=str(tmp_path / "kept"))
+    after = merged(before, spark.createDataFrame([("w7", 5), ("new", 2), (None, 3)], "word string, cnt long"))
+    got = {r.word: r.cnt for r in after.collect()}
+    assert len(got) == 5002 and (got["w7"], got["new"], got[None], got["w8"]) == (6, 2, 3, 1)
+    plan = after._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    side = plan[plan.index("SortMergeJoin") :].split("Exchange")[0]
+    assert plan.count("Exchange") == 1 and "FileScan parquet" in side and "Bucketed: true" in side  # only the new counts are sent
+    assert (tmp_path / "kept").is_dir()
+
+
+def test_nothing_stored_or_new(spark):
+    none = spark.createDataFrame([], "word string, cnt long")
+    some = spark.createDataFrame([("a", 1), (None, 2)], "word string, cnt long")
+    assert merged(stored(none), none).collect() == []
+    for left, right in ((none, some), (some, none)):
+        assert sorted(map(repr, merged(stored(left), right).collect())) == sorted(map(repr, some.collect()))
