@@ -1,9 +1,10 @@
 import math
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from lexitally.llm.quality_classifier import MOST_FEATURES, Features, Likelihood, fit, grade, keep_graded, packed, ratings_of, train, unpacked
+from lexitally.llm.quality_classifier import BITS, MOST_FEATURES, Features, Likelihood, fit, grade, keep_graded, packed, ratings_of, train, unpacked
 from tests.llm.edge import ROWS, documents, no_documents
 
 SF = "/root/testdata/sf0.01"
@@ -101,3 +102,35 @@ def test_reruns_agree(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     one, two = (train(d, ratings_of(labels), 2) for d in (docs, docs.repartition(5)))
     assert (one.weights == two.weights).all()
+
+
+def from_the_text(text, model):
+    """Expected grade and the tails, from the definition of the features."""
+    words, mask = text.split(), (1 << BITS) - 1
+    number = lambda feature: zlib.crc32(feature) & mask
+    edge, found, shapes = b".,;:!?\"'()[]|*#$%&<>-", set(), []
+    for word in words:
+        bare = word.strip(edge).lower()
+        found |= {number(b"w" + bare), number(b"b" + bare[:4])}
+        classes = [b"X" if 65 <= b <= 90 else b"x" if 97 <= b <= 122 or b >= 128 else b"9" if 48 <= b <= 57 else bytes([b]) for b in word]
+        shapes.append(b"".join(c for i, c in enumerate(classes) if c not in (b"X", b"x", b"9") or i == 0 or c != classes[i - 1])[-8:])
+    for shape in set(shapes):
+        found |= {number(b"s%d " % k + shape) for k in (1, 2, 4, 8, 16, 32) if shapes.count(shape) * k >= len(words)}
+    same = sum(words[i] == words[i - 1] for i in range(1, len(words)))
+    found |= {number(b"r%d" % part) for part in range(1, 9) if 10 * same >= part * max(1, len(words))}
+    score = sum(float(model.weights[f]) for f in found)
+    tails = [1 / (1 + math.exp(min(50, max(-50, float(c) - score)))) for c in model.thresholds]
+    return sum(tails), tails
+
+
+def test_whole_result_from_the_text(spark):
+    """Every row of the query's table, each recomputed from text, weights and thresholds."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    model = train(docs, ratings_of(labels), 2)
+    for df in (docs.select("doc_id", "text"), documents(spark)):
+        got = grade(df, model, 2, 0.4).collect()
+        assert len(got) == df.count()
+        for r in got:
+            expected, tails = from_the_text((r.text or "").encode(), model)
+            assert math.isclose(r.expected_grade, expected, abs_tol=1e-4) and math.isclose(r.tail_probability, tails[1], abs_tol=1e-4)
+            assert r.kept == (r.tail_probability >= 0.4)
