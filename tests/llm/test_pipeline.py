@@ -1,0 +1,67 @@
+"""The whole pipeline, stage by stage against plain models: each is given what the stage before it really wrote."""
+
+import base64
+import hashlib
+import math
+import struct
+from collections import Counter
+
+import public_tokenizers
+import tiktoken
+import xxhash
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from lexitally.llm.quality_classifier import ratings_of, train
+from lexitally.llm.quality_rules import OFF, RULES, base_failed, measure, steps
+from tests.llm import test_mixing as mixing
+from tests.llm import test_near_copies as copies
+from tests.llm import test_quality_rules as rules
+from tests.llm.test_quality_classifier import from_the_text
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages_against_models(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    written = [docs]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        written.append(corpus_pipeline.written(stage(spark, written[-1], SF), name))
+    given = [[tuple(r) for r in df.select("doc_id", "text", "lang", "source").collect()] for df in written]
+    assert len({r[0] for r in given[0]}) == len(given[0])
+
+    model = train(docs, ratings_of(labels), corpus_pipeline.TOP_GRADE)
+    tails = {r[0]: from_the_text((r[1] or "").encode(), model)[1][corpus_pipeline.TOP_GRADE - 1] for r in given[0]}
+    assert all(abs(t - corpus_pipeline.LEAST_TAIL) > 1e-4 for t in tails.values())  # else a rounding could decide
+    assert Counter(given[1]) == Counter(r for r in given[0] if tails[r[0]] >= corpus_pipeline.LEAST_TAIL)
+
+    quality = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None}
+    hashes = {xxhash.xxh3_64_intdigest(" ".join((r[1] or "").split()).encode()) >> 1 for r in given[1]}
+    split = spark.createDataFrame([(h,) for h in hashes], "same long").withColumn("half", F.pmod(F.xxhash64(F.lit("holdout"), "same"), F.lit(2)))
+    rules._SPLIT.update({r.same: r.half for r in split.collect()})
+    limits, kept = rules.expected_limits(given[1], quality), []
+    for row in given[1]:
+        base, measures = measure((row[1] or "").encode())
+        assert base == rules.brute(row[1])
+        cut = limits.get(row[2], [OFF] * len(RULES))
+        if not base_failed(base[0], base[4]) and not any(x >= c for x, c in zip(steps(measures), cut, strict=True)):
+            kept.append(row)
+    assert Counter(given[2]) == Counter(kept)
+
+    copies.check(written[3].collect(), given[2])
+    assert Counter(given[3]) <= Counter(given[2])
+
+    taken = Counter()
+    for (key, size, words), n in mixing.brute(written[3]).items():
+        assert n == 1
+        taken[key] = math.floor(words / size + 0.5) if size else 0
+    assert Counter(given[4]) == Counter({r: taken[r[0]] for r in given[3] if taken[r[0]]})
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = Counter()
+    for key, text, *_ in given[4]:
+        ids = library.encode_ordinary(text or "")
+        want[key, len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()] += 1
+    last = corpus_pipeline.tokens(spark, written[4], SF).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    assert Counter(map(tuple, last.collect())) == want
