@@ -10,7 +10,7 @@ Every text also counts one row with a NULL word: the number of texts is another
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,7 @@ SHORT = 8
 _FOLD = bytes(b | 0x20 if chr(b).isalpha() and b < 128 else 0 for b in range(256))
 _MASKS = np.array([(1 << 8 * n) - 1 for n in range(SHORT + 1)], np.uint64)
 _COUNTS = pa.schema([("word", pa.string()), ("cnt", pa.int64())])
+_RANKED = pa.schema([*_COUNTS, ("mass", pa.int64()), ("best", pa.bool_())])
 
 Counted = tuple[np.ndarray, np.ndarray]
 
@@ -186,11 +187,34 @@ def rows(words: list, counts: list[int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).view(pa.string()), pa.array(counts, pa.int64())], schema=_COUNTS)
 
 
-def partial_counts(texts: DataFrame, col: str = "text", seen: Accumulator | None = None) -> DataFrame:
+def ranked(batches: Iterator[pa.RecordBatch], best: int) -> Iterator[pa.RecordBatch]:
+    """``word, cnt, mass, best`` of batches that hold a word once each: ``mass`` is the sum of a batch's words, ``best`` marks the ``best`` most frequent.
+
+    A row with a NULL word and no count follows each batch with words. So the masses of all batches can be added up, whichever words are taken out later.
+    """
+    for batch in batches:
+        counts = batch.column(1).to_numpy()
+        words = np.where(batch.column(0).is_valid().to_numpy(zero_copy_only=False) & (counts > 0), counts, 0)
+        mass, marks = int(words.sum()), words > 0
+        if len(words) > best:
+            marks[np.argpartition(words, len(words) - best)[: len(words) - best]] = False
+        columns = [*batch.columns, pa.array(np.full(len(words), mass)), pa.array(marks)]
+        yield pa.RecordBatch.from_arrays(columns, schema=_RANKED)
+        if mass:
+            yield pa.RecordBatch.from_pylist([{"word": None, "cnt": 0, "mass": mass, "best": False}], schema=_RANKED)
+
+
+def _mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], best: int | None) -> DataFrame:
+    if best is None:
+        return df.mapInArrow(run, "word string, cnt long")
+    return df.mapInArrow(lambda batches: ranked(run(batches), best), "word string, cnt long, mass long, best boolean")
+
+
+def partial_counts(texts: DataFrame, col: str = "text", seen: Accumulator | None = None, best: int | None = None) -> DataFrame:
     """``word, cnt``: a row for each word that a task's table has at the end or has sent on before.
 
     Rows with a NULL word count texts; a NULL text is a text without words. ``seen`` adds up the texts for a progress
-    line; a task that runs again adds its own again there.
+    line; a task that runs again adds its own again there. With ``best`` the rows have the columns of ``ranked`` besides.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,10 +223,10 @@ def partial_counts(texts: DataFrame, col: str = "text", seen: Accumulator | None
             yield from tally.add([raw[begin:end] for raw, begin, end in values(batch.column(0))], len(batch))
         yield from tally.rest()
 
-    return texts.select(F.col(col).cast("string")).mapInArrow(run, "word string, cnt long")
+    return _mapped(texts.select(F.col(col).cast("string")), run, best)
 
 
-def partial_page_counts(pieces: DataFrame, seen: Accumulator | None = None) -> DataFrame:
+def partial_page_counts(pieces: DataFrame, seen: Accumulator | None = None, best: int | None = None) -> DataFrame:
     """The same for the first text bodies of a dump's pages. A ``word`` that begins with a zero byte names an edge of a split, with a ``cnt`` of -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,10 +238,10 @@ def partial_page_counts(pieces: DataFrame, seen: Accumulator | None = None) -> D
         yield from tally.rest()
         yield rows([e.name() for e in pages.edges], [-1] * len(pages.edges))
 
-    return pieces.select("value", "file", "block").mapInArrow(run, "word string, cnt long")
+    return _mapped(pieces.select("value", "file", "block"), run, best)
 
 
-def edge_counts(edges: DataFrame, seen: Accumulator | None = None) -> DataFrame:
+def edge_counts(edges: DataFrame, seen: Accumulator | None = None, best: int | None = None) -> DataFrame:
     """``word, cnt`` of the pages that the edges of splits make up: ``word, cnt`` with -1 for each time that the file is read, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,4 +252,4 @@ def edge_counts(edges: DataFrame, seen: Accumulator | None = None) -> DataFrame:
                     yield from tally.add([body] * -times, -times)
         yield from tally.rest()
 
-    return edges.select("word", "cnt").mapInArrow(run, "word string, cnt long")
+    return _mapped(edges.select("word", "cnt"), run, best)

@@ -38,11 +38,12 @@ def count_words(words: DataFrame) -> DataFrame:
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def _summed(partial: DataFrame) -> DataFrame:
+def summed(partial: DataFrame) -> DataFrame:
+    """``word, cnt`` of partial counts: one shuffle by word."""
     return partial.groupBy("word").agg(F.sum("cnt").alias("cnt"))
 
 
-def _kept(counts: DataFrame, stop: bool | DataFrame) -> DataFrame:
+def kept(counts: DataFrame, stop: bool | DataFrame) -> DataFrame:
     """``counts`` without the words of the stop list, or of a table; the row with a NULL word stays."""
     if isinstance(stop, DataFrame):
         return without_listed(counts, stop)
@@ -55,7 +56,7 @@ def marked_counts(texts: DataFrame, col: str = "text", stop: bool | DataFrame =
     One scan, counts within each task (``partial_counts``), one shuffle by word. The stop list, or a table of words in its place, is
     applied before the shuffle.
     """
-    return _summed(_kept(partial_counts(texts, col), stop))
+    return summed(kept(partial_counts(texts, col), stop))
 
 
 def dump_counts(spark: SparkSession, path: str | list[str], stop: bool | DataFrame = True, seen: Accumulator | None = None) -> DataFrame:
@@ -65,9 +66,9 @@ def dump_counts(spark: SparkSession, path: str | list[str], stop: bool | DataFra
     aggregate; the edges' pages are counted from it (they are few: a page for each split), and added. Where the same file is
     named twice it counts twice.
     """
-    every = _summed(_kept(partial_page_counts(pieces(spark, path), seen), stop))
+    every = summed(kept(partial_page_counts(pieces(spark, path), seen), stop))
     edges = edge_counts(in_order(every.where("cnt < 0"), "word"), seen)
-    return _summed(every.where("cnt >= 0").unionByName(_kept(edges, stop)))
+    return summed(every.where("cnt >= 0").unionByName(kept(edges, stop)))
 
 
 def words_only(marked: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from lexitally.functions.stopwords import STOP_WORDS
 from lexitally.functions.text import positional_tokens, tokens
 from lexitally.operators import counting
 from lexitally.operators.stored_counts import merged, stored
+from lexitally.operators.threshold_top import ranked_dump_parts, ranked_parts, threshold_top_k
 from lexitally.plans.word_frequency import frequencies
 from lexitally.sources.dump import articles_from
 from lexitally.sources.workdir import shared_folder, until_exit
@@ -35,6 +36,11 @@ def top_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frequencies(counting.marked_counts(table(spark, sf_dir, "documents")))[1]
 
 
+def threshold_top_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``top_words`` by rounds, in which only words that can be among them are moved."""
+    return threshold_top_k(ranked_parts(table(spark, sf_dir, "documents")))
+
+
 def corpus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frequencies(counting.marked_counts(table(spark, sf_dir, "documents")))[0]
 
@@ -62,6 +68,11 @@ def merged_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.words_only(merged(before, counting.marked_counts(table(spark, sf_dir, "conversations"))))
 
 
+def threshold_dump_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent words of a dump by rounds."""
+    return threshold_top_k(ranked_dump_parts(spark, _dump(spark, sf_dir, "documents", "text")))
+
+
 def listed_dump_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = counting.dump_counts(spark, _dump(spark, sf_dir, "documents", "text"), stop=_benchmark_words(spark, sf_dir))
     return counting.without_stop_words(found)  # the names of entities are words of the dump
@@ -123,6 +134,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         dump_scan_summary,
         listed_dump_counts,
         merged_word_counts,
+        threshold_top_words,
+        threshold_dump_words,
     )
 }
 
@@ -148,8 +161,12 @@ _ESCAPED = "replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '
 _MARKUP = f"('<page><title>t</title><text xml:space=\"preserve\">' || {_ESCAPED} || '</text></page>')"
 _BODY = "'(?s)<text[^>]*>(.*?)</text>'"
 
+_TOP_SQL = f"SELECT CAST(row_number() OVER (ORDER BY cnt DESC, word) AS BIGINT) AS rank, word, cnt FROM ({_counts_sql('documents', where=_KEPT)}) ORDER BY cnt DESC, word LIMIT 100"
+
 ORACLES: dict[str, str] = {
-    "top_words": f"SELECT CAST(row_number() OVER (ORDER BY cnt DESC, word) AS BIGINT) AS rank, word, cnt FROM ({_counts_sql('documents', where=_KEPT)}) ORDER BY cnt DESC, word LIMIT 100",
+    "top_words": _TOP_SQL,
+    "threshold_top_words": _TOP_SQL,
+    "threshold_dump_words": _TOP_SQL,
     "corpus_summary": _summary_sql("documents", "text"),
     "word_counts_all": _counts_sql("documents"),
     "word_counts": _counts_sql("documents", where=_KEPT),

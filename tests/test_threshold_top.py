@@ -1,0 +1,116 @@
+"""The top k by threshold rounds: the same rows as by counting all words, from few of them."""
+
+import random
+
+import pyarrow as pa
+import pytest
+
+from lexitally.functions.stopwords import STOP_WORDS
+from lexitally.operators import batch_counting, counting
+from lexitally.operators.threshold_top import candidates, ranked_dump_parts, ranked_parts, reaching, threshold_top_k
+
+
+def spell(n: int) -> str:
+    return "q" + "".join(chr(97 + int(d)) for d in str(n)) + "z" * (n % 12)
+
+
+def zipf(rng: random.Random, words: int, n: int) -> str:
+    return " ".join(spell(int(words ** rng.random())) for _ in range(n))
+
+
+def table(spark, texts, parts):
+    return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").repartitionByRange(parts, "id")
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_as_by_counting_all(spark, seed):
+    rng = random.Random(seed)
+    texts = [rng.choice([None, "", STOP_WORDS[0].upper(), zipf(rng, 400, 60), zipf(rng, 9, 30) * rng.randint(1, 3)]) for _ in range(40)]
+    df = table(spark, texts, 5)
+    for stop in (True, False):
+        parts = ranked_parts(df, k=20, stop=stop)
+        for k in (0, 1, 7, 20, 50, 100_000):
+            want = counting.top_k(counting.word_counts(df, stop=stop), k).collect()
+            assert threshold_top_k(parts, k).collect() == want, (stop, k)
+
+
+def test_never_among_the_best_of_a_part(spark):
+    """Each part has its own frequent words; the overall best is third everywhere. Parts differ in size by far."""
+    texts = [" ".join([spell(100 + 2 * i)] * 50 * n + [spell(101 + 2 * i)] * 45 * n + ["everywhere"] * 40 * n + ["tie", "tied"] * n) for i, n in enumerate((1, 1, 30, 2, 7, 100))]
+    parts = ranked_parts(table(spark, texts, 6), k=2, stop=False)
+    got = [tuple(r) for r in threshold_top_k(parts, 1).collect()]
+    assert got == [(1, "everywhere", 40 * 141)]
+    assert "everywhere" in [r.word for r in candidates(parts, 2).collect()]
+
+
+def test_ties_of_the_last_stay(spark):
+    parts = ranked_parts(table(spark, ["b a c d", "d c a b", "e"], 3), k=2, stop=False)
+    assert [tuple(r) for r in threshold_top_k(parts, 2).collect()] == [(1, "a", 2), (2, "b", 2)]
+
+
+@pytest.mark.parametrize("texts", [[], [None, ""], [" ".join(STOP_WORDS[:3])]])
+def test_no_words(spark, texts):
+    parts = ranked_parts(table(spark, texts, 2) if texts else spark.createDataFrame([], "text string"))
+    assert threshold_top_k(parts, 3).collect() == []
+
+
+def test_what_is_sent_does_not_grow_with_the_words(spark):
+    """Ten times as many rare words: that many more partial counts, few of which are sent, and few candidates."""
+    rows, sent, left = [], [], []
+    for rare in (3_000, 30_000):
+        rng = random.Random(1)
+        texts = [" ".join([zipf(rng, 200, 1000), *(spell(1000 + i) for i in range(part, rare, 8))]) for part in range(8)]
+        parts = ranked_parts(table(spark, texts, 8), k=10, stop=False)
+        rows.append(parts.count())
+        bound = counting.top_k(counting.words_only(counting.summed(parts)), 10).collect()[-1].cnt
+        sent.append(reaching(parts, bound).count())
+        left.append(candidates(parts, 10).count())
+        assert sent[-1] <= parts.where("word IS NULL AND mass > 0").count() * 2 * (8000 + rare) / bound
+    assert rows[1] > rows[0] + 25_000 and sent[1] < rows[1] / 50 and max(left) < 100  # ten times k
+
+
+def test_parts_that_were_sent_on_before_the_end(spark, monkeypatch):
+    """A task whose table is full sends a word several times."""
+    monkeypatch.setattr(batch_counting, "TABLE", 64)
+    monkeypatch.setattr(batch_counting, "NEW", 32)
+    monkeypatch.setattr(batch_counting, "PIECE", 200)
+    rng = random.Random(3)
+    texts = [zipf(rng, 2000, 40) for _ in range(60)]
+    tally = batch_counting.Tally()
+
+    def batches():
+        for t in texts:
+            yield from tally.add([t.encode()], 1)
+        yield from tally.rest()
+
+    rows = pa.Table.from_batches(list(batch_counting.ranked(batches(), 5))).to_pylist()
+    parts = spark.createDataFrame([tuple(r.values()) for r in rows], "word string, cnt long, mass long, best boolean")
+    assert parts.where("word IS NULL AND mass > 0").count() > 10
+    df = table(spark, texts, 2)
+    for k in (1, 5, 30):
+        assert threshold_top_k(parts, k).collect() == counting.top_k(counting.word_counts(df, stop=False), k).collect()
+
+
+def test_of_a_dump_in_many_splits(spark, tmp_path):
+    rng = random.Random(5)
+    (tmp_path / "d.xml").write_text("".join(f"<page><text>{zipf(rng, 300, 30)} {STOP_WORDS[0]} é</text></page>\n" for _ in range(120)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        parts = ranked_dump_parts(spark, str(tmp_path), k=10)
+        want = counting.top_k(counting.words_only(counting.dump_counts(spark, str(tmp_path))), 10).collect()
+        assert threshold_top_k(parts, 10).collect() == want
+        assert parts.where("word IS NULL").agg({"cnt": "sum"}).first()[0] == 120
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_all_counts_stay_where_they_are(spark):
+    """The parts meet the candidates before the shuffle: they aren't moved."""
+    df = table(spark, [zipf(random.Random(2), 5000, 3000)] * 4, 4)
+    top = threshold_top_k(ranked_parts(df, k=5), 5)
+    assert len(top.collect()) == 5
+    plan = top._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    joined = plan[plan.index("BroadcastHashJoin") :]
+    assert "BroadcastExchange" in joined and "hashpartitioning" not in joined
