@@ -15,10 +15,10 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexitally.operators.report import TaskCounter
 from lexitally.sources.dump import Edge, Pages, Seams, values
 
 #: Bytes of texts that are counted at a time.
@@ -165,7 +165,7 @@ def _side_by_side(texts: Iterable[bytes]) -> Iterator[bytes]:
 class Tally:
     """A task's counts of words and texts."""
 
-    def __init__(self, seen: Accumulator | None = None) -> None:
+    def __init__(self, seen: TaskCounter | None = None) -> None:
         self.short, self.long, self.texts, self.seen = ShortWords(), LongWords(), 0, seen
 
     def add(self, texts: list[bytes], number: int) -> Iterator[pa.RecordBatch]:
@@ -175,7 +175,7 @@ class Tally:
                 yield from some.to_batches()
         self.texts += number
         if self.seen is not None:
-            self.seen.add(number)
+            self.seen.reached(self.texts)
 
     def rest(self) -> Iterator[pa.RecordBatch]:
         for some in (*self.short.rest(), *self.long.rest()):
@@ -210,11 +210,11 @@ def _mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(lambda batches: ranked(run(batches), best), "word string, cnt long, mass long, best boolean")
 
 
-def partial_counts(texts: DataFrame, col: str = "text", seen: Accumulator | None = None, best: int | None = None) -> DataFrame:
+def partial_counts(texts: DataFrame, col: str = "text", seen: TaskCounter | None = None, best: int | None = None) -> DataFrame:
     """``word, cnt``: a row for each word that a task's table has at the end or has sent on before.
 
-    Rows with a NULL word count texts; a NULL text is a text without words. ``seen`` adds up the texts for a progress
-    line; a task that runs again adds its own again there. With ``best`` the rows have the columns of ``ranked`` besides.
+    Rows with a NULL word count texts; a NULL text is a text without words. ``seen`` is told the number of texts, for a progress
+    line. With ``best`` the rows have the columns of ``ranked`` besides.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +226,7 @@ def partial_counts(texts: DataFrame, col: str = "text", seen: Accumulator | None
     return _mapped(texts.select(F.col(col).cast("string")), run, best)
 
 
-def partial_page_counts(pieces: DataFrame, seen: Accumulator | None = None, best: int | None = None) -> DataFrame:
+def partial_page_counts(pieces: DataFrame, seen: TaskCounter | None = None, best: int | None = None) -> DataFrame:
     """The same for the first text bodies of a dump's pages. A ``word`` that begins with a zero byte names an edge of a split, with a ``cnt`` of -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +241,7 @@ def partial_page_counts(pieces: DataFrame, seen: Accumulator | None = None, best
     return _mapped(pieces.select("value", "file", "block"), run, best)
 
 
-def edge_counts(edges: DataFrame, seen: Accumulator | None = None, best: int | None = None) -> DataFrame:
+def edge_counts(edges: DataFrame, seen: TaskCounter | None = None, best: int | None = None) -> DataFrame:
     """``word, cnt`` of the pages that the edges of splits make up: ``word, cnt`` with -1 for each time that the file is read, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

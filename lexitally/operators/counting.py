@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexitally.functions.stopwords import STOP_WORDS
 from lexitally.operators.batch_counting import edge_counts, partial_counts, partial_page_counts
+from lexitally.operators.report import TaskCounter
 from lexitally.sources.dump import in_order, pieces
 
 #: The largest limit that Spark takes.
@@ -59,7 +59,7 @@ def marked_counts(texts: DataFrame, col: str = "text", stop: bool | DataFrame =
     return summed(kept(partial_counts(texts, col), stop))
 
 
-def dump_counts(spark: SparkSession, path: str | list[str], stop: bool | DataFrame = True, seen: Accumulator | None = None) -> DataFrame:
+def dump_counts(spark: SparkSession, path: str | list[str], stop: bool | DataFrame = True, seen: TaskCounter | None = None) -> DataFrame:
     """``marked_counts`` of a dump's articles: the first text bodies of its closed pages.
 
     One reading of the files, whatever their number and compression, by tasks alone. Counts and the edges of splits go through one

@@ -1,4 +1,4 @@
-"""The text report and the progress line."""
+"""The text report, the progress line and its counter."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import threading
 from collections.abc import Iterable
 from contextlib import contextmanager
 
+from pyspark import AccumulatorParam, TaskContext
 from pyspark.sql import SparkSession
 
 RULE = "=" * 40
@@ -26,15 +27,45 @@ def format_report(mb: float, seconds: float, articles: int, words: int, unique:
     return "\n".join(lines) + "\n"
 
 
+class _ByTask(AccumulatorParam):
+    """The largest number of each task."""
+
+    def zero(self, value: dict) -> dict:
+        return {}
+
+    def addInPlace(self, value1: dict, value2: dict) -> dict:
+        for task, n in value2.items():
+            value1[task] = max(n, value1.get(task, 0))
+        return value1
+
+
+class TaskCounter:
+    """What tasks have done, as far as they have ended. Each task counts once, however often it runs.
+
+    The driver keeps a number for each task: less than Spark keeps about it.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self._tasks = spark.sparkContext.accumulator({}, _ByTask())
+
+    def reached(self, number: int) -> None:
+        """In a task: what it has done until now. The stage and the partition tell tasks apart, and stay the same in a new attempt."""
+        task = TaskContext.get()
+        self._tasks.add({(task.stageId(), task.partitionId()): number})
+
+    @property
+    def value(self) -> int:
+        return sum(list(self._tasks.value.values()))  # a copy first: tasks may end meanwhile
+
+
 @contextmanager
 def progress(spark: SparkSession, out, every: float = 0.5):
     """Writes ``Read N MB | Articles: M`` to ``out`` twice a second while the block runs, and gives it the counter for M.
 
-    The bytes are Spark's own metric of the running stages. The counter adds up as tasks end, and a task that
-    runs again adds again: it is for the eye, the report counts for itself.
+    The bytes are Spark's own metric of the running stages. The counter adds up as tasks end; one that runs again doesn't raise it.
     """
     done, tracker, store = threading.Event(), spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
-    articles = spark.sparkContext.accumulator(0)
+    articles = TaskCounter(spark)
 
     def show() -> None:
         while not done.wait(every):

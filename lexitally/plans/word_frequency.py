@@ -5,11 +5,10 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass
 
-from pyspark import Accumulator
 from pyspark.sql import DataFrame, Observation, SparkSession
 
 from lexitally.operators import counting
-from lexitally.operators.report import format_report
+from lexitally.operators.report import TaskCounter, format_report
 
 
 @dataclass
@@ -44,7 +43,7 @@ def observed(marked: DataFrame, k: int) -> tuple[dict[str, int], list[tuple[int,
     return seen.get, [(rank, r.word, r.cnt) for rank, r in enumerate(best, 1)]
 
 
-def analyze(spark: SparkSession, path: str | list[str], k: int = 100, seen: Accumulator | None = None) -> WordFrequencies:
+def analyze(spark: SparkSession, path: str | list[str], k: int = 100, seen: TaskCounter | None = None) -> WordFrequencies:
     """Reads the dump once, in one job."""
     began = time.perf_counter()
     n, top = observed(counting.dump_counts(spark, path, seen=seen), k)

@@ -2,7 +2,7 @@ import subprocess
 import sys
 
 from lexitally.cli import main
-from lexitally.operators.report import format_report, progress
+from lexitally.operators.report import TaskCounter, format_report, progress
 
 
 def test_format():
@@ -42,6 +42,23 @@ def test_progress(spark, tmp_path):
     assert "Read " in out.getvalue() and " MB | Articles: " in out.getvalue()
 
 
+def test_a_task_counts_once(spark):
+    tasks = TaskCounter(spark)
+
+    def run(batches):
+        for n, batch in enumerate(batches, 1):
+            tasks.reached(100 * n)
+            yield batch
+
+    rows = spark.range(0, 8, 1, 4).mapInArrow(run, "id long")
+    assert rows.count() == 8 and tasks.value == 400
+    once = dict(tasks._tasks.value)
+    tasks._tasks.add({task: n - 1 for task, n in once.items()})  # an attempt that comes late, or got less far
+    tasks._tasks.add(once)
+    assert tasks.value == 400
+    assert rows.count() == 8 and tasks.value == 800  # other stages are other tasks
+
+
 def test_own_session_is_stopped():
     code = (
         "import sys; from pyspark.sql import SparkSession; from lexitally.cli import main; "
