@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexitally.llm import impact_index
+from lexitally.llm import integer_blocks as ib
 from lexitally.llm.hard_negatives import BallTree, Window, hard_negatives
 from lexitally.llm.impact_index import Postings, largest_products
 from tests.llm.edge import CLASHING
@@ -137,3 +138,50 @@ def test_trees_pass_over_rows():
         want = sorted(zip((-score[inside]).tolist(), inside.tolist(), strict=True))[:5]
         assert sorted((-s, -i) for s, i in window.heap) == want
     assert scored[0] < 1000 and scored[1] < 3200
+
+
+def many(spark, n=20_000, width=64):
+    """Vectors that fill a block, in a table as ``dealt`` takes it."""
+    vector = F.transform(F.sequence(F.lit(1), F.lit(width)), lambda i: F.pmod(F.xxhash64("id", i), F.lit(513)) - 256)
+    return spark.range(n).select("id", F.pmod("id", F.lit(3)).alias("label"), vector.cast("array<bigint>").alias("vector"))
+
+
+def test_postings_in_small_pieces(spark, monkeypatch):
+    """No row of the index is large, however many vectors a block holds: Spark copies, sorts and sends rows as a whole."""
+    monkeypatch.setattr(ib, "LEAST_ROWS", 1 << 30)
+    dealt, blocks = ib.dealt(many(spark))
+    assert blocks == 1
+    rows = impact_index.index(dealt)
+    assert rows.agg(F.max(F.length("piece"))).first()[0] <= ib.PIECE < rows.agg(F.sum(F.length("piece"))).first()[0]
+    again, want = Postings.read(rows.toArrow()), {r.id: r.vector for r in many(spark).where("id < 100").collect()}
+    assert sorted(again.ids.tolist()) == list(range(20_000)) and again.vectors.dtype == np.int16
+    for i, v in zip(again.ids.tolist(), again.vectors, strict=True):
+        assert i >= 100 or v.tolist() == want[i]
+
+
+def test_few_copies_of_the_index(spark):
+    """The index is sent once for each block of queries: with a tile for each task, more blocks would only be more copies."""
+    queries = many(spark, 600, 4)
+    assert [ib.query_blocks(queries, blocks)[1] for blocks in (1, 2, 4, 40)] == [4, 2, 1, 1]
+    assert ib.query_blocks(queries, 40, 600 * 4 * 8 // 3)[1] == 3
+    assert dict(ib.query_blocks(queries, 1)[0].dtypes)["vector"] == "array<smallint>"
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_sums_in_16_bits(seed, monkeypatch):
+    """Accumulators in units, all rows at once or segment by segment, lose no member."""
+    rng = np.random.default_rng(seed)
+    size = [3, 500, 1 << 14, 1 << 20][seed]
+    x = np.rint(rng.laplace(0, size, (3000, 5)) * rng.choice([1, 1, 20], (3000, 1))).astype(np.int32)
+    ids, q = np.arange(3000), x[:40]
+    scores = x.astype(np.int64) @ q.T.astype(np.int64)
+    np.fill_diagonal(scores[:40], -(1 << 62))
+    fifth = np.sort(scores, axis=0)[-5]
+    postings = Postings.of(ids, x)
+    for sample in (1, 128, 3000):
+        monkeypatch.setattr(impact_index, "SAMPLE", sample)
+        for least in (np.full(40, -(1 << 63)), fifth, fifth // 2):
+            got = list(postings.best(q, ids[:40], 5, least))
+            for at, (found, score) in enumerate(got):
+                want = sorted((-s, i) for i, s in enumerate(scores[:, at].tolist()) if i != at)[:5]
+                assert list(zip((-score).tolist(), found.tolist(), strict=True)) == want
