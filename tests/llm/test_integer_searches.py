@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lexitally.llm import hard_negatives as negatives
 from lexitally.llm import impact_index
 from lexitally.llm import integer_blocks as ib
 from lexitally.llm.hard_negatives import BallTree, Window, hard_negatives
@@ -185,3 +186,16 @@ def test_sums_in_16_bits(seed, monkeypatch):
             for at, (found, score) in enumerate(got):
                 want = sorted((-s, i) for i, s in enumerate(scores[:, at].tolist()) if i != at)[:5]
                 assert list(zip((-score).tolist(), found.tolist(), strict=True)) == want
+
+
+def test_trees_in_small_pieces(spark, monkeypatch):
+    """As the postings: no row is large, and pieces give the tree back."""
+    monkeypatch.setattr(ib, "LEAST_ROWS", 1 << 30)
+    dealt, _ = ib.dealt(many(spark))
+    rows = negatives.index(dealt)
+    assert rows.agg(F.max(F.length("piece"))).first()[0] <= ib.PIECE < rows.agg(F.sum(F.length("piece"))).first()[0]
+    again, want = BallTree.read(rows.toArrow()), {r.id: (r.label, r.vector) for r in many(spark).where("id < 100").collect()}
+    assert sorted(again.ids.tolist()) == list(range(20_000)) and again.vectors.dtype == np.int16
+    for i, label, v in zip(again.ids.tolist(), again.labels.tolist(), again.vectors, strict=True):
+        assert i >= 100 or (label, v.tolist()) == want[i]
+    assert again.nodes["end"][0] == 20_000 and len(again.centres) == len(again.nodes)
