@@ -199,3 +199,39 @@ def test_trees_in_small_pieces(spark, monkeypatch):
     for i, label, v in zip(again.ids.tolist(), again.labels.tolist(), again.vectors, strict=True):
         assert i >= 100 or (label, v.tolist()) == want[i]
     assert again.nodes["end"][0] == 20_000 and len(again.centres) == len(again.nodes)
+
+
+def test_labels_apart():
+    """Labels are cut apart first, so a search for positives scores hardly more than its label's rows, even where bounds leave out nothing."""
+    rng = np.random.default_rng(7)
+    x, labels = rng.normal(0, 32, (4000, 32)).astype(np.int16), rng.integers(0, 5, 4000)
+    tree = BallTree.of(np.arange(4000), labels, x)
+    assert tree.nodes["one_label"][~tree.inner].all()
+    alone = BallTree.of(np.arange(4000), np.arange(4000), x)  # too many labels to be cut apart: by place, as before
+    assert len(alone.nodes) == len(BallTree.of(np.arange(4000), np.zeros(4000, int), x).nodes)
+    windows = negatives.Windows(np.arange(50), np.full(50, -(1 << 63)), np.full(50, (1 << 63) - 1), 5)
+    assert tree.search_all(x[:50], np.arange(50), labels[:50], True, windows) < 50 * 4000 / 4
+
+
+@pytest.mark.parametrize("size", [20, 3000, 1 << 29])
+def test_queries_together(size):
+    """Queries that go through a tree together find what a loop finds, with windows of their own."""
+    rng = np.random.default_rng(size)
+    for trial in range(10):
+        n = int(rng.integers(1, 400))
+        x, ids, labels = rng.integers(-size, size, (n, 3)), rng.permutation(n), rng.integers(0, 4, n)
+        tree = BallTree.of(ids, labels, x, 8)
+        queries, mine = rng.integers(-size, size, (7, 3)), rng.integers(0, 4, 7)
+        of = np.sort(np.r_[np.arange(7), rng.integers(0, 7, 9)])
+        low = rng.integers(-size * size, size * size, len(of))
+        high = low + rng.integers(0, 2 * size * size, len(of))
+        scores = x @ queries.T
+        for same in (True, False):
+            for dive in (True, False):
+                windows = negatives.Windows(of, low, high, 3)
+                tree.search_all(queries, np.arange(7), mine, same, windows, dive)
+                want = []
+                for w, q in enumerate(of.tolist()):
+                    fits = (scores[:, q] >= low[w]) & (scores[:, q] <= high[w]) & ((labels == mine[q]) == same) & (ids != q)
+                    want += sorted((w, -int(s), int(i)) for s, i in zip(scores[fits, q], ids[fits], strict=True))[:3]
+                assert sorted(zip(windows.window.tolist(), (-windows.score).tolist(), windows.id.tolist(), strict=True)) == want, trial
