@@ -26,7 +26,7 @@ from lexitally.sources.workdir import written
 #: A vector's component x becomes floor(SCALE * x).
 SCALE = 256
 #: Bytes of a block of the index and of queries, as 64-bit integers, and the fewest rows and queries of a block that is there for a task's sake.
-INDEX_BYTES, QUERY_BYTES, LEAST_ROWS, LEAST_QUERIES = 32 << 20, 32 << 20, 8192, 64
+INDEX_BYTES, QUERY_BYTES, LEAST_ROWS, LEAST_QUERIES = 16 << 20, 16 << 20, 8192, 64
 #: Bytes of a row of the index.
 PIECE = 1 << 20
 #: Pairs that are scored or kept at a time.
